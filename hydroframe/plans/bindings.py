@@ -80,3 +80,177 @@ def station_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("n_name").alias("nation_name"),
                           F.col("n_suppliers").cast("double").alias("n_suppliers"),
                           F.col("mean_acctbal")))
+
+
+def forcing_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Per-variable daily 'files' with several source columns each (for the best-source rule):
+    precipitation p_total/p_large, temperature tmean/tmax, evapotransp aet_mean (supplier nation ×
+    ship day, densified), streamflow (orders, densified)."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
+    g = j.groupBy(F.col("s_nationkey").cast("string").alias(KEY), F.to_date("l_shipdate").alias("date")).agg(
+        F.sum("l_quantity").alias("p_total"),
+        F.sum(F.when(F.col("l_quantity") > 45, F.col("l_quantity"))).alias("p_large"),
+        F.avg("l_discount").alias("tmean"), F.max("l_discount").alias("tmax"),
+        F.avg("l_tax").alias("aet_mean"))
+    d = densify(g)
+    return {"precipitation": d.select(KEY, "date", "p_total", "p_large"),
+            "temperature": d.select(KEY, "date", "tmean", "tmax"),
+            "evapotransp": d.select(KEY, "date", "aet_mean"),
+            "streamflow": daily_flow(spark, sf_dir)}
+
+
+def _gauge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sup = table(spark, sf_dir, "supplier")
+    nation = table(spark, sf_dir, "nation")
+    part = table(spark, sf_dir, "part")
+    b = sup.join(nation, sup.s_nationkey == nation.n_nationkey, "inner")
+    return b.join(part, b.s_suppkey == part.p_partkey, "left")
+
+
+def gauge_attributes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Six attribute tables, one gauge per supplier (``gauge_id`` = s_suppkey), values shaped
+    from supplier, nation and the part with the same key."""
+    b = _gauge_base(spark, sf_dir).withColumn("gauge_id", F.col("s_suppkey").cast("string"))
+    frac = F.col("p_retailprice") - F.floor("p_retailprice")
+    return {
+        "human_intervention": b.select("gauge_id", (F.col("p_size") / 100.0).alias("consumptive_use_perc"),
+                                       (frac / 10.0).alias("regulation_degree"),
+                                       F.when(F.col("p_type").isin("SMALL", "PROMO"), F.lit(0.0))
+                                       .otherwise(F.col("p_size") / 10.0).alias("reservoirs_vol")),
+        "quality_check": b.select("gauge_id", (F.lit(100.0) - F.abs("s_acctbal") / 1000.0).alias("q_quality_control_perc"),
+                                  (F.lit(100.0) - F.abs("s_acctbal") / 500.0).alias("q_stream_stage_perc")),
+        "location": b.select("gauge_id", F.col("s_name").alias("gauge_name"),
+                             (F.lit(-20.0) - F.col("n_nationkey") * 0.6).alias("gauge_lat"),
+                             (F.lit(-40.0) - F.col("n_regionkey")).alias("gauge_lon"),
+                             (F.col("p_retailprice") * 10.0).alias("area_ana"),
+                             (F.col("p_retailprice") * 10.0).alias("area_gsim"),
+                             F.when(F.col("n_regionkey") <= 2, F.lit("high")).otherwise(F.lit("low"))
+                             .alias("area_gsim_quality")),
+        "topography": b.select("gauge_id", (F.col("p_size") * 20.0).alias("elev_mean"),
+                               (F.col("p_retailprice") / 100.0).alias("slope_mean"),
+                               (F.col("p_retailprice") * 10.0).alias("area")),
+        "land_cover": b.select("gauge_id", (F.lit(100.0) - F.col("p_size") * 2.0).alias("crop_perc"),
+                               (F.col("p_size") * 2.0).alias("forest_perc"),
+                               (F.col("p_retailprice") / 200.0).alias("imperv_perc"),
+                               F.col("p_type").alias("dom_land_cover")),
+        "climate": b.select("gauge_id", (F.col("s_acctbal") / 1000.0).alias("p_mean"),
+                            (F.col("p_size") / 10.0).alias("pet_mean"),
+                            (F.col("p_retailprice") / 1000.0).alias("aridity"),
+                            (F.col("n_regionkey") / 4.0).alias("p_seasonality")),
+    }
+
+
+def station_attribute_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Attribute tables per station (= nation): mean of its suppliers' gauge attributes.
+    The quality table only lists nations with at least two suppliers (an inner join drops the
+    rest); the location table only nations with a positive mean balance (left join gaps)."""
+    g = gauge_attributes(spark, sf_dir)
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gauge_id"),
+                                                  F.col("s_nationkey").cast("string").alias(KEY), "s_acctbal")
+    out = {}
+    for name, cols in {"human_intervention": ["consumptive_use_perc", "regulation_degree", "reservoirs_vol"],
+                       "quality_check": ["q_quality_control_perc", "q_stream_stage_perc"],
+                       "location": ["gauge_lat", "gauge_lon"],
+                       "land_cover": ["crop_perc", "forest_perc", "imperv_perc"]}.items():
+        j = g[name].join(sup, "gauge_id", "inner")
+        aggs = [F.avg(c).alias(c) for c in cols] + [F.count(F.lit(1)).alias("_n"), F.avg("s_acctbal").alias("_bal")]
+        if name == "location":
+            aggs += [F.min("gauge_name").alias("gauge_name"), F.min("area_gsim_quality").alias("area_gsim_quality")]
+        if name == "land_cover":
+            aggs.append(F.min("dom_land_cover").alias("dom_land_cover"))
+        t = j.groupBy(KEY).agg(*aggs)
+        if name == "quality_check":
+            t = t.filter(F.col("_n") >= 2)
+        if name == "location":
+            t = t.filter(F.col("_bal") > 0)
+        out[name] = t.drop("_n", "_bal")
+    return out
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily-file listing stand-in: one file ``<gauge>_<variable>.txt`` per supplier and return
+    flag/line status class seen on its large lines (quantity > 45)."""
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 45)
+    var = (F.when((F.col("l_returnflag") == "A"), F.lit("precipitation"))
+            .when(F.col("l_returnflag") == "R", F.lit("temperature"))
+            .when(F.col("l_linestatus") == "F", F.lit("actual_evapotransp"))
+            .otherwise(F.lit("streamflow_m3s")))
+    return li.select(F.format_string("%d_%s.txt", F.col("l_suppkey"), var).alias("file_name")).distinct()
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group, split, y_true, y_pred): lineitem ⋈ part; group = return flag; train = shipped
+    before 1999."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", "l_returnflag",
+                                                  "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    return j.select(F.col("l_returnflag").alias("group"),
+                    F.when(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz"), F.lit("train"))
+                    .otherwise(F.lit("test")).alias("split"),
+                    F.col("l_extendedprice").alias("y_true"),
+                    (F.col("l_quantity") * F.col("p_retailprice")).alias("y_pred"))
+
+
+# Fixed values for the trial stand-in: metric per order priority.
+TRIAL_METRICS = {"1-URGENT": "NSE", "2-HIGH": "RMSE", "3-MEDIUM": "KGE", "4-NOT SPECIFIED": "val_loss",
+                 "5-LOW": "LogNSE"}
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial rows: study = order priority, number = order key, value = total price,
+    state COMPLETE/RUNNING/FAIL from the order status, metric from the priority."""
+    o = table(spark, sf_dir, "orders")
+    metric = F.create_map(*[x for k, v in TRIAL_METRICS.items() for x in (F.lit(k), F.lit(v))])[F.col("o_orderpriority")]
+    state = (F.when(F.col("o_orderstatus") == "F", F.lit("COMPLETE"))
+              .when(F.col("o_orderstatus") == "O", F.lit("RUNNING")).otherwise(F.lit("FAIL")))
+    return o.select(F.col("o_orderpriority").alias("study_name"), F.col("o_orderkey").alias("number"),
+                    F.col("o_totalprice").alias("value"), metric.alias("metric"), state.alias("state"))
+
+
+def experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment result rows, one per line item: model from the return flag, period from the
+    line status, lookback = 30 × line number, horizon from the tax band, metrics from price
+    columns, status failed for quantity 50."""
+    li = table(spark, sf_dir, "lineitem")
+    model = F.when(F.col("l_returnflag") == "R", F.lit("lstm")).otherwise(F.lit("tft"))
+    period = F.when(F.col("l_linestatus") == "F", F.lit("passado")).otherwise(F.lit("recente"))
+    horizon = (F.when(F.col("l_tax") < 0.02, F.lit(1)).when(F.col("l_tax") < 0.04, F.lit(7))
+                .when(F.col("l_tax") < 0.06, F.lit(15)).otherwise(F.lit(30)))
+    lookback = (F.col("l_linenumber") * 30).cast("int")
+    return li.select(
+        model.alias("model"), period.alias("period"), lookback.alias("lookback"), horizon.alias("horizon"),
+        F.format_string("%s_%s_lb%d_h%d", model, period, lookback, horizon).alias("study_name"),
+        F.when(F.col("l_quantity") >= 50, F.lit("failed")).otherwise(F.lit("success")).alias("status"),
+        (F.lit(1.0) - F.col("l_discount") * 5.0).alias("NSE"),
+        (F.lit(1.0) - F.col("l_discount") * 4.0 - F.col("l_tax")).alias("LogNSE"),
+        (F.lit(1.0) - F.col("l_tax") * 6.0).alias("KGE"),
+        (F.col("l_extendedprice") / 1000.0).alias("MAE"),
+        (F.col("l_extendedprice") / 700.0).alias("RMSE"),
+        (F.col("l_quantity") / 10.0).alias("RMSE_dry"),
+        (F.col("l_extendedprice") / 100000.0).alias("val_loss"))
+
+
+def importance_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One interpretability payload per event: source file name built from the event type and day
+    half (``tft_<period>_lb<L>_h7_tft_feature_importance.json``), importance map = the
+    ``props`` JSON plus value and hour."""
+    e = table(spark, sf_dir, "events")
+    period = F.when(F.dayofmonth("ts") <= 15, F.lit("passado")).otherwise(F.lit("recente"))
+    lb = F.length("event_type") * 30
+    study = F.format_string("tft_%s_lb%d_h7", period, lb)
+    props = F.from_json("props", "map<string,double>")
+    fmap = F.map_concat(props, F.create_map(F.lit("value"), F.col("value").cast("double"),
+                                            F.lit("hour"), F.hour("ts").cast("double")))
+    return e.select(F.col("event_id"), study.alias("study"),
+                    F.concat(study, F.lit("_tft_feature_importance.json")).alias("source"),
+                    fmap.alias("feature_importance"), F.col("event_type"))
+
+
+def attention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention samples: study = embedding label, one sample per embedding (64 lags)."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.format_string("study_%d", F.col("label")).alias("study"), F.col("vec_id"),
+                    F.col("embedding").cast("array<double>").alias("attention_row"))

@@ -123,3 +123,153 @@ SELECT station_id,
   CASE WHEN full_ THEN CAST(greatest(1, round_even(rec, 0)) AS INTEGER) END AS suggested_lstm_lookback_days
 FROM k
 """
+
+
+def rnd(cols: list[str]) -> str:
+    """Select list rounding double columns to 6 places."""
+    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
+
+
+ORACLE["gap_fill_inside"] = f"""
+WITH {DAILY_FLOW},
+{fill_cte('filled', 'daily', 'streamflow_m3s', 3, 'inside')}
+SELECT station_id, date, round(streamflow_m3s, 6) AS streamflow_m3s FROM filled
+"""
+
+ORACLE["gap_fill_forward"] = f"""
+WITH {DAILY_FLOW},
+{fill_cte('filled', 'daily', 'streamflow_m3s', 5, 'forward')}
+SELECT station_id, date, round(streamflow_m3s, 6) AS streamflow_m3s FROM filled
+"""
+
+# Stand-in forcings, monthly index (wide → long with the sentinel cell) and static attributes.
+PREP_CTES = f"""
+{DAILY_FLOW},
+forc AS (SELECT CAST(s.s_nationkey AS VARCHAR) AS station_id, CAST(l.l_shipdate AS DATE) AS date,
+                SUM(l.l_quantity) AS precipitation, AVG(l.l_discount) AS temperature, AVG(l.l_tax) AS actual_evapotransp
+         FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2),
+joined AS (SELECT COALESCE(daily.station_id, forc.station_id) AS station_id, COALESCE(daily.date, forc.date) AS date,
+                  daily.streamflow_m3s, forc.precipitation, forc.temperature, forc.actual_evapotransp
+           FROM daily FULL OUTER JOIN forc ON daily.station_id = forc.station_id AND daily.date = forc.date),
+mi AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
+              AVG(l_discount) AS v FROM lineitem GROUP BY 1, 2),
+yrs AS (SELECT DISTINCT year FROM mi),
+cells AS (SELECT y.year, CAST(g.month AS INTEGER) AS month, mi.v
+          FROM yrs y CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS month) g
+          LEFT JOIN mi ON mi.year = y.year AND mi.month = g.month),
+oni AS (SELECT year, month,
+               CASE WHEN (CASE WHEN year = (SELECT MIN(year) FROM mi) AND month = 1 THEN -99.9 ELSE v END) > -99.0
+                    THEN v END AS oni
+        FROM cells WHERE year BETWEEN 1900 AND 2100),
+sa AS (SELECT CAST(n.n_nationkey AS VARCHAR) AS station_id, CAST(n.n_regionkey AS DOUBLE) AS static_region_key,
+              n.n_name AS static_nation_name, CAST(s.n AS DOUBLE) AS static_n_suppliers, s.bal AS static_mean_acctbal
+       FROM nation n LEFT JOIN (SELECT s_nationkey, COUNT(*) AS n, AVG(s_acctbal) AS bal FROM supplier GROUP BY 1) s
+       ON n.n_nationkey = s.s_nationkey)
+"""
+
+PERIOD_CASE = """CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' THEN 'Passado'
+     WHEN date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' THEN 'Recente'
+     WHEN date BETWEEN DATE '2000-01-01' AND DATE '2001-08-01' THEN 'Teste' END"""
+
+MASTER_FILL = ["streamflow_m3s", "precipitation", "temperature", "actual_evapotransp", "oni",
+               "static_region_key", "static_n_suppliers", "static_mean_acctbal"]
+MASTER_DOUBLES = MASTER_FILL + ["sin_day", "cos_day", "sin_month", "cos_month"]
+MASTER_OTHER = ["station_id", "date", "year", "month", "day", "day_of_year", "period", "static_nation_name", "time_idx"]
+
+
+def _chain_fill(src: str, cols: list[str], limit: int, mode: str) -> tuple[str, str]:
+    parts, cur = [], src
+    for i, c in enumerate(cols):
+        name = f"f{i}"
+        parts.append(fill_cte(name, cur, c, limit, mode))
+        cur = name
+    return ",\n".join(parts), cur
+
+
+_fill_m, _last_m = _chain_fill("m2", MASTER_FILL, 5, "forward")
+MASTER_CTES = f"""
+{PREP_CTES},
+m0 AS (SELECT j.*, CAST(year(j.date) AS INTEGER) AS year, CAST(month(j.date) AS INTEGER) AS month,
+              CAST(day(j.date) AS INTEGER) AS day, CAST(dayofyear(j.date) AS INTEGER) AS day_of_year FROM joined j),
+m1 AS (SELECT m0.*, oni.oni,
+              sin(2 * pi() * day_of_year / 366.0) AS sin_day, cos(2 * pi() * day_of_year / 366.0) AS cos_day,
+              sin(2 * pi() * month / 12.0) AS sin_month, cos(2 * pi() * month / 12.0) AS cos_month,
+              {PERIOD_CASE} AS period,
+              sa.static_region_key, sa.static_nation_name, sa.static_n_suppliers, sa.static_mean_acctbal
+       FROM m0 LEFT JOIN oni USING (year, month) LEFT JOIN sa USING (station_id)),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) - 1 AS time_idx FROM m1),
+{_fill_m},
+master AS (SELECT * FROM {_last_m}
+           WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MASTER_DOUBLES + MASTER_OTHER)})
+"""
+
+ORACLE["master_dataset"] = f"""
+WITH {MASTER_CTES}
+SELECT {', '.join(MASTER_OTHER)}, {rnd(MASTER_DOUBLES)} FROM master
+"""
+
+ORACLE["monthly_index_long"] = f"""
+WITH {PREP_CTES}
+SELECT year, month, round(oni, 6) AS oni FROM oni
+"""
+
+FIN_FILL = ["streamflow_m3s", "precipitation", "temperature", "actual_evapotransp", "oni",
+            "static_region_key", "static_n_suppliers", "static_mean_acctbal", "month_sin", "month_cos"]
+_fill_f, _last_f = _chain_fill("p1", FIN_FILL, 3, "inside")
+FINAL_CTES = f"""
+{PREP_CTES},
+p0 AS (SELECT j.*, CAST(year(j.date) AS INTEGER) AS year, CAST(month(j.date) AS INTEGER) AS month,
+              CAST(day(j.date) AS INTEGER) AS day FROM joined j),
+p1 AS (SELECT p0.*, oni.oni, sa.static_region_key, sa.static_nation_name, sa.static_n_suppliers,
+              sa.static_mean_acctbal,
+              sin(2 * pi() * (month - 1) / 12.0) AS month_sin, cos(2 * pi() * (month - 1) / 12.0) AS month_cos
+       FROM p0 LEFT JOIN oni USING (year, month) LEFT JOIN sa USING (station_id)),
+{_fill_f},
+p3 AS (SELECT *, {PERIOD_CASE} AS period FROM {_last_f}),
+p4 AS (SELECT * FROM p3 WHERE period IN ('Passado', 'Recente', 'Teste')),
+fin AS (SELECT *, CAST(date - MIN(date) OVER (PARTITION BY station_id) AS INTEGER) AS time_idx FROM p4)
+"""
+
+
+def _scale_ctes(cols: list[str]) -> str:
+    aggs = ", ".join(f"CAST(MIN(CASE WHEN period IN ('Passado', 'Recente') THEN {c} END) AS DOUBLE) AS {c}__lo, "
+                     f"CAST(MAX(CASE WHEN period IN ('Passado', 'Recente') THEN {c} END) AS DOUBLE) AS {c}__hi"
+                     for c in cols)
+    return f"fit AS (SELECT station_id, {aggs} FROM fin GROUP BY station_id)"
+
+
+ORACLE["prepare_scaled"] = f"""
+WITH {FINAL_CTES},
+{_scale_ctes(FIN_FILL)}
+SELECT fin.station_id, date, year, month, day, period, time_idx, static_nation_name,
+  {', '.join(f'''round(CASE WHEN {c}__lo IS NULL THEN CAST({c} AS DOUBLE)
+        WHEN abs({c}__lo - {c}__hi) <= 1e-8 + 1e-5 * abs({c}__hi) THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END
+        ELSE ({c} - {c}__lo) / ({c}__hi - {c}__lo) END, 6) AS {c}''' for c in FIN_FILL)}
+FROM fin LEFT JOIN fit ON fin.station_id = fit.station_id
+"""
+
+ORACLE["scaling_metadata"] = f"""
+WITH {FINAL_CTES},
+{_scale_ctes(FIN_FILL)}
+SELECT * FROM (
+{' UNION ALL '.join(f"SELECT station_id, '{c}' AS column, round({c}__lo, 6) AS min, round({c}__hi, 6) AS max FROM fit"
+                    for c in FIN_FILL)}
+) WHERE min IS NOT NULL
+"""
+
+ORACLE["period_counts"] = f"""
+WITH {PREP_CTES}
+SELECT station_id, {PERIOD_CASE} AS period, COUNT(*) AS n_rows FROM joined GROUP BY 1, 2
+"""
+
+ORACLE["training_ready"] = f"""
+WITH {FINAL_CTES},
+st AS (SELECT station_id, COALESCE(greatest(MIN(CASE WHEN streamflow_m3s IS NOT NULL THEN date END), DATE '1995-02-01'),
+              DATE '1995-02-01') AS start_ FROM fin GROUP BY 1)
+SELECT fin.station_id, date, period, time_idx, year, month, day, round(streamflow_m3s, 6) AS streamflow_m3s,
+       {rnd(['precipitation', 'oni', 'month_sin', 'month_cos', 'static_region_key', 'static_n_suppliers', 'static_mean_acctbal'])},
+       static_nation_name
+FROM fin JOIN st ON fin.station_id = st.station_id
+WHERE date >= start_ AND streamflow_m3s IS NOT NULL AND precipitation IS NOT NULL AND oni IS NOT NULL
+  AND month_sin IS NOT NULL AND month_cos IS NOT NULL
+"""

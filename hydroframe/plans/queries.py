@@ -39,7 +39,8 @@ def register(name: str):
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (presentation step for the oracle comparison)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -57,3 +58,148 @@ def q_event_summary(spark: SparkSession, d: str) -> DataFrame:
     events = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END))
     return finish(R.event_summary(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END,
                                   events=events))
+
+
+# ---- prepare ----------------------------------------------------------------------------
+
+@register("gap_fill_inside")
+def q_gap_fill_inside(spark, d):
+    """W1 preset (a): limit 3, both directions, inside gaps only, by row position."""
+    return finish(filled_flow(spark, d, 3, "inside"))
+
+
+@register("gap_fill_forward")
+def q_gap_fill_forward(spark, d):
+    """W1 preset (b): limit 5, forward; trailing nulls take the last value."""
+    return finish(filled_flow(spark, d, 5, "forward"))
+
+
+MASTER_FILL = ["streamflow_m3s", "precipitation", "temperature", "actual_evapotransp", "oni",
+               "static_region_key", "static_n_suppliers", "static_mean_acctbal"]
+
+
+def joined_daily(spark, d):
+    """Daily flow (densified) ⋈ three forcing files, full outer on (station, date)."""
+    return P.outer_join_variables([B.daily_flow(spark, d), *B.daily_forcings(spark, d)])
+
+
+def monthly_index(spark, d):
+    return P.monthly_index_long(B.monthly_index_wide(spark, d))
+
+
+def master_dataset(spark, d):
+    """Master plan: J1 → P3 → J2 (monthly index) → P4 (origin 1) → P5 → J5 (statics) → P10 →
+    W1 (forward, limit 5) → P8."""
+    m = P.calendar_parts(joined_daily(spark, d))
+    m = P.attach_monthly(m, monthly_index(spark, d))
+    m = P.cyclic_encoding(m, origin=1)
+    m = P.assign_period(m, TEST_PERIODS)
+    m = P.attach_static(m, B.station_attributes(spark, d), prefix="static_")
+    m = P.row_position(m, name="time_idx")
+    m = P.fill_short_gaps(m, MASTER_FILL, limit=5, mode="forward")
+    return P.complete_cases(m)
+
+
+@register("master_dataset")
+def q_master_dataset(spark, d):
+    return finish(master_dataset(spark, d))
+
+
+@register("monthly_index_long")
+def q_monthly_index_long(spark, d):
+    """U1 + F12: wide monthly index → (year, month, oni), sentinel → null."""
+    return finish(monthly_index(spark, d))
+
+
+def finalized(spark, d):
+    """prepare flow up to scaling: J1 → P3 → J2 → J5 → P4 (origin 0) → W1 (inside, 3) → P5 → P6 → P9."""
+    m = P.calendar_parts(joined_daily(spark, d)).drop("day_of_year")
+    m = P.attach_monthly(m, monthly_index(spark, d))
+    m = P.attach_static(m, B.station_attributes(spark, d), prefix="static_")
+    m = P.cyclic_encoding(m, origin=0)
+    m = P.fill_short_gaps(m, P.numeric_columns(m), limit=3, mode="inside")
+    m = P.keep_periods(P.assign_period(m, TEST_PERIODS), TEST_PERIODS)
+    return P.calendar_index(m)
+
+
+SCALE_FIT = ("Passado", "Recente")
+
+
+@register("prepare_scaled")
+def q_prepare_scaled(spark, d):
+    """A3: min-max per station fitted on the past and recent periods."""
+    m = cut_lineage(finalized(spark, d))
+    scaled, _ = P.min_max_scale(m, P.numeric_columns(m), SCALE_FIT)
+    return finish(scaled)
+
+
+@register("scaling_metadata")
+def q_scaling_metadata(spark, d):
+    m = finalized(spark, d)
+    return finish(P.fit_min_max(m, P.numeric_columns(m), SCALE_FIT))
+
+
+@register("period_counts")
+def q_period_counts(spark, d):
+    """Rows per station and period (null period counted) before the period filter."""
+    return P.period_counts(P.assign_period(joined_daily(spark, d), TEST_PERIODS))
+
+
+@register("training_ready")
+def q_training_ready(spark, d):
+    """Per station start = max(floor, first flow date); fixed column order; complete cases."""
+    m = cut_lineage(finalized(spark, d))
+    return finish(P.training_ready(m, "streamflow_m3s", ("precipitation", "oni", "month_sin", "month_cos"),
+                                   floor_date="1995-02-01"))
+
+
+# ---- readiness --------------------------------------------------------------------------
+
+@register("flow_events")
+def q_flow_events(spark, d):
+    """W2 + W3: events with neighbour gaps."""
+    daily = cut_lineage(filled_flow(spark, d))
+    ev = R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END)
+    return finish(R.inter_event_gaps(ev))
+
+
+@register("event_windows")
+def q_event_windows(spark, d):
+    """W5 (auto lookback from the event recurrence) + W4 windows."""
+    daily = cut_lineage(filled_flow(spark, d))
+    ev = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END))
+    summ = R.event_summary(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END, events=ev)
+    lb = R.lookback_choice(summ, 30, auto=True)
+    return finish(R.event_windows(ev, lb).join(lb, "station_id", "inner"))
+
+
+READINESS = R.Thresholds(required_start_date="1995-01-10", required_end_date="2001-07-01")
+
+
+def stations(spark, d):
+    return B.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("station_id"))
+
+
+@register("coverage")
+def q_coverage(spark, d):
+    """A1 + A2 + P19: coverage per station × variable, missing files included."""
+    return finish(R.coverage_summary(B.forcing_files(spark, d), stations(spark, d), READINESS))
+
+
+def intervention(spark, d):
+    t = B.station_attribute_tables(spark, d)
+    return R.human_intervention(t["human_intervention"], t["quality_check"], t["location"], t["land_cover"],
+                                stations(spark, d), READINESS)
+
+
+@register("human_intervention")
+def q_human_intervention(spark, d):
+    """J4 + P14: intervention flags per station (absent → attribute_found = false)."""
+    return finish(intervention(spark, d))
+
+
+@register("readiness_decision")
+def q_readiness_decision(spark, d):
+    """2×2 verdict per station."""
+    cov = R.coverage_summary(B.forcing_files(spark, d), stations(spark, d), READINESS)
+    return R.decision(cov, intervention(spark, d))
