@@ -218,7 +218,7 @@ def attach_static(df: DataFrame, static: DataFrame, prefix: str | None = None,
 # ---- W1 ----------------------------------------------------------------------------------
 
 def fill_short_gaps(df: DataFrame, columns: list[str] | None = None, limit: int = 3,
-                    mode: str = "inside", date_col: str = "date") -> DataFrame:
+                    mode: str = "inside", date_col: str = "date", keep_position: str | None = None) -> DataFrame:
     """Linear gap fill **by row position** per station (traps T2, T3, T16).
 
     ``mode='inside'`` (limit 3 preset): a null between two known rows is filled when it is
@@ -226,7 +226,8 @@ def fill_short_gaps(df: DataFrame, columns: list[str] | None = None, limit: int
     ``mode='forward'`` (limit 5 preset): the first ``limit`` nulls after a known row are
     filled — linearly when a later known row exists, else with the last known value;
     leading nulls stay.
-    Blocked scans carry the neighbours across (station, year) blocks.
+    Blocked scans carry the neighbours across (station, year) blocks. ``keep_position`` names a
+    column that keeps the 0-based row position computed on the way (P10 for free).
     """
     if mode not in ("inside", "forward"):
         raise ValueError("mode must be 'inside' or 'forward'")
@@ -234,7 +235,7 @@ def fill_short_gaps(df: DataFrame, columns: list[str] | None = None, limit: int
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    pos = "_fill_pos"
+    pos = keep_position or "_fill_pos"
     d = blocked_scan(df, [KEY], date_col, pos=pos, fill_cols=columns)
     p = F.col(pos)
     out = {}
@@ -250,7 +251,7 @@ def fill_short_gaps(df: DataFrame, columns: list[str] | None = None, limit: int
         out[c] = F.when(F.col(c).isNull(), filled.cast(df.schema[c].dataType)).otherwise(F.col(c))
     d = d.withColumns(out)
     helper = [f"{c}__{s}" for c in columns for s in ("pv", "pp", "nv", "np")]
-    return d.drop(*helper, pos)
+    return d.drop(*helper) if keep_position else d.drop(*helper, pos)
 
 
 # ---- A3, A22 -----------------------------------------------------------------------------

@@ -85,7 +85,7 @@ def station_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forcing_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Per-variable daily 'files' with several source columns each (for the best-source rule):
     precipitation p_total/p_large, temperature tmean/tmax, evapotransp aet_mean (supplier nation ×
-    ship day, densified), streamflow (orders, densified)."""
+    ship day, rows only on days with shipments), streamflow (orders, every day of the span)."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
@@ -94,10 +94,9 @@ def forcing_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.sum(F.when(F.col("l_quantity") > 45, F.col("l_quantity"))).alias("p_large"),
         F.avg("l_discount").alias("tmean"), F.max("l_discount").alias("tmax"),
         F.avg("l_tax").alias("aet_mean"))
-    d = densify(g)
-    return {"precipitation": d.select(KEY, "date", "p_total", "p_large"),
-            "temperature": d.select(KEY, "date", "tmean", "tmax"),
-            "evapotransp": d.select(KEY, "date", "aet_mean"),
+    return {"precipitation": g.select(KEY, "date", "p_total", "p_large"),
+            "temperature": g.select(KEY, "date", "tmean", "tmax"),
+            "evapotransp": g.select(KEY, "date", "aet_mean"),
             "streamflow": daily_flow(spark, sf_dir)}
 
 
@@ -115,8 +114,8 @@ def gauge_attributes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     b = _gauge_base(spark, sf_dir).withColumn("gauge_id", F.col("s_suppkey").cast("string"))
     frac = F.col("p_retailprice") - F.floor("p_retailprice")
     return {
-        "human_intervention": b.select("gauge_id", (F.col("p_size") / 100.0).alias("consumptive_use_perc"),
-                                       (frac / 10.0).alias("regulation_degree"),
+        "human_intervention": b.select("gauge_id", (F.col("p_size") / 250.0).alias("consumptive_use_perc"),
+                                       (frac / 50.0).alias("regulation_degree"),
                                        F.when(F.col("p_type").isin("SMALL", "PROMO"), F.lit(0.0))
                                        .otherwise(F.col("p_size") / 10.0).alias("reservoirs_vol")),
         "quality_check": b.select("gauge_id", (F.lit(100.0) - F.abs("s_acctbal") / 1000.0).alias("q_quality_control_perc"),
@@ -143,29 +142,26 @@ def gauge_attributes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def station_attribute_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Attribute tables per station (= nation): mean of its suppliers' gauge attributes.
+    """Attribute tables per station (= nation): the attributes of its lowest-key supplier.
     The quality table only lists nations with at least two suppliers (an inner join drops the
-    rest); the location table only nations with a positive mean balance (left join gaps)."""
+    rest); the location table only nations whose suppliers' mean balance is positive."""
     g = gauge_attributes(spark, sf_dir)
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gauge_id"),
+                                                  F.col("s_suppkey").alias("_k"),
                                                   F.col("s_nationkey").cast("string").alias(KEY), "s_acctbal")
     out = {}
-    for name, cols in {"human_intervention": ["consumptive_use_perc", "regulation_degree", "reservoirs_vol"],
-                       "quality_check": ["q_quality_control_perc", "q_stream_stage_perc"],
-                       "location": ["gauge_lat", "gauge_lon"],
-                       "land_cover": ["crop_perc", "forest_perc", "imperv_perc"]}.items():
-        j = g[name].join(sup, "gauge_id", "inner")
-        aggs = [F.avg(c).alias(c) for c in cols] + [F.count(F.lit(1)).alias("_n"), F.avg("s_acctbal").alias("_bal")]
-        if name == "location":
-            aggs += [F.min("gauge_name").alias("gauge_name"), F.min("area_gsim_quality").alias("area_gsim_quality")]
-        if name == "land_cover":
-            aggs.append(F.min("dom_land_cover").alias("dom_land_cover"))
-        t = j.groupBy(KEY).agg(*aggs)
+    for name, t in g.items():
+        if name not in ("human_intervention", "quality_check", "location", "land_cover"):
+            continue
+        cols = [c for c in t.columns if c != "gauge_id"]
+        j = t.join(sup, "gauge_id", "inner")
+        agg = j.groupBy(KEY).agg(*[F.min_by(c, "_k").alias(c) for c in cols],
+                                 F.count(F.lit(1)).alias("_n"), F.avg("s_acctbal").alias("_bal"))
         if name == "quality_check":
-            t = t.filter(F.col("_n") >= 2)
+            agg = agg.filter(F.col("_n") >= 2)
         if name == "location":
-            t = t.filter(F.col("_bal") > 0)
-        out[name] = t.drop("_n", "_bal")
+            agg = agg.filter(F.col("_bal") > 0)
+        out[name] = agg.drop("_n", "_bal")
     return out
 
 

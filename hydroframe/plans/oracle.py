@@ -273,3 +273,141 @@ FROM fin JOIN st ON fin.station_id = st.station_id
 WHERE date >= start_ AND streamflow_m3s IS NOT NULL AND precipitation IS NOT NULL AND oni IS NOT NULL
   AND month_sin IS NOT NULL AND month_cos IS NOT NULL
 """
+
+EVENT_CTES = f"""
+{DAILY_FLOW},
+{fill_cte('filled', 'daily', 'streamflow_m3s', 3, 'inside')},
+{events_ctes('filled', 0.9, 2, '1995-03-01', '2001-06-30')}
+"""
+
+ORACLE["flow_events"] = f"""
+WITH {EVENT_CTES}
+SELECT station_id, event_id, event_start_date, event_end_date, peak_date, {rnd(['peak_streamflow_m3s'])},
+       event_duration_days, {rnd(['event_mean_streamflow_m3s'])}, previous_event_end_date, next_event_start_date,
+       days_between_event_starts, inter_event_gap_days, days_until_next_event_start, days_until_next_event_from_end
+FROM gaps
+"""
+
+ORACLE["event_windows"] = f"""
+WITH {EVENT_CTES},
+lb0 AS (SELECT station_id, {r4('AVG(days_between_event_starts)')} AS rec FROM gaps GROUP BY 1),
+lb AS (SELECT station_id,
+              CAST(CASE WHEN rec IS NULL THEN 30 ELSE greatest(1, round_even(rec, 0)) END AS INTEGER) AS L,
+              CASE WHEN rec IS NULL THEN 'fixed_default_no_event_recurrence' ELSE 'auto_event_recurrence' END AS src
+       FROM lb0)
+SELECT e.station_id, event_id, CAST(event_start_date - L AS DATE) AS input_start_date,
+       CAST(event_start_date - 1 AS DATE) AS input_end_date, event_start_date AS target_start_date,
+       event_end_date AS target_end_date, L AS input_window_days,
+       CAST(event_end_date - event_start_date + 1 AS INTEGER) AS target_window_days,
+       event_start_date, event_end_date, peak_date, {rnd(['peak_streamflow_m3s'])},
+       L AS lstm_lookback_days, src AS lstm_lookback_source
+FROM events e JOIN lb ON e.station_id = lb.station_id
+"""
+
+FORCING_FILES = f"""
+{DAILY_FLOW},
+fg AS (SELECT CAST(s.s_nationkey AS VARCHAR) AS station_id, CAST(l.l_shipdate AS DATE) AS date,
+              SUM(l.l_quantity) AS p_total, SUM(CASE WHEN l.l_quantity > 45 THEN l.l_quantity END) AS p_large,
+              AVG(l.l_discount) AS tmean, MAX(l.l_discount) AS tmax, AVG(l.l_tax) AS aet_mean
+       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2),
+found AS (
+  SELECT station_id, 'precipitation' AS variable, COUNT(*) AS rows, MIN(date) AS date_min, MAX(date) AS date_max,
+         least(AVG(CASE WHEN p_total IS NULL THEN 1.0 ELSE 0.0 END) * 100.0,
+               AVG(CASE WHEN p_large IS NULL THEN 1.0 ELSE 0.0 END) * 100.0) AS miss, 5.0 AS lim FROM fg GROUP BY 1
+  UNION ALL
+  SELECT station_id, 'temperature', COUNT(*), MIN(date), MAX(date),
+         least(AVG(CASE WHEN tmean IS NULL THEN 1.0 ELSE 0.0 END) * 100.0,
+               AVG(CASE WHEN tmax IS NULL THEN 1.0 ELSE 0.0 END) * 100.0), 5.0 FROM fg GROUP BY 1
+  UNION ALL
+  SELECT station_id, 'evapotransp', COUNT(*), MIN(date), MAX(date),
+         AVG(CASE WHEN aet_mean IS NULL THEN 1.0 ELSE 0.0 END) * 100.0, 5.0 FROM fg GROUP BY 1
+  UNION ALL
+  SELECT station_id, 'streamflow', COUNT(*), MIN(date), MAX(date),
+         AVG(CASE WHEN streamflow_m3s IS NULL THEN 1.0 ELSE 0.0 END) * 100.0, 5.0 FROM daily GROUP BY 1),
+grid AS (SELECT CAST(n_nationkey AS VARCHAR) AS station_id, v.variable FROM nation
+         CROSS JOIN (VALUES ('precipitation'), ('temperature'), ('evapotransp'), ('streamflow')) v(variable)),
+cov AS (SELECT g.station_id, g.variable, f.rows IS NOT NULL AS file_exists, COALESCE(f.rows, 0) AS rows,
+               f.date_min, f.date_max,
+               COALESCE(f.rows IS NOT NULL AND f.date_min <= DATE '1995-01-10', false) AS coverage_start_ok,
+               COALESCE(f.rows IS NOT NULL AND f.date_max >= DATE '2001-07-01', false) AS coverage_end_ok,
+               CASE WHEN f.rows IS NOT NULL THEN {r4('COALESCE(f.miss, 100.0)')} ELSE 100.0 END AS missing_pct_best_source,
+               f.miss AS miss_raw
+        FROM grid g LEFT JOIN found f ON g.station_id = f.station_id AND g.variable = f.variable),
+cov2 AS (SELECT *, coverage_start_ok AND coverage_end_ok AND COALESCE(miss_raw, 100.0) <= 5.0 AS variable_ready FROM cov)
+"""
+
+ORACLE["coverage"] = f"""
+WITH {FORCING_FILES}
+SELECT station_id, variable, file_exists, rows, date_min, date_max, coverage_start_ok, coverage_end_ok,
+       round(missing_pct_best_source, 6) AS missing_pct_best_source, variable_ready FROM cov2
+"""
+
+GAUGE_BASE = """
+gb AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS gauge_id, s.s_suppkey AS k, s.s_name, s.s_acctbal, s.s_nationkey,
+              n.n_nationkey, n.n_regionkey, p.p_size, p.p_retailprice, p.p_type
+       FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+       LEFT JOIN part p ON s.s_suppkey = p.p_partkey),
+ga AS (SELECT gauge_id, k, s_acctbal, CAST(s_nationkey AS VARCHAR) AS station_id,
+              p_size / 250.0 AS consumptive_use_perc,
+              (p_retailprice - floor(p_retailprice)) / 50.0 AS regulation_degree,
+              CASE WHEN p_type IN ('SMALL', 'PROMO') THEN 0.0 ELSE p_size / 10.0 END AS reservoirs_vol,
+              100.0 - abs(s_acctbal) / 1000.0 AS q_quality_control_perc,
+              100.0 - abs(s_acctbal) / 500.0 AS q_stream_stage_perc,
+              s_name AS gauge_name, -20.0 - n_nationkey * 0.6 AS gauge_lat, -40.0 - n_regionkey AS gauge_lon,
+              p_retailprice * 10.0 AS area_ana, p_retailprice * 10.0 AS area_gsim,
+              CASE WHEN n_regionkey <= 2 THEN 'high' ELSE 'low' END AS area_gsim_quality,
+              p_size * 20.0 AS elev_mean, p_retailprice / 100.0 AS slope_mean, p_retailprice * 10.0 AS area,
+              100.0 - p_size * 2.0 AS crop_perc, p_size * 2.0 AS forest_perc, p_retailprice / 200.0 AS imperv_perc,
+              p_type AS dom_land_cover, s_acctbal / 1000.0 AS p_mean, p_size / 10.0 AS pet_mean,
+              p_retailprice / 1000.0 AS aridity, n_regionkey / 4.0 AS p_seasonality
+       FROM gb)
+"""
+
+INTERVENTION = f"""
+{GAUGE_BASE},
+sfirst AS (SELECT station_id, arg_min(consumptive_use_perc, k) AS consumptive_use_perc,
+                  arg_min(regulation_degree, k) AS regulation_degree, arg_min(reservoirs_vol, k) AS reservoirs_vol,
+                  arg_min(q_quality_control_perc, k) AS q_quality_control_perc,
+                  arg_min(gauge_name, k) AS gauge_name, arg_min(gauge_lat, k) AS gauge_lat,
+                  arg_min(forest_perc, k) AS forest_perc, arg_min(crop_perc, k) AS crop_perc,
+                  arg_min(imperv_perc, k) AS imperv_perc, arg_min(dom_land_cover, k) AS dom_land_cover,
+                  COUNT(*) AS n, AVG(s_acctbal) AS bal
+           FROM ga GROUP BY 1),
+hi AS (SELECT h.station_id, COALESCE(CASE WHEN h.bal > 0 THEN h.gauge_name END, '') AS gauge_name,
+              h.q_quality_control_perc, h.consumptive_use_perc, h.regulation_degree, h.reservoirs_vol,
+              h.forest_perc, h.crop_perc, h.imperv_perc, h.dom_land_cover,
+              h.q_quality_control_perc >= 95.0 AS q_quality_ok, h.consumptive_use_perc <= 0.2 AS consumptive_ok,
+              h.regulation_degree <= 0.01 AS regulation_ok, h.reservoirs_vol <= 0.0 AS reservoir_ok
+       FROM sfirst h WHERE h.n >= 2),
+iv AS (SELECT CAST(n.n_nationkey AS VARCHAR) AS station_id, hi.station_id IS NOT NULL AS attribute_found,
+              hi.* EXCLUDE (station_id),
+              COALESCE(q_quality_ok AND consumptive_ok AND regulation_ok AND reservoir_ok, false) AS human_intervention_ready
+       FROM nation n LEFT JOIN hi ON CAST(n.n_nationkey AS VARCHAR) = hi.station_id)
+"""
+
+ORACLE["human_intervention"] = f"""
+WITH {INTERVENTION}
+SELECT station_id, CASE WHEN attribute_found THEN true ELSE false END AS attribute_found, gauge_name,
+       {rnd(['q_quality_control_perc', 'consumptive_use_perc', 'regulation_degree', 'reservoirs_vol',
+             'forest_perc', 'crop_perc', 'imperv_perc'])}, dom_land_cover,
+       q_quality_ok, consumptive_ok, regulation_ok, reservoir_ok, human_intervention_ready
+FROM iv
+"""
+
+ORACLE["readiness_decision"] = f"""
+WITH {FORCING_FILES}, {INTERVENTION},
+dyn AS (SELECT station_id, bool_and(variable_ready) AS dynamic_data_ready,
+               CAST(SUM(CASE WHEN NOT file_exists THEN 1 ELSE 0 END) AS INTEGER) AS missing_dynamic_files
+        FROM cov2 GROUP BY 1),
+dj AS (SELECT dyn.*, COALESCE(iv.human_intervention_ready, false) AS h FROM dyn LEFT JOIN iv USING (station_id))
+SELECT station_id,
+  CASE WHEN dynamic_data_ready AND h THEN 'APROVADA'
+       WHEN NOT dynamic_data_ready AND h THEN 'REPROVADA_DADOS_DINAMICOS'
+       WHEN dynamic_data_ready AND NOT h THEN 'REPROVADA_INTERVENCAO' ELSE 'REPROVADA' END AS verdict,
+  dynamic_data_ready, h AS human_intervention_ready, missing_dynamic_files,
+  CASE WHEN dynamic_data_ready AND h THEN 'A bacia atende cobertura temporal, faltantes maximos e criterios de intervencao humana.'
+       WHEN NOT dynamic_data_ready AND h THEN 'Atributos de intervencao estao bons, mas as series dinamicas nao atendem cobertura/faltantes.'
+       WHEN dynamic_data_ready AND NOT h THEN 'Series dinamicas estao boas, mas a intervencao humana/qualidade nao atende os criterios definidos.'
+       ELSE 'A bacia nao atende aos criterios minimos de dados dinamicos e/ou intervencao humana.' END AS rationale
+FROM dj
+"""

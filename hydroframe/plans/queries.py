@@ -95,8 +95,8 @@ def master_dataset(spark, d):
     m = P.cyclic_encoding(m, origin=1)
     m = P.assign_period(m, TEST_PERIODS)
     m = P.attach_static(m, B.station_attributes(spark, d), prefix="static_")
-    m = P.row_position(m, name="time_idx")
-    m = P.fill_short_gaps(m, MASTER_FILL, limit=5, mode="forward")
+    # P10 (time_idx = row position before the drop) comes out of the same blocked pass as W1.
+    m = P.fill_short_gaps(m, MASTER_FILL, limit=5, mode="forward", keep_position="time_idx")
     return P.complete_cases(m)
 
 
