@@ -344,7 +344,8 @@ SELECT station_id, variable, file_exists, rows, date_min, date_max, coverage_sta
 
 GAUGE_BASE = """
 gb AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS gauge_id, s.s_suppkey AS k, s.s_name, s.s_acctbal, s.s_nationkey,
-              n.n_nationkey, n.n_regionkey, p.p_size, p.p_retailprice, p.p_type
+              CAST(n.n_nationkey AS DOUBLE) AS n_nationkey, CAST(n.n_regionkey AS DOUBLE) AS n_regionkey,
+              CAST(p.p_size AS DOUBLE) AS p_size, p.p_retailprice, p.p_type
        FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
        LEFT JOIN part p ON s.s_suppkey = p.p_partkey),
 ga AS (SELECT gauge_id, k, s_acctbal, CAST(s_nationkey AS VARCHAR) AS station_id,
@@ -411,3 +412,70 @@ SELECT station_id,
        ELSE 'A bacia nao atende aos criterios minimos de dados dinamicos e/ou intervencao humana.' END AS rationale
 FROM dj
 """
+
+RANK_DOUBLES = ["consumptive_use_perc", "regulation_degree", "reservoirs_vol", "q_quality_control_perc",
+                "q_stream_stage_perc", "gauge_lat", "gauge_lon", "area_ana", "area_gsim", "elev_mean", "slope_mean",
+                "area", "crop_perc", "forest_perc", "imperv_perc", "p_mean", "pet_mean", "aridity", "p_seasonality",
+                "score_quality", "score_forest", "score_imperv", "score_consumptive", "score_regulation",
+                "score_reservoirs", "score_data_availability", "recommended_score"]
+RANK_OTHER = ["gauge_id", "gauge_name", "area_gsim_quality", "dom_land_cover", "has_local_dynamic_data", "rank"]
+
+AVAIL = """
+files AS (SELECT DISTINCT printf('%d_%s.txt', l_suppkey,
+                 CASE WHEN l_returnflag = 'A' THEN 'precipitation' WHEN l_returnflag = 'R' THEN 'temperature'
+                      WHEN l_linestatus = 'F' THEN 'actual_evapotransp' ELSE 'streamflow_m3s' END) AS file_name
+          FROM lineitem WHERE l_quantity > 45),
+av0 AS (SELECT file_name, CASE WHEN ends_with(file_name, '_precipitation.txt') THEN '_precipitation.txt'
+                               WHEN ends_with(file_name, '_temperature.txt') THEN '_temperature.txt'
+                               WHEN ends_with(file_name, '_actual_evapotransp.txt') THEN '_actual_evapotransp.txt'
+                               WHEN ends_with(file_name, '_streamflow_m3s.txt') THEN '_streamflow_m3s.txt' END AS suffix
+        FROM files),
+avail AS (SELECT left(file_name, length(file_name) - length(suffix)) AS gauge_id FROM av0
+          WHERE suffix IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT suffix) = 4)
+"""
+
+RANKED = f"""
+{GAUGE_BASE}, {AVAIL},
+cand AS (SELECT * EXCLUDE (k, s_acctbal, station_id) FROM ga
+         WHERE gauge_lat <= -22.0 AND gauge_lat >= -34.0 AND area_gsim_quality = 'high'
+           AND q_quality_control_perc >= 95.0),
+sc0 AS (SELECT c.*, a.gauge_id IS NOT NULL AS has_local_dynamic_data FROM cand c LEFT JOIN avail a USING (gauge_id)),
+sc1 AS (SELECT *, q_quality_control_perc / 100.0 AS score_quality, forest_perc / 100.0 AS score_forest,
+               1.0 - imperv_perc / 100.0 AS score_imperv, 1.0 / (1.0 + consumptive_use_perc) AS score_consumptive,
+               1.0 / (1.0 + regulation_degree * 100.0) AS score_regulation, 1.0 / (1.0 + reservoirs_vol) AS score_reservoirs,
+               CAST(has_local_dynamic_data AS DOUBLE) AS score_data_availability FROM sc0),
+sc2 AS (SELECT *, 0.24 * score_quality + 0.16 * score_regulation + 0.16 * score_consumptive + 0.12 * score_forest
+                  + 0.08 * score_imperv + 0.04 * score_reservoirs + 0.2 * score_data_availability AS recommended_score
+        FROM sc1),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY recommended_score DESC, has_local_dynamic_data DESC,
+                    regulation_degree, consumptive_use_perc, reservoirs_vol, q_quality_control_perc DESC, gauge_id)
+                    AS INTEGER) AS rank FROM sc2)
+"""
+
+ORACLE["dynamic_availability"] = f"WITH {AVAIL} SELECT gauge_id FROM avail"
+ORACLE["ranking_scores"] = f"WITH {RANKED} SELECT {', '.join(RANK_OTHER)}, {rnd(RANK_DOUBLES)} FROM ranked"
+ORACLE["ranking_top"] = f"WITH {RANKED} SELECT {', '.join(RANK_OTHER)}, {rnd(RANK_DOUBLES)} FROM ranked WHERE rank <= 15"
+
+CMP_DOUBLES = ["gauge_lat", "area", "consumptive_use_perc", "regulation_degree", "reservoirs_vol",
+               "q_quality_control_perc", "q_stream_stage_perc", "forest_perc", "crop_perc", "imperv_perc",
+               "recommended_score"]
+ORACLE["ranking_comparison"] = f"""
+WITH {RANKED},
+src AS (SELECT *, 0 AS s FROM ranked WHERE gauge_id = '72' UNION ALL SELECT *, 1 AS s FROM ranked WHERE rank <= 5),
+dd AS (SELECT *, row_number() OVER (PARTITION BY gauge_id ORDER BY s, rank) AS kk FROM src),
+kept AS (SELECT *, CAST(row_number() OVER (ORDER BY s, rank) AS INTEGER) AS row_order FROM dd WHERE kk = 1)
+SELECT rank, gauge_id, gauge_name, has_local_dynamic_data, dom_land_cover, row_order, {rnd(CMP_DOUBLES)} FROM kept
+"""
+
+ORACLE["ranking_recommendation"] = f"""
+WITH {RANKED},
+c AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN gauge_id = '72' THEN 0 ELSE 1 END, rank) AS kk
+      FROM ranked WHERE gauge_id = '72' OR rank <= 2)
+SELECT CASE WHEN kk = 1 THEN 'Bacia principal' ELSE 'Bacia reserva' END AS recommendation_role,
+       gauge_id, gauge_name, rank, has_local_dynamic_data,
+       {rnd(['recommended_score', 'q_quality_control_perc', 'consumptive_use_perc', 'regulation_degree',
+             'reservoirs_vol', 'forest_perc', 'crop_perc', 'imperv_perc'])},
+       CASE WHEN kk = 1 THEN 'Melhor equilibrio entre baixa intervencao humana, alta qualidade hidrologica e disponibilidade local das quatro series dinamicas.'
+            ELSE 'Melhor alternativa caso seja necessario trocar a bacia principal, mantendo alta qualidade e baixa intervencao; pode exigir coleta adicional das series dinamicas.' END AS rationale
+FROM c WHERE kk <= 2
+"""

@@ -203,3 +203,45 @@ def q_readiness_decision(spark, d):
     """2×2 verdict per station."""
     cov = R.coverage_summary(B.forcing_files(spark, d), stations(spark, d), READINESS)
     return R.decision(cov, intervention(spark, d))
+
+
+# ---- ranking ----------------------------------------------------------------------------
+
+from hydroframe.operators import ranking as K  # noqa: E402
+
+TARGET_GAUGE = "72"
+
+
+def scored(spark, d):
+    """J3 star join → P13 candidate filter → S6/J6 availability flag → K1 score → W11 rank."""
+    cand = K.southern_candidates(K.star_join(B.gauge_attributes(spark, d)))
+    avail = K.dynamic_availability(B.file_listing(spark, d))
+    return K.score_candidates(cand, avail)
+
+
+@register("dynamic_availability")
+def q_dynamic_availability(spark, d):
+    return K.dynamic_availability(B.file_listing(spark, d))
+
+
+@register("ranking_scores")
+def q_ranking_scores(spark, d):
+    return finish(scored(spark, d))
+
+
+@register("ranking_top")
+def q_ranking_top(spark, d):
+    """K2: top 15."""
+    return finish(K.top_n(scored(spark, d), 15))
+
+
+@register("ranking_comparison")
+def q_ranking_comparison(spark, d):
+    """K3 + U3: target first, then top 5, deduplicated."""
+    return finish(K.comparison_table(cut_lineage(scored(spark, d)), TARGET_GAUGE, 5))
+
+
+@register("ranking_recommendation")
+def q_ranking_recommendation(spark, d):
+    """K4: principal and reserve."""
+    return finish(K.recommendation(scored(spark, d), TARGET_GAUGE))
