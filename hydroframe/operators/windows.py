@@ -42,7 +42,7 @@ def standardise(df: DataFrame, columns: list[str], by: list[str] | None = None,
     d = df.join(st, by, "left")
     for c in columns:
         sd = F.when(F.col(f"{c}__sd") == 0, F.lit(1.0)).otherwise(F.col(f"{c}__sd"))
-        out[c + suffix] = F.coalesce((F.col(c) - F.col(f"{c}__mu")) / sd, F.lit(0.0))
+        out[c + suffix] = (F.col(c) - F.col(f"{c}__mu")) / sd
     return d.withColumns(out).drop(*[f"{c}__{s}" for c in columns for s in ("mu", "sd")])
 
 

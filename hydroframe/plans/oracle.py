@@ -479,3 +479,121 @@ SELECT CASE WHEN kk = 1 THEN 'Bacia principal' ELSE 'Bacia reserva' END AS recom
             ELSE 'Melhor alternativa caso seja necessario trocar a bacia principal, mantendo alta qualidade e baixa intervencao; pode exigir coleta adicional das series dinamicas.' END AS rationale
 FROM c WHERE kk <= 2
 """
+
+WIN_FEATS = ["precipitation", "temperature", "actual_evapotransp", "sin_day", "cos_day", "sin_month", "cos_month"]
+
+
+def _z(c: str) -> str:
+    return f"({c} - mu_{c}) / CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN 1.0 ELSE sd_{c} END"
+
+
+SCALED = f"""
+{MASTER_CTES},
+t0 AS (SELECT station_id, date, time_idx, ln(1 + greatest(streamflow_m3s, 0)) AS target_log,
+              greatest(streamflow_m3s, 0.0) AS target_raw, streamflow_m3s, {', '.join(WIN_FEATS)} FROM master),
+stt AS (SELECT {', '.join(f'AVG({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}' for c in ['target_log'] + WIN_FEATS)} FROM t0),
+zz AS (SELECT station_id, date, time_idx, target_raw, streamflow_m3s,
+              {', '.join(f'{_z(c)} AS {c}' for c in ['target_log'] + WIN_FEATS)} FROM t0, stt),
+wins AS (SELECT station_id, date AS window_end_date, COUNT(*) OVER f AS n_steps, first_value(date) OVER f AS first_input_date,
+                SUM(target_log) OVER f AS sum_inputs_target, SUM(precipitation) OVER f AS sum_inputs_precip,
+                lead(date, 7) OVER o AS target_date, lead(target_log, 7) OVER o AS target,
+                lead(target_raw, 7) OVER o AS target_raw, row_number() OVER o AS rn
+         FROM zz WINDOW f AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+                        o AS (PARTITION BY station_id ORDER BY date)),
+wv AS (SELECT * FROM wins WHERE rn >= 30 AND target_date IS NOT NULL)
+"""
+
+ORACLE["lookback_windows"] = f"""
+WITH {SCALED}
+SELECT station_id, window_end_date, target_date, CAST(n_steps AS INTEGER) AS n_steps, first_input_date,
+       {rnd(['sum_inputs_target', 'sum_inputs_precip', 'target', 'target_raw'])}
+FROM wv
+"""
+
+ORACLE["chronological_split"] = f"""
+WITH {SCALED},
+pool AS (SELECT station_id, target_date,
+                target_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_pool,
+                target_date BETWEEN DATE '2000-01-01' AND DATE '2001-08-01' AS in_test FROM wv),
+cnt AS (SELECT station_id, SUM(CASE WHEN in_pool THEN 1 ELSE 0 END) AS n_pool,
+               SUM(CASE WHEN in_test THEN 1 ELSE 0 END) AS n_test FROM pool GROUP BY 1),
+rk AS (SELECT p.*, c.n_pool, c.n_test,
+              SUM(CASE WHEN in_pool THEN 1 ELSE 0 END) OVER (PARTITION BY p.station_id ORDER BY target_date
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prank,
+              least(greatest(CAST(round_even(c.n_pool * 0.15, 0) AS BIGINT), 1), c.n_pool - 1) AS n_val
+       FROM pool p JOIN cnt c ON p.station_id = c.station_id),
+lab AS (SELECT *, CASE WHEN in_pool AND prank > n_pool - n_val THEN 'val' WHEN in_pool THEN 'train'
+                       WHEN in_test THEN 'test' END AS split,
+               CASE WHEN n_pool < 20 THEN 'too few training windows' WHEN n_test = 0 THEN 'no test window' END AS split_error
+        FROM rk)
+SELECT station_id, split, CAST(n_pool AS BIGINT) AS n_pool, split_error, COUNT(*) AS n_windows,
+       MIN(target_date) AS first_target_date, MAX(target_date) AS last_target_date
+FROM lab GROUP BY station_id, split, n_pool, split_error
+"""
+
+ORACLE["encoder_decoder_windows"] = f"""
+WITH {MASTER_CTES},
+ed AS (SELECT station_id, COUNT(*) OVER e AS n_enc, COUNT(*) OVER dcd AS n_dec,
+              first_value(date) OVER e AS encoder_first_date, lead(date, 1) OVER o AS decoder_start_date,
+              lead(time_idx, 1) OVER o AS decoder_start_idx, lead(date, 7) OVER o AS decoder_last_date,
+              SUM(streamflow_m3s) OVER dcd AS sum_decoder_target, SUM(precipitation) OVER e AS sum_encoder_precip
+       FROM master WINDOW o AS (PARTITION BY station_id ORDER BY date),
+              e AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+              dcd AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
+SELECT station_id, decoder_start_date, decoder_start_idx, encoder_first_date, decoder_last_date,
+       {rnd(['sum_decoder_target', 'sum_encoder_precip'])}
+FROM ed WHERE n_enc = 30 AND n_dec = 7
+"""
+
+GRID_REQ = ["streamflow_m3s", "precipitation", "temperature", "actual_evapotransp", "oni"]
+GRID = f"""
+{FINAL_CTES},
+mon AS (SELECT station_id, CAST(date_trunc('month', date) AS DATE) AS month_start, COUNT(*) AS rows,
+               SUM({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in GRID_REQ)}) AS missing,
+               first(period ORDER BY date) FILTER (WHERE period IS NOT NULL) AS period
+        FROM fin GROUP BY 1, 2),
+tg AS (SELECT station_id, month_start AS target_start_date, rows AS target_rows, missing AS target_missing_values,
+              CAST(unnest(generate_series(1, 24)) AS INTEGER) AS window_months
+       FROM mon WHERE period IN ('Teste')),
+offs AS (SELECT station_id, target_start_date, window_months, unnest(generate_series(1, window_months)) AS k FROM tg),
+inp AS (SELECT o.station_id, o.target_start_date, o.window_months, COALESCE(SUM(m.rows), 0) AS input_rows,
+               COUNT(m.rows) AS input_month_count, COALESCE(SUM(m.missing), 0) AS input_missing_values
+        FROM offs o LEFT JOIN mon m ON m.station_id = o.station_id
+             AND m.month_start = CAST(o.target_start_date - to_months(CAST(o.k AS INTEGER)) AS DATE)
+        GROUP BY 1, 2, 3),
+grid AS (SELECT t.station_id, strftime(t.target_start_date, '%Y-%m') AS target_month, t.window_months,
+                CAST(t.target_start_date - to_months(t.window_months) AS DATE) AS input_start_date,
+                CAST(t.target_start_date - 1 AS DATE) AS input_end_date, t.target_start_date,
+                CAST(last_day(t.target_start_date) AS DATE) AS target_end_date,
+                CAST(i.input_rows AS BIGINT) AS input_rows, CAST(t.target_rows AS BIGINT) AS target_rows,
+                i.input_month_count = t.window_months AS has_full_input_months, t.target_rows > 0 AS has_target_month,
+                CAST(i.input_missing_values AS BIGINT) AS input_missing_values,
+                CAST(t.target_missing_values AS BIGINT) AS target_missing_values,
+                i.input_missing_values = 0 AND t.target_missing_values = 0 AS has_complete_data
+         FROM tg t JOIN inp i ON t.station_id = i.station_id AND t.target_start_date = i.target_start_date
+              AND t.window_months = i.window_months),
+grid2 AS (SELECT *, has_full_input_months AND has_target_month AND has_complete_data AS is_candidate FROM grid)
+"""
+
+ORACLE["monthly_window_grid"] = f"WITH {GRID} SELECT * FROM grid2"
+ORACLE["window_candidates"] = f"""
+WITH {GRID}
+SELECT station_id, target_month, COUNT(*) AS candidate_windows, MIN(window_months) AS min_window_months,
+       MAX(window_months) AS max_window_months
+FROM grid2 WHERE is_candidate GROUP BY 1, 2
+"""
+
+ORACLE["first_index_at_or_after"] = f"""
+WITH {MASTER_CTES}
+SELECT station_id, MIN(CASE WHEN date >= DATE '2000-01-01' THEN time_idx END) AS first_idx FROM master GROUP BY 1
+"""
+
+ORACLE["standardise_by_station"] = f"""
+WITH {MASTER_CTES},
+st AS (SELECT station_id, AVG(precipitation) AS mp, stddev_pop(precipitation) AS sp, AVG(temperature) AS mt,
+              stddev_pop(temperature) AS stt FROM master GROUP BY 1)
+SELECT m.station_id, date, {rnd(['precipitation', 'temperature'])},
+       round((precipitation - mp) / CASE WHEN sp = 0 THEN 1.0 ELSE sp END, 6) + 0.0 AS precipitation_z,
+       round((temperature - mt) / CASE WHEN stt = 0 THEN 1.0 ELSE stt END, 6) + 0.0 AS temperature_z
+FROM master m JOIN st ON m.station_id = st.station_id
+"""

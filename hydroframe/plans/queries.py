@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from hydroframe.operators import prepare as P
 from hydroframe.operators import readiness as R
 from hydroframe.plans import bindings as B
-from hydroframe.session import cut_lineage
+from hydroframe.session import configure, cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -32,8 +32,12 @@ TEST_PERIODS = (("Passado", "1995-01-01", "1996-12-31"),
 
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
-        REGISTRY[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        REGISTRY[name] = run
+        return run
     return deco
 
 
@@ -245,3 +249,90 @@ def q_ranking_comparison(spark, d):
 def q_ranking_recommendation(spark, d):
     """K4: principal and reserve."""
     return finish(K.recommendation(scored(spark, d), TARGET_GAUGE))
+
+
+# ---- windows and splits -----------------------------------------------------------------
+
+from hydroframe.operators import windows as W  # noqa: E402
+
+WINDOW_FEATURES = ["precipitation", "temperature", "actual_evapotransp", "sin_day", "cos_day", "sin_month", "cos_month"]
+LOOKBACK, HORIZON = 30, 7
+
+
+def scaled_master(spark, d):
+    """A4 + F1 on the master table: log1p(clip) target and features z-scored on all rows."""
+    m = cut_lineage(master_dataset(spark, d))
+    m = W.log_target(m, "streamflow_m3s", "target_log")
+    m = m.withColumn("target_raw", F.greatest(F.col("streamflow_m3s"), F.lit(0.0)))
+    return W.standardise(m, ["target_log", *WINDOW_FEATURES])
+
+
+def sequence_windows(spark, d):
+    return W.lookback_windows(scaled_master(spark, d), LOOKBACK, HORIZON, WINDOW_FEATURES, "target_log")
+
+
+@register("lookback_windows")
+def q_lookback_windows(spark, d):
+    """L=30, H=7 windows, summarised per window (the arrays themselves are checked in tests)."""
+    w = sequence_windows(spark, d)
+    return finish(w.select(
+        "station_id", "window_end_date", "target_date", F.size("inputs").alias("n_steps"),
+        F.col("inputs")[0]["date"].alias("first_input_date"),
+        F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x["target_log"]).alias("sum_inputs_target"),
+        F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x["precipitation"]).alias("sum_inputs_precip"),
+        "target", "target_raw"))
+
+
+@register("chronological_split")
+def q_chronological_split(spark, d):
+    """Validation tail of the train pool by target date; counts per station and split."""
+    w = cut_lineage(sequence_windows(spark, d).select("station_id", "window_end_date", "target_date"))
+    s = W.chronological_split(w, "1995-01-01", "1999-12-31", "2000-01-01", "2001-08-01", 0.15)
+    return s.groupBy("station_id", "split", "n_pool", "split_error").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("target_date").alias("first_target_date"),
+        F.max("target_date").alias("last_target_date"))
+
+
+@register("encoder_decoder_windows")
+def q_encoder_decoder_windows(spark, d):
+    """Encoder 30 rows, decoder 7 rows (all targets), summarised per window."""
+    m = cut_lineage(master_dataset(spark, d))
+    w = W.encoder_decoder_windows(m, LOOKBACK, HORIZON, ["precipitation"], "streamflow_m3s")
+    return finish(w.select(
+        "station_id", "decoder_start_date", "decoder_start_idx",
+        F.col("encoder")[0]["date"].alias("encoder_first_date"),
+        F.col("decoder")[HORIZON - 1]["date"].alias("decoder_last_date"),
+        F.aggregate("decoder", F.lit(0.0), lambda a, x: a + x["target"]).alias("sum_decoder_target"),
+        F.aggregate("encoder", F.lit(0.0), lambda a, x: a + x["precipitation"]).alias("sum_encoder_precip")))
+
+
+GRID_REQUIRED = ["streamflow_m3s", "precipitation", "temperature", "actual_evapotransp", "oni"]
+
+
+def window_grid(spark, d):
+    return W.monthly_window_grid(cut_lineage(finalized(spark, d)), 1, 24, ("Teste",), GRID_REQUIRED, True)
+
+
+@register("monthly_window_grid")
+def q_monthly_window_grid(spark, d):
+    """W7 + A9: target months of the test period × 1..24 month windows."""
+    return window_grid(spark, d)
+
+
+@register("window_candidates")
+def q_window_candidates(spark, d):
+    """Candidate windows per target month."""
+    return W.candidate_summary(window_grid(spark, d))
+
+
+@register("first_index_at_or_after")
+def q_first_index_at_or_after(spark, d):
+    """A10: first time_idx at or after the test start, per station."""
+    return W.first_index_at_or_after(master_dataset(spark, d), "2000-01-01")
+
+
+@register("standardise_by_station")
+def q_standardise_by_station(spark, d):
+    """A4 (group fit): z-scores per station."""
+    m = master_dataset(spark, d).select("station_id", "date", "precipitation", "temperature")
+    return finish(W.standardise(m, ["precipitation", "temperature"], by=["station_id"], suffix="_z"))

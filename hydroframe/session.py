@@ -15,18 +15,34 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# Runtime SQL settings the plans rely on. Constraint propagation is exponential in the number of
+# aliased window/``when`` expressions of a blocked scan (it stalls checkpoint() for minutes), and
+# the optimizer gains nothing from it here.
+RUNTIME_CONF = {
+    "spark.sql.constraintPropagation.enabled": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings (safe on any session, cluster included)."""
+    for key, value in RUNTIME_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "hydroframe") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.driver.memory", os.environ.get("HYDROFRAME_DRIVER_MEMORY", "16g"))
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
-    return spark
+    return configure(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -45,5 +61,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
+    configure(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
