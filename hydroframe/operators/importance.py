@@ -52,10 +52,12 @@ def to_percent(df: DataFrame, keys: list[str], score: str = "score", name: str =
 
 
 def top_in_map(m, k: int = 3):
-    """K8: the k largest entries of a map, as an array of (key, value) structs, descending."""
+    """K8: the k largest entries of a map, as an array of (key, value) structs, descending
+    (ties by key)."""
     entries = F.map_entries(m)
     ordered = F.array_sort(entries, lambda a, b: F.when(a["value"] > b["value"], -1)
-                           .when(a["value"] < b["value"], 1).otherwise(0))
+                           .when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1)
+                           .when(a["key"] > b["key"], 1).otherwise(0))
     return F.slice(ordered, 1, k)
 
 
@@ -70,6 +72,14 @@ def attention_cells(df: DataFrame, study: str = "study", matrix: str = "attentio
     return c.withColumn("value", nan_to_null(F.col("value").cast("double")))
 
 
+def attention_cells_long(df: DataFrame, study: str = "study", sample_col: str = "sample_pos",
+                         row_col: str = "attention_row", max_samples: int | None = 32) -> DataFrame:
+    """K11 + flatten for matrices stored one sample per row (study, sample_pos, ARRAY<DOUBLE>)."""
+    s = df if max_samples is None else df.filter(F.col(sample_col) < max_samples)
+    c = s.select(study, F.col(sample_col).alias("sample_pos"), F.posexplode(row_col).alias("lag", "value"))
+    return c.withColumn("value", nan_to_null(F.col("value").cast("double")))
+
+
 def mean_attention_per_lag(cells: DataFrame, study: str = "study") -> DataFrame:
     """Mean over samples per lag, nulls ignored (ragged rows are simply shorter)."""
     return cells.groupBy(study, "lag").agg(F.avg("value").alias("mean_attention"))
@@ -112,6 +122,16 @@ def encoder_variable_means(df: DataFrame, study: str = "study", col: str = "enco
     return per.groupBy(study, "variable").agg(F.avg(nan_to_null(F.col("v"))).alias("importance"))
 
 
+def encoder_variable_means_long(df: DataFrame, study: str = "study", entry: str = "entry",
+                                map_col: str = "m") -> DataFrame:
+    """A20 for the list form stored one entry per row (study, entry, MAP): names from the first
+    entry, mean over all entries of the study with absent names counted as 0."""
+    names = df.filter(F.col(entry) == 0).select(study, F.explode(F.map_keys(map_col)).alias("variable"))
+    per = df.join(names, study, "inner").select(
+        study, "variable", F.coalesce(F.col(map_col)[F.col("variable")], F.lit(0.0)).alias("v"))
+    return per.groupBy(study, "variable").agg(F.avg(nan_to_null(F.col("v"))).alias("importance"))
+
+
 def top_variable_names(means: DataFrame, k: int = 4) -> DataFrame:
     """K9: sort all (study, variable) by importance, take k, **then** drop duplicate names
     (may leave fewer than k), and put the index variable first when missing."""

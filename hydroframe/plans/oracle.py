@@ -597,3 +597,255 @@ SELECT m.station_id, date, {rnd(['precipitation', 'temperature'])},
        round((temperature - mt) / CASE WHEN stt = 0 THEN 1.0 ELSE stt END, 6) + 0.0 AS temperature_z
 FROM master m JOIN st ON m.station_id = st.station_id
 """
+
+PRED = """
+pr AS (SELECT l.l_returnflag AS "group",
+              CASE WHEN l.l_shipdate < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'test' END AS split,
+              l.l_extendedprice AS y_true, l.l_quantity * p.p_retailprice AS y_pred
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+"""
+
+
+def metrics_select(src: str, keys: str) -> str:
+    return f"""
+mm AS (SELECT {keys}, COUNT(*) AS n, AVG(abs(y_true - y_pred)) AS MAE,
+              sqrt(AVG((y_true - y_pred) * (y_true - y_pred))) AS RMSE,
+              SUM((y_true - y_pred) * (y_true - y_pred)) AS ssr, var_pop(y_true) * COUNT(*) AS sst,
+              covar_pop(y_true, y_pred) AS cv, stddev_pop(y_true) AS sdt, stddev_pop(y_pred) AS sdp,
+              AVG(y_true) AS mt, AVG(y_pred) AS mp,
+              AVG(2.0 * abs(y_pred - y_true) / (abs(y_true) + abs(y_pred) + 1e-8)) * 100.0 AS sMAPE
+       FROM {src} GROUP BY {keys}),
+mk AS (SELECT *, CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END AS nse,
+              CASE WHEN n > 1 THEN (CASE WHEN sdt * sdp = 0 THEN NULL ELSE cv / (sdt * sdp) END) ELSE 0.0 END AS corr_,
+              sdp / (sdt + 1e-8) AS alpha, mp / (mt + 1e-8) AS beta FROM mm)
+SELECT {keys}, {rnd(['MAE', 'RMSE'])}, round(nse, 6) + 0.0 AS R2, round(nse, 6) + 0.0 AS NSE,
+       round(1.0 - sqrt((corr_ - 1) * (corr_ - 1) + (alpha - 1) * (alpha - 1) + (beta - 1) * (beta - 1)), 6) + 0.0 AS KGE,
+       {rnd(['sMAPE'])}
+FROM mk
+"""
+
+
+ORACLE["hydro_metrics"] = f"WITH {PRED}, {metrics_select('pr', '\"group\", split')}"
+
+ORACLE["low_flow_metrics"] = f"""
+WITH {PRED},
+q AS (SELECT "group", quantile_cont(y_true, 0.10) AS q90 FROM pr WHERE split = 'train' GROUP BY 1),
+t AS (SELECT pr.*, q.q90, ln(greatest(y_true, 1e-6)) AS lt, ln(greatest(y_pred, 1e-6)) AS lp
+      FROM pr JOIN q USING ("group") WHERE split = 'test'),
+g AS (SELECT "group", first(q90) AS q90, SUM((lt - lp) * (lt - lp)) AS ssr, var_pop(lt) * COUNT(*) AS sst,
+             sqrt(AVG(CASE WHEN y_true <= q90 THEN (y_true - y_pred) * (y_true - y_pred) END)) AS rmse_dry,
+             COUNT(CASE WHEN y_true <= q90 THEN 1 END) AS n_dry FROM t GROUP BY 1)
+SELECT "group", round(q90, 6) + 0.0 AS Q90_reference,
+       round(CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END, 6) + 0.0 AS LogNSE,
+       round(rmse_dry, 6) + 0.0 AS RMSE_dry, n_dry AS n_dry_samples
+FROM g
+"""
+
+ORACLE["persistence_metrics"] = f"""
+WITH {DAILY_FLOW},
+{fill_cte('filled', 'daily', 'streamflow_m3s', 5, 'forward')},
+pp AS (SELECT station_id, date, streamflow_m3s AS y, row_number() OVER (PARTITION BY station_id ORDER BY date) AS p
+       FROM filled),
+pairs AS (SELECT a.station_id, h.horizon, a.y AS y_true, b.y AS y_pred
+          FROM pp a CROSS JOIN (VALUES (1), (7)) h(horizon)
+          JOIN pp b ON a.station_id = b.station_id AND b.p = a.p - h.horizon
+          WHERE a.y IS NOT NULL AND b.y IS NOT NULL),
+{metrics_select('pairs', 'station_id, horizon')}
+"""
+
+TRIALS = """
+tr AS (SELECT o_orderpriority AS study_name, o_orderkey AS number, o_totalprice AS value,
+              CASE o_orderpriority WHEN '1-URGENT' THEN 'NSE' WHEN '2-HIGH' THEN 'RMSE' WHEN '3-MEDIUM' THEN 'KGE'
+                   WHEN '4-NOT SPECIFIED' THEN 'val_loss' WHEN '5-LOW' THEN 'LogNSE' END AS metric,
+              CASE WHEN o_orderstatus = 'F' THEN 'COMPLETE' WHEN o_orderstatus = 'O' THEN 'RUNNING' ELSE 'FAIL' END AS state
+       FROM orders),
+trc AS (SELECT *, CASE WHEN metric IN ('val_loss', 'RMSE', 'MAE', 'sMAPE') THEN 1.0 ELSE -1.0 END AS sgn
+        FROM tr WHERE state = 'COMPLETE' AND value IS NOT NULL)
+"""
+
+ORACLE["best_so_far"] = f"""
+WITH {TRIALS}
+SELECT study_name, number, round(value, 6) + 0.0 AS value, metric, state,
+       round(MIN(sgn * value) OVER (PARTITION BY study_name ORDER BY number
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * sgn, 6) + 0.0 AS best_so_far
+FROM trc
+"""
+
+ORACLE["best_trial"] = f"""
+WITH {TRIALS},
+r AS (SELECT *, row_number() OVER (PARTITION BY study_name ORDER BY sgn * value, number) AS k,
+             COUNT(*) OVER (PARTITION BY study_name) AS n_complete FROM trc)
+SELECT study_name, metric, number AS best_trial, round(value, 6) + 0.0 AS best_value, n_complete FROM r WHERE k = 1
+"""
+
+ORACLE["guarded_objective"] = f"""
+WITH {TRIALS},
+g AS (SELECT study_name, number, metric, CASE WHEN state = 'COMPLETE' THEN value END AS v FROM tr)
+SELECT study_name, number,
+       round(CASE WHEN v IS NULL OR isnan(v) OR isinf(v)
+                  THEN (CASE WHEN metric IN ('val_loss', 'RMSE', 'MAE', 'sMAPE') THEN CAST('inf' AS DOUBLE) ELSE -1e9 END)
+                  ELSE v END, 6) + 0.0 AS objective
+FROM g
+"""
+
+RESULTS = """
+res AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'lstm' ELSE 'tft' END AS model,
+               CASE WHEN l_linestatus = 'F' THEN 'passado' ELSE 'recente' END AS period,
+               CAST(l_linenumber * 30 AS INTEGER) AS lookback,
+               CAST(CASE WHEN l_tax < 0.02 THEN 1 WHEN l_tax < 0.04 THEN 7 WHEN l_tax < 0.06 THEN 15 ELSE 30 END AS INTEGER) AS horizon,
+               CASE WHEN l_quantity >= 50 THEN 'failed' ELSE 'success' END AS status,
+               1.0 - l_discount * 5.0 AS NSE, 1.0 - l_discount * 4.0 - l_tax AS LogNSE, 1.0 - l_tax * 6.0 AS KGE,
+               l_extendedprice / 1000.0 AS MAE, l_extendedprice / 700.0 AS RMSE, l_quantity / 10.0 AS RMSE_dry,
+               l_extendedprice / 100000.0 AS val_loss
+        FROM lineitem),
+res2 AS (SELECT *, printf('%s_%s_lb%d_h%d', model, period, lookback, horizon) AS study_name FROM res)
+"""
+
+ORACLE["axis_means"] = f"""
+WITH {RESULTS}
+SELECT model, period, horizon, lookback, round(AVG(NSE), 6) + 0.0 AS mean_nse, round(AVG(KGE), 6) + 0.0 AS mean_kge,
+       round(AVG(MAE), 6) + 0.0 AS mean_mae, round(AVG(val_loss), 6) + 0.0 AS mean_val_loss,
+       GROUPING_ID(model, period, horizon, lookback) AS axis_id
+FROM res2 WHERE status = 'success'
+GROUP BY GROUPING SETS ((model, period, horizon), (model, period, lookback))
+"""
+
+ORACLE["status_counts"] = f"""
+WITH {RESULTS}
+SELECT model, period, COUNT(CASE WHEN status = 'success' THEN 1 END) AS n_success,
+       COUNT(CASE WHEN status = 'failed' THEN 1 END) AS n_failed FROM res2 GROUP BY 1, 2
+"""
+
+ORACLE["nse_by_lookback"] = f"""
+WITH {RESULTS}
+SELECT model, period, lookback, horizon, round(NSE, 6) + 0.0 AS nse FROM res2 WHERE status = 'success'
+"""
+
+ORACLE["lognse_boxplot"] = f"""
+WITH {RESULTS},
+nr AS (SELECT lower(trim(model)) AS model, lower(trim(period)) AS period, TRY_CAST(CAST(LogNSE AS VARCHAR) AS DOUBLE) AS v
+       FROM res2),
+f AS (SELECT * FROM nr WHERE model IN ('lstm', 'tft') AND period IN ('passado', 'recente') AND v IS NOT NULL),
+q AS (SELECT period, model, COUNT(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med,
+             quantile_cont(v, 0.75) AS q3 FROM f GROUP BY 1, 2),
+w AS (SELECT f.period, f.model,
+             MIN(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS wl,
+             MAX(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS wh,
+             COUNT(CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
+      FROM f JOIN q USING (period, model) GROUP BY 1, 2)
+SELECT q.period, q.model, q.n, round(q1, 6) + 0.0 AS q1, round(med, 6) + 0.0 AS median, round(q3, 6) + 0.0 AS q3,
+       round(wl, 6) + 0.0 AS whisker_low, round(wh, 6) + 0.0 AS whisker_high, n_outliers
+FROM q JOIN w USING (period, model)
+"""
+
+MS_METRICS = ["NSE", "KGE", "MAE", "RMSE", "LogNSE", "RMSE_dry"]
+ORACLE["mean_std_summary"] = f"""
+WITH {RESULTS}
+SELECT model, horizon, period, COUNT(*) AS n_runs,
+       {', '.join(f'round(AVG({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std' for m in MS_METRICS)}
+FROM res2 WHERE status = 'success' GROUP BY 1, 2, 3
+"""
+
+ORACLE["best_study_per_horizon"] = f"""
+WITH {RESULTS},
+r AS (SELECT horizon, lookback, row_number() OVER (PARTITION BY horizon
+             ORDER BY LogNSE DESC NULLS LAST, NSE DESC NULLS LAST, study_name) AS k
+      FROM res2 WHERE lower(trim(model)) = 'tft' AND lower(trim(period)) = 'passado')
+SELECT horizon, lookback, printf('tft_passado_lb%d_h%d', lookback, horizon) AS study FROM r WHERE k = 1
+"""
+
+PAT = r"^(lstm|tft)_(passado|recente)_lb(\d+)(?:_h(\d+))?$"
+ORACLE["study_names"] = f"""
+WITH {RESULTS},
+s AS (SELECT DISTINCT study_name FROM res2)
+SELECT study_name, regexp_extract(study_name, '{PAT}', 1) AS model, regexp_extract(study_name, '{PAT}', 2) AS period,
+       CAST(regexp_extract(study_name, '{PAT}', 3) AS INTEGER) AS lookback,
+       CAST(CASE WHEN regexp_extract(study_name, '{PAT}', 4) = '' THEN '1'
+                 ELSE regexp_extract(study_name, '{PAT}', 4) END AS INTEGER) AS horizon
+FROM s WHERE regexp_matches(study_name, '{PAT}')
+"""
+
+PAYLOADS = """
+pl AS (SELECT event_id, printf('tft_%s_lb%d_h7', CASE WHEN day(ts) <= 15 THEN 'passado' ELSE 'recente' END,
+                               length(event_type) * 30) AS study,
+              CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(value AS DOUBLE) AS v,
+              CAST(hour(ts) AS DOUBLE) AS hr FROM events),
+plr AS (SELECT event_id, study, study || '_tft_feature_importance.json' AS source, f.feature, f.score
+        FROM pl CROSS JOIN LATERAL (VALUES ('k', k), ('value', v), ('hour', hr)) f(feature, score)),
+imp AS (SELECT regexp_extract(source, '^tft_(passado|recente)_lb\\d+_h\\d+_tft_feature_importance\\.json$', 1) AS period,
+               feature, score, source, event_id, study
+        FROM plr WHERE regexp_matches(source, '^tft_(passado|recente)_lb\\d+_h\\d+_tft_feature_importance\\.json$'))
+"""
+
+PIVOT = f"""
+{PAYLOADS},
+pv AS (SELECT feature, COALESCE(AVG(CASE WHEN period = 'passado' THEN score END), 0.0) AS passado,
+              COALESCE(AVG(CASE WHEN period = 'recente' THEN score END), 0.0) AS recente FROM imp GROUP BY 1),
+pv2 AS (SELECT *, (0.0 + passado + recente) / 2.0 AS overall FROM pv)
+"""
+
+ORACLE["importance_pivot"] = f"WITH {PIVOT} SELECT feature, {rnd(['passado', 'recente', 'overall'])} FROM pv2"
+ORACLE["importance_top_k"] = f"""
+WITH {PIVOT} SELECT feature, {rnd(['passado', 'recente', 'overall'])} FROM pv2 ORDER BY overall DESC, feature LIMIT 3
+"""
+ORACLE["importance_sources"] = f"WITH {PAYLOADS} SELECT period, COUNT(DISTINCT source) AS n_sources FROM imp GROUP BY 1"
+ORACLE["importance_percent"] = f"""
+WITH {PAYLOADS},
+t AS (SELECT event_id, SUM(score) AS tot FROM plr GROUP BY 1)
+SELECT p.event_id, p.feature, round(p.score, 6) + 0.0 AS score,
+       round(CASE WHEN tot > 0 THEN p.score / tot * 100.0 ELSE 0.0 END, 6) + 0.0 AS percent
+FROM plr p JOIN t USING (event_id)
+"""
+ORACLE["importance_top_in_map"] = f"""
+WITH {PAYLOADS},
+r AS (SELECT event_id, feature, score, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, feature) - 1 AS pos
+      FROM plr)
+SELECT event_id, CAST(pos AS INTEGER) AS pos, feature, round(score, 6) + 0.0 AS score FROM r WHERE pos < 2
+"""
+
+ATT = """
+emb AS (SELECT printf('study_%d', label) AS study, vec_id, embedding,
+               row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sample_pos FROM embeddings),
+cells0 AS (SELECT study, sample_pos, unnest(range(len(embedding))) AS lag0, unnest(embedding) AS value0
+           FROM emb WHERE sample_pos < 32),
+cells AS (SELECT study, sample_pos, CAST(lag0 AS INTEGER) AS lag, CAST(value0 AS DOUBLE) AS value FROM cells0),
+mal AS (SELECT study, lag, AVG(CASE WHEN isnan(value) THEN NULL ELSE value END) AS mean_attention FROM cells GROUP BY 1, 2)
+"""
+ORACLE["attention_per_lag"] = f"WITH {ATT} SELECT study, lag, {rnd(['mean_attention'])} FROM mal"
+
+ORACLE["attention_smoothed"] = f"""
+WITH {ATT},
+nn AS (SELECT study, MAX(lag) + 1 AS n FROM mal GROUP BY 1),
+b0 AS (SELECT m.study, m.lag, m.mean_attention, greatest(1, CAST(floor(nn.n / 120) AS INTEGER)) AS bs, nn.n
+       FROM mal m JOIN nn USING (study)),
+bins AS (SELECT study, CAST(floor(lag / bs) AS INTEGER) AS bin, AVG(mean_attention) AS binned, first(bs) AS bs,
+                first(n) AS n FROM b0 GROUP BY 1, 2),
+bk AS (SELECT *, greatest(1.0, bs / 2.0) AS sigma, CAST(floor(greatest(1.0, bs / 2.0) * 3) AS INTEGER) AS r,
+              CAST(ceil(n / bs) AS INTEGER) AS nb FROM bins),
+nrm AS (SELECT study, bin, SUM(exp(-(m * m) / (2 * sigma * sigma))) AS norm
+        FROM bk, LATERAL (SELECT unnest(generate_series(-r, r)) AS m) GROUP BY 1, 2),
+sm AS (SELECT a.study, a.bin, SUM(exp(-((b.bin - a.bin) * (b.bin - a.bin)) / (2 * b.sigma * b.sigma)) / nb2.norm
+                                  * COALESCE(b.binned, 0.0)) AS smoothed
+       FROM bk a JOIN bk b ON a.study = b.study AND abs(b.bin - a.bin) <= b.r
+       JOIN nrm nb2 ON nb2.study = b.study AND nb2.bin = b.bin
+       WHERE a.bin < a.nb GROUP BY 1, 2)
+SELECT bk.study, bk.bin, round(bk.binned, 6) + 0.0 AS binned, round(sm.smoothed, 6) + 0.0 AS smoothed
+FROM bk JOIN sm USING (study, bin)
+"""
+
+ENC = f"""
+{PAYLOADS},
+ent AS (SELECT study, event_id, row_number() OVER (PARTITION BY study ORDER BY event_id) - 1 AS entry FROM pl),
+names AS (SELECT DISTINCT p.study, p.feature AS variable FROM plr p JOIN ent e ON p.event_id = e.event_id WHERE e.entry = 0),
+evm AS (SELECT n.study, n.variable, AVG(CASE WHEN isnan(COALESCE(p.score, 0.0)) THEN NULL ELSE COALESCE(p.score, 0.0) END) AS importance
+        FROM names n JOIN ent e ON e.study = n.study
+        LEFT JOIN plr p ON p.event_id = e.event_id AND p.feature = n.variable GROUP BY 1, 2)
+"""
+ORACLE["encoder_variable_means"] = f"WITH {ENC} SELECT study, variable, {rnd(['importance'])} FROM evm"
+ORACLE["top_variable_names"] = f"""
+WITH {ENC},
+top AS (SELECT variable, row_number() OVER (ORDER BY importance DESC, study, variable) AS o FROM evm
+        ORDER BY importance DESC, study, variable LIMIT 4),
+nm AS (SELECT variable, CAST(MIN(o) AS INTEGER) AS position FROM top GROUP BY 1)
+SELECT * FROM nm UNION ALL SELECT 'oni', 0 WHERE NOT EXISTS (SELECT 1 FROM nm WHERE variable = 'oni')
+"""

@@ -336,3 +336,190 @@ def q_standardise_by_station(spark, d):
     """A4 (group fit): z-scores per station."""
     m = master_dataset(spark, d).select("station_id", "date", "precipitation", "temperature")
     return finish(W.standardise(m, ["precipitation", "temperature"], by=["station_id"], suffix="_z"))
+
+
+# ---- metrics ----------------------------------------------------------------------------
+
+from hydroframe.operators import metrics as M  # noqa: E402
+
+
+@register("hydro_metrics")
+def q_hydro_metrics(spark, d):
+    """A5: MAE, RMSE, R2/NSE, KGE, sMAPE per group and split of the prediction stand-in."""
+    return finish(M.hydro_metrics(B.predictions(spark, d), ["group", "split"]))
+
+
+@register("low_flow_metrics")
+def q_low_flow_metrics(spark, d):
+    """A7 (10 % quantile of the train rows per group) + A6 on the test rows."""
+    p = B.predictions(spark, d)
+    q90 = M.low_flow_reference(p.filter(F.col("split") == "train"), ["group"], "y_true", 0.10)
+    test = p.filter(F.col("split") == "test").join(q90, "group", "inner")
+    return finish(M.low_flow_metrics(test, ["group"]))
+
+
+@register("persistence_metrics")
+def q_persistence_metrics(spark, d):
+    """M2 + J10 + A5: persistence forecast (H = 1 and 7 rows) on the gap-filled daily flow,
+    scored per station where both values exist."""
+    daily = cut_lineage(filled_flow(spark, d, 5, "forward"))
+    parts = []
+    for h in (1, 7):
+        p = M.persistence_forecast(daily, h).filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+        parts.append(M.hydro_metrics(p.withColumn("horizon", F.lit(h)), ["station_id", "horizon"]))
+    return finish(parts[0].unionByName(parts[1]))
+
+
+# ---- experiments ------------------------------------------------------------------------
+
+from hydroframe.operators import experiments as X  # noqa: E402
+from hydroframe.functions.scalar import parse_study_name  # noqa: E402
+
+
+@register("best_so_far")
+def q_best_so_far(spark, d):
+    """Running best per study over complete trials, by the metric's direction."""
+    return finish(X.best_so_far(B.trials(spark, d)))
+
+
+@register("best_trial")
+def q_best_trial(spark, d):
+    """K6 + P17: best complete trial per study, earliest on ties."""
+    return finish(X.best_trial(B.trials(spark, d)))
+
+
+@register("guarded_objective")
+def q_guarded_objective(spark, d):
+    """P16 + P17: non-finite objectives replaced by the direction's worst value."""
+    t = B.trials(spark, d)
+    v = F.when(F.col("state") == "COMPLETE", F.col("value"))
+    return finish(t.select("study_name", "number", X.guard_non_finite(v, X.is_minimised(F.col("metric")))
+                           .alias("objective")))
+
+
+@register("axis_means")
+def q_axis_means(spark, d):
+    """Grouping sets (model, period, horizon) and (model, period, lookback)."""
+    r = B.experiment_results(spark, d).withColumnsRenamed({"NSE": "nse", "KGE": "kge", "MAE": "mae"})
+    return finish(X.mean_by_axis(r))
+
+
+@register("status_counts")
+def q_status_counts(spark, d):
+    """A14."""
+    return X.status_counts(B.experiment_results(spark, d))
+
+
+@register("nse_by_lookback")
+def q_nse_by_lookback(spark, d):
+    """Successful runs' NSE series by lookback."""
+    r = B.experiment_results(spark, d).withColumnRenamed("NSE", "nse")
+    return finish(X.nse_by_lookback(r))
+
+
+@register("lognse_boxplot")
+def q_lognse_boxplot(spark, d):
+    """P18 + A15: normalised result rows → box statistics per period × model."""
+    return finish(X.boxplot_stats(X.normalise_results(B.experiment_results(spark, d))))
+
+
+@register("mean_std_summary")
+def q_mean_std_summary(spark, d):
+    """Mean ± sample std by model × horizon × period (successful runs)."""
+    r = B.experiment_results(spark, d).filter(F.col("status") == "success")
+    return finish(X.mean_std_summary(r))
+
+
+@register("best_study_per_horizon")
+def q_best_study_per_horizon(spark, d):
+    """K5: best TFT study per horizon for the past period."""
+    return X.best_study_per_horizon(B.experiment_results(spark, d), "passado")
+
+
+@register("study_names")
+def q_study_names(spark, d):
+    """F7 + F8: study names built and parsed back."""
+    r = B.experiment_results(spark, d).select("study_name").distinct()
+    return r.select("study_name", parse_study_name("study_name").alias("p")).select("study_name", "p.*")
+
+
+# ---- importance and attention -----------------------------------------------------------
+
+from hydroframe.operators import importance as I  # noqa: E402
+
+
+def importance_rows(spark, d):
+    return I.importance_rows(B.importance_payloads(spark, d))
+
+
+@register("importance_pivot")
+def q_importance_pivot(spark, d):
+    """S8 + A16 + U2."""
+    return finish(I.mean_importance_pivot(importance_rows(spark, d)))
+
+
+@register("importance_top_k")
+def q_importance_top_k(spark, d):
+    """K7: top 3 features overall."""
+    return finish(I.top_k_features(I.mean_importance_pivot(importance_rows(spark, d)), 3))
+
+
+@register("importance_sources")
+def q_importance_sources(spark, d):
+    """A17."""
+    return I.distinct_sources(importance_rows(spark, d))
+
+
+@register("importance_percent")
+def q_importance_percent(spark, d):
+    """Per payload, each feature's share of the payload's total in percent."""
+    p = B.importance_payloads(spark, d).select("event_id", F.explode("feature_importance").alias("feature", "score"))
+    return finish(I.to_percent(p, ["event_id"]))
+
+
+@register("importance_top_in_map")
+def q_importance_top_in_map(spark, d):
+    """K8: the two largest entries of each payload's map."""
+    p = B.importance_payloads(spark, d)
+    t = p.select("event_id", F.posexplode(I.top_in_map(F.col("feature_importance"), 2)).alias("pos", "e"))
+    return finish(t.select("event_id", "pos", F.col("e.key").alias("feature"), F.col("e.value").alias("score")))
+
+
+def attention(spark, d):
+    """Sample position per study by vec_id (blocked scan), then the first 32 samples."""
+    from hydroframe.operators.scan import blocked_scan
+    a = B.attention_rows(spark, d)
+    a = blocked_scan(a, ["study"], "vec_id", pos="sample_pos", block=F.floor(F.col("vec_id") / 4096))
+    return I.attention_cells_long(a, "study", "sample_pos", "attention_row", 32)
+
+
+@register("attention_per_lag")
+def q_attention_per_lag(spark, d):
+    """Mean attention per lag over the first 32 samples of each study."""
+    return finish(I.mean_attention_per_lag(attention(spark, d)))
+
+
+@register("attention_smoothed")
+def q_attention_smoothed(spark, d):
+    """Lag binning and Gaussian smoothing of the mean attention."""
+    return finish(I.smooth_lags(I.mean_attention_per_lag(attention(spark, d))))
+
+
+def encoder_entries(spark, d):
+    """List-form encoder importances: one entry (map) per payload of a study, entry position by
+    event id (blocked scan)."""
+    from hydroframe.operators.scan import blocked_scan
+    p = B.importance_payloads(spark, d).select("study", "event_id", F.col("feature_importance").alias("m"))
+    return blocked_scan(p, ["study"], "event_id", pos="entry", block=F.floor(F.col("event_id") / 4096))
+
+
+@register("encoder_variable_means")
+def q_encoder_variable_means(spark, d):
+    """Mean importance over entries per study and variable (absent → 0)."""
+    return finish(I.encoder_variable_means_long(encoder_entries(spark, d)))
+
+
+@register("top_variable_names")
+def q_top_variable_names(spark, d):
+    """K9: top 4 (study, variable) pairs → unique names, index variable forced in."""
+    return I.top_variable_names(I.encoder_variable_means_long(encoder_entries(spark, d)), 4)
