@@ -41,11 +41,19 @@ def register(name: str):
     return deco
 
 
+def round_like_sql(c, digits: int = 6):
+    """Round as the SQL engine does for doubles: ``round(x·10^d) / 10^d`` with half away from zero
+    on the binary product (Spark's ``round`` on the product equals that for |x·10^d| < 2^52);
+    infinities and NaN pass through; ``+ 0.0`` folds -0.0 into 0.0."""
+    m = float(10 ** digits)
+    r = F.round(c * F.lit(m), 0) / F.lit(m)
+    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(r) + F.lit(0.0)
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (presentation step for the oracle comparison)."""
-    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
-                       if isinstance(f.dataType, T.DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[round_like_sql(F.col(f.name), digits).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
 # ---- flagship ---------------------------------------------------------------------------
@@ -523,3 +531,18 @@ def q_encoder_variable_means(spark, d):
 def q_top_variable_names(spark, d):
     """K9: top 4 (study, variable) pairs → unique names, index variable forced in."""
     return I.top_variable_names(I.encoder_variable_means_long(encoder_entries(spark, d)), 4)
+
+
+# ---- forecasting (rows-only: model fits have no SQL oracle) -----------------------------
+
+from hydroframe.operators import forecast as FC  # noqa: E402
+
+
+@register("forecast_lag_regression")
+def q_forecast_lag_regression(spark, d):
+    """M1: MLlib linear regression on the L=30, H=7 windows of all stations, fitted on the train
+    windows of the chronological split; A5/A6 per station and split."""
+    w = cut_lineage(sequence_windows(spark, d))
+    _, pred = FC.fit_lag_regression(w, ["target_log", *WINDOW_FEATURES], train_start="1995-01-01",
+                                    train_end="1999-12-31", test_start="2000-01-01", test_end="2001-08-01")
+    return finish(FC.score(pred))
