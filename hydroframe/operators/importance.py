@@ -141,7 +141,8 @@ def top_variable_names(means: DataFrame, k: int = 4) -> DataFrame:
     names = top.groupBy("variable").agg(F.min("_o").alias("position"))
     index_row = means.sparkSession.range(1).select(F.lit(INDEX_VARIABLE).alias("variable"),
                                                    F.lit(0).alias("position"))
-    return names.unionByName(index_row.join(names, "variable", "left_anti"))
+    # the index row only survives when the name is absent (a present name keeps its position ≥ 1)
+    return names.unionByName(index_row).groupBy("variable").agg(F.max("position").alias("position"))
 
 
 def rescale_series(df: DataFrame, keys: list[str], col: str, name: str = "scaled") -> DataFrame:

@@ -256,42 +256,54 @@ def fill_short_gaps(df: DataFrame, columns: list[str] | None = None, limit: int
 
 # ---- A3, A22 -----------------------------------------------------------------------------
 
-def fit_min_max(df: DataFrame, columns: list[str] | None = None,
-                fit_periods=("Passado", "Recente")) -> DataFrame:
-    """A3 fit: long metadata (station_id, column, min, max) over the fit periods, nulls skipped;
-    columns with no fit value are absent."""
-    columns = numeric_columns(df) if columns is None else columns
+def _fit_wide(df: DataFrame, columns: list[str], fit_periods) -> DataFrame:
     fit = F.col("period").isin(list(fit_periods))
     aggs = []
     for c in columns:
         aggs += [F.min(F.when(fit, F.col(c))).cast("double").alias(f"{c}__min"),
                  F.max(F.when(fit, F.col(c))).cast("double").alias(f"{c}__max")]
-    wide = df.groupBy(KEY).agg(*aggs)
+    return df.groupBy(KEY).agg(*aggs)
+
+
+def fit_min_max(df: DataFrame, columns: list[str] | None = None,
+                fit_periods=("Passado", "Recente")) -> DataFrame:
+    """A3 fit: long metadata (station_id, column, min, max) over the fit periods, nulls skipped;
+    columns with no fit value are absent."""
+    columns = numeric_columns(df) if columns is None else columns
+    wide = _fit_wide(df, columns, fit_periods)
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"),
                                          F.col(f"{c}__max").alias("max")) for c in columns]))
     return wide.select(KEY, stack.alias("s")).select(KEY, "s.*").filter(F.col("min").isNotNull())
 
 
-def apply_min_max(df: DataFrame, meta: DataFrame, columns: list[str]) -> DataFrame:
-    """A3 apply: ``(x-min)/(max-min)``; ``isclose(min,max)`` → 0.0 (null stays null); no fit → unchanged."""
-    wide = meta.groupBy(KEY).pivot("column", columns).agg(F.first(F.struct("min", "max")))
-    wide = wide.select(KEY, *[F.col(c).alias(f"{c}__mm") for c in columns])
+def _apply_wide(df: DataFrame, wide: DataFrame, columns: list[str]) -> DataFrame:
     d = df.join(wide, KEY, "left")
     out = {}
     for c in columns:
-        lo, hi = F.col(f"{c}__mm.min"), F.col(f"{c}__mm.max")
+        lo, hi = F.col(f"{c}__min"), F.col(f"{c}__max")
         x = F.col(c)
         out[c] = (F.when(lo.isNull(), x.cast("double"))
                    .when(is_close(lo, hi), F.when(x.isNotNull(), F.lit(0.0)))
                    .otherwise((x - lo) / (hi - lo)))
-    return d.withColumns(out).drop(*[f"{c}__mm" for c in columns])
+    return d.withColumns(out).drop(*[f"{c}__{s}" for c in columns for s in ("min", "max")])
+
+
+def apply_min_max(df: DataFrame, meta: DataFrame, columns: list[str]) -> DataFrame:
+    """A3 apply from the long metadata: ``(x-min)/(max-min)``; ``isclose(min,max)`` → 0.0 (null
+    stays null); no fit value → unchanged."""
+    aggs = []
+    for c in columns:
+        sel = F.col("column") == c
+        aggs += [F.max(F.when(sel, F.col("min"))).alias(f"{c}__min"), F.max(F.when(sel, F.col("max"))).alias(f"{c}__max")]
+    return _apply_wide(df, meta.groupBy(KEY).agg(*aggs), columns)
 
 
 def min_max_scale(df: DataFrame, columns: list[str] | None = None, fit_periods=("Passado", "Recente")):
-    """A3: returns (scaled frame, metadata frame)."""
+    """A3: returns (scaled frame, long metadata frame); the scale itself uses the one-row-per-station
+    fit directly (one aggregate, one join)."""
     columns = numeric_columns(df) if columns is None else columns
-    meta = fit_min_max(df, columns, fit_periods)
-    return apply_min_max(df, meta, columns), meta
+    wide = _fit_wide(df, columns, fit_periods)
+    return _apply_wide(df, wide, columns), fit_min_max(df, columns, fit_periods)
 
 
 def period_counts(df: DataFrame) -> DataFrame:
