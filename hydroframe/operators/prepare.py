@@ -179,6 +179,20 @@ def monthly_index_long(wide: DataFrame, value_name: str = "oni", sentinel: float
                         mask_sentinel(F.col(value_name).cast("double"), sentinel).alias(value_name)))
 
 
+def monthly_lags(monthly: DataFrame, value: str = "oni", lags=(-3, -2, -1, 1, 2, 3)) -> DataFrame:
+    """Documented extra: the monthly index shifted by ±k months (``<value>_lag<k>``, negative k =
+    months ahead). Month index = 12·year + month; each shift is an equi-join on the shifted index
+    of the (12 rows per year) monthly table, not a window over one partition."""
+    idx = F.col("year") * 12 + F.col("month") - 1
+    base = monthly.select("year", "month", value, idx.alias("_i"))
+    out = base
+    for k in lags:
+        name = f"{value}_lag{k}" if k > 0 else f"{value}_lead{-k}"
+        shifted = base.select((F.col("_i") + k).alias("_i"), F.col(value).alias(name))
+        out = out.join(F.broadcast(shifted), "_i", "left")
+    return out.drop("_i")
+
+
 def attach_monthly(df: DataFrame, monthly: DataFrame, date_col: str = "date") -> DataFrame:
     """Daily × monthly left join on (year, month); the monthly table is tiny
     (12 rows per year, bounded by the calendar), so it is broadcast."""

@@ -46,29 +46,32 @@ def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None
     run_a = wa.rowsBetween(_UNB, 0)
     run_d = Window.partitionBy(*keys, BLOCK).orderBy(F.col(order_col).desc()).rowsBetween(_UNB, 0)
     d = d.withColumn("_rn", F.row_number().over(wa) - 1)
-    kp = {c: F.when(F.col(c).isNotNull(), F.col("_rn")) for c in fill_cols}
+    # a known value and its in-block position travel together as one struct (null when unknown)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("p"), F.col(c).alias("v")))
+             for c in fill_cols}
     sel = [F.sum(cond.cast("long")).over(run_a).alias(f"_{n}_in") for n, cond in flags.items()]
     for c in fill_cols:
-        sel += [F.last(c, True).over(run_a).alias(f"{c}__pv_in"), F.last(kp[c], True).over(run_a).alias(f"{c}__pp_in"),
-                F.last(c, True).over(run_d).alias(f"{c}__nv_in"), F.last(kp[c], True).over(run_d).alias(f"{c}__np_in")]
+        sel += [F.last(known[c], True).over(run_a).alias(f"{c}__p_in"),
+                F.last(known[c], True).over(run_d).alias(f"{c}__n_in")]
     d = d.select("*", *sel)
 
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(cond.cast("long")).alias(f"_{n}_n") for n, cond in flags.items()]
     for c in fill_cols:
-        aggs += [F.max_by(F.col(c), kp[c]).alias(f"{c}__lv"), F.max(kp[c]).alias(f"{c}__lp"),
-                 F.min_by(F.col(c), kp[c]).alias(f"{c}__fv"), F.min(kp[c]).alias(f"{c}__fp")]
+        aggs += [F.max(known[c]).alias(f"{c}__last"), F.min(known[c]).alias(f"{c}__first")]
     summary = d.groupBy(*keys, BLOCK).agg(*aggs)
     before = Window.partitionBy(*keys).orderBy(F.col(BLOCK).asc()).rowsBetween(_UNB, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(_UNB, -1)
     summary = summary.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    def shifted(col):  # the block's edge value with its global position
+        return F.when(F.col(col).isNotNull(), F.struct((F.col("_off") + F.col(col)["p"]).alias("p"),
+                                                       F.col(col)["v"].alias("v")))
     carry = [F.col("_off")]
     carry += [F.coalesce(F.sum(f"_{n}_n").over(before), F.lit(0)).alias(f"_{n}_off") for n in flags]
     for c in fill_cols:
-        carry += [F.last(f"{c}__lv", True).over(before).alias(f"{c}__pv_c"),
-                  F.last(F.col("_off") + F.col(f"{c}__lp"), True).over(before).alias(f"{c}__pp_c"),
-                  F.last(f"{c}__fv", True).over(after).alias(f"{c}__nv_c"),
-                  F.last(F.col("_off") + F.col(f"{c}__fp"), True).over(after).alias(f"{c}__np_c")]
+        carry += [F.last(shifted(f"{c}__last"), True).over(before).alias(f"{c}__p_c"),
+                  F.last(shifted(f"{c}__first"), True).over(after).alias(f"{c}__n_c")]
     carry_df = summary.select(*keys, BLOCK, *carry)
     j = d.join(carry_df, [*keys, BLOCK], "inner")
 
@@ -78,11 +81,12 @@ def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None
         out.append((off + F.col("_rn")).cast("long").alias(pos))
     out += [(F.col(f"_{n}_off") + F.col(f"_{n}_in")).cast("long").alias(n) for n in flags]
     for c in fill_cols:
-        hp, hn = F.col(f"{c}__pp_in").isNotNull(), F.col(f"{c}__np_in").isNotNull()
-        out += [F.when(hp, F.col(f"{c}__pv_in")).otherwise(F.col(f"{c}__pv_c")).alias(f"{c}__pv"),
-                F.when(hp, off + F.col(f"{c}__pp_in")).otherwise(F.col(f"{c}__pp_c")).alias(f"{c}__pp"),
-                F.when(hn, F.col(f"{c}__nv_in")).otherwise(F.col(f"{c}__nv_c")).alias(f"{c}__nv"),
-                F.when(hn, off + F.col(f"{c}__np_in")).otherwise(F.col(f"{c}__np_c")).alias(f"{c}__np")]
+        pin, nin, pc, nc = (F.col(f"{c}__{k}") for k in ("p_in", "n_in", "p_c", "n_c"))
+        hp, hn = pin.isNotNull(), nin.isNotNull()
+        out += [F.when(hp, pin["v"]).otherwise(pc["v"]).alias(f"{c}__pv"),
+                F.when(hp, off + pin["p"]).otherwise(pc["p"]).alias(f"{c}__pp"),
+                F.when(hn, nin["v"]).otherwise(nc["v"]).alias(f"{c}__nv"),
+                F.when(hn, off + nin["p"]).otherwise(nc["p"]).alias(f"{c}__np")]
     return j.select(*df.columns, *out)
 
 

@@ -158,7 +158,7 @@ cells AS (SELECT y.year, CAST(g.month AS INTEGER) AS month, mi.v
           FROM yrs y CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS month) g
           LEFT JOIN mi ON mi.year = y.year AND mi.month = g.month),
 oni AS (SELECT year, month,
-               CASE WHEN (CASE WHEN year = (SELECT MIN(year) FROM mi) AND month = 1 THEN -99.9 ELSE v END) > -99.0
+               CASE WHEN (CASE WHEN year = (SELECT MIN(year) FROM mi WHERE month = 1) AND month = 1 THEN -99.9 ELSE v END) > -99.0
                     THEN v END AS oni
         FROM cells WHERE year BETWEEN 1900 AND 2100),
 sa AS (SELECT CAST(n.n_nationkey AS VARCHAR) AS station_id, CAST(n.n_regionkey AS DOUBLE) AS static_region_key,
@@ -849,3 +849,13 @@ top AS (SELECT variable, row_number() OVER (ORDER BY importance DESC, study, var
 nm AS (SELECT variable, CAST(MIN(o) AS INTEGER) AS position FROM top GROUP BY 1)
 SELECT * FROM nm UNION ALL SELECT 'oni', 0 WHERE NOT EXISTS (SELECT 1 FROM nm WHERE variable = 'oni')
 """
+
+ORACLE["monthly_index_lags"] = f"""
+WITH {PREP_CTES},
+oi AS (SELECT year, month, oni, year * 12 + month - 1 AS i FROM oni)
+SELECT a.year, a.month, round(a.oni, 6) + 0.0 AS oni,
+       {', '.join(f"round(s{j}.oni, 6) + 0.0 AS {'oni_lag' + str(k) if k > 0 else 'oni_lead' + str(-k)}"
+                  for j, k in enumerate((-3, -2, -1, 1, 2, 3)))}
+FROM oi a
+{' '.join(f'LEFT JOIN oi s{j} ON s{j}.i + ({k}) = a.i' for j, k in enumerate((-3, -2, -1, 1, 2, 3)))}
+"""

@@ -546,3 +546,9 @@ def q_forecast_lag_regression(spark, d):
     _, pred = FC.fit_lag_regression(w, ["target_log", *WINDOW_FEATURES], train_start="1995-01-01",
                                     train_end="1999-12-31", test_start="2000-01-01", test_end="2001-08-01")
     return finish(FC.score(pred))
+
+
+@register("monthly_index_lags")
+def q_monthly_index_lags(spark, d):
+    """Documented extra: monthly index with ±1..3 month shifts."""
+    return finish(P.monthly_lags(monthly_index(spark, d)))
