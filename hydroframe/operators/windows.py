@@ -227,3 +227,56 @@ def candidate_summary(grid: DataFrame) -> DataFrame:
 
 def label_periods(df: DataFrame, periods, date_col: str = "date") -> DataFrame:
     return df.withColumn("period", period_label(F.col(date_col), periods))
+
+
+def tft_datasets(df: DataFrame, lookback: int, horizon: int, encoder_fields: list[str], target: str,
+                 train_start: str, train_end: str, test_start: str, test_end: str | None = None,
+                 val_fraction: float = 0.15, date_col: str = "date", index_col: str = "time_idx") -> DataFrame:
+    """W8 + W9 (encoder/decoder form): label each encoder/decoder window ``train``, ``val`` or
+    ``test`` as the multi-step builder does, per station:
+
+    - train pool = rows dated in [train_start, train_end]; split row = ``round((1-f)·n)`` on
+      **rows** (half-even, at least 1, at most n-1); ``val_start_idx`` = index of that row; a
+      station with fewer than L+2 pool rows gets ``split_error``;
+    - train windows lie wholly inside the pool rows before the split row;
+    - validation windows end on or before ``train_end`` and predict from ``val_start_idx`` on
+      (earlier rows may feed the encoder);
+    - test windows end on or before ``test_end`` and predict from the first index at or after
+      ``test_start`` (A10) on.
+
+    Adds the per-station target centre and scale (mean, sample std of the target over the train
+    rows; group normalisation), the encoder length and each step's relative index
+    (``(idx - first decoder idx) / L``).
+    """
+    d = F.col(date_col)
+    in_pool = d.between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date"))
+    s = blocked_scan(df.select(KEY, date_col, index_col, target), [KEY], date_col, pos=None,
+                     flags={"_prank": in_pool})
+    n_pool = df.groupBy(KEY).agg(F.count_if(in_pool).alias("n_pool"))
+    s = s.join(n_pool, KEY, "inner")
+    split_row = F.least(F.greatest(F.bround((1.0 - val_fraction) * F.col("n_pool"), 0).cast("long"), F.lit(1)),
+                        F.col("n_pool") - 1)
+    test_ok = d >= F.lit(test_start).cast("date")
+    st = s.groupBy(KEY).agg(
+        F.first("n_pool").alias("n_pool"),
+        F.max(F.when(in_pool & (F.col("_prank") == split_row + 1), F.col(index_col))).alias("val_start_idx"),
+        F.min(F.when(test_ok, F.col(index_col))).alias("test_start_idx"),
+        F.avg(F.when(in_pool & (F.col("_prank") <= split_row), F.col(target))).alias("target_center"),
+        F.stddev_samp(F.when(in_pool & (F.col("_prank") <= split_row), F.col(target))).alias("target_scale"))
+    end = test_end if test_end is not None else None
+    base = df if end is None else df.filter(d <= F.lit(end).cast("date"))
+    w = encoder_decoder_windows(base, lookback, horizon, encoder_fields, target, date_col, index_col)
+    w = w.join(st, KEY, "inner")
+    enc_first_date = F.col("encoder")[0]["date"]
+    dec_last = F.col("decoder")[horizon - 1]
+    first_dec = F.col("decoder_start_idx")
+    is_train = ((enc_first_date >= F.lit(train_start).cast("date")) & (dec_last["idx"] < F.col("val_start_idx"))
+                & (dec_last["date"] <= F.lit(train_end).cast("date")))
+    is_val = (dec_last["date"] <= F.lit(train_end).cast("date")) & (first_dec >= F.col("val_start_idx"))
+    is_test = first_dec >= F.col("test_start_idx")
+    label = F.when(is_train, F.lit("train")).when(is_val, F.lit("val")).when(is_test, F.lit("test"))
+    rel = F.transform("encoder", lambda e: (e["idx"] - first_dec) / F.lit(float(lookback)))
+    err = F.when(F.col("n_pool") < lookback + 2, F.lit("training window too short for the lookback"))
+    return (w.withColumn("dataset", label).filter(F.col("dataset").isNotNull())
+             .withColumn("encoder_length", F.size("encoder")).withColumn("relative_idx", rel)
+             .withColumn("split_error", err))

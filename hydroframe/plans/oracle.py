@@ -859,3 +859,37 @@ SELECT a.year, a.month, round(a.oni, 6) + 0.0 AS oni,
 FROM oi a
 {' '.join(f'LEFT JOIN oi s{j} ON s{j}.i + ({k}) = a.i' for j, k in enumerate((-3, -2, -1, 1, 2, 3)))}
 """
+
+ORACLE["tft_dataset_split"] = f"""
+WITH {MASTER_CTES},
+mr AS (SELECT *, date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_pool,
+              SUM(CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' THEN 1 ELSE 0 END)
+                OVER (PARTITION BY station_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prank,
+              SUM(CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' THEN 1 ELSE 0 END)
+                OVER (PARTITION BY station_id) AS n_pool
+       FROM master),
+mr2 AS (SELECT *, least(greatest(CAST(round_even((1.0 - 0.15) * n_pool, 0) AS BIGINT), 1), n_pool - 1) AS split_row FROM mr),
+st AS (SELECT station_id, MAX(CASE WHEN in_pool AND prank = split_row + 1 THEN time_idx END) AS val_start_idx,
+              MIN(CASE WHEN date >= DATE '2000-01-01' THEN time_idx END) AS test_start_idx,
+              AVG(CASE WHEN in_pool AND prank <= split_row THEN streamflow_m3s END) AS target_center,
+              stddev_samp(CASE WHEN in_pool AND prank <= split_row THEN streamflow_m3s END) AS target_scale
+       FROM mr2 GROUP BY 1),
+base AS (SELECT * FROM master WHERE date <= DATE '2001-08-01'),
+ed AS (SELECT station_id, COUNT(*) OVER e AS n_enc, COUNT(*) OVER dcd AS n_dec,
+              first_value(date) OVER e AS enc_first_date, lead(time_idx, 1) OVER o AS decoder_start_idx,
+              lead(date, 7) OVER o AS dec_last_date, lead(time_idx, 7) OVER o AS dec_last_idx
+       FROM base WINDOW o AS (PARTITION BY station_id ORDER BY date),
+              e AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+              dcd AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)),
+lab AS (SELECT ed.*, st.val_start_idx, st.test_start_idx, st.target_center, st.target_scale,
+               CASE WHEN enc_first_date >= DATE '1995-01-01' AND dec_last_idx < val_start_idx
+                         AND dec_last_date <= DATE '1999-12-31' THEN 'train'
+                    WHEN dec_last_date <= DATE '1999-12-31' AND decoder_start_idx >= val_start_idx THEN 'val'
+                    WHEN decoder_start_idx >= test_start_idx THEN 'test' END AS dataset
+        FROM ed JOIN st USING (station_id) WHERE n_enc = 30 AND n_dec = 7)
+SELECT station_id, dataset, val_start_idx, test_start_idx, round(target_center, 6) + 0.0 AS target_center,
+       round(target_scale, 6) + 0.0 AS target_scale, 30 AS encoder_length, COUNT(*) AS n_windows,
+       MIN(decoder_start_idx) AS first_decoder_idx, MAX(decoder_start_idx) AS last_decoder_idx
+FROM lab WHERE dataset IS NOT NULL
+GROUP BY station_id, dataset, val_start_idx, test_start_idx, target_center, target_scale
+"""

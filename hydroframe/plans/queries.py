@@ -552,3 +552,16 @@ def q_forecast_lag_regression(spark, d):
 def q_monthly_index_lags(spark, d):
     """Documented extra: monthly index with ±1..3 month shifts."""
     return finish(P.monthly_lags(monthly_index(spark, d)))
+
+
+@register("tft_dataset_split")
+def q_tft_dataset_split(spark, d):
+    """W8 + W9 (multi-step builder): windows per station and dataset, with the group target
+    normalisation and the split indexes."""
+    m = cut_lineage(master_dataset(spark, d))
+    w = W.tft_datasets(m, LOOKBACK, HORIZON, ["precipitation"], "streamflow_m3s", "1995-01-01", "1999-12-31",
+                       "2000-01-01", "2001-08-01", 0.15)
+    return finish(w.groupBy("station_id", "dataset", "val_start_idx", "test_start_idx", "target_center",
+                            "target_scale", "encoder_length").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("decoder_start_idx").alias("first_decoder_idx"),
+        F.max("decoder_start_idx").alias("last_decoder_idx")))
