@@ -126,10 +126,13 @@ def status_counts(results: DataFrame, keys=("model", "period")) -> DataFrame:
                                       F.count_if(F.col("status") == "failed").alias("n_failed"))
 
 
-def boxplot_stats(df: DataFrame, value: str = "LogNSE", keys=("period", "model")) -> DataFrame:
+def boxplot_stats(df: DataFrame, value: str = "LogNSE", keys=("period", "model"), exact: bool = True) -> DataFrame:
     """Quartiles (linear), 1.5·IQR whiskers (most extreme values inside the fences),
-    outlier count and group size, per period × model."""
-    q = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"), F.count(value).alias("n"))
+    outlier count and group size, per period × model. A group may hold a large share of all
+    rows: ``exact=False`` switches to ``percentile_approx`` (bounded memory per group)."""
+    qs = [0.25, 0.5, 0.75]
+    pct = F.percentile(value, qs) if exact else F.percentile_approx(value, qs, 100000)
+    q = df.groupBy(*keys).agg(pct.alias("_q"), F.count(value).alias("n"))
     q = q.select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     j = df.select(*keys, value).join(q, list(keys), "inner")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
