@@ -316,3 +316,20 @@ def event_windows(events: DataFrame, lookback: DataFrame | int) -> DataFrame:
         (F.datediff(in_end, in_start) + 1).alias("input_window_days"),
         (F.datediff("event_end_date", "event_start_date") + 1).alias("target_window_days"),
         "event_start_date", "event_end_date", "peak_date", "peak_streamflow_m3s")
+
+
+def readiness_report(files: dict[str, DataFrame], stations: DataFrame, attributes: dict[str, DataFrame],
+                     streamflow: DataFrame, th: Thresholds = Thresholds(), analysis_start: str | None = None,
+                     analysis_end: str | None = None) -> dict[str, DataFrame]:
+    """The seven readiness tables for all stations (S12 writes them with ``sinks.write_report``):
+    coverage, intervention, decision, events, event summary, lookback choice, event windows."""
+    cov = coverage_summary(files, stations, th)
+    iv = human_intervention(attributes["human_intervention"], attributes["quality_check"], attributes["location"],
+                            attributes["land_cover"], stations, th)
+    ev = detect_events(streamflow, th.streamflow_event_quantile, th.streamflow_event_min_duration_days,
+                       analysis_start, analysis_end)
+    summ = event_summary(streamflow, th.streamflow_event_quantile, th.streamflow_event_min_duration_days,
+                         analysis_start, analysis_end, events=ev)
+    lb = lookback_choice(summ, th.lstm_lookback_days, th.lstm_lookback_auto_from_events)
+    return {"coverage": cov, "intervention": iv, "decision": decision(cov, iv), "events": inter_event_gaps(ev),
+            "event_summary": summ, "lookback": lb, "event_windows": event_windows(ev, lb)}
