@@ -280,3 +280,15 @@ def tft_datasets(df: DataFrame, lookback: int, horizon: int, encoder_fields: lis
     return (w.withColumn("dataset", label).filter(F.col("dataset").isNotNull())
              .withColumn("encoder_length", F.size("encoder")).withColumn("relative_idx", rel)
              .withColumn("split_error", err))
+
+
+def expanding_window_folds(windows: DataFrame, cutoff_years: list[int], date_col: str = "target_date",
+                           val_years: int = 1) -> DataFrame:
+    """Documented extra (expanding-window validation): for each cut-off year c, windows whose target
+    date is before c train the fold and windows in [c, c + val_years) validate it. One explode of the
+    cut-off list per window (a generator, no join); windows outside a fold are dropped from it."""
+    y = F.year(F.col(date_col))
+    folds = windows.select("*", F.explode(F.array(*[F.lit(c) for c in cutoff_years])).alias("fold_cutoff"))
+    role = (F.when(y < F.col("fold_cutoff"), F.lit("train"))
+             .when(y < F.col("fold_cutoff") + val_years, F.lit("val")))
+    return folds.withColumn("fold_role", role).filter(F.col("fold_role").isNotNull())

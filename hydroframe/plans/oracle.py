@@ -893,3 +893,14 @@ SELECT station_id, dataset, val_start_idx, test_start_idx, round(target_center,
 FROM lab WHERE dataset IS NOT NULL
 GROUP BY station_id, dataset, val_start_idx, test_start_idx, target_center, target_scale
 """
+
+ORACLE["expanding_window_folds"] = f"""
+WITH {SCALED},
+f AS (SELECT wv.station_id, wv.target_date, c.cutoff AS fold_cutoff FROM wv
+      CROSS JOIN (VALUES (1997), (1998), (1999), (2000)) c(cutoff)),
+r AS (SELECT *, CASE WHEN year(target_date) < fold_cutoff THEN 'train'
+                     WHEN year(target_date) < fold_cutoff + 1 THEN 'val' END AS fold_role FROM f)
+SELECT station_id, CAST(fold_cutoff AS INTEGER) AS fold_cutoff, fold_role, COUNT(*) AS n_windows,
+       MIN(target_date) AS first_target_date, MAX(target_date) AS last_target_date
+FROM r WHERE fold_role IS NOT NULL GROUP BY 1, 2, 3
+"""

@@ -565,3 +565,14 @@ def q_tft_dataset_split(spark, d):
                             "target_scale", "encoder_length").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min("decoder_start_idx").alias("first_decoder_idx"),
         F.max("decoder_start_idx").alias("last_decoder_idx")))
+
+
+@register("expanding_window_folds")
+def q_expanding_window_folds(spark, d):
+    """Documented extra: expanding-window folds (cut-offs 1997-2000) over the L=30, H=7 windows;
+    window counts and target-date span per station, fold and role."""
+    w = sequence_windows(spark, d).select("station_id", "target_date")
+    f = W.expanding_window_folds(w, [1997, 1998, 1999, 2000])
+    return f.groupBy("station_id", "fold_cutoff", "fold_role").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("target_date").alias("first_target_date"),
+        F.max("target_date").alias("last_target_date"))
