@@ -42,16 +42,16 @@ def daily_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(daily_flow_sparse(spark, sf_dir))
 
 
-def daily_forcings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three forcing files per station (supplier nation) and ship day:
-    precipitation = sum(l_quantity), temperature = avg(l_discount), actual_evapotransp = avg(l_tax)."""
+def daily_forcings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forcing file per station (supplier nation) and ship day with three variables:
+    precipitation = sum(l_quantity), temperature = avg(l_discount), actual_evapotransp = avg(l_tax).
+    One scan of lineitem feeds all three."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
     g = j.groupBy(F.col("s_nationkey").cast("string").alias(KEY), F.to_date("l_shipdate").alias("date"))
-    agg = g.agg(F.sum("l_quantity").alias("precipitation"), F.avg("l_discount").alias("temperature"),
-                F.avg("l_tax").alias("actual_evapotransp"))
-    return [agg.select(KEY, "date", c) for c in ("precipitation", "temperature", "actual_evapotransp")]
+    return g.agg(F.sum("l_quantity").alias("precipitation"), F.avg("l_discount").alias("temperature"),
+                 F.avg("l_tax").alias("actual_evapotransp"))
 
 
 def monthly_index_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,22 +82,27 @@ def station_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("mean_acctbal")))
 
 
-def forcing_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Per-variable daily 'files' with several source columns each (for the best-source rule):
-    precipitation p_total/p_large, temperature tmean/tmax, evapotransp aet_mean (supplier nation ×
-    ship day, rows only on days with shipments), streamflow (orders, every day of the span)."""
+def forcing_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All source columns of the forcing 'files' in one aggregate (one lineitem scan):
+    p_total/p_large, tmean/tmax, aet_mean per supplier nation and ship day."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
-    g = j.groupBy(F.col("s_nationkey").cast("string").alias(KEY), F.to_date("l_shipdate").alias("date")).agg(
+    return j.groupBy(F.col("s_nationkey").cast("string").alias(KEY), F.to_date("l_shipdate").alias("date")).agg(
         F.sum("l_quantity").alias("p_total"),
         F.sum(F.when(F.col("l_quantity") > 45, F.col("l_quantity"))).alias("p_large"),
         F.avg("l_discount").alias("tmean"), F.max("l_discount").alias("tmax"),
         F.avg("l_tax").alias("aet_mean"))
-    return {"precipitation": g.select(KEY, "date", "p_total", "p_large"),
-            "temperature": g.select(KEY, "date", "tmean", "tmax"),
-            "evapotransp": g.select(KEY, "date", "aet_mean"),
-            "streamflow": daily_flow(spark, sf_dir)}
+
+
+def forcing_files(forcing: DataFrame, flow: DataFrame) -> dict[str, DataFrame]:
+    """Per-variable daily 'files' with several source columns each (for the best-source rule):
+    precipitation, temperature, evapotransp (rows only on days with shipments) and streamflow
+    (every day of the span)."""
+    return {"precipitation": forcing.select(KEY, "date", "p_total", "p_large"),
+            "temperature": forcing.select(KEY, "date", "tmean", "tmax"),
+            "evapotransp": forcing.select(KEY, "date", "aet_mean"),
+            "streamflow": flow}
 
 
 def _gauge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
