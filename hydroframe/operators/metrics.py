@@ -82,3 +82,58 @@ def persistence_forecast(daily: DataFrame, horizon: int, key: str = "station_id"
                     F.col(date_col).alias("issue_date"))
     return pair_truth_prediction(truth, pred, [key, "_pos"]).select(
         key, "issue_date", F.col(date_col).alias("target_date"), "y_true", "y_pred")
+
+
+# ---- bootstrap intervals (documented extra) ---------------------------------------------
+
+_LCG_A, _LCG_C, _LCG_M = 1103515245, 12345, 2 ** 31  # Fixed values: linear congruential constants.
+
+
+def poisson1_thresholds(k_max: int = 12) -> list[float]:
+    """Cumulative Poisson(1) probabilities P(K ≤ k), k = 0..k_max (rule: e^-1 Σ 1/i!)."""
+    import math
+    out, acc = [], 0.0
+    for k in range(k_max + 1):
+        acc += math.exp(-1.0) / math.factorial(k)
+        out.append(acc)
+    return out
+
+
+def poisson1_weight(u: Column) -> Column:
+    """Inverse CDF of Poisson(1) for a uniform ``u`` in [0, 1)."""
+    th = poisson1_thresholds()
+    expr = F.when(u < F.lit(th[0]), F.lit(0))
+    for k, t in enumerate(th[1:], start=1):
+        expr = expr.when(u < F.lit(t), F.lit(k))
+    return expr.otherwise(F.lit(len(th)))
+
+
+def bootstrap_nse_difference(df: DataFrame, keys: list[str], row_id: str, y_true: str, pred_a: str, pred_b: str,
+                             replicates: int = 1000, seed: int = 0,
+                             quantiles=(0.025, 0.5, 0.975)) -> DataFrame:
+    """Documented extra: bootstrap interval of NSE(a) − NSE(b) per group, Poisson(1) weights.
+
+    Each row is repeated once per replicate by a generator (``explode``), its weight drawn from a
+    deterministic integer generator on (row id, replicate, seed); the weighted sufficient
+    statistics are partial aggregates per (group, replicate) — map-side combined, so the shuffle
+    carries groups × replicates rows, not rows × replicates. The percentiles run over the
+    replicate values of each group.
+    """
+    t, a, b = (F.col(c).cast("double") for c in (y_true, pred_a, pred_b))
+    rid = F.pmod(F.col(row_id).cast("long"), F.lit(_LCG_M))
+    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    d = df.select(*keys, rid.alias("_id"), t.alias("_t"), a.alias("_a"), b.alias("_b"), rep)
+    u = F.pmod(F.col("_id") * _LCG_A + F.col("replicate") * _LCG_C + F.lit(seed), F.lit(_LCG_M)) / F.lit(float(_LCG_M))
+    d = d.withColumn("_w", poisson1_weight(u).cast("double"))
+    w, tt = F.col("_w"), F.col("_t")
+    g = d.groupBy(*keys, "replicate").agg(
+        F.sum(w).alias("sw"), F.sum(w * tt).alias("swt"), F.sum(w * tt * tt).alias("swt2"),
+        F.sum(w * (tt - F.col("_a")) * (tt - F.col("_a"))).alias("sa"),
+        F.sum(w * (tt - F.col("_b")) * (tt - F.col("_b"))).alias("sb"))
+    sst = F.col("swt2") - F.col("swt") * F.col("swt") / F.col("sw")
+    nse_a = F.when(sst > 0, F.lit(1.0) - F.col("sa") / sst).otherwise(F.lit(0.0))
+    nse_b = F.when(sst > 0, F.lit(1.0) - F.col("sb") / sst).otherwise(F.lit(0.0))
+    diffs = g.select(*keys, (nse_a - nse_b).alias("diff"))
+    q = diffs.groupBy(*keys).agg(F.percentile("diff", list(quantiles)).alias("_q"), F.count(F.lit(1)).alias("replicates"))
+    return q.select(*keys, "replicates", *[F.col("_q")[i].alias(f"q{int(round(p * 1000)):03d}")
+                                          for i, p in enumerate(quantiles)])

@@ -904,3 +904,24 @@ SELECT station_id, CAST(fold_cutoff AS INTEGER) AS fold_cutoff, fold_role, COUNT
        MIN(target_date) AS first_target_date, MAX(target_date) AS last_target_date
 FROM r WHERE fold_role IS NOT NULL GROUP BY 1, 2, 3
 """
+
+
+# Bootstrap oracle: the Poisson(1) inverse-CDF thresholds come from the same rule as the library.
+from hydroframe.operators.metrics import poisson1_thresholds as _p1  # noqa: E402
+
+_CASE = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate(_p1())) + f" ELSE {len(_p1())} END"
+ORACLE["bootstrap_nse_difference"] = """
+WITH b AS (SELECT l.l_returnflag AS "group", (l.l_orderkey * 8 + l.l_linenumber) % 2147483648 AS id,
+                  l.l_extendedprice AS t, l.l_quantity * p.p_retailprice AS a, l.l_extendedprice * (1.0 - l.l_discount) AS bb
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+r AS (SELECT b.*, rep.replicate FROM b CROSS JOIN (SELECT unnest(range(1000)) AS replicate) rep),
+u AS (SELECT *, CAST(((id * 1103515245 + replicate * 12345 + 7) % 2147483648) AS DOUBLE) / 2147483648.0 AS u FROM r),
+w AS (SELECT *, CAST(""" + _CASE + """ AS DOUBLE) AS w FROM u),
+g AS (SELECT "group", replicate, SUM(w) AS sw, SUM(w * t) AS swt, SUM(w * t * t) AS swt2,
+             SUM(w * (t - a) * (t - a)) AS sa, SUM(w * (t - bb) * (t - bb)) AS sb FROM w GROUP BY 1, 2),
+n AS (SELECT "group", swt2 - swt * swt / sw AS sst, sa, sb FROM g),
+dd AS (SELECT "group", (CASE WHEN sst > 0 THEN 1.0 - sa / sst ELSE 0.0 END) - (CASE WHEN sst > 0 THEN 1.0 - sb / sst ELSE 0.0 END) AS diff FROM n)
+SELECT "group", COUNT(*) AS replicates, round(quantile_cont(diff, 0.025), 6) + 0.0 AS q025,
+       round(quantile_cont(diff, 0.5), 6) + 0.0 AS q500, round(quantile_cont(diff, 0.975), 6) + 0.0 AS q975
+FROM dd GROUP BY 1
+"""

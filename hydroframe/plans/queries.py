@@ -581,3 +581,17 @@ def q_expanding_window_folds(spark, d):
     return f.groupBy("station_id", "fold_cutoff", "fold_role").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min("target_date").alias("first_target_date"),
         F.max("target_date").alias("last_target_date"))
+
+
+@register("bootstrap_nse_difference")
+def q_bootstrap_nse_difference(spark, d):
+    """Documented extra: 1000-replicate bootstrap interval of NSE(a) − NSE(b) per return flag;
+    a = quantity × retail price, b = extended price after discount."""
+    li = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                                               "l_quantity", "l_discount", "l_returnflag")
+    part = B.table(spark, d, "part").select("p_partkey", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
+        F.col("l_returnflag").alias("group"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
+        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
+    return finish(M.bootstrap_nse_difference(j, ["group"], "row_id", "y_true", "pred_a", "pred_b", 1000, 7))
