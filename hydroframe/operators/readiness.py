@@ -283,7 +283,7 @@ def event_summary(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
         "event_threshold_streamflow_m3s": only(round4(F.col("_thr"))),
         "event_quantile": only(F.lit(float(quantile))),
         "min_duration_days": only(F.lit(int(min_duration_days))),
-        "suggested_lstm_lookback_days": only(F.greatest(F.lit(1), F.bround(rec, 0).cast("int"))),
+        "suggested_lstm_lookback_days": only(F.when(rec.isNotNull(), F.greatest(F.lit(1), F.bround(rec, 0).cast("int")))),
     }
     return j.select(KEY, *[cols[c].alias(c) for c in SUMMARY_COLUMNS])
 

@@ -120,7 +120,7 @@ SELECT station_id,
   CASE WHEN full_ THEN round({r4('thr')}, 6) END AS event_threshold_streamflow_m3s,
   CASE WHEN full_ THEN CAST(0.9 AS DOUBLE) END AS event_quantile,
   CASE WHEN full_ THEN CAST(2 AS INTEGER) END AS min_duration_days,
-  CASE WHEN full_ THEN CAST(greatest(1, round_even(rec, 0)) AS INTEGER) END AS suggested_lstm_lookback_days
+  CASE WHEN full_ AND rec IS NOT NULL THEN CAST(greatest(1, round_even(rec, 0)) AS INTEGER) END AS suggested_lstm_lookback_days
 FROM k
 """
 

@@ -92,3 +92,37 @@ def test_sweep_records_cells(spark):
     out = sweep(spark, df, ["x"], "y", [5], [1, 2000], [("passado", "2000-01-01", "2000-09-30")], "2000-10-01").collect()
     st = {r.horizon: r.status for r in out}
     assert st[1] == "success" and st[2000] == "failed"
+
+
+def test_readiness_report_tables(spark, tmp_path_factory=None):
+    from hydroframe.operators.readiness import Thresholds, readiness_report
+    from hydroframe.sources.sinks import write_report
+    d0 = dt.date(2000, 1, 1)
+    flow = spark.createDataFrame([("s", d0 + dt.timedelta(days=i), float(v)) for i, v in enumerate([1, 9, 9, 1, 1, 9, 1])],
+                                 "station_id string, date date, streamflow_m3s double")
+    files = {"streamflow": flow,
+             "precipitation": spark.createDataFrame([("s", d0, 1.0, None)], "station_id string, date date, p_a double, p_b double")}
+    stations = spark.createDataFrame([("s",), ("t",)], "station_id string")
+    attrs = {"human_intervention": spark.createDataFrame([("s", 0.1, 0.0, 0.0)], "station_id string, consumptive_use_perc double, regulation_degree double, reservoirs_vol double"),
+             "quality_check": spark.createDataFrame([("s", 99.0)], "station_id string, q_quality_control_perc double"),
+             "location": spark.createDataFrame([("s", "Rio", -25.0, -50.0, "high")], "station_id string, gauge_name string, gauge_lat double, gauge_lon double, area_gsim_quality string"),
+             "land_cover": spark.createDataFrame([("s", 50.0, 10.0, 1.0, "forest")], "station_id string, forest_perc double, crop_perc double, imperv_perc double, dom_land_cover string")}
+    th = Thresholds(required_start_date="2000-01-01", required_end_date="2000-01-01", streamflow_event_quantile=0.5,
+                    lstm_lookback_auto_from_events=True)
+    rep = readiness_report(files, stations, attrs, flow, th)
+    assert set(rep) == {"coverage", "intervention", "decision", "events", "event_summary", "lookback", "event_windows"}
+    dec = {r.station_id: r.verdict for r in rep["decision"].collect()}
+    assert dec == {"s": "APROVADA", "t": "REPROVADA"}
+    lb = rep["lookback"].first()
+    assert lb.lstm_lookback_source == "fixed_default_no_event_recurrence" and lb.lstm_lookback_days == 30
+    out = tempfile.mkdtemp(prefix="hf-report-")
+    write_report(rep, out)
+    assert sorted(os.listdir(out)) == sorted(rep)
+
+
+def test_bootstrap_identical_predictions_give_zero(spark):
+    from hydroframe.operators.metrics import bootstrap_nse_difference
+    rows = [("g", i, float(i % 13), float(i % 13) + 0.5, float(i % 13) + 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id long, t double, a double, b double")
+    r = bootstrap_nse_difference(df, ["g"], "id", "t", "a", "b", replicates=50).first()
+    assert r.replicates == 50 and r.q025 == 0.0 and r.q975 == 0.0
