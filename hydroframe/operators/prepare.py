@@ -215,18 +215,18 @@ def first_row_per_station(static: DataFrame, order_col: str | None = None) -> Da
 
 
 def attach_static(df: DataFrame, static: DataFrame, prefix: str | None = None,
-                  broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                  broadcast_max_cells: int = 5_000_000) -> DataFrame:
     """Attach constant per-station attributes to every day (left join).
 
-    The attribute table has one row per station. It is broadcast only when its row
-    count is known to be small (checked, not assumed); otherwise a shuffled join.
+    The attribute table has one row per station. It is broadcast only when its measured size
+    (rows × columns, counted at plan time) is under ``broadcast_max_cells`` (a few tens of MB);
+    otherwise it is a shuffled join on the station.
     """
     s = first_row_per_station(static)
     if prefix:
         s = s.select(KEY, *[F.col(c).alias(f"{prefix}{c}") for c in s.columns if c != KEY])
-    n = s.count() if broadcast_max_rows else None
-    side = F.broadcast(s) if n is not None and n <= broadcast_max_rows else s
-    return df.join(side, KEY, "left")
+    small = broadcast_max_cells > 0 and s.count() * len(s.columns) <= broadcast_max_cells
+    return df.join(F.broadcast(s) if small else s, KEY, "left")
 
 
 # ---- W1 ----------------------------------------------------------------------------------
