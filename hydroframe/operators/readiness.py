@@ -165,7 +165,7 @@ def event_thresholds(series: DataFrame, quantile: float, flow: str = FLOW, exact
 
 def detect_events(daily: DataFrame, quantile: float = 0.90, min_duration_days: int = 1,
                   start: str | None = None, end: str | None = None, flow: str = FLOW,
-                  exact: bool = True) -> DataFrame:
+                  exact: bool = True, keep_threshold: bool = False) -> DataFrame:
     """High-flow events per station (gaps and islands).
 
     Event day = flow ≥ station threshold (null flow is not an event day). Islands are runs of
@@ -179,16 +179,18 @@ def detect_events(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
     flag = F.coalesce(F.col(flow) >= F.col("event_threshold"), F.lit(False))
     s = blocked_scan(s.join(thr, KEY, "inner"), [KEY], "date", pos="_pos", flags={"_erank": flag})
     ev = s.filter(flag)
-    g = ev.groupBy(KEY, (F.col("_pos") - F.col("_erank")).alias("_island")).agg(
+    g = ev.groupBy(KEY, (F.col("_pos") - F.col("_erank")).alias("_island"), "event_threshold").agg(
         F.min("date").alias("event_start_date"), F.max("date").alias("event_end_date"),
         F.max(F.struct(F.col(flow), (-F.unix_date("date")).alias("nd"), F.col("date"))).alias("_peak"),
         F.avg(flow).alias("event_mean_streamflow_m3s"))
     g = g.withColumn("event_duration_days", F.datediff("event_end_date", "event_start_date") + 1)
     g = g.filter(F.col("event_duration_days") >= min_duration_days)
     g = row_index(g, [KEY], "event_start_date", "_eid")
-    return g.select(KEY, (F.col("_eid") + 1).cast("int").alias("event_id"), "event_start_date", "event_end_date",
-                    F.col("_peak.date").alias("peak_date"), F.col(f"_peak.{flow}").alias("peak_streamflow_m3s"),
-                    "event_duration_days", "event_mean_streamflow_m3s")
+    out = [KEY, (F.col("_eid") + 1).cast("int").alias("event_id"), "event_start_date", "event_end_date",
+           F.col("_peak.date").alias("peak_date"), F.col(f"_peak.{flow}").alias("peak_streamflow_m3s"),
+           "event_duration_days", "event_mean_streamflow_m3s"]
+    # keep_threshold lets the summary reuse the station threshold instead of a second percentile pass
+    return g.select(*out, *(["event_threshold"] if keep_threshold else []))
 
 
 def inter_event_gaps(events: DataFrame) -> DataFrame:
@@ -228,15 +230,17 @@ def event_summary(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
     no valid flow → all null; no event → all null with 0 events.
     """
     if events is None:
-        events = detect_events(daily, quantile, min_duration_days, start, end, flow, exact)
+        events = detect_events(daily, quantile, min_duration_days, start, end, flow, exact, keep_threshold=True)
     gaps = inter_event_gaps(events)
     s = _analysis_series(daily, start, end, flow)
-    series = s.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("_n"), F.count(flow).alias("_valid"),
-        F.min(F.when(F.col(flow).isNotNull(), F.col("date"))).alias("_sf_start"),
-        F.max(F.struct(F.col(flow), (-F.unix_date("date")).alias("nd"), F.col("date"))).alias("_sf_peak"),
-        (F.percentile(flow, quantile) if exact else F.percentile_approx(flow, quantile, 100000))
-        .cast("double").alias("_thr"))
+    stats = [F.count(F.lit(1)).alias("_n"), F.count(flow).alias("_valid"),
+             F.min(F.when(F.col(flow).isNotNull(), F.col("date"))).alias("_sf_start"),
+             F.max(F.struct(F.col(flow), (-F.unix_date("date")).alias("nd"), F.col("date"))).alias("_sf_peak")]
+    reuse = "event_threshold" in events.columns  # the threshold only shows when events exist
+    if not reuse:
+        stats.append((F.percentile(flow, quantile) if exact else F.percentile_approx(flow, quantile, 100000))
+                     .cast("double").alias("_thr"))
+    series = s.groupBy(KEY).agg(*stats)
     ev = gaps.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_count"), F.avg("event_duration_days").alias("_avg_dur"),
         F.avg("inter_event_gap_days").alias("_avg_gap"), F.median("inter_event_gap_days").alias("_med_gap"),
@@ -244,7 +248,8 @@ def event_summary(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
         F.min("event_start_date").alias("_first"), F.max("event_end_date").alias("_last"),
         F.avg("peak_streamflow_m3s").alias("_avg_peak"),
         F.max(F.struct(F.col("peak_streamflow_m3s"), (-F.unix_date("event_start_date")).alias("ns"),
-                       F.col("peak_date"))).alias("_pk"))
+                       F.col("peak_date"))).alias("_pk"),
+        *([F.first("event_threshold").alias("_thr")] if reuse else []))
     stations = daily.select(KEY).distinct()
     j = stations.join(series, KEY, "left").join(ev, KEY, "left")
     n = F.coalesce(F.col("_n"), F.lit(0))

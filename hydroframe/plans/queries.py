@@ -67,7 +67,8 @@ def q_event_summary(spark: SparkSession, d: str) -> DataFrame:
     """Daily flow (orders ⋈ customer, densified) → W1 gap fill (limit 3, inside) → W2 events →
     W3 gaps → A8 summary per station."""
     daily = cut_lineage(filled_flow(spark, d))
-    events = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END))
+    events = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END,
+                                         keep_threshold=True))
     return finish(R.event_summary(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END,
                                   events=events))
 
@@ -179,7 +180,8 @@ def q_flow_events(spark, d):
 def q_event_windows(spark, d):
     """W5 (auto lookback from the event recurrence) + W4 windows."""
     daily = cut_lineage(filled_flow(spark, d))
-    ev = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END))
+    ev = cut_lineage(R.detect_events(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END,
+                                     keep_threshold=True))
     summ = R.event_summary(daily, EVENT_QUANTILE, EVENT_MIN_DAYS, ANALYSIS_START, ANALYSIS_END, events=ev)
     lb = R.lookback_choice(summ, 30, auto=True)
     return finish(R.event_windows(ev, lb).join(lb, "station_id", "inner"))
