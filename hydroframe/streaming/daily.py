@@ -28,5 +28,5 @@ def daily_stream(spark: SparkSession, directory: str, variable: str, columns: li
 def flag_event_days(stream: DataFrame, thresholds: DataFrame, flow: str = "streamflow_m3s") -> DataFrame:
     """Stream-static join with per-station thresholds (from the batch W2 step); event day = flow ≥
     threshold. Island grouping needs the ordered history, so it stays a batch step."""
-    j = stream.join(F.broadcast(thresholds.select(KEY, "event_threshold")), KEY, "left")
+    j = stream.join(thresholds.select(KEY, "event_threshold"), KEY, "left")
     return j.withColumn("is_event_day", F.coalesce(F.col(flow) >= F.col("event_threshold"), F.lit(False)))
