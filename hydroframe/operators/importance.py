@@ -152,3 +152,31 @@ def rescale_series(df: DataFrame, keys: list[str], col: str, name: str = "scaled
     return j.withColumn(name, F.coalesce(F.try_divide((F.col(col) - F.col("_lo")) * 100.0,
                                                       F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
 
+
+
+def series_downsample(entries: DataFrame, study: str = "study", entry: str = "entry", value: str = "v",
+                      max_points: int = 200) -> DataFrame:
+    """W12 (series variant) + F15: a per-study series longer than ``max_points`` is averaged in
+    blocks of ``n // max_points`` consecutive entries (nulls ignored), then min-max scaled to
+    0-100 per study (a flat series gives 0). Input: one row per (study, entry, value)."""
+    n = entries.groupBy(study).agg(F.count(F.lit(1)).alias("_n"))
+    d = entries.join(n, study, "inner")
+    k = F.when(F.col("_n") > max_points, F.greatest(F.lit(1), F.floor(F.col("_n") / max_points))).otherwise(F.lit(1))
+    d = d.withColumn("point", F.floor(F.col(entry) / k).cast("long"))
+    b = d.groupBy(study, "point").agg(F.avg(nan_to_null(F.col(value).cast("double"))).alias("value"))
+    return rescale_series(b, [study], "value", "scaled")
+
+
+def bar_values(means: DataFrame, names: DataFrame, study: str = "study") -> DataFrame:
+    """Importance per top variable and study (A20 means of the K9 names, a name a study lacks counts
+    as 0); a variable whose values are all ≤ 1 is shown in percent (× 100). The name list has at
+    most k + 1 entries, so it is read to the driver and exploded per study (no join of all pairs)."""
+    name_list = [r["variable"] for r in names.orderBy("position").collect()]  # ≤ k + 1 names
+    grid = means.select(study).distinct().select(study, F.explode(F.array(*[F.lit(n) for n in name_list]))
+                                                 .alias("variable"))
+    j = grid.join(means, [study, "variable"], "left").withColumn("importance",
+                                                                 F.coalesce(F.col("importance"), F.lit(0.0)))
+    mx = j.groupBy("variable").agg(F.max("importance").alias("_mx"))
+    j = j.join(mx, "variable", "inner")
+    return j.select("variable", study, F.when(F.col("_mx") <= 1.0, F.col("importance") * 100.0)
+                    .otherwise(F.col("importance")).alias("bar_value"))

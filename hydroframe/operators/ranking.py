@@ -114,7 +114,7 @@ def top_n(scored: DataFrame, n: int = 15) -> DataFrame:
 
 def comparison_table(scored: DataFrame, target: str, n: int = 5) -> DataFrame:
     """K3 + U3: target row first, then the top n, first occurrence wins; ``row_order`` keeps the
-    table order. Without the target, the top rows with all columns."""
+    table order. Without the target, just the top n rows (same 16 columns, a stable schema)."""
     cols = [c for c in COMPARISON_COLUMNS if c in scored.columns]
     tgt = scored.filter(F.col(GAUGE) == target)
     src = (tgt.select(*cols, F.lit(0).alias("_src"), F.col("rank").alias("_r"))

@@ -925,3 +925,29 @@ SELECT "group", COUNT(*) AS replicates, round(quantile_cont(diff, 0.025), 6) + 0
        round(quantile_cont(diff, 0.5), 6) + 0.0 AS q500, round(quantile_cont(diff, 0.975), 6) + 0.0 AS q975
 FROM dd GROUP BY 1
 """
+
+ORACLE["encoder_series_scaled"] = f"""
+WITH {ENC},
+ev AS (SELECT e.study, e.entry, p.score AS v FROM ent e JOIN plr p ON p.event_id = e.event_id AND p.feature = 'k'),
+nn AS (SELECT study, COUNT(*) AS n FROM ev GROUP BY 1),
+bk AS (SELECT ev.study, CAST(floor(entry / CASE WHEN n > 200 THEN greatest(1, floor(n / 200)) ELSE 1 END) AS BIGINT) AS point,
+              v FROM ev JOIN nn USING (study)),
+pt AS (SELECT study, point, AVG(CASE WHEN isnan(v) THEN NULL ELSE v END) AS value FROM bk GROUP BY 1, 2),
+mm AS (SELECT study, MIN(value) AS lo, MAX(value) AS hi FROM pt GROUP BY 1)
+SELECT pt.study, point, round(value, 6) + 0.0 AS value,
+       round(COALESCE(CASE WHEN hi - lo = 0 THEN NULL ELSE (value - lo) * 100.0 / (hi - lo) END, 0.0), 6) + 0.0 AS scaled
+FROM pt JOIN mm USING (study)
+"""
+
+ORACLE["encoder_bar_values"] = f"""
+WITH {ENC},
+top AS (SELECT variable, row_number() OVER (ORDER BY importance DESC, study, variable) AS o FROM evm
+        ORDER BY importance DESC, study, variable LIMIT 4),
+nm AS (SELECT DISTINCT variable FROM top UNION SELECT 'oni'),
+st AS (SELECT DISTINCT study FROM evm),
+j AS (SELECT st.study, nm.variable, COALESCE(evm.importance, 0.0) AS importance
+      FROM st CROSS JOIN nm LEFT JOIN evm ON evm.study = st.study AND evm.variable = nm.variable),
+mx AS (SELECT variable, MAX(importance) AS m FROM j GROUP BY 1)
+SELECT j.variable, study, round(CASE WHEN m <= 1.0 THEN importance * 100.0 ELSE importance END, 6) + 0.0 AS bar_value
+FROM j JOIN mx USING (variable)
+"""

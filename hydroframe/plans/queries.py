@@ -597,3 +597,18 @@ def q_bootstrap_nse_difference(spark, d):
         F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
     return finish(M.bootstrap_nse_difference(j, ["group"], "row_id", "y_true", "pred_a", "pred_b", 1000, 7))
+
+
+@register("encoder_series_scaled")
+def q_encoder_series_scaled(spark, d):
+    """W12 series variant + F15: one variable's importance over entries per study, block-averaged
+    to at most ~200 points and scaled to 0-100."""
+    e = encoder_entries(spark, d).select("study", "entry", F.col("m")["k"].alias("v"))
+    return finish(I.series_downsample(e, "study", "entry", "v", 200))
+
+
+@register("encoder_bar_values")
+def q_encoder_bar_values(spark, d):
+    """K9 names × studies: mean encoder importance per study (percent when all ≤ 1)."""
+    means = cut_lineage(I.encoder_variable_means_long(encoder_entries(spark, d)))
+    return finish(I.bar_values(means, I.top_variable_names(means, 4)))
