@@ -951,3 +951,41 @@ mx AS (SELECT variable, MAX(importance) AS m FROM j GROUP BY 1)
 SELECT j.variable, study, round(CASE WHEN m <= 1.0 THEN importance * 100.0 ELSE importance END, 6) + 0.0 AS bar_value
 FROM j JOIN mx USING (variable)
 """
+
+ORACLE["bootstrap_metric_differences"] = """
+WITH b AS (SELECT l.l_returnflag AS "group", (l.l_orderkey * 8 + l.l_linenumber) % 2147483648 AS id,
+                  l.l_extendedprice AS t, l.l_quantity * p.p_retailprice AS a, l.l_extendedprice * (1.0 - l.l_discount) AS bb
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+r AS (SELECT b.*, rep.replicate FROM b CROSS JOIN (SELECT unnest(range(1000)) AS replicate) rep),
+u AS (SELECT *, CAST(((id * 1103515245 + replicate * 12345 + 7) % 2147483648) AS DOUBLE) / 2147483648.0 AS u FROM r),
+w AS (SELECT *, CAST(""" + _CASE + """ AS DOUBLE) AS w, ln(greatest(t, 1e-6)) AS lt, ln(greatest(a, 1e-6)) AS la,
+             ln(greatest(bb, 1e-6)) AS lb FROM u),
+g AS (SELECT "group", replicate, SUM(w) AS sw,
+             SUM(w * t) AS st, SUM(w * t * t) AS stt, SUM(w * (t - a) * (t - a)) AS ra, SUM(w * (t - bb) * (t - bb)) AS rb,
+             SUM(w * a) AS sa, SUM(w * a * a) AS saa, SUM(w * t * a) AS sta,
+             SUM(w * bb) AS sb, SUM(w * bb * bb) AS sbb, SUM(w * t * bb) AS stb,
+             SUM(w * lt) AS lst, SUM(w * lt * lt) AS lstt, SUM(w * (lt - la) * (lt - la)) AS lra,
+             SUM(w * (lt - lb) * (lt - lb)) AS lrb
+      FROM w GROUP BY 1, 2),
+m AS (SELECT *, st / sw AS mt, sa / sw AS ma, sb / sw AS mb,
+             stt - st * st / sw AS sst, lstt - lst * lst / sw AS lsst FROM g),
+v AS (SELECT *, stt / sw - mt * mt AS vt, saa / sw - ma * ma AS va, sbb / sw - mb * mb AS vb,
+             sta / sw - mt * ma AS ca, stb / sw - mt * mb AS cb FROM m),
+c AS (SELECT *,
+        CASE WHEN sw > 1 THEN (CASE WHEN sqrt(vt * va) = 0 THEN NULL ELSE ca / sqrt(vt * va) END) ELSE 0.0 END AS cra,
+        CASE WHEN sw > 1 THEN (CASE WHEN sqrt(vt * vb) = 0 THEN NULL ELSE cb / sqrt(vt * vb) END) ELSE 0.0 END AS crb
+      FROM v),
+k AS (SELECT "group",
+        (CASE WHEN sst > 0 THEN 1.0 - ra / sst ELSE 0.0 END) - (CASE WHEN sst > 0 THEN 1.0 - rb / sst ELSE 0.0 END) AS d_nse,
+        (1.0 - sqrt((cra - 1) * (cra - 1) + (sqrt(va) / (sqrt(vt) + 1e-8) - 1) * (sqrt(va) / (sqrt(vt) + 1e-8) - 1)
+                    + (ma / (mt + 1e-8) - 1) * (ma / (mt + 1e-8) - 1)))
+        - (1.0 - sqrt((crb - 1) * (crb - 1) + (sqrt(vb) / (sqrt(vt) + 1e-8) - 1) * (sqrt(vb) / (sqrt(vt) + 1e-8) - 1)
+                    + (mb / (mt + 1e-8) - 1) * (mb / (mt + 1e-8) - 1))) AS d_kge,
+        (CASE WHEN lsst > 0 THEN 1.0 - lra / lsst ELSE 0.0 END) - (CASE WHEN lsst > 0 THEN 1.0 - lrb / lsst ELSE 0.0 END) AS d_log
+      FROM c),
+dl AS (SELECT "group", 'NSE' AS metric, d_nse AS diff FROM k UNION ALL SELECT "group", 'KGE', d_kge FROM k
+       UNION ALL SELECT "group", 'LogNSE', d_log FROM k)
+SELECT "group", metric, COUNT(diff) AS replicates, round(quantile_cont(diff, 0.025), 6) + 0.0 AS q025,
+       round(quantile_cont(diff, 0.5), 6) + 0.0 AS q500, round(quantile_cont(diff, 0.975), 6) + 0.0 AS q975
+FROM dl GROUP BY 1, 2
+"""

@@ -612,3 +612,17 @@ def q_encoder_bar_values(spark, d):
     """K9 names × studies: mean encoder importance per study (percent when all ≤ 1)."""
     means = cut_lineage(I.encoder_variable_means_long(encoder_entries(spark, d)))
     return finish(I.bar_values(means, I.top_variable_names(means, 4)))
+
+
+@register("bootstrap_metric_differences")
+def q_bootstrap_metric_differences(spark, d):
+    """Documented extra: 1000-replicate bootstrap intervals of the NSE, KGE and LogNSE differences
+    between two predictions per return flag (same stand-in as bootstrap_nse_difference)."""
+    li = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                                               "l_quantity", "l_discount", "l_returnflag")
+    part = B.table(spark, d, "part").select("p_partkey", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
+        F.col("l_returnflag").alias("group"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
+        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
+    return finish(M.bootstrap_metric_differences(j, ["group"], "row_id", "y_true", "pred_a", "pred_b", 1000, 7))

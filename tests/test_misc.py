@@ -126,3 +126,12 @@ def test_bootstrap_identical_predictions_give_zero(spark):
     df = spark.createDataFrame(rows, "g string, id long, t double, a double, b double")
     r = bootstrap_nse_difference(df, ["g"], "id", "t", "a", "b", replicates=50).first()
     assert r.replicates == 50 and r.q025 == 0.0 and r.q975 == 0.0
+
+
+def test_bootstrap_metric_differences_identical_predictions(spark):
+    from hydroframe.operators.metrics import bootstrap_metric_differences
+    rows = [("g", i, float(i % 13) + 1.0, float(i % 11) + 0.5, float(i % 11) + 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id long, t double, a double, b double")
+    out = {r.metric: r for r in bootstrap_metric_differences(df, ["g"], "id", "t", "a", "b", replicates=40).collect()}
+    assert set(out) == {"NSE", "KGE", "LogNSE"}
+    assert all(r.replicates == 40 and r.q025 == 0.0 and r.q975 == 0.0 for r in out.values())
