@@ -20,3 +20,19 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "event_count" in df.columns
+
+
+def test_column_types_match_oracle(spark):
+    from tools.compare import duck
+    from tools.types import SPARK_TO_DUCK
+    import __spark_entry__ as E
+    con = duck(SF_SMALL)
+    qs, sql = E.queries(), E.oracle_sql()
+    bad = {}
+    for name, text in sql.items():
+        s = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+             for f in qs[name](spark, SF_SMALL).schema.fields}
+        d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {text}").fetchall()}
+        if s != d:
+            bad[name] = {k: (s.get(k), d.get(k)) for k in set(s) | set(d) if s.get(k) != d.get(k)}
+    assert not bad, bad
