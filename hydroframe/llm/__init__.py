@@ -1 +1,8 @@
 """Operators of a training-data pipeline, each a ``DataFrame -> DataFrame`` function."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

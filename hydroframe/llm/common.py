@@ -33,13 +33,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: cuts lineage, survives lost executors.
 
     Unlike an RDD checkpoint the table is compressed, and later reads prune columns and filter.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

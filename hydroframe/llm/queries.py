@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import quality
-from hydroframe.llm.common import table
+from hydroframe.llm import quality, tokens
+from hydroframe.llm.common import scratch, table
+
+#: Tokenizer file; executors have it at the same place.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), TOKENIZER)
+    return tokens.read_digests(spark, path)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
     "op6_quality_rules": op6_quality_rules,
 }
 
