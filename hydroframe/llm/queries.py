@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import quality, tokens
+from hydroframe.llm import chat, mixing, quality, tokens, urls
 from hydroframe.llm.common import scratch, table
 
 #: Tokenizer file; executors have it at the same place.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Shares of the mixture; all other sources share the rest in proportion to their sizes.
+WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
+MIX_SEED = 17
+
+#: Listed URL rules.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+#: A conversation whose texts hold the template's own marks.
+MARKED = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=MIX_SEED)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), TOKENIZER)
     return tokens.read_digests(spark, path)
@@ -25,9 +40,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    marked = spark.createDataFrame([(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)], c.schema)
+    return chat.digests(chat.examples(c.unionByName(marked)))
+
+
+def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs are labelled bad by the labels of their id: low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judged(pages, URL_RULES, pages.join(bad, "page_id").select("url", "bad"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixture": op1_source_mixture,
     "op4_token_files": op4_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op9_chat_examples": op9_chat_examples,
+    "op10_url_verdicts": op10_url_verdicts,
 }
 
 ORACLE: dict[str, str] = {}
