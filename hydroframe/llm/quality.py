@@ -112,4 +112,6 @@ def judged(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    return judged(docs, [F.col("*")]).where("kept").select("_row.*")
+    d = judged(docs, [F.col("*")]).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    # the row number keeps the filter above the projections: pushed below, it would repeat their expressions
+    return d.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")

@@ -261,6 +261,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order: list[Column]
     return path
 
 
+def file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_place``, by which rows of written Parquet files stand as they were written."""
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+
+
 def _decoder(make, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
