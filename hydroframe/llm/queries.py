@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import chat, decontamination, mixing, near, pii, quality, tokens, urls
+from hydroframe.llm import chat, decontamination, mixing, near, pii, quality, secrets, tokens, urls
 from hydroframe.llm.common import scratch, table
 
 #: Tokenizer file; executors have it at the same place.
@@ -30,6 +30,10 @@ def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=MIX_SEED)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
+    "op2_secrets": op2_secrets,
     "op3_pii": op3_pii,
     "op4_token_files": op4_token_files,
     "op6_quality_rules": op6_quality_rules,
