@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,8 +35,9 @@ BLOCK = 1024
 PERCENTILE = 0.98
 #: A segment is closed when it has so many ids; a document is never split.
 SEGMENT_IDS = 1 << 17
-#: Words whose ids a task keeps; beyond that, further words are encoded again for each chunk of texts.
+#: Words, and pieces of words, whose ids a Python worker keeps; further ones are encoded again for each chunk of texts.
 CACHED_WORDS = 250_000
+CACHED_PIECES = 350_000
 #: Characters that are encoded at once.
 CHUNK_CHARS = 1 << 20
 END_ID = 1
@@ -127,17 +130,18 @@ def unpack(payload: bytes, blocks: range | None = None) -> np.ndarray:
 
 
 class _Cache(dict):
-    """At most ``CACHED_WORDS`` kept entries; the others live until the next chunk."""
+    """At most ``size`` kept entries; the others live until the next chunk."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
+        self.size = size
         self.rest: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         return self.rest[word]
 
     def add(self, found: dict[str, bytes]) -> None:
-        if len(self) + len(found) <= CACHED_WORDS:
+        if len(self) + len(found) <= self.size:
             self.update(found)
             self.rest = {}
         else:
@@ -178,7 +182,7 @@ class _Encoder:
             and said["post_processor"] is None and not any(x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
         )
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words, self.pieces = _Cache(), _Cache()
+        self.words, self.pieces = _Cache(CACHED_WORDS), _Cache(CACHED_PIECES)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -202,6 +206,14 @@ class _Encoder:
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
 
 
+def _worker_encoder(path: str) -> _Encoder:
+    """The worker's encoder: Spark uses a Python worker for many tasks, and what one has looked up serves the next."""
+    held = sys.modules.setdefault("_llm_encoders", types.ModuleType("_llm_encoders")).__dict__
+    if path not in held:
+        held[path] = _Encoder(path)
+    return held[path]
+
+
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
     ids: list[int] = []
     texts: list[str] = []
@@ -222,7 +234,7 @@ def _encoder(tokenizer: str, end_id: int):
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = _Encoder(tokenizer), TaskContext.get().partitionId()
+        words, shard = _worker_encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         first, segment, size, held, docs = 0, 0, 0, [], []
 
