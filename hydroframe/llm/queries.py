@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import chat, decontamination, mixing, near, pii, quality, secrets, tokens, urls
+from hydroframe.llm import chat, decontamination, lm, mixing, near, pii, quality, secrets, tokens, urls
 from hydroframe.llm.common import scratch, table
 
 #: Tokenizer file; executors have it at the same place.
@@ -43,6 +43,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark, path)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.judged(table(spark, sf_dir, "documents"), [F.col("doc_id")])
     return d.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_pii": op3_pii,
     "op4_token_files": op4_token_files,
+    "op5_lm_scores": op5_lm_scores,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
