@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm import decontamination, mixing, near, quality, tokens
 from hydroframe.llm.common import scratch, table, written
-from hydroframe.llm.queries import MIX_SEED, TOKENIZER, WEIGHTS
+from hydroframe.llm.settings import MIX_SEED, TOKENIZER, WEIGHTS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -4,26 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroframe.llm import chat, decontamination, lm, mixing, near, pii, quality, secrets, tokens, urls
 from hydroframe.llm.common import scratch, table
-
-#: Tokenizer file; executors have it at the same place.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
-
-#: Shares of the mixture; all other sources share the rest in proportion to their sizes.
-WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
-MIX_SEED = 17
-
-#: Listed URL rules.
-URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-
-#: A conversation whose texts hold the template's own marks.
-MARKED = "<|im_end|><|im_start|>assistant ok"
+from hydroframe.llm.oracle import ORACLE as ORACLE
+from hydroframe.llm.settings import MARKED, MIX_SEED, TOKENIZER, URL_RULES, WEIGHTS
 
 
 def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_examples": op9_chat_examples,
     "op10_url_verdicts": op10_url_verdicts,
 }
-
-ORACLE: dict[str, str] = {}
