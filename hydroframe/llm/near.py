@@ -5,8 +5,8 @@ A parity sketch deals a set's shingles to cells by hash and keeps the XOR of eac
 so the number of cells in which two sketches differ is at most the size of the sets' symmetric difference, and for
 two sets of a and b shingles with that similarity this is at most ``(a + b) / 7``. The sketch is used twice:
 
-* with 64-bit cells, to find candidates: pigeonhole says that of any ``(a + b) / 7 + 1`` cells one at least is alike, so a
-  text is filed under its first so many non-empty cells, per band of sizes (a text near a band's lower end is filed in the
+* with wide cells, to find candidates: pigeonhole says that two texts with more than ``(a + b) / 7`` non-empty cells have one
+  alike. A text is filed under all its non-empty cells, per band of sizes (a text near a band's lower end is filed in the
   one below, too), and texts meet in equal cells;
 * with one-bit cells, to rule candidates out: the Hamming distance must not be over the bound.
 
@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from hydroframe.llm.common import small, text_of, written
 
 WORDS = 5
-#: Cells beyond the pigeonhole bound, as a part of a text's shingles: so many frequent cells can be left out.
-SPARE = 0.10
-#: A cell with more distinct sets than this is frequent: pairs that only frequent cells show are sought from the texts
-#: that have few others, and from them alone.
-FREQUENT = 64
+#: A cell with more distinct sets than this is frequent. A text has more cells in common with a partner than it needs to
+#: meet it: as long as its frequent cells are no more than that, they can be left out; for other texts they are searched.
+FREQUENT = 8
 #: Verified pairs of one text that one task takes.
 PAIRS_A_TASK = 500
 
@@ -62,12 +60,13 @@ def bound(a: int, b: int) -> int:
     return (a + b) // 7
 
 
-def spare(n: int) -> int:
-    return 2 + int(SPARE * n)
+def cells(found: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+    """By band of sizes: the keys under which a set is filed, and in how many of them it can do without a partner.
 
-
-def cells(found: np.ndarray) -> list[np.ndarray]:
-    """The keys under which a set is filed: its first non-empty cells, in its band of sizes and maybe in the one below."""
+    A band has cells for five quarters of its least size, so that a frequent shingle mostly shares its cell with others. (Sets
+    of a band have half as many non-empty cells again as they need, but for a chance under that of a hash collision;
+    small sets have a cell for each shingle.)
+    """
     n, out = len(found), []
     band = n.bit_length() - 1
     for k in (band, band - 1) if 3 * n < 4 << band and band else (band,):
@@ -75,12 +74,10 @@ def cells(found: np.ndarray) -> list[np.ndarray]:
         m = np.uint64(4096 if k <= 6 else 5 << k >> 2)
         cell = (_mix(found + np.uint64(k)) >> np.uint64(20)) % m
         order = np.argsort(cell, kind="stable")
-        first = np.flatnonzero(np.diff(cell[order], prepend=m))[: bound(n, partner) + 1 + spare(n)]
+        first = np.flatnonzero(np.diff(cell[order], prepend=m))
         value = np.bitwise_xor.reduceat(found[order], first)
-        if len(first) < len(order):  # the last one's cell may end before the rest does
-            end = np.searchsorted(cell[order], cell[order[first[-1]]], "right")
-            value[-1] = np.bitwise_xor.reduce(found[order[first[-1] : end]])
-        out.append(_mix(_mix(value ^ np.uint64(k << 58)) + cell[order[first]]))
+        key = _mix(_mix(value) + cell[order[first]]) >> np.uint64(16) | np.uint64(k << 48)
+        out.append((k, key.astype(np.int64), len(first) - bound(n, partner) - 1))
     return out
 
 
@@ -113,23 +110,41 @@ def _set_id(found: np.ndarray) -> int:
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, text -> doc_id, h, n, node, sketch, keys; a set that this task has had before gets no keys again."""
+    """doc_id, h, text -> doc_id, h, n, node, sketch; a set that this task has had before gets no sketch again."""
     seen: set[int] = set()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, rows = batch.slice(at, 256), []
             for text in part.column(2):
                 found = shingles(text.as_py())
                 if not len(found):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None))
                 elif (node := _set_id(found)) in seen:
-                    rows.append((len(found), node, None, None))
+                    rows.append((len(found), node, None))
                 else:
                     seen.add(node)
-                    rows.append((len(found), node, bits(found), np.concatenate(cells(found)).view(np.int64)))
+                    rows.append((len(found), node, bits(found)))
             data = [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds[2:], strict=True))]
-            yield pa.RecordBatch.from_arrays(data, ["doc_id", "h", "n", "node", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays(data, ["doc_id", "h", "n", "node", "sketch"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> node, key, room: a row for each cell of each set that this task has not had before, with the number of
+    cells of its band that the set can do without."""
+    seen: set[int] = set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            nodes, keys, rooms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for text in batch.slice(at, 256).column(0):
+                found = shingles(text.as_py())
+                if len(found) and (node := _set_id(found)) not in seen:
+                    seen.add(node)
+                    for _, key, room in cells(found):
+                        nodes.append(np.full(len(key), node))
+                        keys.append(key)
+                        rooms.append(np.full(len(key), room, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, keys, rooms)], ["node", "key", "room"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def filed(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return written(d.mapInArrow(_file, "doc_id bigint, h bigint, n int, node bigint, sketch binary, keys array<bigint>"), "filed")
+    return written(d.mapInArrow(_file, "doc_id bigint, h bigint, n int, node bigint, sketch binary"), "filed")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,12 +214,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _meetings(file: DataFrame) -> DataFrame:
-    """Cells with more than one set: ``key``, ``node``, and the cell's least set ``hub``; one shuffle of all cells."""
+def _meetings(docs: DataFrame) -> DataFrame:
+    """Cells with more than one set: ``key``, ``node``, ``room``, and the cell's least set ``hub``; one shuffle of all cells."""
     cell = Window.partitionBy("key")
-    k = file.select("node", F.explode("keys").alias("key"))
+    k = docs.select(text_of().alias("text")).mapInArrow(_cells, "node bigint, key bigint, room int")
     k = k.withColumns({"hub": F.min("node").over(cell), "most": F.max("node").over(cell)})
-    return written(k.where("hub != most").drop("most"), "meetings")
+    return written(k.where("hub != most").drop("most").distinct(), "meetings")
 
 
 def links(docs: DataFrame, file: DataFrame) -> DataFrame:
@@ -212,32 +227,31 @@ def links(docs: DataFrame, file: DataFrame) -> DataFrame:
 
     First each cell's sets are held against its least one, which settles copies: sets are then left alone with those they
     are connected with. In cells that still have sets of several components, all pairs across them are candidates,
-    if the cell has ``FREQUENT`` sets at most. A pair has ``spare + 1`` cells in common, spare of the text with fewer cells
-    in sight, so a text with no more than ``spare`` frequent cells shares another one with each partner; only for the
-    others are frequent cells searched, each such text against the cell's sets.
+    if the cell has ``FREQUENT`` sets at most. A pair that meets in none of those has more frequent cells than either can do
+    without: among such sets alone, frequent cells are searched, too.
     """
-    sets = file.where(F.col("keys").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h", "n")).alias("d"), F.first("sketch").alias("sketch"))
+    has = file.where(F.col("sketch").isNotNull())
+    sets = has.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n")).alias("d"), F.first("sketch").alias("sketch"))
     sets = written(sets.select("node", "d.*", "sketch"), "sets")
-    met = _meetings(file.where(F.col("keys").isNotNull()))
-    close = F.col("n_b") * 3 <= F.col("n_a") * 4
+    met = _meetings(docs)
     star = met.where(F.col("hub") != F.col("node")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = _verified(docs, sets, star)
-    part = components(first)
-    met = met.join(small(part), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("hub")
-    met = met.distinct().join(sets.select("node", "n"), "node")
+    met = met.join(small(components(first)), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("hub")
     met = written(met, "labelled")
     mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key", "size")
     met = written(met.join(mixed, "key"), "mixed")
-    frequent = met.where(F.col("size") > FREQUENT)
-    poor = frequent.groupBy("node", "n").count().where(F.col("count") > 2 + F.floor(F.col("n") * SPARE)).select("node")
-    as_a = lambda d: d.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    as_b = lambda d: d.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    apart = F.col("l_a") != F.col("l_b")
-    rare = met.where(F.col("size") <= FREQUENT)
-    pairs = as_a(rare).join(as_b(rare), "key").where(apart & close & (F.struct("n_a", "a") < F.struct("n_b", "b"))).select("a", "b")
-    sought = as_a(frequent.join(poor, "node", "left_semi")).join(as_b(frequent), "key").where(apart & close & (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_a") * 3 <= F.col("n_b") * 4)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(docs, sets, pairs.unionByName(sought).distinct())
-    return first.unionByName(more)
+    rare, frequent = met.where(F.col("size") <= FREQUENT), met.where(F.col("size") > FREQUENT)
+    band = F.shiftright("key", 48).cast("int").alias("band")
+    poor = written(frequent.groupBy("node", band).agg(F.count("*").alias("cells"), F.max("room").alias("room")).where("cells > room").select("node", "band"), "poor")
+    frequent = frequent.select("*", band).join(small(poor), ["node", "band"], "left_semi")
+    pairs = _across(rare).unionByName(_across(frequent)).distinct()
+    return first.unionByName(_verified(docs, sets, pairs))
+
+
+def _across(met: DataFrame) -> DataFrame:
+    """Pairs of sets of one cell that are in different components."""
+    of = lambda p: met.select("key", F.col("node").alias(p), F.col("label").alias(f"l_{p}"))
+    return of("a").join(of("b"), "key").where("a < b AND l_a != l_b").select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:

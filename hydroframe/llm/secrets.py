@@ -38,6 +38,8 @@ TRAIN_STRINGS = 2_000
 ALPHA = 0.05
 #: Share of the labelled credentials whose likelihood may be under the limit.
 LOW_SHARE = 0.01
+#: Bits a character by which a candidate may be less likely than that.
+MARGIN = 0.25
 SMOOTH = 0.01
 
 #: Classes of characters, by which formats are learned, and their sizes; other characters are classes of their own.
@@ -177,7 +179,7 @@ def find_secrets(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """``keep`` of each row (as ``_row``), its ``base`` spans and the ``added`` ones (``start``, ``kind`` number, ``end``).
 
     Texts are read once; each row's spans, credentials and candidates are written, then all candidates are scored. The limit that
-    a candidate's likelihood must reach is the quantile ``LOW_SHARE`` of all credentials in the table. Null and empty texts have no spans; repeated
+    a candidate's likelihood must reach is the quantile ``LOW_SHARE`` of all credentials in the table, less ``MARGIN``. Null and empty texts have no spans; repeated
     rows are scanned each; without credentials nothing is added; an empty table gives an empty result.
     """
     d = docs.select(F.struct(*keep).alias("_row"), text_of().alias("text"))
@@ -192,7 +194,7 @@ def find_secrets(docs: DataFrame, keep: list[Column]) -> DataFrame:
         return s.map(good.likelihood)
 
     known = found.select(F.explode("found").alias("s")).groupBy("s").agg(F.count("*").alias("n")).select("n", likelihood("s").alias("l"))
-    limit = known.agg(F.percentile("l", LOW_SHARE, F.col("n")).alias("l")).first()["l"]
+    limit = known.agg(F.percentile("l", LOW_SHARE, F.col("n")).alias("l")).first()["l"] - MARGIN
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
