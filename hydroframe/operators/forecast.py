@@ -8,6 +8,8 @@ A5/A6 — all Spark jobs; the fit is MLlib's distributed optimiser.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +68,9 @@ def sweep(spark: SparkSession, scaled: DataFrame, features: list[str], target: s
             m = hydro_metrics(pred.filter(F.col("split") == "val"), ["split"]).first()
             rows.append((cell.study_name, cell.model, cell.period, cell.lookback, cell.horizon, "success",
                          m["NSE"], m["KGE"], m["MAE"], None))
-        except Exception as e:  # noqa: BLE001 - the sweep records failures as rows
+        except (PySparkException, Py4JJavaError, ArithmeticError) as e:  # a cell that cannot be fitted is a row; our own errors are raised
             rows.append((cell.study_name, cell.model, cell.period, cell.lookback, cell.horizon, "failed",
-                         None, None, None, str(e)[:500]))
+                         None, None, None, str(e)))
     schema = ("study_name string, model string, period string, lookback int, horizon int, status string, "
               "nse double, kge double, mae double, error string")
     return spark.createDataFrame(rows, schema)

@@ -62,9 +62,9 @@ def top_in_map(m, k: int = 3):
 
 
 def attention_cells(df: DataFrame, study: str = "study", matrix: str = "attention",
-                    max_samples: int | None = 32) -> DataFrame:
-    """K11 + flatten: (study, sample_pos, lag, value) from an ARRAY<ARRAY<DOUBLE>>; only the
-    first ``max_samples`` samples by explicit position; NaN → null."""
+                    max_samples: int | None = None) -> DataFrame:
+    """Flatten: (study, sample_pos, lag, value) from an ARRAY<ARRAY<DOUBLE>>, all samples; NaN → null.
+    K11: with ``max_samples``, the head by explicit position (for display, not for means)."""
     s = df.select(study, F.posexplode(matrix).alias("sample_pos", "row"))
     if max_samples is not None:
         s = s.filter(F.col("sample_pos") < max_samples)
@@ -73,8 +73,9 @@ def attention_cells(df: DataFrame, study: str = "study", matrix: str = "attentio
 
 
 def attention_cells_long(df: DataFrame, study: str = "study", sample_col: str = "sample_pos",
-                         row_col: str = "attention_row", max_samples: int | None = 32) -> DataFrame:
-    """K11 + flatten for matrices stored one sample per row (study, sample_pos, ARRAY<DOUBLE>)."""
+                         row_col: str = "attention_row", max_samples: int | None = None) -> DataFrame:
+    """Flatten for matrices stored one sample per row (study, sample_pos, ARRAY<DOUBLE>), all samples;
+    K11: with ``max_samples``, the head."""
     s = df if max_samples is None else df.filter(F.col(sample_col) < max_samples)
     c = s.select(study, F.col(sample_col).alias("sample_pos"), F.posexplode(row_col).alias("lag", "value"))
     return c.withColumn("value", nan_to_null(F.col("value").cast("double")))

@@ -86,19 +86,25 @@ def persistence_forecast(daily: DataFrame, horizon: int, key: str = "station_id"
 
 # ---- bootstrap intervals (documented extra) ---------------------------------------------
 
-_LCG_A, _LCG_C, _LCG_M = 1103515245, 12345, 2 ** 31  # Fixed values: linear congruential constants.
-
-
-def poisson1_thresholds(k_max: int = 12) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(K ≤ k), k = 0..k_max (rule: e^-1 Σ 1/i!)."""
+def poisson1_thresholds() -> list[float]:
+    """Cumulative Poisson(1) probabilities P(K ≤ k), k = 0, 1, … (rule: e^-1 Σ 1/i!), to the end of
+    double precision: the next term would not change the sum."""
     import math
-    out, acc = [], 0.0
-    for k in range(k_max + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
+    out, term, acc = [], math.exp(-1.0), 0.0
+    while acc + term > acc:
+        acc += term
         out.append(acc)
+        term /= len(out)
     return out
 
 
+def replicate_weight(block: Column, replicate: Column, seed: int) -> Column:
+    """Poisson(1) weight of a block in a replicate, from 48 bits of md5 over seed, block and replicate:
+    weights of two replicates, and of two blocks, are independent."""
+    text = F.concat_ws(":", F.lit(str(seed)), block.cast("string"), replicate.cast("string"))
+    return poisson1_weight(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12)))
+
+
 def poisson1_weight(u: Column) -> Column:
     """Inverse CDF of Poisson(1) for a uniform ``u`` in [0, 1)."""
     th = poisson1_thresholds()
@@ -108,28 +114,27 @@ def poisson1_weight(u: Column) -> Column:
     return expr.otherwise(F.lit(len(th)))
 
 
-def bootstrap_nse_difference(df: DataFrame, keys: list[str], row_id: str, y_true: str, pred_a: str, pred_b: str,
+def _replicates(blocks: DataFrame, keys: list[str], sums: list[str], replicates: int, seed: int) -> DataFrame:
+    """Per group and replicate the weighted sums over blocks: one row per block is repeated, not the data."""
+    e = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    e = e.withColumn("_w", replicate_weight(F.col("_block"), F.col("replicate"), seed).cast("double"))
+    return e.groupBy(*keys, "replicate").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in sums])
+
+
+def bootstrap_nse_difference(df: DataFrame, keys: list[str], block: str, y_true: str, pred_a: str, pred_b: str,
                              replicates: int = 1000, seed: int = 0,
                              quantiles=(0.025, 0.5, 0.975)) -> DataFrame:
-    """Documented extra: bootstrap interval of NSE(a) − NSE(b) per group, Poisson(1) weights.
+    """Documented extra: block bootstrap interval of NSE(a) − NSE(b) per group, Poisson(1) weights.
 
-    Each row is repeated once per replicate by a generator (``explode``), its weight drawn from a
-    deterministic integer generator on (row id, replicate, seed); the weighted sufficient
-    statistics are partial aggregates per (group, replicate) — map-side combined, so the shuffle
-    carries groups × replicates rows, not rows × replicates. The percentiles run over the
-    replicate values of each group.
+    Rows of one ``block`` value (a station-month, a run of orders) are drawn together, which keeps
+    their autocorrelation. Each block is summed up to one row of sufficient statistics; blocks, not
+    rows, are repeated per replicate, and their weighted sums are partial aggregates.
     """
     t, a, b = (F.col(c).cast("double") for c in (y_true, pred_a, pred_b))
-    rid = F.pmod(F.col(row_id).cast("long"), F.lit(_LCG_M))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    d = df.select(*keys, rid.alias("_id"), t.alias("_t"), a.alias("_a"), b.alias("_b"), rep)
-    u = F.pmod(F.col("_id") * _LCG_A + F.col("replicate") * _LCG_C + F.lit(seed), F.lit(_LCG_M)) / F.lit(float(_LCG_M))
-    d = d.withColumn("_w", poisson1_weight(u).cast("double"))
-    w, tt = F.col("_w"), F.col("_t")
-    g = d.groupBy(*keys, "replicate").agg(
-        F.sum(w).alias("sw"), F.sum(w * tt).alias("swt"), F.sum(w * tt * tt).alias("swt2"),
-        F.sum(w * (tt - F.col("_a")) * (tt - F.col("_a"))).alias("sa"),
-        F.sum(w * (tt - F.col("_b")) * (tt - F.col("_b"))).alias("sb"))
+    blocks = df.groupBy(*keys, F.col(block).alias("_block")).agg(
+        F.count(F.lit(1)).cast("double").alias("sw"), F.sum(t).alias("swt"), F.sum(t * t).alias("swt2"),
+        F.sum((t - a) * (t - a)).alias("sa"), F.sum((t - b) * (t - b)).alias("sb"))
+    g = _replicates(blocks, keys, ["sw", "swt", "swt2", "sa", "sb"], replicates, seed)
     sst = F.col("swt2") - F.col("swt") * F.col("swt") / F.col("sw")
     nse_a = F.when(sst > 0, F.lit(1.0) - F.col("sa") / sst).otherwise(F.lit(0.0))
     nse_b = F.when(sst > 0, F.lit(1.0) - F.col("sb") / sst).otherwise(F.lit(0.0))
@@ -139,40 +144,35 @@ def bootstrap_nse_difference(df: DataFrame, keys: list[str], row_id: str, y_true
                                           for i, p in enumerate(quantiles)])
 
 
-def bootstrap_metric_differences(df: DataFrame, keys: list[str], row_id: str, y_true: str, pred_a: str,
+def bootstrap_metric_differences(df: DataFrame, keys: list[str], block: str, y_true: str, pred_a: str,
                                  pred_b: str, replicates: int = 1000, seed: int = 0,
                                  quantiles=(0.025, 0.5, 0.975), eps_log: float = 1e-6) -> DataFrame:
     """Documented extra: bootstrap intervals of the differences (a − b) in NSE, KGE and LogNSE per
-    group, one output row per group and metric. Same Poisson(1) replicate weights as
+    group, one output row per group and metric. Same blocks and Poisson(1) replicate weights as
     ``bootstrap_nse_difference``; every metric comes from weighted sufficient statistics (sums of
-    w, w·y, w·y², w·y·ŷ, … per group and replicate), so the shuffle carries groups × replicates
-    rows. KGE uses weighted population moments; correlation is 0 when the weight sum is ≤ 1 and
+    w, w·y, w·y², w·y·ŷ, … per block, then per group and replicate). KGE uses weighted population moments; correlation is 0 when the weight sum is ≤ 1 and
     null for a constant series, as in A5."""
     cols = {"t": F.col(y_true).cast("double"), "a": F.col(pred_a).cast("double"), "b": F.col(pred_b).cast("double")}
-    rid = F.pmod(F.col(row_id).cast("long"), F.lit(_LCG_M))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    d = df.select(*keys, rid.alias("_id"), *[c.alias(f"_{n}") for n, c in cols.items()], rep)
+    d = df.select(*keys, F.col(block).alias("_block"), *[c.alias(f"_{n}") for n, c in cols.items()])
     for n in ("t", "a", "b"):
         d = d.withColumn(f"_l{n}", log_clipped(F.col(f"_{n}"), eps_log))
-    u = F.pmod(F.col("_id") * _LCG_A + F.col("replicate") * _LCG_C + F.lit(seed), F.lit(_LCG_M)) / F.lit(float(_LCG_M))
-    d = d.withColumn("_w", poisson1_weight(u).cast("double"))
-    w = F.col("_w")
 
-    def s(*names):  # weighted sum of a product of columns
-        e = w
+    def s(*names):  # sum of a product of columns
+        e = F.lit(1.0)
         for n in names:
             e = e * F.col(n)
         return F.sum(e)
-    aggs = [F.sum(w).alias("sw")]
+    aggs = [s().alias("sw")]
     for pre in ("", "l"):  # raw and log space
         t = f"_{pre}t"
         aggs += [s(t).alias(f"{pre}st"), s(t, t).alias(f"{pre}stt")]
         for m in ("a", "b"):
             p = f"_{pre}{m}"
-            aggs += [F.sum(w * (F.col(t) - F.col(p)) * (F.col(t) - F.col(p))).alias(f"{pre}r{m}")]
+            aggs += [F.sum((F.col(t) - F.col(p)) * (F.col(t) - F.col(p))).alias(f"{pre}r{m}")]
             if pre == "":
                 aggs += [s(p).alias(f"s{m}"), s(p, p).alias(f"s{m}{m}"), s(t, p).alias(f"st{m}")]
-    g = d.groupBy(*keys, "replicate").agg(*aggs)
+    blocks = d.groupBy(*keys, "_block").agg(*aggs)
+    g = _replicates(blocks, keys, [c for c in blocks.columns if c not in (*keys, "_block")], replicates, seed)
     sw = F.col("sw")
 
     def nse(pre, m):

@@ -346,7 +346,7 @@ def training_ready(df: DataFrame, target: str = "streamflow_m3s", features=RECOM
 
 
 def feature_roles(df: DataFrame, known=("time_idx", "oni", "month_sin", "month_cos"),
-                  exclude=("time_idx", "year", "month", "day")) -> dict[str, list[str]]:
+                  exclude=("time_idx", "year", "month", "day", "qual_control_by_ana", "qual_flag")) -> dict[str, list[str]]:
     """Driver-side role lists from the schema (no data read)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     static = [c for c in fields if c.startswith("static_")]

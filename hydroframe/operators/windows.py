@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import log1p_clipped
-from hydroframe.operators.prepare import period_label
+from hydroframe.operators.prepare import RECOMMENDED_DYNAMIC_FEATURES, period_label
 from hydroframe.operators.scan import blocked_scan
 
 KEY = "station_id"
@@ -175,7 +175,8 @@ def monthly_window_grid(df: DataFrame, window_min_months: int = 1, window_max_mo
                         require_complete_data: bool = True, date_col: str = "date") -> DataFrame:
     """For every target month (month whose first non-null period is a target period, A9)
     and every window length 1..24 months: row and missing-value counts of the input months and
-    the target month, and candidate flags (trap T13).
+    the target month, and candidate flags (trap T13). ``required_columns`` (default: the target and the
+    recommended dynamic features; those present count) must have no null in a candidate.
 
     Not a theta join over days: days are first aggregated per (station, month); each target
     month × window × month-offset is an exploded row that equi-joins the month table.
@@ -184,7 +185,8 @@ def monthly_window_grid(df: DataFrame, window_min_months: int = 1, window_max_mo
         raise ValueError("window_min_months must be >= 1")
     if window_max_months < window_min_months:
         raise ValueError("window_max_months must be >= window_min_months")
-    req = [c for c in (required_columns or []) if c in df.columns]
+    wanted = ["streamflow_m3s", *RECOMMENDED_DYNAMIC_FEATURES] if required_columns is None else required_columns
+    req = [c for c in wanted if c in df.columns]
     miss = sum((F.col(c).isNull().cast("long") for c in req), F.lit(0).cast("long"))
     ms = F.trunc(F.col(date_col), "MM")
     months = df.groupBy(KEY, ms.alias("month_start")).agg(

@@ -147,33 +147,23 @@ def gauge_attributes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def station_attribute_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Attribute tables per station (= nation): the attributes of its lowest-key supplier.
-    The quality table only lists nations with at least two suppliers (an inner join drops the
-    rest); the location table only nations whose suppliers' mean balance is positive."""
+    """Attribute tables per station (= nation): over all its suppliers, the mean of each number and the
+    least text."""
     g = gauge_attributes(spark, sf_dir)
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gauge_id"),
-                                                  F.col("s_suppkey").alias("_k"),
-                                                  F.col("s_nationkey").cast("string").alias(KEY), "s_acctbal")
+                                                  F.col("s_nationkey").cast("string").alias(KEY))
     out = {}
-    for name, t in g.items():
-        if name not in ("human_intervention", "quality_check", "location", "land_cover"):
-            continue
-        cols = [c for c in t.columns if c != "gauge_id"]
-        j = t.join(sup, "gauge_id", "inner")
-        agg = j.groupBy(KEY).agg(*[F.min_by(c, "_k").alias(c) for c in cols],
-                                 F.count(F.lit(1)).alias("_n"), F.avg("s_acctbal").alias("_bal"))
-        if name == "quality_check":
-            agg = agg.filter(F.col("_n") >= 2)
-        if name == "location":
-            agg = agg.filter(F.col("_bal") > 0)
-        out[name] = agg.drop("_n", "_bal")
+    for name in ("human_intervention", "quality_check", "location", "land_cover"):
+        t = g[name]
+        one = [(F.min(c) if kind == "string" else F.avg(c)).alias(c) for c, kind in t.dtypes if c != "gauge_id"]
+        out[name] = t.join(sup, "gauge_id", "inner").groupBy(KEY).agg(*one)
     return out
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily-file listing stand-in: one file ``<gauge>_<variable>.txt`` per supplier and return
-    flag/line status class seen on its large lines (quantity > 45)."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 45)
+    flag/line status class seen on its lines."""
+    li = table(spark, sf_dir, "lineitem")
     var = (F.when((F.col("l_returnflag") == "A"), F.lit("precipitation"))
             .when(F.col("l_returnflag") == "R", F.lit("temperature"))
             .when(F.col("l_linestatus") == "F", F.lit("actual_evapotransp"))

@@ -366,20 +366,19 @@ ga AS (SELECT gauge_id, k, s_acctbal, CAST(s_nationkey AS VARCHAR) AS station_id
 
 INTERVENTION = f"""
 {GAUGE_BASE},
-sfirst AS (SELECT station_id, arg_min(consumptive_use_perc, k) AS consumptive_use_perc,
-                  arg_min(regulation_degree, k) AS regulation_degree, arg_min(reservoirs_vol, k) AS reservoirs_vol,
-                  arg_min(q_quality_control_perc, k) AS q_quality_control_perc,
-                  arg_min(gauge_name, k) AS gauge_name, arg_min(gauge_lat, k) AS gauge_lat,
-                  arg_min(forest_perc, k) AS forest_perc, arg_min(crop_perc, k) AS crop_perc,
-                  arg_min(imperv_perc, k) AS imperv_perc, arg_min(dom_land_cover, k) AS dom_land_cover,
-                  COUNT(*) AS n, AVG(s_acctbal) AS bal
+sfirst AS (SELECT station_id, AVG(consumptive_use_perc) AS consumptive_use_perc,
+                  AVG(regulation_degree) AS regulation_degree, AVG(reservoirs_vol) AS reservoirs_vol,
+                  AVG(q_quality_control_perc) AS q_quality_control_perc,
+                  MIN(gauge_name) AS gauge_name, AVG(gauge_lat) AS gauge_lat,
+                  AVG(forest_perc) AS forest_perc, AVG(crop_perc) AS crop_perc,
+                  AVG(imperv_perc) AS imperv_perc, MIN(dom_land_cover) AS dom_land_cover
            FROM ga GROUP BY 1),
-hi AS (SELECT h.station_id, COALESCE(CASE WHEN h.bal > 0 THEN h.gauge_name END, '') AS gauge_name,
+hi AS (SELECT h.station_id, COALESCE(h.gauge_name, '') AS gauge_name,
               h.q_quality_control_perc, h.consumptive_use_perc, h.regulation_degree, h.reservoirs_vol,
               h.forest_perc, h.crop_perc, h.imperv_perc, h.dom_land_cover,
               h.q_quality_control_perc >= 95.0 AS q_quality_ok, h.consumptive_use_perc <= 0.2 AS consumptive_ok,
               h.regulation_degree <= 0.01 AS regulation_ok, h.reservoirs_vol <= 0.0 AS reservoir_ok
-       FROM sfirst h WHERE h.n >= 2),
+       FROM sfirst h),
 iv AS (SELECT CAST(n.n_nationkey AS VARCHAR) AS station_id, hi.station_id IS NOT NULL AS attribute_found,
               hi.* EXCLUDE (station_id),
               COALESCE(q_quality_ok AND consumptive_ok AND regulation_ok AND reservoir_ok, false) AS human_intervention_ready
@@ -424,7 +423,7 @@ AVAIL = """
 files AS (SELECT DISTINCT printf('%d_%s.txt', l_suppkey,
                  CASE WHEN l_returnflag = 'A' THEN 'precipitation' WHEN l_returnflag = 'R' THEN 'temperature'
                       WHEN l_linestatus = 'F' THEN 'actual_evapotransp' ELSE 'streamflow_m3s' END) AS file_name
-          FROM lineitem WHERE l_quantity > 45),
+          FROM lineitem),
 av0 AS (SELECT file_name, CASE WHEN ends_with(file_name, '_precipitation.txt') THEN '_precipitation.txt'
                                WHEN ends_with(file_name, '_temperature.txt') THEN '_temperature.txt'
                                WHEN ends_with(file_name, '_actual_evapotransp.txt') THEN '_actual_evapotransp.txt'
@@ -807,12 +806,17 @@ ATT = """
 emb AS (SELECT printf('study_%d', label) AS study, vec_id, embedding,
                row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sample_pos FROM embeddings),
 cells0 AS (SELECT study, sample_pos, unnest(range(len(embedding))) AS lag0, unnest(embedding) AS value0
-           FROM emb WHERE sample_pos < 32),
+           FROM emb),
 cells AS (SELECT study, sample_pos, CAST(lag0 AS INTEGER) AS lag, CAST(value0 AS DOUBLE) AS value FROM cells0),
 mal AS (SELECT study, lag, AVG(CASE WHEN isnan(value) THEN NULL ELSE value END) AS mean_attention FROM cells GROUP BY 1, 2)
 """
 ORACLE["attention_per_lag"] = f"WITH {ATT} SELECT study, lag, {rnd(['mean_attention'])} FROM mal"
 
+ORACLE["attention_head"] = f"""
+WITH {ATT} SELECT study, sample_pos, lag, round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) + 0.0 AS value
+FROM cells WHERE sample_pos < 32
+"""
+
 ORACLE["attention_smoothed"] = f"""
 WITH {ATT},
 nn AS (SELECT study, MAX(lag) + 1 AS n FROM mal GROUP BY 1),
@@ -911,11 +915,13 @@ from hydroframe.operators.metrics import poisson1_thresholds as _p1  # noqa: E40
 
 _CASE = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate(_p1())) + f" ELSE {len(_p1())} END"
 ORACLE["bootstrap_nse_difference"] = """
-WITH b AS (SELECT l.l_returnflag AS "group", (l.l_orderkey * 8 + l.l_linenumber) % 2147483648 AS id,
+WITH b AS (SELECT l.l_returnflag AS "group", CAST(floor(l.l_orderkey / 64) AS BIGINT) AS block,
                   l.l_extendedprice AS t, l.l_quantity * p.p_retailprice AS a, l.l_extendedprice * (1.0 - l.l_discount) AS bb
            FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 r AS (SELECT b.*, rep.replicate FROM b CROSS JOIN (SELECT unnest(range(1000)) AS replicate) rep),
-u AS (SELECT *, CAST(((id * 1103515245 + replicate * 12345 + 7) % 2147483648) AS DOUBLE) / 2147483648.0 AS u FROM r),
+bu AS (SELECT block, replicate, ('0x' || substr(md5('7:' || block || ':' || replicate), 1, 12))::BIGINT / 281474976710656.0 AS u
+       FROM (SELECT DISTINCT block FROM b) CROSS JOIN (SELECT unnest(range(1000)) AS replicate)),
+u AS (SELECT r.*, bu.u FROM r JOIN bu USING (block, replicate)),
 w AS (SELECT *, CAST(""" + _CASE + """ AS DOUBLE) AS w FROM u),
 g AS (SELECT "group", replicate, SUM(w) AS sw, SUM(w * t) AS swt, SUM(w * t * t) AS swt2,
              SUM(w * (t - a) * (t - a)) AS sa, SUM(w * (t - bb) * (t - bb)) AS sb FROM w GROUP BY 1, 2),
@@ -953,11 +959,13 @@ FROM j JOIN mx USING (variable)
 """
 
 ORACLE["bootstrap_metric_differences"] = """
-WITH b AS (SELECT l.l_returnflag AS "group", (l.l_orderkey * 8 + l.l_linenumber) % 2147483648 AS id,
+WITH b AS (SELECT l.l_returnflag AS "group", CAST(floor(l.l_orderkey / 64) AS BIGINT) AS block,
                   l.l_extendedprice AS t, l.l_quantity * p.p_retailprice AS a, l.l_extendedprice * (1.0 - l.l_discount) AS bb
            FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 r AS (SELECT b.*, rep.replicate FROM b CROSS JOIN (SELECT unnest(range(1000)) AS replicate) rep),
-u AS (SELECT *, CAST(((id * 1103515245 + replicate * 12345 + 7) % 2147483648) AS DOUBLE) / 2147483648.0 AS u FROM r),
+bu AS (SELECT block, replicate, ('0x' || substr(md5('7:' || block || ':' || replicate), 1, 12))::BIGINT / 281474976710656.0 AS u
+       FROM (SELECT DISTINCT block FROM b) CROSS JOIN (SELECT unnest(range(1000)) AS replicate)),
+u AS (SELECT r.*, bu.u FROM r JOIN bu USING (block, replicate)),
 w AS (SELECT *, CAST(""" + _CASE + """ AS DOUBLE) AS w, ln(greatest(t, 1e-6)) AS lt, ln(greatest(a, 1e-6)) AS la,
              ln(greatest(bb, 1e-6)) AS lb FROM u),
 g AS (SELECT "group", replicate, SUM(w) AS sw,

@@ -500,20 +500,26 @@ def q_importance_top_in_map(spark, d):
     return finish(t.select("event_id", "pos", F.col("e.key").alias("feature"), F.col("e.value").alias("score")))
 
 
-def attention(spark, d):
-    """Sample position per study by vec_id (blocked scan), then the first 32 samples."""
+def attention(spark, d, max_samples=None):
+    """Cells of all samples, with the sample position per study by vec_id (blocked scan)."""
     from hydroframe.operators.scan import blocked_scan
     a = B.attention_rows(spark, d)
     a = blocked_scan(a, ["study"], "vec_id", pos="sample_pos", block=F.floor(F.col("vec_id") / 4096))
-    return I.attention_cells_long(a, "study", "sample_pos", "attention_row", 32)
+    return I.attention_cells_long(a, "study", "sample_pos", "attention_row", max_samples)
 
 
 @register("attention_per_lag")
 def q_attention_per_lag(spark, d):
-    """Mean attention per lag over the first 32 samples of each study."""
+    """Mean attention per lag over all samples of each study."""
     return finish(I.mean_attention_per_lag(attention(spark, d)))
 
 
+@register("attention_head")
+def q_attention_head(spark, d):
+    """The first 32 samples of each study, as the picture of the matrix shows them."""
+    return finish(attention(spark, d, 32))
+
+
 @register("attention_smoothed")
 def q_attention_smoothed(spark, d):
     """Lag binning and Gaussian smoothing of the mean attention."""
@@ -593,10 +599,10 @@ def q_bootstrap_nse_difference(spark, d):
                                                "l_quantity", "l_discount", "l_returnflag")
     part = B.table(spark, d, "part").select("p_partkey", "p_retailprice")
     j = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
-        F.col("l_returnflag").alias("group"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        F.col("l_returnflag").alias("group"), F.floor(F.col("l_orderkey") / 64).alias("block"),
         F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
-    return finish(M.bootstrap_nse_difference(j, ["group"], "row_id", "y_true", "pred_a", "pred_b", 1000, 7))
+    return finish(M.bootstrap_nse_difference(j, ["group"], "block", "y_true", "pred_a", "pred_b", 1000, 7))
 
 
 @register("encoder_series_scaled")
@@ -622,7 +628,7 @@ def q_bootstrap_metric_differences(spark, d):
                                                "l_quantity", "l_discount", "l_returnflag")
     part = B.table(spark, d, "part").select("p_partkey", "p_retailprice")
     j = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
-        F.col("l_returnflag").alias("group"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        F.col("l_returnflag").alias("group"), F.floor(F.col("l_orderkey") / 64).alias("block"),
         F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
-    return finish(M.bootstrap_metric_differences(j, ["group"], "row_id", "y_true", "pred_a", "pred_b", 1000, 7))
+    return finish(M.bootstrap_metric_differences(j, ["group"], "block", "y_true", "pred_a", "pred_b", 1000, 7))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +83,8 @@ def read_or_build(spark: SparkSession, path: str, required: set[str],
         cached = spark.read.parquet(path)
         if required.issubset(set(cached.columns)):
             return cached
-    except Exception:  # noqa: BLE001 - a missing or unreadable table means rebuild
-        pass
+    except AnalysisException as e:  # nothing there yet; any other error must not overwrite the table
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -69,8 +69,9 @@ def read_daily_files(spark: SparkSession, directory: str, variable: str, columns
 
 
 def file_listing(spark: SparkSession, directory: str) -> DataFrame:
-    """S6 input: distinct daily file names under a folder (metadata column of a text scan)."""
-    return spark.read.text(f"{directory}/*.txt").select(F.col("_metadata.file_name").alias("file_name")).distinct()
+    """S6 input: daily file names under a folder. Paths alone are listed, no file is read; files without a byte are not listed."""
+    files = spark.read.format("binaryFile").load(f"{directory}/*.txt").select("path")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
 def read_monthly_index(spark: SparkSession, path: str) -> DataFrame:

@@ -135,3 +135,73 @@ def test_bootstrap_metric_differences_identical_predictions(spark):
     out = {r.metric: r for r in bootstrap_metric_differences(df, ["g"], "id", "t", "a", "b", replicates=40).collect()}
     assert set(out) == {"NSE", "KGE", "LogNSE"}
     assert all(r.replicates == 40 and r.q025 == 0.0 and r.q975 == 0.0 for r in out.values())
+
+
+def test_bootstrap_weights_are_independent_and_spread_is_right(spark):
+    """Weights of two replicates are uncorrelated, with mean and variance 1; the spread of a bootstrap
+    mean is sigma / sqrt(n); predictions that differ give an interval around their difference."""
+    import numpy as np
+    from hydroframe.operators.metrics import bootstrap_nse_difference, poisson1_thresholds, replicate_weight
+    assert poisson1_thresholds()[-1] == pytest.approx(1.0, abs=1e-15)
+    d = spark.range(2000).select("id", *[replicate_weight(F.col("id"), F.lit(r), 3).alias(f"w{r}") for r in range(60)])
+    w = np.array([tuple(r)[1:] for r in d.collect()], dtype=float)
+    c = np.corrcoef(w.T)
+    assert np.abs(c - np.eye(60)).max() < 0.12 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03
+    y = np.random.default_rng(0).normal(size=2000)
+    means = (w * y[:, None]).sum(0) / w.sum(0)
+    assert means.std() == pytest.approx(y.std() / np.sqrt(2000), rel=0.35)
+    rows = [("g", i, float(v), float(v) + 0.1 * (i % 3), float(v) + 0.3 * (i % 5)) for i, v in enumerate(y)]
+    r = bootstrap_nse_difference(spark.createDataFrame(rows, "g string, b long, t double, a double, p double"),
+                                 ["g"], "b", "t", "a", "p", replicates=200).first()
+    true = float(((0.3 * (np.arange(2000) % 5)) ** 2 - (0.1 * (np.arange(2000) % 3)) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert r.q025 < true < r.q975 and r.q025 < r.q500 < r.q975
+
+
+def test_attention_takes_all_samples_and_long_series_are_binned(spark):
+    """A19 over more than 32 samples; W12 with 480 lags (bins of 4, kernel wider than one bin) as numpy has it."""
+    import numpy as np
+    from hydroframe.operators import importance as I
+    rng = np.random.default_rng(1)
+    m = rng.random((50, 480))
+    df = spark.createDataFrame([("s", m.tolist())], "study string, attention array<array<double>>")
+    means = I.mean_attention_per_lag(I.attention_cells(df))
+    got = {r.lag: r.mean_attention for r in means.collect()}
+    assert all(got[i] == pytest.approx(v) for i, v in enumerate(m.mean(0)))
+    assert I.attention_cells(df, max_samples=32).select("sample_pos").distinct().count() == 32
+    binned = m.mean(0).reshape(120, 4).mean(1)
+    k = np.exp(-np.arange(-6, 7) ** 2 / (2 * 2.0 ** 2))
+    want = np.convolve(binned, k / k.sum(), mode="same")
+    out = {r.bin: r.smoothed for r in I.smooth_lags(means).collect()}
+    assert len(out) == 120 and all(out[i] == pytest.approx(v) for i, v in enumerate(want))
+
+
+def test_quality_flags_are_no_features_and_grid_checks_default_columns(spark):
+    from hydroframe.operators import prepare as P
+    from hydroframe.operators import windows as W
+    df = spark.createDataFrame([("s", 1.0, 1, 2.0)], "station_id string, qual_flag double, qual_control_by_ana int, p double")
+    assert P.feature_roles(df)["time_varying_unknown_reals"] == ["p"]
+    days = spark.sql("SELECT 's' AS station_id, d AS date, 'Teste' AS period, IF(month(d) = 2, NULL, 1.0D) AS streamflow_m3s "
+                     "FROM (SELECT explode(sequence(DATE'2001-01-01', DATE'2001-04-30')) AS d)")
+    g = W.monthly_window_grid(days, 1, 1)
+    got = {str(r.target_start_date): r.is_candidate for r in g.collect()}
+    assert got["2001-04-01"] and not got["2001-02-01"] and not got["2001-03-01"]
+
+
+def test_read_errors_do_not_overwrite_and_listing_reads_no_file(spark, tmp_path):
+    from hydroframe.sources.files import read_or_build
+    from hydroframe.sources.text import file_listing
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        read_or_build(spark, str(tmp_path / "t"), {"x"}, lambda: spark.range(1).select(F.col("id").alias("x")))
+    assert (tmp_path / "t" / "part-0.parquet").read_bytes() == b"not a table"
+    (tmp_path / "1_streamflow_m3s.txt").write_text("x")
+    assert [r.file_name for r in file_listing(spark, str(tmp_path)).collect()] == ["1_streamflow_m3s.txt"]
+
+
+def test_no_scratch_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from hydroframe.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://head:7077")))
