@@ -73,7 +73,8 @@ def mined_rules(urls: DataFrame) -> DataFrame:
     names = "rule_id string, tokens array<string>, confidence double, urls bigint"
     if not n:
         return urls.sparkSession.createDataFrame([], names)
-    model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, min(1.0, MIN_URLS / n)), minConfidence=MIN_CONFIDENCE).fit(baskets)
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", numPartitions=parts, minSupport=max(MIN_SUPPORT, min(1.0, MIN_URLS / n)), minConfidence=MIN_CONFIDENCE).fit(baskets.repartition(parts))
     r = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     r = r.select(F.sort_array("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("urls"))
     r = written(r.where((F.col("urls") >= MIN_URLS) & (F.size("tokens") > 0)).withColumn("rule_id", F.array_join("tokens", " & ")), "rules")
