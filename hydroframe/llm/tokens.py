@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -35,9 +36,9 @@ BLOCK = 1024
 PERCENTILE = 0.98
 #: A segment is closed when it has so many ids; a document is never split.
 SEGMENT_IDS = 1 << 17
-#: Words, and pieces of words, whose ids a Python worker keeps; further ones are encoded again for each chunk of texts.
-CACHED_WORDS = 250_000
-CACHED_PIECES = 350_000
+#: Words, and pieces of words, whose ids a Python worker keeps, in each of two generations.
+CACHED_WORDS = 100_000
+CACHED_PIECES = 250_000
 #: Characters that are encoded at once.
 CHUNK_CHARS = 1 << 20
 END_ID = 1
@@ -129,23 +130,27 @@ def unpack(payload: bytes, blocks: range | None = None) -> np.ndarray:
 # ---- encoding ---------------------------------------------------------------------------------------------------
 
 
-class _Cache(dict):
-    """At most ``size`` kept entries; the others live until the next chunk."""
+class _Cache:
+    """Two generations of at most ``size`` entries: what is used again moves to the newer one, and when that is full the
+    older one goes. So what comes often stays."""
 
-    def __init__(self, size: int):
-        super().__init__()
-        self.size = size
-        self.rest: dict[str, bytes] = {}
+    def __init__(self, size: int, make):
+        self.size, self.make = size, make
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.rest[word]
-
-    def add(self, found: dict[str, bytes]) -> None:
-        if len(self) + len(found) <= self.size:
-            self.update(found)
-            self.rest = {}
-        else:
-            self.rest = found
+    def need(self, keys: set[str]) -> dict[str, bytes]:
+        """The newer generation, with all of the keys in it."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        new = []
+        for k in keys.difference(self.now):
+            if (found := self.old.get(k)) is None:
+                new.append(k)
+            else:
+                self.now[k] = found
+        self.now.update(zip(new, self.make(new), strict=True))
+        return self.now
 
 
 #: What a tokenizer file must say for its words to be looked up one by one. Such a tokenizer drops white
@@ -153,8 +158,10 @@ class _Cache(dict):
 WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Letters (each its own NFC form and lower-cased by itself), then punctuation without apostrophes: two pieces.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)\Z").match
+#: Texts of such characters alone (ASCII and Latin-1 letters, each its own NFC form and lower-cased by itself) are cut into
+#: the tokenizer's pieces here; in others, each word is left to the tokenizer.
+_SIMPLE = re.compile(r"[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*\Z").match
+_PIECES = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s0-9a-z\u00DF-\u00F6\u00F8-\u00FF]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -164,8 +171,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + rest.index(b)) for b in rest}
 
 
+def _pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Encoder:
-    """Texts -> ids. Most words come again and again: words and their letters are looked up, new ones are encoded."""
+    """Texts -> ids. Most pieces come again and again: they are looked up, new ones are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -182,28 +193,26 @@ class _Encoder:
             and said["post_processor"] is None and not any(x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
         )
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words, self.pieces = _Cache(CACHED_WORDS), _Cache(CACHED_PIECES)
+        self.words, self.pieces = _Cache(CACHED_WORDS, self._new_words), _Cache(CACHED_PIECES, self._new_pieces)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        letters = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        return [_pack_ids([t.id for t in self.model.tokenize(p)]) for p in letters]
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._whole(words)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self._whole(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w: _PLAIN(w) for w in set().union(*split).difference(self.words)}
-        cut = {w: (m[1].lower(), m[2]) for w, m in new.items() if m}
-        self.pieces.add({p: self._piece(p) for p in {p for two in cut.values() for p in two if p}.difference(self.pieces)})
-        ids = {w: self.pieces[a] + self.pieces[b] if b else self.pieces[a] for w, (a, b) in cut.items()}
-        odd = [w for w, m in new.items() if not m]
-        ids.update((w, x.tobytes()) for w, x in zip(odd, self._whole(odd), strict=True))
-        self.words.add(ids)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+        simple = [bool(_SIMPLE(t)) and "<|" not in t for t in texts]
+        cut = [_PIECES(t.lower()) if ok else t.replace("\n", " ").split(" ") for t, ok in zip(texts, simple, strict=True)]
+        pieces = self.pieces.need(set().union(*(c for c, ok in zip(cut, simple, strict=True) if ok)))
+        words = self.words.need(set().union(*(c for c, ok in zip(cut, simple, strict=True) if not ok)))
+        return [np.frombuffer(b"".join(map((pieces if ok else words).__getitem__, c)), "<u4") for c, ok in zip(cut, simple, strict=True)]
 
 
 def _worker_encoder(path: str) -> _Encoder:
