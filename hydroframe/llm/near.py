@@ -28,6 +28,8 @@ WORDS = 5
 #: A cell with more distinct sets than this is frequent. A text has more cells in common with a partner than it needs to
 #: meet it: as long as its frequent cells are no more than that, they can be left out; for other texts they are searched.
 FREQUENT = 8
+#: Rounds in which each cell's sets are held against the one that has most cells with others.
+HUB_ROUNDS = 1
 #: Verified pairs of one text that one task takes.
 PAIRS_A_TASK = 500
 
@@ -130,21 +132,19 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> node, key, room: a row for each cell of each set that this task has not had before, with the number of
-    cells of its band that the set can do without."""
+    """text -> node, key, room, filled, n: a row for each cell of each set that this task has not had before, with the number of
+    cells of its band that the set can do without, that it has, and the set's size."""
     seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            nodes, keys, rooms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.int32),) * 3)]
             for text in batch.slice(at, 256).column(0):
                 found = shingles(text.as_py())
                 if len(found) and (node := _set_id(found)) not in seen:
                     seen.add(node)
                     for _, key, room in cells(found):
-                        nodes.append(np.full(len(key), node))
-                        keys.append(key)
-                        rooms.append(np.full(len(key), room, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, keys, rooms)], ["node", "key", "room"])
+                        out.append((np.full(len(key), node), key, *(np.full(len(key), x, np.int32) for x in (room, len(key), len(found)))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "key", "room", "filled", "n"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,43 +215,65 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(docs: DataFrame) -> DataFrame:
-    """Cells with more than one set: ``key``, ``node``, ``room``, and the cell's least set ``hub``; one shuffle of all cells."""
+    """Cells with more than one set: ``key``, ``node``, ``room``, ``filled``, ``n``, and the cell's least set ``hub``; one shuffle of all cells."""
     cell = Window.partitionBy("key")
-    k = docs.select(text_of().alias("text")).mapInArrow(_cells, "node bigint, key bigint, room int")
+    k = docs.select(text_of().alias("text")).mapInArrow(_cells, "node bigint, key bigint, room int, filled int, n int")
     k = k.withColumns({"hub": F.min("node").over(cell), "most": F.max("node").over(cell)})
     return written(k.where("hub != most").drop("most").distinct(), "meetings")
 
 
+def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of cells that still have sets of several components, with ``label`` and the
+    cell's ``size``."""
+    met = met.drop("hub", "label", "size").join(small(components(links)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    met = written(met, "labelled")
+    mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key", "size")
+    return written(met.join(mixed, "key"), "mixed")
+
+
 def links(docs: DataFrame, file: DataFrame) -> DataFrame:
     """Links enough to connect all sets that any links connect.
 
-    First each cell's sets are held against its least one, which settles copies: sets are then left alone with those they
-    are connected with. In cells that still have sets of several components, all pairs across them are candidates,
-    if the cell has ``FREQUENT`` sets at most. A pair that meets in none of those has more frequent cells than either can do
-    without: among such sets alone, frequent cells are searched, too.
+    First each cell's sets are held against its least one, then, in cells that still have sets of several components, against the one with
+    most cells with others: copies of a text are settled by their least or their middle one. Then all pairs across components are candidates
+    in cells of ``FREQUENT`` sets at most. A pair that meets in none of those has more frequent cells than either can do
+    without: among such sets alone, frequent cells are searched, too, for pairs with enough of them: two linked sets
+    have as many cells in common as either has, but for ``(a + b) / 7``.
     """
     has = file.where(F.col("sketch").isNotNull())
     sets = has.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n")).alias("d"), F.first("sketch").alias("sketch"))
     sets = written(sets.select("node", "d.*", "sketch"), "sets")
     met = _meetings(docs)
     star = met.where(F.col("hub") != F.col("node")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = _verified(docs, sets, star)
-    met = met.join(small(components(first)), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("hub")
-    met = written(met, "labelled")
-    mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key", "size")
-    met = written(met.join(mixed, "key"), "mixed")
+    found = _verified(docs, sets, star)
+    met = _mixed(met, found)
+    for _ in range(HUB_ROUNDS):
+        cells = met.groupBy("node").agg(F.count("*").alias("cells"))
+        top = met.join(cells, "node").groupBy("key").agg(F.max(F.struct("cells", "node", "label")).alias("top"))
+        star = met.join(top, "key").where("label != top.label").select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
+        found = written(found.unionByName(_verified(docs, sets, star)), "found")
+        met = _mixed(met, found)
     rare, frequent = met.where(F.col("size") <= FREQUENT), met.where(F.col("size") > FREQUENT)
     band = F.shiftright("key", 48).cast("int").alias("band")
-    poor = written(frequent.groupBy("node", band).agg(F.count("*").alias("cells"), F.max("room").alias("room")).where("cells > room").select("node", "band"), "poor")
-    frequent = frequent.select("*", band).join(small(poor), ["node", "band"], "left_semi")
-    pairs = _across(rare).unionByName(_across(frequent)).distinct()
-    return first.unionByName(_verified(docs, sets, pairs))
+    poor = frequent.groupBy("node", band).agg(F.count("*").alias("cells"), F.max("room").alias("room")).where("cells > room")
+    poor = written(poor.select("node", "band", "cells"), "poor")
+    frequent = frequent.select("*", band).join(small(poor), ["node", "band"])
+    # partners have more than ``room`` cells in common, so one of the ``cells - room`` least frequent of each
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy("size", "key"))
+    frequent = frequent.withColumn("place", place).where("place <= cells - room")
+    of = lambda p: frequent.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "filled", "cells")))
+    enough = "least(cells_a, cells_b) >= greatest(filled_a, filled_b) - floor((n_a + n_b) / 7)"
+    sought = of("a").join(of("b"), "key").where(f"node_a < node_b AND label_a != label_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a AND {enough}")
+    sought = sought.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = _across(rare).unionByName(sought).distinct()
+    return found.unionByName(_verified(docs, sets, pairs))
 
 
 def _across(met: DataFrame) -> DataFrame:
-    """Pairs of sets of one cell that are in different components."""
-    of = lambda p: met.select("key", F.col("node").alias(p), F.col("label").alias(f"l_{p}"))
-    return of("a").join(of("b"), "key").where("a < b AND l_a != l_b").select("a", "b")
+    """Pairs of sets of one cell that are in different components and near in size."""
+    of = lambda p: met.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n")))
+    d = of("a").join(of("b"), "key").where("node_a < node_b AND label_a != label_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
+    return d.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
