@@ -1,9 +1,9 @@
 """LM scoring: a gated recurrent language model in numpy, with a class-factored softmax over its output.
 
 Words are counted over the whole corpus. The most frequent ones are the model's vocabulary; any other word is the token
-RARE times the word's share of all rare ones, so every text has a probability. Training grows with the corpus: a fixed part of the training
-documents is dealt to workers, each trains the model on its own by truncated backpropagation, and their weights
-are averaged, round by round. Scoring carries the state from window to window through a whole document.
+RARE times the word's share of all rare ones, so every text has a probability. Training grows with the corpus: all training
+documents are dealt to rounds and workers, each worker trains the model on its own by truncated backpropagation, and their
+weights are averaged, round by round; rounds and workers both grow with the square root of the tokens. Scoring carries the state from window to window through a whole document.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import text_of, unit_hash, written
+from hydroframe.llm.common import scratch, text_of, unit_hash, written
 
 #: The model: words it knows, END and RARE among them; word classes; width of the state.
 VOCABULARY, CLASSES, HIDDEN = 1024, 32, 32
 END, RARE = 0, 1
 #: The end's place among the words; no word has a space.
 END_WORD = b" "
-#: Part of the training documents that the model is fitted to, rounds of averaging, and tokens that a worker takes a round.
-TRAIN_PART, ROUNDS, WORKER_TOKENS = 0.05, 2, 150_000
+#: Rounds of averaging at least, and tokens that a worker takes a round.
+ROUNDS, WORKER_TOKENS = 2, 150_000
 STREAMS, WINDOW, RATE, CLIP = 64, 16, 0.004, 1.0
 #: Characters of text in a bucket, whose words' counts are held at once, and tokens that are scored at once.
 BUCKET_CHARS, SCORE_TOKENS = 8_000_000, 1_000_000
@@ -110,26 +110,35 @@ class Model:
         prob[np.arange(len(y)), k] -= 1
         g["c"][:-1], g["c"][-1] = flat.T @ prob, prob.sum(0)
         dh = prob @ p["c"][:-1].T
+        order = np.argsort(k, kind="stable")
+        ends, by_class, places = np.searchsorted(k[order], np.arange(len(self.members) + 1)), flat[order], self.place[y[order]]
+        back = np.zeros_like(by_class)
         for i, members in enumerate(self.members):
-            at = np.flatnonzero(k == i)
-            if len(members) > 1 and len(at):
-                w = p["w"][members]
-                inner = flat[at] @ w[:, :-1].T + w[:, -1]
-                q = np.exp(inner - _logsum(inner)[:, None])
-                mine = (np.arange(len(at)), self.place[y[at]])
+            if len(members) > 1 and ends[i + 1] > ends[i]:
+                at, own = slice(ends[i], ends[i + 1]), slice(members[0], members[-1] + 1)  # a class is a run of words
+                w = p["w"][own]
+                q = by_class[at] @ w[:, :-1].T
+                q += w[:, -1]
+                q -= q.max(axis=1, keepdims=True)
+                np.exp(q, out=q)
+                q /= q.sum(axis=1, keepdims=True)
+                mine = (np.arange(len(q)), places[at])
                 loss -= np.log(q[mine]).sum()
                 q[mine] -= 1
-                g["w"][members, :-1], g["w"][members, -1] = q.T @ flat[at], q.sum(0)
-                dh[at] += q @ w[:, :-1]
-        dh, later, da = dh.reshape(len(xs), -1, n), 0, np.zeros((*xs.shape, 3 * n), np.float32)
+                g["w"][own, :-1], g["w"][own, -1] = q.T @ by_class[at], q.sum(0)
+                back[at] = q @ w[:, :-1]
+        dh[order] += back
+        dh, later, da = dh.reshape(len(xs), -1, n), 0, np.zeros((*xs.shape, 3 * n), h.dtype)
         for t in range(len(xs) - 1, -1, -1):
             before, z, r, m, c = steps[t]
             d = dh[t] + later
-            dc = d * (1 - z) * (1 - c * c)
-            dr = dc * m * r * (1 - r)
-            dz = d * (before - c) * z * (1 - z)
-            db = np.concatenate([dz, dr, dc * r], axis=1)
-            da[t] = np.concatenate([dz, dr, dc], axis=1)
+            rest = d * (1 - z)
+            dc = rest * (1 - c * c)
+            da[t, :, :n] = rest * (before - c) * z
+            da[t, :, n : 2 * n] = dc * m * r * (1 - r)
+            da[t, :, 2 * n :] = dc
+            db = da[t].copy()
+            db[:, 2 * n :] *= r
             g["u"] += before.T @ db
             later = (d * z + db @ p["u"].T) * (xs[t] != END)[:, None]
         order = np.argsort(xs.ravel(), kind="stable")
@@ -151,9 +160,16 @@ class Model:
         for i, t in enumerate(range(0, length, WINDOW), 1):
             loss, grad, h = self.gradient(x[t : t + WINDOW], y[t : t + WINDOW], h)
             grad *= min(1.0, CLIP / (float(np.linalg.norm(grad)) + 1e-9))
-            first += 0.1 * (grad - first)
-            second += 0.001 * (grad * grad - second)
-            self.values -= RATE * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
+            first *= 0.9
+            first += 0.1 * grad
+            grad *= grad
+            second *= 0.999
+            second += 0.001 * grad
+            np.sqrt(second, out=grad)
+            grad += 1e-8 * math.sqrt(1 - 0.999**i)
+            np.divide(first, grad, out=grad)
+            grad *= RATE * math.sqrt(1 - 0.999**i) / (1 - 0.9**i)
+            self.values -= grad
         return loss
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -269,14 +285,29 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b"", None, *found[2:]], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
 
-def _trained(classes: np.ndarray, values: np.ndarray, known: dict[bytes, int]):
-    def run(texts: pd.DataFrame) -> pd.DataFrame:
+def _numbered(known: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> their words' numbers, two or four bytes each."""
+        for b in batches:
+            ids = [np.array([known.get(w, RARE) for w in words(t.as_py())], _kind(len(known) + 1)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("round"), b.column("worker"), b.column("u"), pa.array(ids, pa.binary())], ["round", "worker", "u", "ids"])
+
+    return run
+
+
+def _kind(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def _trained(classes: np.ndarray, values: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A worker's documents -> the weights after them, in pieces."""
-        model = Model(classes, values.copy())
-        ids = [np.array([known.get(w, RARE) for w in words(t)]) for t in texts.sort_values(["u", "text"])["text"]]
-        model.train(np.concatenate(ids))
-        pieces = np.array_split(model.values, PIECES)
-        return pd.DataFrame({"piece": range(PIECES), "weights": [x.tobytes() for x in pieces]})
+        rows = [(r["u"], r["ids"]) for _, own in _rows(batches, "worker") for r in own]
+        if rows:
+            model = Model(classes, values.copy())
+            model.train(np.frombuffer(b"".join(ids for _, ids in sorted(rows)), _kind(len(classes))).astype(np.int64))
+            pieces = np.array_split(model.values, PIECES)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "weights": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
     return run
 
@@ -344,8 +375,19 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, int]:
     return d.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("bucket")), n
 
 
+def _dealt(docs: DataFrame, known: dict[bytes, int], rounds: int, workers: int) -> DataFrame:
+    """The documents' words as numbers, each document in one round and with one worker; a folder a round, so that a round
+    reads its own documents alone."""
+    slot = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n)).cast("int")
+    d = docs.select(slot(SEED, rounds).alias("round"), slot(SEED + 1, workers).alias("worker"), unit_hash(F.col("doc_id"), seed=SEED).alias("u"), "text")
+    d = d.mapInArrow(_numbered(known), "round int, worker int, u double, ids binary").repartition(rounds, "round")
+    path = scratch(docs.sparkSession, "train")
+    d.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(d.schema).parquet(path)
+
+
 def learn(docs: DataFrame, n: int) -> Language:
-    """Counts all words of all buckets, then fits the model to the training documents' part."""
+    """Counts all words of all buckets, then fits the model to all training documents, each once."""
     d = docs.repartition(n, "bucket").sortWithinPartitions("bucket").select("bucket", "held_out", "text")
     counted = d.mapInArrow(_counted(max(8, n)), _WORDS_SQL).repartition(max(8, n), "part").sortWithinPartitions("part")
     counted = written(counted.mapInArrow(_summed, _WORDS_SQL), "counted")
@@ -359,12 +401,11 @@ def learn(docs: DataFrame, n: int) -> Language:
     rare = (tokens - int(counts.sum()), types - len(best) - (ends > 0))
     counts[RARE] = rare[0]
     model = initial(counts)
-    train = docs.where(~F.col("held_out")).withColumn("u", unit_hash(F.col("doc_id"), seed=SEED)).where(F.col("u") < TRAIN_PART)
-    workers = max(1, math.ceil(tokens * TRAIN_PART / ROUNDS / WORKER_TOKENS))
-    train = train.select("text", "u", F.floor(F.col("u") / TRAIN_PART * ROUNDS).alias("round"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(workers)).alias("worker"))
-    train = written(train, "train")
-    for k in range(ROUNDS):
-        done = train.where(F.col("round") == k).groupBy("worker").applyInPandas(_trained(model.classes, model.values, known), "piece int, weights binary")
+    rounds = max(ROUNDS, math.ceil(math.sqrt(tokens / WORKER_TOKENS)))
+    workers = max(1, math.ceil(tokens / rounds / WORKER_TOKENS))
+    train = _dealt(docs.where(~F.col("held_out")), known, rounds, workers)
+    for k in range(rounds):
+        done = train.where(F.col("round") == k).repartitionById(workers, "worker").mapInArrow(_trained(model.classes, model.values), "piece int, weights binary")
         mean = done.groupBy("piece").applyInPandas(_averaged, "piece int, weights binary").collect()
         if mean:
             values = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["piece"])])

@@ -226,6 +226,20 @@ def test_scores_of_nothing(odd):
     assert lm.scores(odd.limit(0)).collect() == []
 
 
+def test_all_training_documents_are_dealt_once(spark, corpus, monkeypatch):
+    dealt, deal = [], lm._dealt
+    monkeypatch.setattr(lm, "WORKER_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "_dealt", lambda *a: dealt.append((deal(*a), a[1], a[2])) or dealt[-1][0])
+    lm.learn(*lm._buckets(corpus))
+    (train, known, rounds), = dealt
+    got = Counter(np.frombuffer(r["ids"], "<u2").tobytes() for r in train.collect())
+    want = Counter(np.array([known.get(w, lm.RARE) for w in lm.words(t or "")], "<u2").tobytes() for i, t in pairs(corpus) if crc32(("" if i is None else str(i)).encode()) % 10)
+    assert got == want
+    tokens = sum(n * len(x) // 2 for x, n in want.items())
+    assert rounds == math.ceil(math.sqrt(tokens / 5_000)) > lm.ROUNDS
+    assert {r["round"] for r in train.select("round").distinct().collect()} == set(range(rounds))
+
+
 def test_model_gradient_and_learning():
     rng = np.random.default_rng(0)
     counts = np.array([50, 200, 100, 80, 60, 40, 20, 10, 5, 5.0])
