@@ -13,8 +13,6 @@ from hydroframe.llm.common import small, written
 #: A mined rule must hold for this share of the labelled URLs with its tokens, and for so many URLs.
 MIN_CONFIDENCE = 0.8
 MIN_URLS = 20
-#: Share of the labelled URLs that a token combination must be in.
-MIN_SUPPORT = 0.002
 BAD = "!bad"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,28 +58,50 @@ def tokens_of(url: Column) -> Column:
     )
 
 
+def _told_apart(baskets: DataFrame) -> DataFrame:
+    """Tokens (``token``, ``same``) of at least ``MIN_URLS`` baskets (``items``): the least of each set of tokens that are in the
+    same baskets, with all of that set. Baskets are known by a hash of their items, sets of them by sizes and sums."""
+    held = baskets.select(F.explode("items").alias("token"), F.xxhash64("items").cast("decimal(20,0)").alias("h"))
+    sums = held.groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h")).where((F.col("n") >= MIN_URLS) & (F.col("token") != BAD))
+    return sums.groupBy("n", "h").agg(F.min("token").alias("token"), F.collect_list("token").alias("same")).select("token", "same")
+
+
 def mined_rules(urls: DataFrame) -> DataFrame:
     """Rules ``rule_id``, ``tokens``, ``confidence``, ``urls`` from all labelled URLs (``url``, ``bad``).
 
     FP-growth counts token combinations over the cluster; a rule stays if it has the confidence and the URLs asked
-    for, and no rule with fewer of its tokens is as confident. The number of frequent combinations is bounded by the
-    minimum support, not by the number of URLs.
+    for, at any number of labelled URLs, and no rule with fewer of its tokens is as confident. Of tokens that are in the same
+    URLs one is mined; rules with the others follow from its rules. That bounds the combinations and leaves out no rule.
     """
     items = F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = written(urls.where(F.col("bad").isNotNull()).select(items.alias("items")), "baskets")
+    baskets = written(urls.where(F.col("bad").isNotNull()).select(F.monotonically_increasing_id().alias("basket"), items.alias("items")), "baskets")
     n = baskets.count()
     names = "rule_id string, tokens array<string>, confidence double, urls bigint"
-    if not n:
+    if n < MIN_URLS:
         return urls.sparkSession.createDataFrame([], names)
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", numPartitions=parts, minSupport=max(MIN_SUPPORT, min(1.0, MIN_URLS / n)), minConfidence=MIN_CONFIDENCE).fit(baskets.repartition(parts))
-    r = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    apart = written(_told_apart(baskets), "apart")
+    kept = apart.select(F.col("token").alias("item")).unionByName(urls.sparkSession.createDataFrame([(BAD,)], "item string"))
+    fewer = baskets.select("basket", F.explode("items").alias("item")).join(small(written(kept, "kept")), "item").groupBy("basket").agg(F.collect_list("item").alias("items"))
+    fewer = written(baskets.select("basket").join(fewer, "basket", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items")).repartition(parts), "fewer")
+    # half a URL less than asked for: the share times the number must not be rounded up past it
+    model = FPGrowth(itemsCol="items", numPartitions=parts, minSupport=(MIN_URLS - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(fewer)
+    r = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(F.size("antecedent") > 0)
     r = r.select(F.sort_array("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("urls"))
-    r = written(r.where((F.col("urls") >= MIN_URLS) & (F.size("tokens") > 0)).withColumn("rule_id", F.array_join("tokens", " & ")), "rules")
+    r = _least(written(r.where(F.col("urls") >= MIN_URLS).withColumn("rule_id", F.array_join("tokens", " & ")), "rules"))
+    others = r.select("rule_id", F.explode("tokens").alias("token")).join(apart, "token").groupBy("rule_id").agg(F.collect_list("same").alias("same"))
+    product = lambda a, same: F.flatten(F.transform(a, lambda t: F.transform(same, lambda x: F.concat(t, F.array(x)))))
+    every = F.aggregate("same", F.array(F.array().cast("array<string>")), product)
+    r = r.drop("tokens").join(others, "rule_id").select(F.explode(every).alias("tokens"), "confidence", "urls").withColumn("tokens", F.sort_array("tokens"))
+    return r.select(F.array_join("tokens", " & ").alias("rule_id"), "tokens", "confidence", "urls")
+
+
+def _least(r: DataFrame) -> DataFrame:
+    """The rules of which no rule with fewer of their tokens is as confident."""
     less = r.select(F.explode("tokens").alias("token"), F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     worse = r.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(less, "token")
     inside = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
-    return r.join(worse.where(inside).select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "urls")
+    return r.join(worse.where(inside).select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:

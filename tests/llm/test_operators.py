@@ -315,6 +315,14 @@ def test_url_rules_are_mined(spark):
     assert got[3] == "block" and got[1] == "allow"
 
 
+def test_url_rules_need_as_many_urls_in_a_large_table(spark):
+    bad = spark.range(60_000).selectExpr("CASE WHEN id < 100 THEN 'http://spam.example.com/x' ELSE concat('http://ok', id % 7, '.example.com/y') END AS url", "id < 100 AS bad")
+    assert {("l=spam",), ("w=spam",), ("p=x",)} <= {tuple(r["tokens"]) for r in urls.mined_rules(bad).collect() if r["urls"] == 100 and r["confidence"] == 1}
+    got = urls.judged(bad.selectExpr("monotonically_increasing_id() AS page_id", "url").distinct(), {}, bad)
+    assert {(r["host"], r["verdict"]) for r in got.select("host", "verdict").distinct().collect()} == {("spam.example.com", "block"), *((f"ok{i}.example.com", "allow") for i in range(7))}
+    assert urls.mined_rules(bad.where("bad").limit(19)).collect() == []
+
+
 def test_mixture(spark, odd):
     from math import exp
 
