@@ -6,6 +6,7 @@ splits become one expression, so candidates are judged in the row that holds the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -41,6 +42,8 @@ PRECISION, LEAST_TRUE = 0.99, 20
 
 _NONE = "array<struct<value:string,start:int,end:int,before:string,after:string>>"
 FEATURES = ["kind", "length", "digits", "letters", "separators", "dots", "luhn", "octets", "plus", "at", "host", "word_before", "word_after", "cue"]
+#: A host's name after the ``@``: a dot and a last part of letters, then no letter or digit.
+_HOST = r"@[^@]*\.\p{L}{2,}[^\p{L}\p{N}]*$"
 _CUES = r"(?i)(mail|phone|tel|call|fax|card|visa|credit|ip|host|addr)"
 
 
@@ -112,7 +115,7 @@ def _span(kind: str, s: Column, *more: Column) -> Column:
 
 def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """``keep`` of each row, the ``base`` spans (``start``, ``kind`` number, ``end``), ``labelled`` candidates (matches of the
-    base patterns: ``y`` is 1 if they pass the checks) and ``loose`` ones, both with their features ``x``."""
+    base patterns: ``y`` is 1 if they pass the checks; and loose addresses without a host's name: 0) and ``loose`` ones, both with their features ``x``."""
     d = docs.select(F.struct(*keep).alias("_row"), text_of().alias("text"))
     for kind, pattern in BASE.items():
         d = _with_spans(d, f"b_{kind}", pattern)
@@ -122,14 +125,22 @@ def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
     def passed(kind: str) -> Column:
         return F.transform(F.filter(f"b_{kind}", lambda s: _valid(kind, s["value"])), lambda s: _span(kind, s))
 
+    def labelled(kind: str, spans: Column, y: Callable[[Column], Column]) -> Column:
+        return F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), y(s["value"]).cast("int").alias("y"), _features(kind, s).alias("x")))
+
     def known(kind: str) -> Column:
-        return F.transform(f"b_{kind}", lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), _valid(kind, s["value"]).cast("int").alias("y"), _features(kind, s).alias("x")))
+        return labelled(kind, F.col(f"b_{kind}"), lambda v: _valid(kind, v))
+
+    def hostless() -> Column:
+        """The base pattern of addresses has no false matches: loose ones beside its matches, without a host's name, are."""
+        beside = lambda s: ~F.exists("b_email", lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        return labelled("email", F.filter("l_email", lambda s: _plausible("email", s["value"]) & ~s["value"].rlike(_HOST) & beside(s)), lambda v: F.lit(0))
 
     def open_(kind: str) -> Column:
         return F.transform(F.filter(f"l_{kind}", lambda s: _plausible(kind, s["value"])), lambda s: _span(kind, s, _features(kind, s).alias("x")))
 
     return d.select(
-        "_row", F.sort_array(F.concat(*map(passed, KINDS))).alias("base"), F.concat(*map(known, KINDS)).alias("labelled"),
+        "_row", F.sort_array(F.concat(*map(passed, KINDS))).alias("base"), F.concat(*map(known, KINDS), hostless()).alias("labelled"),
         F.concat(*map(open_, LOOSE)).alias("loose"),
     )
 
@@ -165,11 +176,14 @@ def probability(model: GBTClassificationModel, x: Column) -> Column:
 
 def thresholds(found: DataFrame, model: GBTClassificationModel) -> dict[int, float]:
     """By kind, the least score (in hundredths) from which up the labelled candidates have the precision asked for. All
-    of them count; what is collected is a row for each kind, label and hundredth."""
+    of them count; what is collected is a row for each kind, label and hundredth. A kind whose candidates all have one
+    label has no threshold: nothing tells its true ones from others."""
     scored = found.select(F.explode("labelled").alias("c")).select("c.kind", "c.y", F.floor(probability(model, F.col("c.x")) * 100).cast("int").alias("p"))
     out: dict[int, float] = {}
     counts = {(r["kind"], r["p"], r["y"]): r["count"] for r in scored.groupBy("kind", "p", "y").count().collect()}
     for kind in range(len(KINDS)):
+        if len({y for k, _, y in counts if k == kind}) < 2:
+            continue
         true = false = 0
         for p in range(100, -1, -1):
             true, false = true + counts.get((kind, p, 1), 0), false + counts.get((kind, p, 0), 0)

@@ -175,6 +175,18 @@ def test_learned_spans_are_added(spark):
     assert not any("format" in got[i] for i in range(60))
 
 
+def test_addresses_without_a_host_are_not_added(spark):
+    rows = [(i, f"mail user{i}.x@host{i % 9}.example.com or call +49 30 {10**6 + 7919 * i} now, from git@github and a@b in user{i}@localhost, +1 {i % 10}") for i in range(80)]
+    d = spark.createDataFrame(rows + [(100, "see root@server1 or m\u00fcller@b\u00fccher.example.de")], "doc_id long, text string")
+    found = pii.candidates(d, [d["doc_id"]]).cache()
+    labels = Counter((r["kind"], r["y"]) for r in found.selectExpr("inline(labelled)").collect())
+    assert labels[0, 1] == 80 and labels[0, 0] == 241
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(d).collect()}
+    assert all(s.count("email") == 1 for i, s in spans.items() if i < 80) and "email:4:" not in spans[100]
+    only = found.where("_row.doc_id < 80").withColumn("labelled", pii.F.filter("labelled", lambda c: (c["kind"] != 0) | (c["y"] == 1)))
+    assert 0 not in pii.thresholds(only, pii.fitted(only))
+
+
 def test_token_files(spark, odd, corpus, tmp_path):
     from tokenizers import Tokenizer
 
