@@ -209,10 +209,18 @@ def redactions(docs: DataFrame, keep: list[Column]) -> DataFrame:
     at = lambda s: reduce(lambda a, kind: F.when(s["kind"] == kind, least[kind]).otherwise(a), least, F.lit(2.0))
     scored = F.transform("loose", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), probability(model, s["x"]).alias("score")))
     over = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
-    rank = lambda s: F.struct(-s["score"], s["kind"], s["start"])
     d = found.withColumn("scored", scored)
     d = d.withColumn("free", F.filter("scored", lambda s: (s["score"] >= at(s)) & ~F.exists("base", lambda t: over(s, t))))
-    return d.select("_row", "base", F.filter("free", lambda s: ~F.exists("free", lambda t: over(s, t) & (rank(t) < rank(s)))).alias("added"))
+    return d.select("_row", "base", _best(F.col("free")).alias("added"))
+
+
+def _best(free: Column) -> Column:
+    """Spans from the best down, each added if it overlaps none added already; in the order they stand in the text."""
+    over = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
+    ranked = F.array_sort(F.transform(free, lambda s: F.struct((-s["score"]).alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    none = F.array().cast("array<struct<rank:double,kind:int,start:int,end:int>>")
+    added = F.aggregate(ranked, none, lambda a, s: F.when(F.exists(a, lambda t: over(s, t)), a).otherwise(F.concat(a, F.array(s))))
+    return F.sort_array(F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (-s["rank"]).alias("score"))))
 
 
 def _listed(spans: Column) -> Column:

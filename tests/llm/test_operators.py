@@ -187,6 +187,13 @@ def test_addresses_without_a_host_are_not_added(spark):
     assert 0 not in pii.thresholds(only, pii.fitted(only))
 
 
+def test_a_dropped_span_drops_no_other(spark):
+    free = [(0, 3, 14, 0.9), (6, 2, 25, 0.8), (20, 3, 30, 0.7), (40, 3, 50, 0.6), (41, 0, 49, 0.6)]
+    d = spark.createDataFrame([(free,), ([],)], "free array<struct<start:int,kind:int,end:int,score:double>>")
+    got = [[tuple(s)[:3] for s in r["added"]] for r in d.select(pii._best(d["free"]).alias("added")).collect()]
+    assert sorted(got) == [[], [(0, 3, 14), (20, 3, 30), (41, 0, 49)]]
+
+
 def test_token_files(spark, odd, corpus, tmp_path):
     from tokenizers import Tokenizer
 
