@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -28,9 +29,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Candidates: whole tokens of 16 and more such characters, one of them a digit.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
+#: Candidates: tokens, and their parts beside base spans, of as many such characters as a credential has at least.
+LEAST = 8
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 
 #: Distinct strings that each automaton is learned from, least hashes first.
 TRAIN_STRINGS = 2_000
@@ -61,15 +62,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[tuple[int, int, str]]]:
-    """Base spans, the credentials in them, and the candidates ``(start, end, token)`` that overlap none."""
+    """Base spans, the credentials in them, and the candidates ``(start, end, token)`` beside them."""
     base = base_spans(text)
     found = [ASSIGN.match(text, a)[2] if k == 0 else text[a:b] for a, k, b in base]
-    free, i, taken = [], 0, sorted((a, b) for a, _, b in base)
+    free, i, taken = [], 0, []
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     for m in TOKEN.finditer(text):
-        while i < len(taken) and taken[i][1] <= m.start():
+        at, end = m.span()
+        while i < len(taken) and taken[i][1] <= at:
             i += 1
-        if not (i < len(taken) and taken[i][0] < m.end()) and _DIGIT.search(m[0]):
-            free.append((m.start(), m.end(), m[0]))
+        while i < len(taken) and taken[i][0] < end:
+            if taken[i][0] - at >= LEAST:
+                free.append((at, taken[i][0], text[at : taken[i][0]]))
+            at = taken[i][1]
+            i += 1
+        if end - at >= LEAST:
+            free.append((at, end, text[at:end]))
     return base, found, free
 
 
@@ -197,9 +209,12 @@ def find_secrets(docs: DataFrame, keep: list[Column]) -> DataFrame:
     limit = known.agg(F.percentile("l", LOW_SHARE, F.col("n")).alias("l")).first()["l"] - MARGIN
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(100_000)  # most are words that come again
+        def likely(token: str) -> bool:
+            return (x := good.likelihood(token)) >= limit and x > other.likelihood(token)
+
         for batch in batches:
-            at = batch.schema.names.index("free")
-            rows = [[s for s in r.as_py() if (x := good.likelihood(s["token"])) >= limit and x > other.likelihood(s["token"])] for r in batch.column(at)]
+            rows = [[s for s in r.as_py() if likely(s["token"])] for r in batch.column(batch.schema.names.index("free"))]
             added = pa.array([[{"start": s["start"], "kind": 3, "end": s["end"]} for s in r] for r in rows], _SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), added], ["_row", "base", "added"])
 

@@ -194,6 +194,16 @@ def test_a_dropped_span_drops_no_other(spark):
     assert sorted(got) == [[], [(0, 3, 14), (20, 3, 30), (41, 0, 49)]]
 
 
+def test_short_and_digitless_credentials_are_candidates(spark):
+    assert [t for _, _, t in secrets.scan("a Zx9Kq2Lm and QwErTyUiOp; token=abcdefgh1 " + "f" * 40 + "-ZYXWVUTS short")[2]] == ["Zx9Kq2Lm", "QwErTyUiOp", "-ZYXWVUTS"]
+    assert secrets.scan("abcdefgh" + "AKIA" + "A" * 12 + "/tail.of.it")[2] == [(0, 8, "abcdefgh"), (24, 35, "/tail.of.it")]
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    rows = [(i, f"password = {key(12)} and something ordinary follows{i % 7} everywhere") for i in range(80)] + [(99, f"lone {key(12)} here")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == "format:5:17" and not any("format" in got[i] for i in range(80))
+
+
 def test_token_files(spark, odd, corpus, tmp_path):
     from tokenizers import Tokenizer
 
