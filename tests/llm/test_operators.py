@@ -269,6 +269,17 @@ def test_all_training_documents_are_dealt_once(spark, corpus, monkeypatch):
     assert {r["round"] for r in train.select("round").distinct().collect()} == set(range(rounds))
 
 
+def test_held_out_rows_are_likelier_after_training(spark, monkeypatch):
+    said = "the cat sat on a mat and then went off to see".split()
+    rows = [(i, " ".join((said[i % 11 :] + said[: i % 11]) * 20)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda: lm.scores(docs).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    trained, deal = held(), lm._dealt
+    monkeypatch.setattr(lm, "_dealt", lambda *a: deal(*a).where("false"))
+    untrained = held()
+    assert trained["s"] > 0.9 * untrained["s"] and trained["s"] > 0.9 * trained["b"]
+
+
 def test_model_gradient_and_learning():
     rng = np.random.default_rng(0)
     counts = np.array([50, 200, 100, 80, 60, 40, 20, 10, 5, 5.0])
