@@ -79,6 +79,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[tuple[i
             if taken[i][0] - at >= LEAST:
                 free.append((at, taken[i][0], text[at : taken[i][0]]))
             at = taken[i][1]
+            if at > end:  # the next token may be in it too
+                break
             i += 1
         if end - at >= LEAST:
             free.append((at, end, text[at:end]))
