@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hydroframe.llm import chat, decontamination, quality
+from hydroframe.llm import chat, decontamination, periodic, quality
 from hydroframe.llm.settings import MARKED, MIX_SEED, WEIGHTS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -111,10 +111,39 @@ def _chat() -> str:
     """
 
 
+def _periodic() -> str:
+    """Runs as stretches of pairs of like five words with one lag: a run has five matches in a row at least. A stretch of a
+    multiple of its period is the period's own stretch, so of stretches alike the least lag counts."""
+    return rf"""
+    WITH RECURSIVE crc_table(b, k, v) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+        UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_table WHERE k < 8),
+    crc(s, i, v) AS (SELECT DISTINCT doc_id::VARCHAR, 1, 4294967295 FROM documents WHERE doc_id IS NOT NULL
+        UNION ALL SELECT s, i + 1, xor(crc.v >> 8, t.v) FROM crc JOIN crc_table t ON t.k = 8 AND t.b = xor(crc.v, ascii(substr(s, i, 1))) & 255 WHERE i <= length(s)),
+    hashed AS (SELECT s, xor(v, 4294967295) AS h FROM crc WHERE i = length(s) + 1),
+    plain AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+    params AS (SELECT id, doc_id, w, h % 10 = 0 AND len(w) > 0 AS change, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS parts FROM plain LEFT JOIN hashed ON s = doc_id::VARCHAR),
+    d AS MATERIALIZED (SELECT id, doc_id, CASE WHEN coalesce(change, false) THEN w[:a] || list_transform(range(a, len(w)), lambda i: w[a + (i - a) % (1 + (len(w) - a) // parts) + 1]) ELSE w END AS w FROM params),
+    grams AS MATERIALIZED (SELECT id, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 6)),
+    often AS (SELECT id, g FROM grams GROUP BY id, g HAVING count(*) > 1),
+    again AS MATERIALIZED (SELECT id, i, g FROM grams JOIN often USING (id, g)),
+    pairs AS (SELECT x.id, x.i, x.i - y.i AS lag FROM again x JOIN again y ON x.id = y.id AND x.g = y.g AND x.i > y.i),
+    islands AS (SELECT id, lag, min(i) - lag AS start, count(*) + 4 + lag AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, lag ORDER BY i) AS island FROM pairs) GROUP BY id, lag, island),
+    runs AS MATERIALIZED (SELECT id, start, length, min(lag) AS period FROM islands WHERE length >= greatest({periodic.LEAST_WORDS}, {periodic.LEAST_PERIODS} * lag) GROUP BY id, start, length),
+    dropped AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs),
+    words AS (SELECT id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d WHERE id IN (SELECT id FROM runs)),
+    collapsed AS (SELECT id, string_agg(word, ' ' ORDER BY words.i) AS t FROM words ANTI JOIN dropped USING (id, i) GROUP BY id),
+    named AS (SELECT id, count(*) AS n, max(struct_pack(length := length, before := -start, shorter := -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_runs, (-best.before)::BIGINT AS start, best.length::BIGINT AS length, (-best.shorter)::BIGINT AS period,
+        (1000 * best.length // -best.shorter)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, array_to_string(w, ' '))) AS collapsed_sha256
+    FROM d LEFT JOIN named ON named.id = d.id LEFT JOIN collapsed ON collapsed.id = d.id
+    """
+
+
 ORACLE: dict[str, str] = {
     "op1_source_mixture": _mixture(),
     "op6_quality_rules": _quality(),
     "op7_decontamination": _contamination(),
     "op8_ngram_jaccard": _jaccard(),
     "op9_chat_examples": _chat(),
+    "op13_periodic_runs": _periodic(),
 }
