@@ -58,11 +58,21 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     items = benchmark.select(item.alias("item"), raw_words(text_of()).alias("words")).where(F.size("words") > 0)
     short = items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # SPAN - 1 at most
-    prints = _prints(items, lengths, whole=True).select(F.explode("prints").alias("print")).distinct()
+    items = items.repartition(benchmark.sparkSession.sparkContext.defaultParallelism)
+    prints = _exploded(_prints(items, lengths, whole=True), F.col("prints"), "print").select("print").distinct()
     n = F.size("words")
     d = items.select("item", _lowered(F.col("words")).alias("words"))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(n - SPAN + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, SPAN), " "))
-    return written(prints, "prints"), written(d.select(F.explode(windows).alias("window"), "item").distinct(), "windows"), lengths
+    return written(prints, "prints"), written(_exploded(d, windows, "window").select("window", "item").distinct(), "windows"), lengths
+
+
+def _exploded(d: DataFrame, array: Column, name: str) -> DataFrame:
+    """A row for each element of a computed array, in the column ``name``.
+
+    ``explode`` would have Spark infer a filter on the array and push it below the projections that compute it, once for
+    each level of nesting: the work grew with the cube of a text's words. ``explode_outer`` infers none.
+    """
+    return d.select("*", F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def _lowered(words: Column) -> Column:
@@ -93,7 +103,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = docs.select(*key).select("doc_id", "text", F.xxhash64("text").alias("h"))
     base = _prints(d.select("doc_id", "h", raw_words(F.col("text")).alias("words")), lengths, whole=False)
     base = written(base.select("doc_id", "h", "n_words", "prints"), "base")
-    met = base.select("doc_id", "h", F.explode("prints").alias("print")).join(small(prints), "print")
+    met = _exploded(base, F.col("prints"), "print").select("doc_id", "h", "print").join(small(prints), "print")
     met = written(met.groupBy("doc_id", "h").agg(F.collect_set("print").alias("met")), "met").withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     c = d.join(small(met), F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).dropDuplicates(["doc_id", "h"])
     c = c.select("doc_id", "h", "met", raw_words(F.col("text")).alias("words"))
@@ -102,7 +112,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     for size, gram in [(SPAN, K), *((m, m) for m in lengths)]:
         c = c.withColumn(f"g{size}", _grams(F.col("hashes"), gram))
         found = F.concat(found, _near(F.col(f"g{size}"), size, gram))
-    c = c.select("doc_id", "h", "lower", F.explode(found).alias("w"))
+    c = _exploded(c.select("doc_id", "h", "lower", found.alias("found")), F.col("found"), "w")
     c = c.select("doc_id", "h", "w", F.array_join(F.slice("lower", F.col("w.start") + 1, F.col("w.size")), " ").alias("window"))
     c = c.join(small(windows), "window").groupBy("doc_id", "h").agg(F.collect_set("w").alias("ws"), F.sort_array(F.collect_set("item")).alias("items"))
     places = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))

@@ -379,3 +379,12 @@ def test_mixture(spark, odd):
     assert at == sorted(at) and in_order(out.collect()) == in_order(mixing.mix(d.repartition(7), {"a": 0.6, "b": 0.1}, seed=3).collect())
     assert mixing.mix(odd, {"src0": 0.5}).columns == [*odd.columns, "mix_copy", "mix_order"]
     assert mixing.mix(odd.limit(0), {"src0": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("size", [50, 500, 5000])
+def test_decontamination_of_long_items(spark, size):
+    item = [f"w{i}" for i in range(size)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(item[20:40]) + " y"), (2, " ".join(item)), (3, "w1 w3 w5")], "doc_id long, text string")
+    items = spark.createDataFrame([("long", " ".join(item)), ("other", "a b c")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()}
+    assert got == {1: (22, 20, 1), 2: (size, size, 1), 3: (3, 0, 0)}
