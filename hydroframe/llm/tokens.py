@@ -130,27 +130,23 @@ def unpack(payload: bytes, blocks: range | None = None) -> np.ndarray:
 # ---- encoding ---------------------------------------------------------------------------------------------------
 
 
-class _Cache:
-    """Two generations of at most ``size`` entries: what is used again moves to the newer one, and when that is full the
-    older one goes. So what comes often stays."""
+class _Cache(dict):
+    """Keys -> what ``make`` makes of them, in two generations of about ``size`` entries: what is used again moves to the
+    newer one, and when that is full the older one goes. So what comes often stays."""
 
     def __init__(self, size: int, make):
-        self.size, self.make = size, make
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def need(self, keys: set[str]) -> dict[str, bytes]:
-        """The newer generation, with all of the keys in it."""
-        if len(self.now) > self.size:
-            self.now, self.old = {}, self.now
-        new = []
-        for k in keys.difference(self.now):
-            if (found := self.old.get(k)) is None:
-                new.append(k)
-            else:
-                self.now[k] = found
-        self.now.update(zip(new, self.make(new), strict=True))
-        return self.now
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
 
 
 #: What a tokenizer file must say for its words to be looked up one by one. Such a tokenizer drops white
@@ -171,10 +167,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + rest.index(b)) for b in rest}
 
 
-def _pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class _Encoder:
     """Texts -> ids. Most pieces come again and again: they are looked up, new ones are encoded."""
 
@@ -193,26 +185,30 @@ class _Encoder:
             and said["post_processor"] is None and not any(x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
         )
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words, self.pieces = _Cache(CACHED_WORDS, self._new_words), _Cache(CACHED_PIECES, self._new_pieces)
+        self.words, self.pieces = _Cache(CACHED_WORDS, self._new_word), _Cache(CACHED_PIECES, self._new_piece)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
-        letters = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        return [_pack_ids([t.id for t in self.model.tokenize(p)]) for p in letters]
+    def _new_piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self._whole(words)]
+    def _new_word(self, word: str) -> bytes:
+        return self._whole([word])[0].tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self._whole(texts)
-        simple = [bool(_SIMPLE(t)) and "<|" not in t for t in texts]
-        cut = [_PIECES(t.lower()) if ok else t.replace("\n", " ").split(" ") for t, ok in zip(texts, simple, strict=True)]
-        pieces = self.pieces.need(set().union(*(c for c, ok in zip(cut, simple, strict=True) if ok)))
-        words = self.words.need(set().union(*(c for c, ok in zip(cut, simple, strict=True) if not ok)))
-        return [np.frombuffer(b"".join(map((pieces if ok else words).__getitem__, c)), "<u4") for c, ok in zip(cut, simple, strict=True)]
+        out, pieces, words = [], self.pieces.__getitem__, self.words.__getitem__
+        for t in texts:
+            simple = _SIMPLE(t) and "<|" not in t
+            found = map(pieces, _PIECES(t.lower())) if simple else map(words, t.replace("\n", " ").split(" "))
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        self.pieces.turn()
+        self.words.turn()
+        return out
 
 
 def _worker_encoder(path: str) -> _Encoder:
