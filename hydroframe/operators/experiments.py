@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import normalise_text, study_name
+from hydroframe.operators.quantile import quantiles_of_counts, small, value_counts
+from hydroframe.session import cut_lineage
 
 # Metrics that are minimised (all others are maximised).
 MINIMISED = ("val_loss", "RMSE", "MAE", "sMAPE")
@@ -43,16 +45,18 @@ def guard_non_finite(value: Column, minimise: Column) -> Column:
     return F.when(bad, F.when(minimise, F.lit(float("inf"))).otherwise(F.lit(-1e9))).otherwise(value)
 
 
-def normalise_results(df: DataFrame, value_col: str = "LogNSE") -> DataFrame:
+def normalise_results(df: DataFrame, value_col: str = "LogNSE", required: bool = False) -> DataFrame:
     """lower+trim labels, numeric coercion, membership filter, non-null value;
-    missing columns raise."""
+    missing columns raise, and so does a result without rows (checked on the spot) with ``required``."""
     missing = sorted({"model", "period", value_col} - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
     d = df.withColumns({"model": normalise_text("model"), "period": normalise_text("period"),
                         value_col: F.col(value_col).cast("string").try_cast("double")})
-    return d.filter(F.col("model").isin(list(MODELS)) & F.col("period").isin(list(PERIODS))
-                    & F.col(value_col).isNotNull())
+    d = d.filter(F.col("model").isin(list(MODELS)) & F.col("period").isin(list(PERIODS)) & F.col(value_col).isNotNull())
+    if required and d.isEmpty():
+        raise ValueError(f"no row with a known model and period and a value of {value_col}")
+    return d
 
 
 def union_ragged(frames: list[DataFrame]) -> DataFrame:
@@ -92,14 +96,20 @@ def best_trial(trials: DataFrame, study: str = "study_name", number: str = "numb
                     F.col("_b.v").alias("best_value"), "n_complete")
 
 
-def best_study_per_horizon(results: DataFrame, period: str, model: str = "tft") -> DataFrame:
+def best_study_per_horizon(results: DataFrame, period: str, model: str = "tft", horizons: list[int] | None = None) -> DataFrame:
     """K5: per horizon the study with the highest LogNSE, then NSE (nulls last; study name as
-    the final tie key). An aggregate of a struct, not a window per horizon."""
+    the final tie key). An aggregate of a struct, not a window per horizon. ``horizons``: those wanted; one without
+    a study is an error when the result is computed."""
     d = results.filter((normalise_text("model") == model) & (normalise_text("period") == period))
     key = F.struct(F.col("LogNSE").isNull().alias("a"), (-F.col("LogNSE")).alias("b"),
                    F.col("NSE").isNull().alias("c"), (-F.col("NSE")).alias("d"),
                    F.col("study_name").alias("s"), F.col("lookback").alias("lb"))
     g = d.groupBy("horizon").agg(F.min(key).alias("_k"))
+    if horizons is not None:
+        wanted = results.sparkSession.range(1).select(F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon"))
+        g = wanted.join(g.withColumn("horizon", F.col("horizon").cast("int")), "horizon", "left")
+        text = F.concat(F.lit(f"no {model} study for period {period} and horizon "), F.col("horizon").cast("string"))
+        g = g.withColumn("_k", F.when(F.col("_k").isNull(), F.raise_error(text)).otherwise(F.col("_k")))
     return g.select("horizon", F.col("_k.lb").alias("lookback"),
                     F.format_string("tft_%s_lb%d_h%d", F.lit(period), F.col("_k.lb"), F.col("horizon")).alias("study"))
 
@@ -128,20 +138,24 @@ def status_counts(results: DataFrame, keys=("model", "period")) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, value: str = "LogNSE", keys=("period", "model"), exact: bool = True) -> DataFrame:
     """Quartiles (linear), 1.5·IQR whiskers (most extreme values inside the fences),
-    outlier count and group size, per period × model. A group may hold a large share of all
-    rows: ``exact=False`` switches to ``percentile_approx`` (bounded memory per group)."""
-    qs = [0.25, 0.5, 0.75]
-    pct = F.percentile(value, qs) if exact else F.percentile_approx(value, qs, 100000)
-    q = df.groupBy(*keys).agg(pct.alias("_q"), F.count(value).alias("n"))
-    q = q.select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = df.select(*keys, value).join(q, list(keys), "inner")
+    outlier count and group size, per period × model. All of it comes from the values' counts, in which a group of
+    any size is spread over ranges of its values; ``exact=False`` takes the quartiles from ``percentile_approx``."""
+    qs, names, keys = [0.25, 0.5, 0.75], ["q1", "median", "q3"], list(keys)
+    counts = value_counts(df, keys, value)
+    if exact:
+        q = quantiles_of_counts(counts, keys, qs, names).withColumnRenamed("total", "n")
+    else:
+        q = df.groupBy(*keys).agg(F.percentile_approx(value, qs, 100000).alias("_q"), F.count(value).alias("n"))
+        q = q.select(*keys, "n", *(F.col("_q")[i].alias(c) for i, c in enumerate(names)))
+    q = cut_lineage(q)
+    j = counts.withColumnRenamed("n", "n_value").join(small(q), keys, "inner")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col(value)
+    v = F.col("value")
     w = j.groupBy(*keys).agg(F.min(F.when(v >= lo, v)).alias("whisker_low"),
                              F.max(F.when(v <= hi, v)).alias("whisker_high"),
-                             F.count_if((v < lo) | (v > hi)).alias("n_outliers"))
-    return q.join(w, list(keys), "inner")
+                             F.sum(F.when((v < lo) | (v > hi), F.col("n_value")).otherwise(0)).alias("n_outliers"))
+    return q.join(w, keys, "inner")
 
 
 def mean_std_summary(results: DataFrame, metrics=("NSE", "KGE", "MAE", "RMSE", "LogNSE", "RMSE_dry"),

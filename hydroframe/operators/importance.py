@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,16 +168,34 @@ def series_downsample(entries: DataFrame, study: str = "study", entry: str = "en
     return rescale_series(b, [study], "value", "scaled")
 
 
-def bar_values(means: DataFrame, names: DataFrame, study: str = "study") -> DataFrame:
-    """Importance per top variable and study (A20 means of the K9 names, a name a study lacks counts
-    as 0); a variable whose values are all ≤ 1 is shown in percent (× 100). The name list has at
-    most k + 1 entries, so it is read to the driver and exploded per study (no join of all pairs)."""
-    name_list = [r["variable"] for r in names.orderBy("position").collect()]  # ≤ k + 1 names
-    grid = means.select(study).distinct().select(study, F.explode(F.array(*[F.lit(n) for n in name_list]))
-                                                 .alias("variable"))
-    j = grid.join(means, [study, "variable"], "left").withColumn("importance",
-                                                                 F.coalesce(F.col("importance"), F.lit(0.0)))
-    mx = j.groupBy("variable").agg(F.max("importance").alias("_mx"))
-    j = j.join(mx, "variable", "inner")
+def entry_value(m: Column, name: Column) -> Column:
+    """An entry's importance of one variable: 0 where the entry does not name it, null where its value is NaN or null."""
+    return F.when(F.map_contains_key(m, name), nan_to_null(m[name])).otherwise(F.lit(0.0))
+
+
+def bar_values(entries: DataFrame, names: DataFrame, study: str = "study", map_col: str = "m", most: int = 4) -> DataFrame:
+    """A20 (bars): per study the mean importance over all entries of each of the first ``most`` K9 names, a name that an
+    entry lacks counting as 0; a variable whose values are all ≤ 1 is shown in percent (× 100). ``entries``: one
+    row per study and entry with its map. The names are few (``most``), so they are read to the driver and exploded per entry (no join)."""
+    chosen = [r["variable"] for r in names.orderBy("position").limit(most).collect()]
+    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), entry_value(F.col(map_col), F.lit(n)).alias("v")) for n in chosen])
+    j = entries.select(study, F.explode(pairs).alias("p")).groupBy(study, F.col("p.variable").alias("variable")).agg(F.avg("p.v").alias("importance"))
+    most_of = j.groupBy("variable").agg(F.max("importance").alias("_mx"))
+    j = j.join(F.broadcast(most_of), "variable", "inner")  # ``most`` rows
     return j.select("variable", study, F.when(F.col("_mx") <= 1.0, F.col("importance") * 100.0)
                     .otherwise(F.col("importance")).alias("bar_value"))
+
+
+def season_of(date: Column) -> Column:
+    """Meteorological season by its months: DJF, MAM, JJA or SON."""
+    m = F.month(date)
+    return F.when(m.isin(12, 1, 2), "DJF").when(m.isin(3, 4, 5), "MAM").when(m.isin(6, 7, 8), "JJA").when(m.isin(9, 10, 11), "SON")
+
+
+def seasonal_attention(cells: DataFrame, horizon: str = "horizon", date_col: str = "date") -> DataFrame:
+    """Documented extra: mean attention per forecast horizon, season of the sample's date and lag, and over all seasons
+    (``season`` null there); nulls are ignored, samples without a date count over all seasons alone. One GROUPING SETS aggregate."""
+    d = cells.withColumn("season", season_of(F.col(date_col)))
+    g = d.groupingSets([[horizon, "season", "lag"], [horizon, "lag"]], horizon, "season", "lag").agg(
+        F.avg("value").alias("mean_attention"), F.count("value").alias("n_samples"), F.grouping("season").alias("all_seasons"))
+    return g.filter(F.col("season").isNotNull() | (F.col("all_seasons") == 1))

@@ -6,11 +6,12 @@ hot group costs one row per task, never a collected list).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import log_clipped
-from hydroframe.operators.scan import blocked_scan
+from hydroframe.operators.quantile import exact_quantiles
+from hydroframe.operators.scan import blocked_scan, halo
 
 EPS = 1e-8  # Fixed value: guard added to the KGE ratios and the sMAPE denominator.
 
@@ -45,9 +46,12 @@ def hydro_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred
 
 def low_flow_reference(df: DataFrame, keys: list[str], y: str = "y_true", q: float = 0.10,
                        exact: bool = True) -> DataFrame:
-    """Per group exact linear quantile (default 10 %: the flow exceeded 90 % of the time)."""
-    agg = F.percentile(y, q) if exact else F.percentile_approx(y, q, 100000)
-    return df.groupBy(*keys).agg(agg.cast("double").alias("Q90_reference"))
+    """Per group exact linear quantile (default 10 %: the flow exceeded 90 % of the time), whose work is
+    spread over ranges of values; ``exact=False`` uses ``percentile_approx``. A group without values has no row
+    if exact, else a null."""
+    if exact:
+        return exact_quantiles(df, keys, y, [q], ["Q90_reference"])
+    return df.groupBy(*keys).agg(F.percentile_approx(y, q, 100000).cast("double").alias("Q90_reference"))
 
 
 def low_flow_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred",
@@ -71,17 +75,28 @@ def pair_truth_prediction(truth: DataFrame, pred: DataFrame, keys: list[str]) ->
     return truth.join(pred, keys, "inner")
 
 
+def persistence_forecasts(daily: DataFrame, horizons: list[int], key: str = "station_id", date_col: str = "date",
+                          y: str = "streamflow_m3s", block_rows: int = 4096) -> DataFrame:
+    """M2: prediction for row t is the value H rows earlier (same station), for all horizons H in one pass: a row per
+    row and horizon that has such a value, with ``horizon``.
+
+    Rows go to position blocks with the largest horizon's rows before them copied in, and ``lag`` looks back within
+    the block: no self-join, and no window spans a station.
+    """
+    reach = max(horizons)
+    s = halo(blocked_scan(daily.select(key, date_col, y), [key], date_col, pos="_pos"), "_pos", reach, 0, max(block_rows, reach))
+    w = Window.partitionBy(key, "_pb").orderBy("_pos")
+    past = [F.struct(F.lit(h).alias("horizon"), F.lag("_pos", h).over(w).alias("p"), F.lag(date_col, h).over(w).alias("issue_date"),
+                     F.lag(y, h).over(w).alias("y_pred")) for h in horizons]
+    d = s.select(key, "_own", F.col(date_col).alias("target_date"), F.col(y).alias("y_true"), F.array(*past).alias("_past"))
+    d = d.filter("_own").select(key, "target_date", "y_true", F.explode("_past").alias("f")).filter("f.p IS NOT NULL")
+    return d.select(key, "f.horizon", "f.issue_date", "target_date", "y_true", "f.y_pred")
+
+
 def persistence_forecast(daily: DataFrame, horizon: int, key: str = "station_id", date_col: str = "date",
                          y: str = "streamflow_m3s") -> DataFrame:
-    """M2: prediction for row t is the value H rows earlier (same station). The row position
-    comes from a blocked scan; the H-step pairing is an equi-join on (station, position), so no
-    window spans a station."""
-    s = blocked_scan(daily.select(key, date_col, y), [key], date_col, pos="_pos")
-    truth = s.select(key, date_col, "_pos", F.col(y).alias("y_true"))
-    pred = s.select(key, (F.col("_pos") + horizon).alias("_pos"), F.col(y).alias("y_pred"),
-                    F.col(date_col).alias("issue_date"))
-    return pair_truth_prediction(truth, pred, [key, "_pos"]).select(
-        key, "issue_date", F.col(date_col).alias("target_date"), "y_true", "y_pred")
+    """M2 for one horizon."""
+    return persistence_forecasts(daily, [horizon], key, date_col, y).drop("horizon")
 
 
 # ---- bootstrap intervals (documented extra) ---------------------------------------------

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroframe.functions.scalar import is_close, mask_sentinel
+from hydroframe.operators.quantile import small
 from hydroframe.operators.scan import blocked_scan, row_index
+from hydroframe.session import cut_lineage
 
 KEY = "station_id"
 
@@ -207,11 +209,12 @@ def attach_monthly(df: DataFrame, monthly: DataFrame, date_col: str = "date") ->
 
 
 def first_row_per_station(static: DataFrame, order_col: str | None = None) -> DataFrame:
-    """J5 helper: one row per station (first matching row)."""
-    if order_col is None:
-        return static.dropDuplicates([KEY])
-    w = Window.partitionBy(KEY).orderBy(order_col)
-    return static.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """J5 helper: one row per station, the first by ``order_col``, or else the least by all columns, so that the
+    result is the same on every run. One partial aggregate, no window per station."""
+    others = [c for c in static.columns if c != KEY]
+    order = F.struct(*([order_col] if order_col else []), *others) if others else F.lit(0)
+    kept = static.groupBy(KEY).agg(F.min_by(F.struct(*static.columns), order).alias("_row"))
+    return kept.select("_row.*")
 
 
 def attach_static(df: DataFrame, static: DataFrame, prefix: str | None = None,
@@ -340,7 +343,7 @@ def training_ready(df: DataFrame, target: str = "streamflow_m3s", features=RECOM
         starts = df.groupBy(KEY).agg(F.min(F.when(F.col(target).isNotNull(), F.col("date"))).alias("_s"))
         starts = starts.select(KEY, F.coalesce(F.greatest(F.col("_s"), F.lit(floor_date).cast("date")),
                                               F.lit(floor_date).cast("date")).alias("_start"))
-        cur = df.join(starts, KEY, "inner").filter(F.col("date") >= F.col("_start"))
+        cur = df.join(small(cut_lineage(starts)), KEY, "inner").filter(F.col("date") >= F.col("_start"))
     required = [target, *[c for c in features if c in df.columns]]
     return cur.select(*selected).na.drop(subset=required)
 
@@ -357,3 +360,19 @@ def feature_roles(df: DataFrame, known=("time_idx", "oni", "month_sin", "month_c
                and c not in set(exclude) | set(known) | set(static_real)]
     return {"static_categoricals": static_cat, "static_reals": static_real,
             "time_varying_known_reals": known_reals, "time_varying_unknown_reals": unknown}
+
+
+def write_training_splits(df: DataFrame, path: str, periods=REFERENCE_PERIODS, **ready) -> DataFrame:
+    """P11 + P7 + S10: the curated training rows (``training_ready``; ``ready`` are its arguments), labelled by period and written in one
+    pass, a folder a period; periods that ``df`` has no rows of keep what they held (dynamic partition overwrite), rows outside all
+    periods go. Returns the written table; ``split_by_period`` of it reads a period's folder alone.
+    """
+    d = keep_periods(assign_period(training_ready(df, **ready), periods), periods)
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    return df.sparkSession.read.schema(d.schema).parquet(path)
+
+
+def split_metadata(splits: DataFrame, target: str = "streamflow_m3s") -> DataFrame:
+    """Per station and period of a written split: rows, first and last date, mean target; one aggregate."""
+    return splits.groupBy(KEY, "period").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"),
+                                             F.max("date").alias("last_date"), F.avg(target).alias("mean_target"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroframe.operators.scan import blocked_scan
+from hydroframe.operators.quantile import global_rank
 
 GAUGE = "gauge_id"
 
@@ -32,6 +32,7 @@ ROLES = (
     ("Bacia reserva", "Melhor alternativa caso seja necessario trocar a bacia principal, mantendo alta qualidade e "
                       "baixa intervencao; pode exigir coleta adicional das series dinamicas."),
 )
+# The comparison table's columns.
 COMPARISON_COLUMNS = ("rank", GAUGE, "gauge_name", "gauge_lat", "area", "has_local_dynamic_data",
                       "consumptive_use_perc", "regulation_degree", "reservoirs_vol", "q_quality_control_perc",
                       "q_stream_stage_perc", "forest_perc", "crop_perc", "imperv_perc", "dom_land_cover",
@@ -70,13 +71,8 @@ def dynamic_availability(listing: DataFrame, file_col: str = "file_name") -> Dat
              .filter(F.col("_n") == len(REQUIRED_SUFFIXES)).select(GAUGE))
 
 
-def score_candidates(df: DataFrame, available: DataFrame | None = None) -> DataFrame:
-    """K1 + J6 + W11: seven sub-scores, weighted score, and a dense 1..n rank.
-
-    Sort: score desc, local data desc, regulation asc, consumptive asc, reservoirs asc, quality
-    desc, gauge_id asc (explicit last key for ties). The global rank is a blocked scan over a
-    score bucket, so no single task holds all gauges.
-    """
+def score(df: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """K1 + J6: seven sub-scores and the weighted score of each candidate."""
     if available is not None:
         flag = F.col("_avail").isNotNull()
         d = df.join(available.select(GAUGE, F.lit(True).alias("_avail")).distinct(), GAUGE, "left")
@@ -92,19 +88,50 @@ def score_candidates(df: DataFrame, available: DataFrame | None = None) -> DataF
         "score_reservoirs": F.lit(1.0) / (F.lit(1.0) + F.col("reservoirs_vol")),
         "score_data_availability": F.col("has_local_dynamic_data").cast("double"),
     })
-    score = None
+    total = None
     for c, w in WEIGHTS.items():
         term = F.lit(w) * F.col(c)
-        score = term if score is None else score + term
-    d = d.withColumn("recommended_score", score)
-    order = F.struct((-F.col("recommended_score")).alias("a"), (~F.col("has_local_dynamic_data")).alias("b"),
-                     F.col("regulation_degree").alias("c"), F.col("consumptive_use_perc").alias("d"),
-                     F.col("reservoirs_vol").alias("e"), (-F.col("q_quality_control_perc")).alias("f"),
-                     F.col(GAUGE).alias("g"))
-    d = d.withColumn("_ord", order).withColumn("_all", F.lit(0))
-    ranked = blocked_scan(d, ["_all"], "_ord", pos="_pos",
-                          block=F.floor(-F.col("recommended_score") * 1000).cast("long"))
-    return ranked.withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_pos", "_ord", "_all")
+        total = term if total is None else total + term
+    return d.withColumn("recommended_score", total)
+
+
+def rank_order() -> list[Column]:
+    """Score desc, local data desc, regulation asc, consumptive asc, reservoirs asc, quality desc, gauge_id asc
+    (explicit last key for ties)."""
+    return [-F.col("recommended_score"), ~F.col("has_local_dynamic_data"), F.col("regulation_degree"),
+            F.col("consumptive_use_perc"), F.col("reservoirs_vol"), -F.col("q_quality_control_perc"), F.col(GAUGE)]
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    """All scored rows with their rank 1..n, in tasks of like size however the scores cluster."""
+    return global_rank(scored, rank_order())
+
+
+def score_candidates(df: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """K1 + J6 + W11: sub-scores, weighted score, and a dense 1..n rank."""
+    return ranked(score(df, available))
+
+
+def top_candidates(scored: DataFrame, n: int = 15) -> DataFrame:
+    """K2 on scored rows without rank: the first n (TakeOrderedAndProject), ranked among themselves."""
+    n = max(1, n)
+    first = scored.orderBy(*rank_order()).limit(n)
+    w = Window.partitionBy(F.lit(0)).orderBy(*rank_order())  # n rows
+    return first.withColumn("rank", F.row_number().over(w).cast("int"))
+
+
+def leaders(scored: DataFrame, target: str, n: int) -> DataFrame:
+    """The first n of the scored rows and the target with their ranks, without ranking the others: the target's rank is one
+    more than the number of rows before it, counted here. Write ``scored`` before (``cut_lineage``)."""
+    top = top_candidates(scored, n)
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank_order())])
+    own = scored.filter(F.col(GAUGE) == target)
+    at = own.agg(F.min(order).alias("at")).first()["at"]
+    if at is None:
+        return top
+    key = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(at, own.select(order.alias("o")).schema[0].dataType.fields, strict=True)])
+    rank = scored.filter(order < key).count() + 1
+    return top if rank <= n else top.unionByName(own.withColumn("rank", F.lit(rank)))
 
 
 def top_n(scored: DataFrame, n: int = 15) -> DataFrame:

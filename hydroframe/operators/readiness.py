@@ -8,12 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import round4
 from hydroframe.operators.prepare import date_range
+from hydroframe.operators.quantile import exact_quantiles, small
 from hydroframe.operators.scan import blocked_scan, neighbour_rows, row_index
+from hydroframe.session import cut_lineage
 
 KEY = "station_id"
 FLOW = "streamflow_m3s"
@@ -57,35 +59,36 @@ VERDICTS = {
 
 # ---- A1, A2, P19 -------------------------------------------------------------------------
 
-def missing_pct_best_source(df: DataFrame, variable: str) -> DataFrame:
-    """A1: per station, null share ×100 of the best source column (minimum over the columns with
-    the variable's prefix; streamflow uses its own column; no such column → 100).
-    Rows absent from the file do not count."""
+def _best_source_missing(df: DataFrame, variable: str) -> Column:
+    """A1 as an aggregate: null share × 100 of the best source column (minimum over the columns with the
+    variable's prefix; streamflow uses its own column; no such column → 100)."""
     if variable == "streamflow":
         cols = [FLOW] if FLOW in df.columns else []
     else:
         cols = [c for c in df.columns if c.startswith(SOURCE_PREFIX[variable])
                 and c not in (KEY, "date", "year", "month", "day")]
-    if not cols:
-        return df.groupBy(KEY).agg(F.lit(100.0).alias("missing_pct"))
-    pct = [F.avg(F.col(c).isNull().cast("double")) * 100.0 for c in cols]
-    best = pct[0] if len(pct) == 1 else F.least(*pct)
-    return df.groupBy(KEY).agg(best.alias("missing_pct"))
+    pct = [F.avg(F.col(c).isNull().cast("double")) * 100.0 for c in cols] or [F.lit(100.0)]
+    return pct[0] if len(pct) == 1 else F.least(*pct)
+
+
+def missing_pct_best_source(df: DataFrame, variable: str) -> DataFrame:
+    """A1: per station, null share ×100 of the best source column. Rows absent from the file do not count."""
+    return df.groupBy(KEY).agg(_best_source_missing(df, variable).alias("missing_pct"))
 
 
 def coverage_summary(files: dict[str, DataFrame], stations: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """A2 + P19: one row per station and variable. ``files`` maps variable → the scanned frame
     of all stations' files for it (``station_id``, ``date`` + source columns); a station without
-    a file for a variable gets ``file_exists=false``, 0 rows, 100 % missing.
+    a file for a variable gets ``file_exists=false``, 0 rows, 100 % missing. Rows without a valid date count as
+    rows and for missing values (``read_daily_files(keep_undated=True)`` keeps them).
     """
     limit = {"streamflow": th.max_missing_pct_streamflow, "precipitation": th.max_missing_pct_precip,
              "temperature": th.max_missing_pct_temperature, "evapotransp": th.max_missing_pct_evapotransp}
     parts = []
     for var, df in files.items():
         stats = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("date_min"),
-                                    F.max("date").alias("date_max"))
-        miss = missing_pct_best_source(df, var)
-        parts.append(stats.join(miss, KEY, "inner").withColumn("variable", F.lit(var)))
+                                    F.max("date").alias("date_max"), _best_source_missing(df, var).alias("missing_pct"))
+        parts.append(stats.withColumn("variable", F.lit(var)))
     found = reduce(lambda a, b: a.unionByName(b), parts)
     grid = stations.select(KEY).distinct().select(KEY, F.explode(F.array(*[F.lit(v) for v in files])).alias("variable"))
     j = grid.join(found, [KEY, "variable"], "left")
@@ -157,10 +160,12 @@ def _analysis_series(daily: DataFrame, start: str | None, end: str | None, flow:
 
 
 def event_thresholds(series: DataFrame, quantile: float, flow: str = FLOW, exact: bool = True) -> DataFrame:
-    """Per-station flow threshold: exact (linear) quantile of non-null flow; ``exact=False`` uses
-    ``percentile_approx`` whose memory per station is bounded whatever the series length."""
-    q = F.percentile(flow, quantile) if exact else F.percentile_approx(flow, quantile, 100000)
-    return series.groupBy(KEY).agg(q.cast("double").alias("event_threshold"))
+    """Per-station flow threshold: exact (linear) quantile of non-null flow, whose work is spread over ranges of
+    flow whatever the series length; ``exact=False`` uses ``percentile_approx``. A station without flow has none."""
+    if exact:
+        return exact_quantiles(series, [KEY], flow, [quantile], ["event_threshold"])
+    q = F.percentile_approx(flow, quantile, 100000).cast("double")
+    return series.groupBy(KEY).agg(q.alias("event_threshold")).where(F.col("event_threshold").isNotNull())
 
 
 def detect_events(daily: DataFrame, quantile: float = 0.90, min_duration_days: int = 1,
@@ -175,7 +180,7 @@ def detect_events(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
     than ``min_duration_days`` are dropped **before** numbering; peak = earliest maximum.
     """
     s = _analysis_series(daily, start, end, flow)
-    thr = event_thresholds(s, quantile, flow, exact)
+    thr = small(cut_lineage(event_thresholds(s, quantile, flow, exact)))
     flag = F.coalesce(F.col(flow) >= F.col("event_threshold"), F.lit(False))
     s = blocked_scan(s.join(thr, KEY, "inner"), [KEY], "date", pos="_pos", flags={"_erank": flag})
     ev = s.filter(flag)
@@ -210,6 +215,7 @@ def inter_event_gaps(events: DataFrame) -> DataFrame:
 
 # ---- A8 ----------------------------------------------------------------------------------
 
+# The summary table's columns.
 SUMMARY_COLUMNS = (
     "analysis_start_date", "analysis_end_date", "streamflow_start_date", "streamflow_peak_date",
     "streamflow_peak_m3s", "days_from_streamflow_start_to_peak", "event_count", "average_event_duration_days",
@@ -237,10 +243,10 @@ def event_summary(daily: DataFrame, quantile: float = 0.90, min_duration_days: i
              F.min(F.when(F.col(flow).isNotNull(), F.col("date"))).alias("_sf_start"),
              F.max(F.struct(F.col(flow), (-F.unix_date("date")).alias("nd"), F.col("date"))).alias("_sf_peak")]
     reuse = "event_threshold" in events.columns  # the threshold only shows when events exist
-    if not reuse:
-        stats.append((F.percentile(flow, quantile) if exact else F.percentile_approx(flow, quantile, 100000))
-                     .cast("double").alias("_thr"))
     series = s.groupBy(KEY).agg(*stats)
+    if not reuse:
+        thr = event_thresholds(s, quantile, flow, exact).withColumnRenamed("event_threshold", "_thr")
+        series = series.join(thr, KEY, "left")  # a row a station on both sides
     ev = gaps.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_count"), F.avg("event_duration_days").alias("_avg_dur"),
         F.avg("inter_event_gap_days").alias("_avg_gap"), F.median("inter_event_gap_days").alias("_med_gap"),

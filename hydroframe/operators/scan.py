@@ -26,19 +26,21 @@ def default_block(order_col: str) -> Column:
 
 def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None = "row_pos",
                  fill_cols: list[str] = (), flags: dict[str, Column] | None = None,
-                 block: Column | None = None) -> DataFrame:
+                 block: Column | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
     """One blocked pass adding, per key ordered by ``order_col`` (must be unique per key):
 
     - ``pos``: 0-based row position;
     - ``<flag>`` for each entry of ``flags``: running count of rows where the condition holds
       (at or before the row);
+    - ``<total>`` for each entry of ``totals``: the number of rows of the key where the condition holds, which comes
+      with the carried values, without a join on the key alone;
     - for each ``c`` in ``fill_cols``: nearest non-null value and its position at or before the
       row (``c__pv``, ``c__pp``) and at or after it (``c__nv``, ``c__np``).
 
     In a block: running frames ascending and descending (never a look-ahead frame, which is
     quadratic). Across blocks: prefix sums and last/first known values from the summary.
     """
-    flags = flags or {}
+    flags, totals = flags or {}, totals or {}
     fill_cols = list(fill_cols)
     block = default_block(order_col) if block is None else block
     d = df.withColumn(BLOCK, block)
@@ -57,6 +59,7 @@ def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None
 
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(cond.cast("long")).alias(f"_{n}_n") for n, cond in flags.items()]
+    aggs += [F.count_if(cond).alias(f"_{n}_t") for n, cond in totals.items()]
     for c in fill_cols:
         aggs += [F.max(known[c]).alias(f"{c}__last"), F.min(known[c]).alias(f"{c}__first")]
     summary = d.groupBy(*keys, BLOCK).agg(*aggs)
@@ -69,6 +72,7 @@ def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None
                                                        F.col(col)["v"].alias("v")))
     carry = [F.col("_off")]
     carry += [F.coalesce(F.sum(f"_{n}_n").over(before), F.lit(0)).alias(f"_{n}_off") for n in flags]
+    carry += [F.sum(f"_{n}_t").over(Window.partitionBy(*keys)).alias(f"_{n}_all") for n in totals]
     for c in fill_cols:
         carry += [F.last(shifted(f"{c}__last"), True).over(before).alias(f"{c}__p_c"),
                   F.last(shifted(f"{c}__first"), True).over(after).alias(f"{c}__n_c")]
@@ -80,6 +84,7 @@ def blocked_scan(df: DataFrame, keys: list[str], order_col: str, pos: str | None
     if pos:
         out.append((off + F.col("_rn")).cast("long").alias(pos))
     out += [(F.col(f"_{n}_off") + F.col(f"_{n}_in")).cast("long").alias(n) for n in flags]
+    out += [F.col(f"_{n}_all").cast("long").alias(n) for n in totals]
     for c in fill_cols:
         pin, nin, pc, nc = (F.col(f"{c}__{k}") for k in ("p_in", "n_in", "p_c", "n_c"))
         hp, hn = pin.isNotNull(), nin.isNotNull()
@@ -121,3 +126,18 @@ def neighbour_rows(df: DataFrame, keys: list[str], order_col: str, prev_cols: li
     out += [F.when(F.col("_rn") == F.col("_cnt"), F.col(f"{c}__next_c")).otherwise(F.col(f"{c}__next_in"))
             .alias(f"{c}__next") for c in next_cols]
     return j.select(*df.columns, *out)
+
+
+def halo(df: DataFrame, pos: str, before: int, after: int, block_rows: int) -> DataFrame:
+    """Copy each row into its own position block and into the neighbouring blocks whose frames
+    reach it (``before`` rows back, ``after`` rows ahead); ``_own`` marks the original."""
+    if block_rows < max(before, after, 1):
+        raise ValueError("block_rows must be at least the frame reach")
+    b = F.floor(F.col(pos) / block_rows).cast("long")
+    r = F.col(pos) - b * block_rows
+    targets = F.array(
+        F.struct(b.alias("_pb"), F.lit(True).alias("_own")),
+        F.struct(F.when(r >= block_rows - before, b + 1).alias("_pb"), F.lit(False).alias("_own")),
+        F.struct(F.when(r < after, b - 1).alias("_pb"), F.lit(False).alias("_own")))
+    t = F.filter(targets, lambda s: s["_pb"].isNotNull())
+    return df.select("*", F.explode(t).alias("_h")).select(*df.columns, "_h._pb", "_h._own")

@@ -8,37 +8,42 @@ neighbouring rows copied in, so each ``collect_list`` frame runs inside a bounde
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import log1p_clipped
 from hydroframe.operators.prepare import RECOMMENDED_DYNAMIC_FEATURES, period_label
-from hydroframe.operators.scan import blocked_scan
+from hydroframe.operators.quantile import small
+from hydroframe.operators.scan import blocked_scan, halo
+from hydroframe.session import cut_lineage
 
 KEY = "station_id"
 
 
 # ---- A4 ----------------------------------------------------------------------------------
 
-def standardise(df: DataFrame, columns: list[str], by: list[str] | None = None, suffix: str = "") -> DataFrame:
+def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std of each column over all rows (a std of 0 or null counts as 1): one aggregate, two numbers a column."""
+    got = df.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop)))).first()
+    return {c: (got[f"{c}__mu"], got[f"{c}__sd"] or 1.0) for c in columns}
+
+
+def standardise(df: DataFrame, columns: list[str], by: list[str] | None = None, suffix: str = "",
+                fit: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """A4: z-score with population std (std 0 → divide by 1).
 
-    ``by=None`` fits on all rows (the reference's default, trap T1); ``by=['station_id']`` fits
-    per station (group fit). The global fit is a one-row aggregate read back as literals
-    (bounded: two numbers per column); the grouped fit is an aggregate joined on the key.
+    ``by=None`` fits on all rows (the reference's default, trap T1), or takes ``fit`` (``fit_scale``), which F2 needs again;
+    ``by=['station_id']`` fits per station (group fit), whose fit joins the rows by station, broadcast if it is counted and small.
     """
-    aggs = []
+    if not by:
+        fit = fit or fit_scale(df, columns)
+        return df.withColumns({c + suffix: (F.col(c) - F.lit(fit[c][0])) / F.lit(fit[c][1]) for c in columns})
+    aggs, out = [], {}
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}__mu"), F.stddev_pop(c).alias(f"{c}__sd")]
-    out = {}
-    if not by:
-        stats = df.agg(*aggs).first().asDict()
-        for c in columns:
-            mu, sd = stats[f"{c}__mu"], stats[f"{c}__sd"]
-            sd = 1.0 if sd is None or sd == 0 else sd
-            out[c + suffix] = (F.col(c) - F.lit(mu)) / F.lit(sd)
-        return df.withColumns(out)
-    st = df.groupBy(*by).agg(*aggs)
+    st = small(cut_lineage(df.groupBy(*by).agg(*aggs)))
     d = df.join(st, by, "left")
     for c in columns:
         sd = F.when(F.col(f"{c}__sd") == 0, F.lit(1.0)).otherwise(F.col(f"{c}__sd"))
@@ -53,44 +58,66 @@ def log_target(df: DataFrame, target: str = "streamflow_m3s", name: str = "targe
 
 # ---- halo blocks -------------------------------------------------------------------------
 
-def _halo(df: DataFrame, pos: str, before: int, after: int, block_rows: int) -> DataFrame:
-    """Copy each row into its own position block and into the neighbouring blocks whose frames
-    reach it (``before`` rows back, ``after`` rows ahead); ``_own`` marks the original."""
-    if block_rows < max(before, after, 1):
-        raise ValueError("block_rows must be at least the frame reach")
-    b = F.floor(F.col(pos) / block_rows).cast("long")
-    r = F.col(pos) - b * block_rows
-    targets = F.array(
-        F.struct(b.alias("_pb"), F.lit(True).alias("_own")),
-        F.struct(F.when(r >= block_rows - before, b + 1).alias("_pb"), F.lit(False).alias("_own")),
-        F.struct(F.when(r < after, b - 1).alias("_pb"), F.lit(False).alias("_own")))
-    t = F.filter(targets, lambda s: s["_pb"].isNotNull())
-    return df.select("*", F.explode(t).alias("_h")).select(*df.columns, "_h._pb", "_h._own")
+# ---- W6 ----------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class DateSplit:
+    """W9 limits: train pool [train_start, train_end], test [test_start, test_end], and the pool's share for validation."""
+    train_start: str
+    train_end: str
+    test_start: str
+    test_end: str | None = None
+    val_fraction: float = 0.15
+
+    def in_pool(self, d: Column) -> Column:
+        return d.between(F.lit(self.train_start).cast("date"), F.lit(self.train_end).cast("date"))
+
+    def in_test(self, d: Column) -> Column:
+        after = d >= F.lit(self.test_start).cast("date")
+        return after if self.test_end is None else after & (d <= F.lit(self.test_end).cast("date"))
+
+
+def _label_by_date(s: DataFrame, split: DateSplit, d: Column, order_col: str, counts: Column) -> DataFrame:
+    """``split``, ``n_pool`` and ``split_error`` of each row where ``counts`` holds (a window's target row), one blocked scan."""
+    pool, test = counts & split.in_pool(d), counts & split.in_test(d)
+    s = blocked_scan(s, [KEY], order_col, pos=None, flags={"_pool_rank": pool}, totals={"n_pool": pool, "_n_test": test})
+    n_val = F.least(F.greatest(F.bround(F.col("n_pool") * split.val_fraction, 0).cast("long"), F.lit(1)),
+                    F.col("n_pool") - 1)
+    label = (F.when(pool & (F.col("_pool_rank") > F.col("n_pool") - n_val), F.lit("val"))
+              .when(pool, F.lit("train")).when(test, F.lit("test")))
+    err = (F.when(F.col("n_pool") < 20, F.lit("too few training windows"))
+            .when(F.col("_n_test") == 0, F.lit("no test window")))
+    return s.withColumn("split", label).withColumn("split_error", err).drop("_pool_rank", "_n_test")
 
-# ---- W6 ----------------------------------------------------------------------------------
 
 def lookback_windows(df: DataFrame, lookback: int, horizon: int, features: list[str], target: str,
-                     date_col: str = "date", block_rows: int = 4096) -> DataFrame:
+                     date_col: str = "date", block_rows: int = 4096, split: DateSplit | None = None) -> DataFrame:
     """For each row t with a full lookback, inputs = rows t-L+1..t (``target`` first, then
     ``features``; a struct per step so nulls are kept), target = ``target`` at row t+H
     (direct H-step). Per station N = n - L - H + 1. Output: station_id, window_end_date,
-    target_date, inputs ARRAY<STRUCT>, target, target_raw (when ``target_raw`` is a column)."""
+    target_date, inputs ARRAY<STRUCT>, target, target_raw (when ``target_raw`` is a column), and with
+    ``split`` (W9, as ``chronological_split``) also split, n_pool and split_error.
+
+    Labels are those of the target's row, found on the narrow rows; the target comes from H rows ahead within the
+    block and its halo. So once arrays exist they are neither joined nor shuffled.
+    """
     fields = [target, *[f for f in features if f != target]]
-    keep = [KEY, date_col, *fields] + (["target_raw"] if "target_raw" in df.columns else [])
-    s = blocked_scan(df.select(*dict.fromkeys(keep)), [KEY], date_col, pos="_pos")
-    h = _halo(s, "_pos", lookback - 1, 0, max(block_rows, lookback))
-    w = Window.partitionBy(KEY, "_pb").orderBy("_pos").rowsBetween(-(lookback - 1), 0)
+    raw = ["target_raw"] if "target_raw" in df.columns else []
+    s = blocked_scan(df.select(*dict.fromkeys([KEY, date_col, *fields, *raw])), [KEY], date_col, pos="_pos")
+    ahead = {"target_date": date_col, "target": target, **{c: c for c in raw}}
+    if split is not None:
+        s = _label_by_date(s, split, F.col(date_col), date_col, F.col("_pos") >= lookback + horizon - 1)
+        ahead |= {c: c for c in ("split", "n_pool", "split_error")}
+    h = halo(s, "_pos", lookback - 1, horizon, max(block_rows, lookback, horizon))
+    base = Window.partitionBy(KEY, "_pb").orderBy("_pos")
     step = F.struct(F.col(date_col).alias("date"), *[F.col(f) for f in fields])
-    win = h.select(KEY, date_col, "_pos", "_own", F.collect_list(step).over(w).alias("inputs"))
-    win = win.filter(F.col("_own") & (F.col("_pos") >= lookback - 1))
-    tgt_cols = [F.col(date_col).alias("target_date"), F.col(target).alias("target")]
-    if "target_raw" in s.columns:
-        tgt_cols.append(F.col("target_raw"))
-    tgt = s.select(KEY, (F.col("_pos") - horizon).alias("_pos"), *tgt_cols)
-    return win.join(tgt, [KEY, "_pos"], "inner").select(
-        KEY, F.col(date_col).alias("window_end_date"), "target_date", "inputs", *[c for c in ("target", "target_raw")
-                                                                                 if c in tgt.columns])
+    win = h.select(KEY, F.col(date_col).alias("window_end_date"), "_pos", "_own",
+                   F.lead("_pos", horizon).over(base).alias("_target_pos"),
+                   *[F.lead(c, horizon).over(base).alias(f"_{name}") for name, c in ahead.items()],
+                   F.collect_list(step).over(base.rowsBetween(-(lookback - 1), 0)).alias("inputs"))
+    win = win.filter(F.col("_own") & (F.col("_pos") >= lookback - 1) & F.col("_target_pos").isNotNull())
+    named = {name: F.col(f"_{name}").alias(name) for name in ahead}
+    return win.select(KEY, "window_end_date", named.pop("target_date"), "inputs", *named.values())
 
 
 # ---- W8 ----------------------------------------------------------------------------------
@@ -98,20 +125,22 @@ def lookback_windows(df: DataFrame, lookback: int, horizon: int, features: list[
 def encoder_decoder_windows(df: DataFrame, lookback: int, horizon: int, encoder_fields: list[str],
                             target: str, date_col: str = "date", index_col: str = "time_idx",
                             min_prediction_idx: int | Column | None = None, strict: bool = False,
-                            block_rows: int = 4096) -> DataFrame:
+                            block_rows: int = 4096, decoder_fields: list[str] = (), carry: list[str] = ()) -> DataFrame:
     """encoder = exactly L rows ending at t, decoder = exactly H rows t+1..t+H (all targets,
     trap T6), per station. ``strict`` keeps only windows contiguous in ``index_col``;
     ``min_prediction_idx`` bounds the first decoder index from below (validation/test keep
-    earlier rows for the encoder)."""
-    cols = list(dict.fromkeys([KEY, date_col, index_col, target, *encoder_fields]))
+    earlier rows for the encoder). ``decoder_fields``: columns known ahead that decoder steps hold, too; ``carry``:
+    columns of the last encoder row that come with the window, so that nothing is joined to arrays later."""
+    cols = list(dict.fromkeys([KEY, date_col, index_col, target, *encoder_fields, *decoder_fields, *carry]))
     s = blocked_scan(df.select(*cols), [KEY], date_col, pos="_pos")
-    h = _halo(s, "_pos", lookback - 1, horizon, max(block_rows, lookback, horizon))
+    h = halo(s, "_pos", lookback - 1, horizon, max(block_rows, lookback, horizon))
     base = Window.partitionBy(KEY, "_pb").orderBy("_pos")
     enc_w, dec_w = base.rowsBetween(-(lookback - 1), 0), base.rowsBetween(1, horizon)
     enc_step = F.struct(F.col(index_col).alias("idx"), F.col(date_col).alias("date"),
                         *[F.col(f) for f in dict.fromkeys([target, *encoder_fields])])
-    dec_step = F.struct(F.col(index_col).alias("idx"), F.col(date_col).alias("date"), F.col(target).alias("target"))
-    w = h.select(KEY, "_pos", "_own", F.collect_list(enc_step).over(enc_w).alias("encoder"),
+    dec_step = F.struct(F.col(index_col).alias("idx"), F.col(date_col).alias("date"), F.col(target).alias("target"),
+                        *[F.col(f) for f in decoder_fields])
+    w = h.select(KEY, "_pos", "_own", *carry, F.collect_list(enc_step).over(enc_w).alias("encoder"),
                  F.collect_list(dec_step).over(dec_w).alias("decoder"))
     w = w.filter(F.col("_own") & (F.size("encoder") == lookback) & (F.size("decoder") == horizon))
     first_dec = F.col("decoder")[0]["idx"]
@@ -121,7 +150,7 @@ def encoder_decoder_windows(df: DataFrame, lookback: int, horizon: int, encoder_
         lim = F.lit(min_prediction_idx) if isinstance(min_prediction_idx, int) else min_prediction_idx
         w = w.filter(first_dec >= lim)
     return w.select(KEY, F.col("decoder")[0]["date"].alias("decoder_start_date"), first_dec.alias("decoder_start_idx"),
-                    "encoder", "decoder")
+                    "encoder", "decoder", *carry)
 
 
 # ---- W9, A10 -----------------------------------------------------------------------------
@@ -134,28 +163,13 @@ def chronological_split(windows: DataFrame, train_start: str, train_end: str, te
     (half-even, at least 1, at most n-1); test = [test_start, test_end]. Adds ``split`` and
     ``n_pool``; a station with fewer than 20 pool windows or no test window gets
     ``split_error`` set (the reference raises)."""
-    d = F.col(date_col)
-    in_pool = d.between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date"))
-    in_test = d >= F.lit(test_start).cast("date")
-    if test_end is not None:
-        in_test = in_test & (d <= F.lit(test_end).cast("date"))
-    s = blocked_scan(windows, [KEY], date_col, pos=None, flags={"_pool_rank": in_pool})
-    counts = windows.groupBy(KEY).agg(F.count_if(in_pool).alias("n_pool"), F.count_if(in_test).alias("_n_test"))
-    s = s.join(counts, KEY, "inner")
-    n_val = F.least(F.greatest(F.bround(F.col("n_pool") * val_fraction, 0).cast("long"), F.lit(1)),
-                    F.col("n_pool") - 1)
-    split = (F.when(in_pool & (F.col("_pool_rank") > F.col("n_pool") - n_val), F.lit("val"))
-              .when(in_pool, F.lit("train")).when(in_test, F.lit("test")))
-    err = (F.when(F.col("n_pool") < 20, F.lit("too few training windows"))
-            .when(F.col("_n_test") == 0, F.lit("no test window")))
-    return s.withColumn("split", split).withColumn("split_error", err).drop("_pool_rank", "_n_test")
+    split = DateSplit(train_start, train_end, test_start, test_end, val_fraction)
+    return _label_by_date(windows, split, F.col(date_col), date_col, F.lit(True))
 
 
 def positional_split(windows: DataFrame, date_col: str = "target_date") -> DataFrame:
     """W9 fallback: first 70 % train, next 15 % val, rest test, by position per station."""
-    s = blocked_scan(windows, [KEY], date_col, pos="_p")
-    n = windows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    s = s.join(n, KEY, "inner")
+    s = blocked_scan(windows, [KEY], date_col, pos="_p", totals={"_n": F.lit(True)})
     split = (F.when(F.col("_p") < F.floor(F.col("_n") * 0.7), F.lit("train"))
               .when(F.col("_p") < F.floor(F.col("_n") * 0.85), F.lit("val")).otherwise(F.lit("test")))
     return s.withColumn("split", split).drop("_p", "_n")
@@ -231,9 +245,35 @@ def label_periods(df: DataFrame, periods, date_col: str = "date") -> DataFrame:
     return df.withColumn("period", period_label(F.col(date_col), periods))
 
 
+def _split_limits(df: DataFrame, split: DateSplit | None, lookback: int, target: str, date_col: str,
+                  index_col: str) -> DataFrame:
+    """Per station what ``tft_datasets`` needs to label windows: where validation and test predictions begin
+    (``val_start_idx``, ``test_start_idx``), the target's centre and scale over the training rows, ``split_error``, and without
+    dates the index limits ``_train_end`` and ``_val_end``."""
+    d, idx = F.col(date_col), F.col(index_col)
+    s = df.select(KEY, date_col, index_col, target)
+    at = lambda cond: F.max(F.when(cond, idx))
+    if split is None:
+        s = blocked_scan(s, [KEY], date_col, pos="_pos", totals={"_n": F.lit(True)})
+        s = s.withColumns({f"_{name}_end": F.floor(F.lit(share) * F.col("_n")) for name, share in (("train", 0.70), ("val", 0.85))})
+        train, val_at, test_at = idx < F.col("_train_end"), at(F.col("_pos") == F.col("_train_end")), at(F.col("_pos") == F.col("_val_end"))
+        extra = [F.first("_train_end").alias("_train_end"), F.first("_val_end").alias("_val_end"), F.lit(None).cast("string").alias("split_error")]
+    else:
+        pool = split.in_pool(d)
+        s = blocked_scan(s, [KEY], date_col, pos=None, flags={"_prank": pool}, totals={"n_pool": pool})
+        row = F.least(F.greatest(F.bround((1.0 - split.val_fraction) * F.col("n_pool"), 0).cast("long"), F.lit(1)), F.col("n_pool") - 1)
+        train, val_at = pool & (F.col("_prank") <= row), at(pool & (F.col("_prank") == row + 1))
+        test_at = F.min(F.when(d >= F.lit(split.test_start).cast("date"), idx))
+        extra = [F.when(F.first("n_pool") < lookback + 2, F.lit("training window too short for the lookback")).alias("split_error")]
+    own = F.when(train, F.col(target))
+    return s.groupBy(KEY).agg(val_at.alias("val_start_idx"), test_at.alias("test_start_idx"), F.avg(own).alias("target_center"),
+                              F.stddev_samp(own).alias("target_scale"), *extra)
+
+
 def tft_datasets(df: DataFrame, lookback: int, horizon: int, encoder_fields: list[str], target: str,
-                 train_start: str, train_end: str, test_start: str, test_end: str | None = None,
-                 val_fraction: float = 0.15, date_col: str = "date", index_col: str = "time_idx") -> DataFrame:
+                 train_start: str | None = None, train_end: str | None = None, test_start: str | None = None,
+                 test_end: str | None = None, val_fraction: float = 0.15, date_col: str = "date",
+                 index_col: str = "time_idx", decoder_fields: list[str] = (), carry: list[str] = ()) -> DataFrame:
     """W8 + W9 (encoder/decoder form): label each encoder/decoder window ``train``, ``val`` or
     ``test`` as the multi-step builder does, per station:
 
@@ -246,42 +286,64 @@ def tft_datasets(df: DataFrame, lookback: int, horizon: int, encoder_fields: lis
     - test windows end on or before ``test_end`` and predict from the first index at or after
       ``test_start`` (A10) on.
 
+    Unless train_start, train_end and test_start are all given, rows are split by number: with n rows, train windows have
+    indexes under ``int(0.70 n)``, validation windows under ``int(0.85 n)`` and predict from the index of row
+    ``int(0.70 n)`` on, test windows predict from that of row ``int(0.85 n)`` on.
+
     Adds the per-station target centre and scale (mean, sample std of the target over the train
     rows; group normalisation), the encoder length and each step's relative index
-    (``(idx - first decoder idx) / L``).
+    (``(idx - first decoder idx) / L``) of the encoder and the decoder. The limits join the daily rows, one row a station, before
+    any array exists.
     """
     d = F.col(date_col)
-    in_pool = d.between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date"))
-    s = blocked_scan(df.select(KEY, date_col, index_col, target), [KEY], date_col, pos=None,
-                     flags={"_prank": in_pool})
-    n_pool = df.groupBy(KEY).agg(F.count_if(in_pool).alias("n_pool"))
-    s = s.join(n_pool, KEY, "inner")
-    split_row = F.least(F.greatest(F.bround((1.0 - val_fraction) * F.col("n_pool"), 0).cast("long"), F.lit(1)),
-                        F.col("n_pool") - 1)
-    test_ok = d >= F.lit(test_start).cast("date")
-    st = s.groupBy(KEY).agg(
-        F.first("n_pool").alias("n_pool"),
-        F.max(F.when(in_pool & (F.col("_prank") == split_row + 1), F.col(index_col))).alias("val_start_idx"),
-        F.min(F.when(test_ok, F.col(index_col))).alias("test_start_idx"),
-        F.avg(F.when(in_pool & (F.col("_prank") <= split_row), F.col(target))).alias("target_center"),
-        F.stddev_samp(F.when(in_pool & (F.col("_prank") <= split_row), F.col(target))).alias("target_scale"))
-    end = test_end if test_end is not None else None
-    base = df if end is None else df.filter(d <= F.lit(end).cast("date"))
-    w = encoder_decoder_windows(base, lookback, horizon, encoder_fields, target, date_col, index_col)
-    w = w.join(st, KEY, "inner")
-    enc_first_date = F.col("encoder")[0]["date"]
-    dec_last = F.col("decoder")[horizon - 1]
-    first_dec = F.col("decoder_start_idx")
-    is_train = ((enc_first_date >= F.lit(train_start).cast("date")) & (dec_last["idx"] < F.col("val_start_idx"))
-                & (dec_last["date"] <= F.lit(train_end).cast("date")))
-    is_val = (dec_last["date"] <= F.lit(train_end).cast("date")) & (first_dec >= F.col("val_start_idx"))
-    is_test = first_dec >= F.col("test_start_idx")
+    by_date = train_start is not None and train_end is not None and test_start is not None
+    split = DateSplit(train_start, train_end, test_start, test_end, val_fraction) if by_date else None
+    limits = cut_lineage(_split_limits(df, split, lookback, target, date_col, index_col))
+    base = df if not by_date or test_end is None else df.filter(d <= F.lit(test_end).cast("date"))
+    held = [c for c in limits.columns if c != KEY]
+    w = encoder_decoder_windows(base.join(small(limits), KEY), lookback, horizon, encoder_fields, target, date_col, index_col,
+                                decoder_fields=decoder_fields, carry=[*held, *carry])
+    first_dec, dec_last = F.col("decoder_start_idx"), F.col("decoder")[horizon - 1]
+    if by_date:
+        in_pool = dec_last["date"] <= F.lit(train_end).cast("date")
+        is_train = ((F.col("encoder")[0]["date"] >= F.lit(train_start).cast("date"))
+                    & (dec_last["idx"] < F.col("val_start_idx")) & in_pool)
+    else:
+        in_pool, is_train = dec_last["idx"] < F.col("_val_end"), dec_last["idx"] < F.col("_train_end")
+    is_val, is_test = in_pool & (first_dec >= F.col("val_start_idx")), first_dec >= F.col("test_start_idx")
     label = F.when(is_train, F.lit("train")).when(is_val, F.lit("val")).when(is_test, F.lit("test"))
-    rel = F.transform("encoder", lambda e: (e["idx"] - first_dec) / F.lit(float(lookback)))
-    err = F.when(F.col("n_pool") < lookback + 2, F.lit("training window too short for the lookback"))
-    return (w.withColumn("dataset", label).filter(F.col("dataset").isNotNull())
-             .withColumn("encoder_length", F.size("encoder")).withColumn("relative_idx", rel)
-             .withColumn("split_error", err))
+    relative = lambda steps: F.transform(steps, lambda e: (e["idx"] - first_dec) / F.lit(float(lookback)))
+    return (w.withColumn("dataset", label).filter(F.col("dataset").isNotNull()).drop("_train_end", "_val_end")
+             .withColumn("encoder_length", F.size("encoder")).withColumn("relative_idx", relative("encoder"))
+             .withColumn("decoder_relative_idx", relative("decoder")))
+
+
+def model_inputs(df: DataFrame, lookback: int, horizon: int, target: str, known_reals: list[str], static_categoricals: list[str] = (),
+                 static_reals: list[str] = (), index_col: str = "time_idx", **split) -> DataFrame:
+    """W8 with feature roles (P12): the windows of ``tft_datasets`` as a multi-step model takes them.
+
+    ``encoder_reals`` and ``decoder_reals``: an array of each step's known reals, the index first, its relative index
+    last (``known_names`` says which); ``encoder_target`` and ``decoder_target``: the target, of which the model sees the
+    first alone; ``static_categoricals`` (as text) and ``static_reals``: structs; ``target_scales``: centre and scale.
+    """
+    known = [c for c in known_reals if c != index_col and c in df.columns]
+    w = tft_datasets(df, lookback, horizon, known, target, index_col=index_col, decoder_fields=known,
+                     carry=[*static_categoricals, *static_reals], **split)
+
+    def reals(steps: str, relative: str) -> Column:
+        row = lambda e, r: F.array(e["idx"].cast("double"), *[e[c].cast("double") for c in known], r)
+        return F.zip_with(steps, relative, row)
+
+    def held(names: list[str], kind: str) -> Column:
+        return F.struct(*[F.col(c).cast(kind).alias(c) for c in names]) if names else F.lit(None)
+
+    return w.select(
+        KEY, "dataset", "decoder_start_date", "decoder_start_idx", "encoder_length", F.size("decoder").alias("decoder_length"),
+        F.array(*[F.lit(c) for c in (index_col, *known, "relative_time_idx")]).alias("known_names"),
+        reals("encoder", "relative_idx").alias("encoder_reals"), reals("decoder", "decoder_relative_idx").alias("decoder_reals"),
+        F.transform("encoder", lambda e: e[target]).alias("encoder_target"), F.transform("decoder", lambda e: e["target"]).alias("decoder_target"),
+        held(static_categoricals, "string").alias("static_categoricals"), held(static_reals, "double").alias("static_reals"),
+        F.array("target_center", "target_scale").alias("target_scales"), "split_error")
 
 
 def expanding_window_folds(windows: DataFrame, cutoff_years: list[int], date_col: str = "target_date",

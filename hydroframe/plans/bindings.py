@@ -245,3 +245,11 @@ def attention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.format_string("study_%d", F.col("label")).alias("study"), F.col("vec_id"),
                     F.col("embedding").cast("array<double>").alias("attention_row"))
+
+
+def dated_attention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention samples with a date and a horizon: a day of 1995-2001 from the vector's id, 7, 15 or 30 days from its label."""
+    e = table(spark, sf_dir, "embeddings")
+    horizon = F.element_at(F.array(F.lit(7), F.lit(15), F.lit(30)), F.pmod("label", F.lit(3)) + 1)
+    day = F.date_add(F.lit("1995-01-01").cast("date"), F.pmod("vec_id", F.lit(2400)).cast("int"))
+    return e.select(horizon.alias("horizon"), day.alias("date"), F.col("embedding").cast("array<double>").alias("attention_row"))

@@ -898,6 +898,81 @@ FROM lab WHERE dataset IS NOT NULL
 GROUP BY station_id, dataset, val_start_idx, test_start_idx, target_center, target_scale
 """
 
+ORACLE["row_split_datasets"] = f"""
+WITH {MASTER_CTES},
+mr AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) - 1 AS pos, COUNT(*) OVER (PARTITION BY station_id) AS n FROM master),
+mr2 AS (SELECT *, CAST(floor(0.7::DOUBLE * n) AS BIGINT) AS train_end, CAST(floor(0.85::DOUBLE * n) AS BIGINT) AS val_end FROM mr),
+st AS (SELECT station_id, any_value(train_end) AS train_end, any_value(val_end) AS val_end,
+              MAX(CASE WHEN pos = train_end THEN time_idx END) AS val_start_idx, MAX(CASE WHEN pos = val_end THEN time_idx END) AS test_start_idx,
+              AVG(CASE WHEN time_idx < train_end THEN streamflow_m3s END) AS target_center,
+              stddev_samp(CASE WHEN time_idx < train_end THEN streamflow_m3s END) AS target_scale FROM mr2 GROUP BY 1),
+ed AS (SELECT station_id, COUNT(*) OVER e AS n_enc, COUNT(*) OVER dcd AS n_dec, lead(time_idx, 1) OVER o AS first_idx, lead(time_idx, 7) OVER o AS last_idx
+       FROM master WINDOW o AS (PARTITION BY station_id ORDER BY date),
+              e AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+              dcd AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)),
+lab AS (SELECT *, CASE WHEN last_idx < train_end THEN 'train' WHEN last_idx < val_end AND first_idx >= val_start_idx THEN 'val'
+                       WHEN first_idx >= test_start_idx THEN 'test' END AS dataset
+        FROM ed JOIN st USING (station_id) WHERE n_enc = 30 AND n_dec = 7)
+SELECT station_id, dataset, val_start_idx, test_start_idx, {rnd(['target_center', 'target_scale'])}, COUNT(*) AS n_windows,
+       MIN(first_idx) AS first_decoder_idx, MAX(first_idx) AS last_decoder_idx
+FROM lab WHERE dataset IS NOT NULL GROUP BY station_id, dataset, val_start_idx, test_start_idx, target_center, target_scale
+"""
+
+_KNOWN = ["time_idx", "precipitation", "temperature", "actual_evapotransp", "oni", "sin_day", "cos_day", "sin_month", "cos_month"]
+ORACLE["model_inputs"] = f"""
+WITH {MASTER_CTES},
+mr AS (SELECT *, date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_pool FROM master),
+mr2 AS (SELECT *, COUNT(CASE WHEN in_pool THEN 1 END) OVER (PARTITION BY station_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS prank,
+               COUNT(CASE WHEN in_pool THEN 1 END) OVER (PARTITION BY station_id) AS n_pool FROM mr),
+mr3 AS (SELECT *, least(greatest(CAST(round_even((1.0 - 0.15) * n_pool, 0) AS BIGINT), 1), n_pool - 1) AS split_row FROM mr2),
+st AS (SELECT station_id, MAX(CASE WHEN in_pool AND prank = split_row + 1 THEN time_idx END) AS val_start_idx,
+              MIN(CASE WHEN date >= DATE '2000-01-01' THEN time_idx END) AS test_start_idx,
+              AVG(CASE WHEN in_pool AND prank <= split_row THEN streamflow_m3s END) AS target_center,
+              stddev_samp(CASE WHEN in_pool AND prank <= split_row THEN streamflow_m3s END) AS target_scale,
+              CASE WHEN any_value(n_pool) < 32 THEN 'training window too short for the lookback' END AS split_error FROM mr3 GROUP BY 1),
+ed AS (SELECT station_id, static_nation_name, static_mean_acctbal, COUNT(*) OVER e AS n_enc, COUNT(*) OVER dcd AS n_dec,
+              first_value(date) OVER e AS enc_first_date, first_value(time_idx) OVER e AS enc_first_idx, lead(time_idx, 1) OVER o AS decoder_start_idx,
+              lead(date, 1) OVER o AS decoder_start_date, lead(date, 7) OVER o AS dec_last_date, lead(time_idx, 7) OVER o AS dec_last_idx,
+              {', '.join(f'SUM(CAST({c} AS DOUBLE)) OVER dcd AS decoder_{c}' for c in _KNOWN)}, SUM(oni) OVER e AS encoder_oni,
+              MAX(streamflow_m3s) OVER e AS highest_encoder_target, MAX(streamflow_m3s) OVER dcd AS highest_decoder_target
+       FROM (SELECT * FROM master WHERE date <= DATE '2001-08-01') WINDOW o AS (PARTITION BY station_id ORDER BY date),
+              e AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+              dcd AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)),
+lab AS (SELECT *, CASE WHEN enc_first_date >= DATE '1995-01-01' AND dec_last_idx < val_start_idx AND dec_last_date <= DATE '1999-12-31' THEN 'train'
+                    WHEN dec_last_date <= DATE '1999-12-31' AND decoder_start_idx >= val_start_idx THEN 'val'
+                    WHEN decoder_start_idx >= test_start_idx THEN 'test' END AS dataset,
+               (enc_first_idx - decoder_start_idx) / 30.0::DOUBLE AS first_relative_idx, (dec_last_idx - decoder_start_idx) / 30.0::DOUBLE AS last_relative_idx
+        FROM ed JOIN st USING (station_id) WHERE n_enc = 30 AND n_dec = 7)
+SELECT station_id, dataset, decoder_start_date, decoder_start_idx, 30 AS encoder_length, 7 AS decoder_length, static_nation_name,
+       {rnd(['first_relative_idx', 'last_relative_idx', *(f'decoder_{c}' for c in _KNOWN), 'encoder_oni', 'highest_encoder_target', 'highest_decoder_target',
+             'static_mean_acctbal', 'target_center', 'target_scale'])}, split_error
+FROM lab WHERE dataset IS NOT NULL
+"""
+
+ORACLE["forecast_one_lag"] = f"""
+WITH {SCALED},
+w1 AS (SELECT z.station_id, z.target_log AS x, wv.target_date, wv.target FROM wv JOIN zz z ON z.station_id = wv.station_id AND z.date = wv.window_end_date),
+pool AS (SELECT *, target_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' AS in_pool,
+                target_date BETWEEN DATE '2000-01-01' AND DATE '2001-08-01' AS in_test FROM w1),
+rk AS (SELECT *, COUNT(CASE WHEN in_pool THEN 1 END) OVER (PARTITION BY station_id ORDER BY target_date ROWS UNBOUNDED PRECEDING) AS prank,
+              COUNT(CASE WHEN in_pool THEN 1 END) OVER (PARTITION BY station_id) AS n_pool FROM pool),
+lab AS (SELECT *, CASE WHEN in_pool AND prank > n_pool - least(greatest(CAST(round_even(n_pool * 0.15, 0) AS BIGINT), 1), n_pool - 1) THEN 'val'
+                       WHEN in_pool THEN 'train' WHEN in_test THEN 'test' END AS split FROM rk),
+lin AS (SELECT regr_slope(target, x) AS slope, regr_intercept(target, x) AS intercept FROM lab WHERE split = 'train'),
+pr AS (SELECT station_id, split, greatest(exp(target * sd + mu) - 1, 0.0) AS y_true, greatest(exp((slope * x + intercept) * sd + mu) - 1, 0.0) AS y_pred
+       FROM lab, lin, (SELECT mu_target_log AS mu, CASE WHEN sd_target_log IS NULL OR sd_target_log = 0 THEN 1.0 ELSE sd_target_log END AS sd FROM stt)
+       WHERE split IS NOT NULL),
+a5 AS (WITH {metrics_select('pr', 'station_id, split').strip()}),
+q AS (SELECT station_id, quantile_cont(y_true, 0.10) AS q90 FROM pr WHERE split = 'train' GROUP BY 1),
+t AS (SELECT pr.*, q90, ln(greatest(y_true, 1e-6)) AS lt, ln(greatest(y_pred, 1e-6)) AS lp FROM pr JOIN q USING (station_id)),
+g AS (SELECT station_id, split, any_value(q90) AS q90, SUM((lt - lp) * (lt - lp)) AS ssr, var_pop(lt) * COUNT(*) AS sst,
+             sqrt(AVG(CASE WHEN y_true <= q90 THEN (y_true - y_pred) * (y_true - y_pred) END)) AS rmse_dry,
+             COUNT(CASE WHEN y_true <= q90 THEN 1 END) AS n_dry FROM t GROUP BY 1, 2)
+SELECT a5.*, round(q90, 6) + 0.0 AS Q90_reference, round(CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END, 6) + 0.0 AS LogNSE,
+       round(rmse_dry, 6) + 0.0 AS RMSE_dry, n_dry AS n_dry_samples
+FROM a5 JOIN g USING (station_id, split)
+"""
+
 ORACLE["expanding_window_folds"] = f"""
 WITH {SCALED},
 f AS (SELECT wv.station_id, wv.target_date, c.cutoff AS fold_cutoff FROM wv
@@ -934,7 +1009,8 @@ FROM dd GROUP BY 1
 
 ORACLE["encoder_series_scaled"] = f"""
 WITH {ENC},
-ev AS (SELECT e.study, e.entry, p.score AS v FROM ent e JOIN plr p ON p.event_id = e.event_id AND p.feature = 'k'),
+ev AS (SELECT e.study, e.entry, CASE WHEN p.feature IS NULL THEN 0.0 ELSE p.score END AS v
+       FROM ent e LEFT JOIN plr p ON p.event_id = e.event_id AND p.feature = 'k'),
 nn AS (SELECT study, COUNT(*) AS n FROM ev GROUP BY 1),
 bk AS (SELECT ev.study, CAST(floor(entry / CASE WHEN n > 200 THEN greatest(1, floor(n / 200)) ELSE 1 END) AS BIGINT) AS point,
               v FROM ev JOIN nn USING (study)),
@@ -949,10 +1025,10 @@ ORACLE["encoder_bar_values"] = f"""
 WITH {ENC},
 top AS (SELECT variable, row_number() OVER (ORDER BY importance DESC, study, variable) AS o FROM evm
         ORDER BY importance DESC, study, variable LIMIT 4),
-nm AS (SELECT DISTINCT variable FROM top UNION SELECT 'oni'),
-st AS (SELECT DISTINCT study FROM evm),
-j AS (SELECT st.study, nm.variable, COALESCE(evm.importance, 0.0) AS importance
-      FROM st CROSS JOIN nm LEFT JOIN evm ON evm.study = st.study AND evm.variable = nm.variable),
+al AS (SELECT variable, MIN(o) AS position FROM top GROUP BY 1 UNION ALL SELECT 'oni', 0 WHERE NOT EXISTS (SELECT 1 FROM top WHERE variable = 'oni')),
+nm AS (SELECT variable FROM al ORDER BY position LIMIT 4),
+j AS (SELECT ent.study, nm.variable, AVG(CASE WHEN p.feature IS NULL THEN 0.0 WHEN isnan(p.score) THEN NULL ELSE p.score END) AS importance
+      FROM ent CROSS JOIN nm LEFT JOIN plr p ON p.event_id = ent.event_id AND p.feature = nm.variable GROUP BY 1, 2),
 mx AS (SELECT variable, MAX(importance) AS m FROM j GROUP BY 1)
 SELECT j.variable, study, round(CASE WHEN m <= 1.0 THEN importance * 100.0 ELSE importance END, 6) + 0.0 AS bar_value
 FROM j JOIN mx USING (variable)
@@ -997,3 +1073,22 @@ SELECT "group", metric, COUNT(diff) AS replicates, round(quantile_cont(diff, 0.0
        round(quantile_cont(diff, 0.5), 6) + 0.0 AS q500, round(quantile_cont(diff, 0.975), 6) + 0.0 AS q975
 FROM dl GROUP BY 1, 2
 """
+
+ORACLE["seasonal_attention"] = f"""
+WITH c AS (SELECT CASE label % 3 WHEN 0 THEN 7 WHEN 1 THEN 15 ELSE 30 END AS horizon, DATE '1995-01-01' + CAST(vec_id % 2400 AS INTEGER) AS date,
+                  unnest(range(len(embedding)))::INTEGER AS lag, unnest(embedding)::DOUBLE AS value FROM embeddings),
+s AS (SELECT *, CASE WHEN month(date) IN (12, 1, 2) THEN 'DJF' WHEN month(date) <= 5 THEN 'MAM' WHEN month(date) <= 8 THEN 'JJA' ELSE 'SON' END AS season FROM c)
+SELECT horizon, season, lag, round(AVG(value), 6) + 0.0 AS mean_attention, COUNT(value) AS n_samples, CAST(GROUPING(season) AS TINYINT) AS all_seasons
+FROM s GROUP BY GROUPING SETS ((horizon, season, lag), (horizon, lag))
+"""
+
+ORACLE["training_splits"] = f"""
+WITH {FINAL_CTES},
+st AS (SELECT station_id, COALESCE(greatest(MIN(CASE WHEN streamflow_m3s IS NOT NULL THEN date END), DATE '1995-02-01'),
+              DATE '1995-02-01') AS start_ FROM fin GROUP BY 1)
+SELECT fin.station_id, period, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date, round(AVG(streamflow_m3s), 6) + 0.0 AS mean_target
+FROM fin JOIN st ON fin.station_id = st.station_id
+WHERE date >= start_ AND streamflow_m3s IS NOT NULL AND precipitation IS NOT NULL AND oni IS NOT NULL
+  AND month_sin IS NOT NULL AND month_cos IS NOT NULL
+GROUP BY fin.station_id, period
+"""

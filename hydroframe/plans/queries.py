@@ -231,11 +231,10 @@ from hydroframe.operators import ranking as K  # noqa: E402
 TARGET_GAUGE = "72"
 
 
-def scored(spark, d):
-    """J3 star join → P13 candidate filter → S6/J6 availability flag → K1 score → W11 rank."""
+def candidates(spark, d):
+    """J3 star join → P13 candidate filter → S6/J6 availability flag → K1 score, not yet ranked."""
     cand = K.southern_candidates(K.star_join(B.gauge_attributes(spark, d)))
-    avail = K.dynamic_availability(B.file_listing(spark, d))
-    return K.score_candidates(cand, avail)
+    return K.score(cand, K.dynamic_availability(B.file_listing(spark, d)))
 
 
 @register("dynamic_availability")
@@ -245,25 +244,25 @@ def q_dynamic_availability(spark, d):
 
 @register("ranking_scores")
 def q_ranking_scores(spark, d):
-    return finish(scored(spark, d))
+    return finish(K.ranked(candidates(spark, d)))
 
 
 @register("ranking_top")
 def q_ranking_top(spark, d):
-    """K2: top 15."""
-    return finish(K.top_n(scored(spark, d), 15))
+    """K2: top 15, without ranking the others."""
+    return finish(K.top_candidates(candidates(spark, d), 15))
 
 
 @register("ranking_comparison")
 def q_ranking_comparison(spark, d):
     """K3 + U3: target first, then top 5, deduplicated."""
-    return finish(K.comparison_table(cut_lineage(scored(spark, d)), TARGET_GAUGE, 5))
+    return finish(K.comparison_table(K.leaders(cut_lineage(candidates(spark, d)), TARGET_GAUGE, 5), TARGET_GAUGE, 5))
 
 
 @register("ranking_recommendation")
 def q_ranking_recommendation(spark, d):
     """K4: principal and reserve."""
-    return finish(K.recommendation(scored(spark, d), TARGET_GAUGE))
+    return finish(K.recommendation(K.leaders(cut_lineage(candidates(spark, d)), TARGET_GAUGE, 2), TARGET_GAUGE))
 
 
 # ---- windows and splits -----------------------------------------------------------------
@@ -274,16 +273,24 @@ WINDOW_FEATURES = ["precipitation", "temperature", "actual_evapotransp", "sin_da
 LOOKBACK, HORIZON = 30, 7
 
 
-def scaled_master(spark, d):
-    """A4 + F1 on the master table: log1p(clip) target and features z-scored on all rows."""
+SPLIT = W.DateSplit("1995-01-01", "1999-12-31", "2000-01-01", "2001-08-01", 0.15)
+
+
+def scaled_master_and_fit(spark, d):
+    """A4 + F1 on the master table: log1p(clip) target and features z-scored on all rows (T1); and the fit."""
     m = cut_lineage(master_dataset(spark, d))
     m = W.log_target(m, "streamflow_m3s", "target_log")
     m = m.withColumn("target_raw", F.greatest(F.col("streamflow_m3s"), F.lit(0.0)))
-    return W.standardise(m, ["target_log", *WINDOW_FEATURES])
+    fit = W.fit_scale(m, ["target_log", *WINDOW_FEATURES])
+    return W.standardise(m, ["target_log", *WINDOW_FEATURES], fit=fit), fit
 
 
-def sequence_windows(spark, d):
-    return W.lookback_windows(scaled_master(spark, d), LOOKBACK, HORIZON, WINDOW_FEATURES, "target_log")
+def scaled_master(spark, d):
+    return scaled_master_and_fit(spark, d)[0]
+
+
+def sequence_windows(spark, d, split=None):
+    return W.lookback_windows(scaled_master(spark, d), LOOKBACK, HORIZON, WINDOW_FEATURES, "target_log", split=split)
 
 
 @register("lookback_windows")
@@ -301,9 +308,7 @@ def q_lookback_windows(spark, d):
 @register("chronological_split")
 def q_chronological_split(spark, d):
     """Validation tail of the train pool by target date; counts per station and split."""
-    w = cut_lineage(sequence_windows(spark, d).select("station_id", "window_end_date", "target_date"))
-    s = W.chronological_split(w, "1995-01-01", "1999-12-31", "2000-01-01", "2001-08-01", 0.15)
-    return s.groupBy("station_id", "split", "n_pool", "split_error").agg(
+    return sequence_windows(spark, d, SPLIT).groupBy("station_id", "split", "n_pool", "split_error").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min("target_date").alias("first_target_date"),
         F.max("target_date").alias("last_target_date"))
 
@@ -378,11 +383,8 @@ def q_persistence_metrics(spark, d):
     """M2 + J10 + A5: persistence forecast (H = 1 and 7 rows) on the gap-filled daily flow,
     scored per station where both values exist."""
     daily = cut_lineage(filled_flow(spark, d, 5, "forward"))
-    parts = []
-    for h in (1, 7):
-        p = M.persistence_forecast(daily, h).filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
-        parts.append(M.hydro_metrics(p.withColumn("horizon", F.lit(h)), ["station_id", "horizon"]))
-    return finish(parts[0].unionByName(parts[1]))
+    p = M.persistence_forecasts(daily, [1, 7]).filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    return finish(M.hydro_metrics(p, ["station_id", "horizon"]))
 
 
 # ---- experiments ------------------------------------------------------------------------
@@ -551,14 +553,33 @@ def q_top_variable_names(spark, d):
 from hydroframe.operators import forecast as FC  # noqa: E402
 
 
+def labelled_windows(spark, d):
+    """W6 + W9 windows of the scaled master table, written once for the fit's passes, and the target's scale."""
+    m, fit = scaled_master_and_fit(spark, d)
+    w = W.lookback_windows(m, LOOKBACK, HORIZON, WINDOW_FEATURES, "target_log", split=SPLIT)
+    return cut_lineage(w), fit["target_log"]
+
+
 @register("forecast_lag_regression")
 def q_forecast_lag_regression(spark, d):
-    """M1: MLlib linear regression on the L=30, H=7 windows of all stations, fitted on the train
-    windows of the chronological split; A5/A6 per station and split."""
-    w = cut_lineage(sequence_windows(spark, d))
-    _, pred = FC.fit_lag_regression(w, ["target_log", *WINDOW_FEATURES], train_start="1995-01-01",
-                                    train_end="1999-12-31", test_start="2000-01-01", test_end="2001-08-01")
-    return finish(FC.score(pred))
+    """M1: ridge regression on the L=30, H=7 windows of all stations, fitted on the train
+    windows of the chronological split; A5/A6 per station and split, in flow units (F2)."""
+    w, target_fit = labelled_windows(spark, d)
+    return finish(FC.score(FC.fit_windows(w, ["target_log", *WINDOW_FEATURES], FC.linear(), target_fit)[1]))
+
+
+@register("forecast_one_lag")
+def q_forecast_one_lag(spark, d):
+    """M1 with one feature, the last known scaled log flow: least squares over all stations, A5/A6 in flow units (F2)."""
+    w, target_fit = labelled_windows(spark, d)
+    return finish(FC.score(FC.fit_windows(w, ["target_log"], FC.linear(reg_param=0.0), target_fit, steps=1)[1]))
+
+
+@register("forecast_boosted_trees")
+def q_forecast_boosted_trees(spark, d):
+    """M1 with gradient-boosted trees over the last seven steps of each window; A5/A6 in flow units (F2)."""
+    w, target_fit = labelled_windows(spark, d)
+    return finish(FC.score(FC.fit_windows(w, ["target_log", *WINDOW_FEATURES], FC.boosted_trees(), target_fit, steps=7)[1]))
 
 
 @register("monthly_index_lags")
@@ -580,6 +601,40 @@ def q_tft_dataset_split(spark, d):
         F.max("decoder_start_idx").alias("last_decoder_idx")))
 
 
+@register("row_split_datasets")
+def q_row_split_datasets(spark, d):
+    """W9 fallback of the multi-step builder: without dates, 70 / 85 / 100 % of the rows of each station."""
+    m = cut_lineage(master_dataset(spark, d))
+    w = W.tft_datasets(m, LOOKBACK, HORIZON, ["precipitation"], "streamflow_m3s")
+    return finish(w.groupBy("station_id", "dataset", "val_start_idx", "test_start_idx", "target_center", "target_scale").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("decoder_start_idx").alias("first_decoder_idx"),
+        F.max("decoder_start_idx").alias("last_decoder_idx")))
+
+
+# The multi-step model's known reals.
+KNOWN_REALS = ["time_idx", "precipitation", "temperature", "actual_evapotransp", "oni", "sin_day", "cos_day", "sin_month", "cos_month"]
+
+
+@register("model_inputs")
+def q_model_inputs(spark, d):
+    """W8 with roles: windows with relative index, known reals of encoder and decoder, statics and target scales, summarised
+    per window (the arrays themselves are checked in tests)."""
+    m = cut_lineage(master_dataset(spark, d))
+    roles = P.feature_roles(m)
+    w = W.model_inputs(m, LOOKBACK, HORIZON, "streamflow_m3s", KNOWN_REALS, roles["static_categoricals"], roles["static_reals"],
+                       train_start=SPLIT.train_start, train_end=SPLIT.train_end, test_start=SPLIT.test_start, test_end=SPLIT.test_end)
+    total = lambda steps, i: F.aggregate(steps, F.lit(0.0), lambda a, x: a + x[i])
+    known, names = [c for c in KNOWN_REALS if c in m.columns], roles["static_categoricals"]
+    return finish(w.select(
+        "station_id", "dataset", "decoder_start_date", "decoder_start_idx", "encoder_length", "decoder_length",
+        F.col("encoder_reals")[0][len(known)].alias("first_relative_idx"), F.col("decoder_reals")[HORIZON - 1][len(known)].alias("last_relative_idx"),
+        *[total("decoder_reals", i).alias(f"decoder_{c}") for i, c in enumerate(known)],
+        total("encoder_reals", known.index("oni")).alias("encoder_oni"),
+        F.array_max("encoder_target").alias("highest_encoder_target"), F.array_max("decoder_target").alias("highest_decoder_target"),
+        *[F.col("static_categoricals")[c].alias(c) for c in names], F.col("static_reals")["static_mean_acctbal"].alias("static_mean_acctbal"),
+        F.col("target_scales")[0].alias("target_center"), F.col("target_scales")[1].alias("target_scale"), "split_error"))
+
+
 @register("expanding_window_folds")
 def q_expanding_window_folds(spark, d):
     """Documented extra: expanding-window folds (cut-offs 1997-2000) over the L=30, H=7 windows;
@@ -609,15 +664,15 @@ def q_bootstrap_nse_difference(spark, d):
 def q_encoder_series_scaled(spark, d):
     """W12 series variant + F15: one variable's importance over entries per study, block-averaged
     to at most ~200 points and scaled to 0-100."""
-    e = encoder_entries(spark, d).select("study", "entry", F.col("m")["k"].alias("v"))
+    e = encoder_entries(spark, d).select("study", "entry", I.entry_value(F.col("m"), F.lit("k")).alias("v"))
     return finish(I.series_downsample(e, "study", "entry", "v", 200))
 
 
 @register("encoder_bar_values")
 def q_encoder_bar_values(spark, d):
-    """K9 names × studies: mean encoder importance per study (percent when all ≤ 1)."""
-    means = cut_lineage(I.encoder_variable_means_long(encoder_entries(spark, d)))
-    return finish(I.bar_values(means, I.top_variable_names(means, 4)))
+    """The first four K9 names × studies: mean encoder importance over all entries (percent when all ≤ 1)."""
+    entries = cut_lineage(encoder_entries(spark, d))
+    return finish(I.bar_values(entries, I.top_variable_names(I.encoder_variable_means_long(entries), 4)))
 
 
 @register("bootstrap_metric_differences")
@@ -632,3 +687,23 @@ def q_bootstrap_metric_differences(spark, d):
         F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice")).alias("pred_a"),
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("pred_b"))
     return finish(M.bootstrap_metric_differences(j, ["group"], "block", "y_true", "pred_a", "pred_b", 1000, 7))
+
+
+@register("seasonal_attention")
+def q_seasonal_attention(spark, d):
+    """Documented extra: attention means by horizon, season and lag over dated samples."""
+    a = B.dated_attention_rows(spark, d)
+    cells = a.select("horizon", "date", F.posexplode("attention_row").alias("lag", "value"))
+    return finish(I.seasonal_attention(cells))
+
+
+@register("training_splits")
+def q_training_splits(spark, d):
+    """P11 + P7: the curated rows written once, a folder a period; the written table's metadata."""
+    import uuid
+
+    from hydroframe.session import checkpoint_dir
+    m = cut_lineage(finalized(spark, d)).drop("period")
+    path = f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
+    features = ("precipitation", "oni", "month_sin", "month_cos")
+    return finish(P.split_metadata(P.write_training_splits(m, path, TEST_PERIODS, features=features, floor_date="1995-02-01")))

@@ -59,11 +59,13 @@ def two_shape_map(raw: F.Column) -> F.Column:
 def read_importance(spark: SparkSession, directory: str,
                     pattern: str = r"^tft_(passado|recente)_lb\d+_h\d+_tft_feature_importance\.json$") -> DataFrame:
     """Interpretability payloads whose file name matches the rule; the two-shape fields become
-    ``ARRAY<MAP>`` (a single map is a one-entry list)."""
+    ``ARRAY<MAP>`` (a single map is a one-entry list). A folder without such a payload is an error."""
     df = (spark.read.schema(IMPORTANCE_SCHEMA).option("multiLine", True)
                .json(f"{directory}/*_tft_feature_importance.json")
                .withColumn("source", F.col("_metadata.file_name")))
     df = df.filter(name_matches(F.col("source"), pattern))
+    if df.select("source").isEmpty():
+        raise ValueError(f"no importance payload in {directory}")
     return df.withColumns({"encoder_variables": two_shape_map(F.col("encoder_variables")),
                            "decoder_variables": two_shape_map(F.col("decoder_variables"))})
 

@@ -7,10 +7,14 @@ stations' files of a layout (a glob); the station comes from the file name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroframe.functions.scalar import nan_to_null
+from hydroframe.operators.quantile import small
+from hydroframe.session import cut_lineage
 
 KEY = "station_id"
 INT_COLUMNS = ("year", "month", "day", "gauge_id")
@@ -27,45 +31,66 @@ def parse_whitespace_lines(df: DataFrame, columns: list[str], value_col: str = "
     ``nan``/``NaN`` → null; ``year/month/day`` are INT, ``string_columns`` stay text, others DOUBLE."""
     t = _tokens(value_col)
     d = df.filter((F.trim(F.col(value_col)) != "") & (t[0] != F.lit(columns[0])))
-    out = []
-    for i, c in enumerate(columns):
-        tok = F.try_element_at(t, F.lit(i + 1))
-        if c in string_columns:
-            out.append(tok.alias(c))
-        elif c in INT_COLUMNS:
-            out.append(tok.try_cast("int").alias(c))
-        else:
-            out.append(nan_to_null(tok.try_cast("double")).alias(c))
+    out = [_typed(F.try_element_at(t, F.lit(i)), c, string_columns) for i, c in enumerate(columns, 1)]
     return d.select(*keep, *out)
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of one file of a layout (one line to the driver)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"empty file: {path}")
-    return first[0][0].split()
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with their file, and ``_place``, by which a file's lines stand in order: where the split begins, then the line's
+    number in it."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), place.alias("_place"))
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """First line of each file, split into column names (``file_path``, ``file_name``, ``header``): a row a file."""
+    first = lines.filter("_place.block = 0").groupBy("file_path", "file_name").agg(F.min_by("value", "_place").alias("h"))
+    return first.select("file_path", "file_name", F.split(F.trim("h"), r"\s+").alias("header"))
+
+
+def _typed(tok: Column, name: str, string_columns: tuple[str, ...]) -> Column:
+    if name in string_columns:
+        return tok.alias(name)
+    if name in INT_COLUMNS:
+        return tok.try_cast("int").alias(name)
+    return nan_to_null(tok.try_cast("double")).alias(name)
 
 
 def read_whitespace_table(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None,
                           string_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Read one layout of whitespace tables (glob or list), with ``file_name`` kept."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if columns is None:
-        columns = header_of(spark, paths[0])
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"))
-    return parse_whitespace_lines(raw, columns, string_columns=string_columns, keep=("file_name",))
+    """Read one layout of whitespace tables (glob or list), with ``file_name`` kept.
+
+    Without ``columns`` each file's values go by its own header, so files may have their columns in any order or lack
+    some (null there): one pass reads the first lines, and if they differ, the headers (a row a file, broadcast if they are counted and
+    few) meet the lines by file. With ``columns``, values go by place and nothing is read beforehand.
+    """
+    lines = _lines(spark, paths)
+    if columns is not None:
+        return parse_whitespace_lines(lines, columns, string_columns=string_columns, keep=("file_name",))
+    heads = cut_lineage(file_headers(lines))
+    kinds = [r["header"] for r in heads.select("header").distinct().orderBy("header").limit(2).collect()]
+    if not kinds:
+        raise ValueError(f"no line in {paths}")
+    if len(kinds) == 1:
+        return parse_whitespace_lines(lines, kinds[0], string_columns=string_columns, keep=("file_name",))
+    names = heads.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name")
+    heads = heads.select(F.col("file_path").alias("_f"), "header")
+    d = lines.join(small(heads), F.col("file_path") == F.col("_f")).withColumn("_t", _tokens())
+    d = d.filter((F.trim("value") != "") & (F.col("_t")[0] != F.col("header")[0]))
+    token = lambda c: F.try_element_at("_t", F.nullif(F.array_position("header", F.lit(c)).cast("int"), F.lit(0)))
+    return d.select("file_name", *(_typed(token(r["name"]), r["name"], string_columns) for r in names.collect()))
 
 
 def read_daily_files(spark: SparkSession, directory: str, variable: str, columns: list[str] | None = None,
-                     strict_dates: bool = False) -> DataFrame:
+                     strict_dates: bool = False, keep_undated: bool = False) -> DataFrame:
     """S1 + S2 + P1: all stations' ``<station>_<variable>.txt`` files in one scan → station_id,
-    date + the file's value columns."""
+    date + the file's value columns. Rows whose date is impossible raise (``strict_dates``), stay with a null date
+    (``keep_undated``, as coverage checks count them) or go."""
     from hydroframe.operators.prepare import build_date
     t = read_whitespace_table(spark, f"{directory}/*_{variable}.txt", columns)
     t = t.withColumn(KEY, F.regexp_extract("file_name", rf"^(.+)_{variable}\.txt$", 1)).drop("file_name")
     t = build_date(t, strict=strict_dates)
-    return t.filter(F.col("date").isNotNull()) if not strict_dates else t
+    return t if strict_dates or keep_undated else t.filter(F.col("date").isNotNull())
 
 
 def file_listing(spark: SparkSession, directory: str) -> DataFrame:
@@ -78,10 +103,9 @@ def read_monthly_index(spark: SparkSession, path: str) -> DataFrame:
     """S3: monthly index file: first line skipped, no header, ``year`` + 12 monthly values.
     Returns the wide table (year, oni_01..oni_12); use ``monthly_index_long`` (U1) to melt."""
     cols = ["year", *[f"oni_{m:02d}" for m in range(1, 13)]]
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"),
-                                       F.monotonically_increasing_id().alias("_id"))
-    first = raw.groupBy("_f").agg(F.min("_id").alias("_first"))
-    body = raw.join(first, "_f", "inner").filter(F.col("_id") != F.col("_first"))
+    raw = _lines(spark, path)
+    first = raw.filter("_place.block = 0").groupBy("file_path").agg(F.min("_place").alias("_first"))
+    body = raw.join(first, "file_path", "inner").filter(F.col("_place") != F.col("_first"))
     t = _tokens("value")
     year = F.try_element_at(t, F.lit(1)).try_cast("double")
     vals = [nan_to_null(F.try_element_at(t, F.lit(i + 1)).try_cast("double")).alias(c) for i, c in enumerate(cols)
@@ -90,38 +114,50 @@ def read_monthly_index(spark: SparkSession, path: str) -> DataFrame:
                .withColumn("year", F.col("year").cast("int"))
 
 
+def _attribute_rows(spark: SparkSession, directory: str, pattern: str) -> tuple[DataFrame, dict[str, list[str]], set[tuple[str, int]]]:
+    """All attribute files in one scan: their rows (``name``, ``gauge_id``, values ``v``, ``_place``), each file's columns by name, in
+    order of names, and which (name, place of the column) are numbers throughout. Files without ``gauge_id`` first are skipped."""
+    lines = _lines(spark, f"{directory}/{pattern}")
+    prefix = pattern.split("*")[0]
+    name = F.regexp_extract("file_name", rf"^{re.escape(prefix)}(.*)\.[^.]*$", 1).alias("name")
+    t = _tokens()
+    rows = cut_lineage(lines.filter(F.trim("value") != "").select(name, "_place", t.alias("v")))
+    heads = rows.filter("_place.block = 0").groupBy("name").agg(F.min_by("v", "_place").alias("h")).filter("h[0] = 'gauge_id'")
+    columns = {r["name"]: r["h"] for r in heads.orderBy("name").collect()}  # a line a file
+    rows = rows.filter(F.col("name").isin(list(columns)) & (F.col("v")[0] != "gauge_id"))
+    number = nan_to_null(F.col("x").try_cast("double")).isNotNull() | F.lower("x").isin("nan", "na") | F.col("x").isNull()
+    seen = rows.select("name", F.posexplode("v").alias("at", "x")).groupBy("name", "at").agg(F.bool_and(number).alias("ok"))
+    numeric = {(r["name"], r["at"]) for r in seen.filter("ok").collect()}  # a row a column
+    return rows.withColumn("gauge_id", F.col("v")[0]), columns, numeric
+
+
+def _value(name: str, at: int, numeric: set[tuple[str, int]], v: Column) -> Column:
+    tok = F.try_element_at(v, F.lit(at + 1))
+    return nan_to_null(tok.try_cast("double")) if (name, at) in numeric else tok
+
+
 def read_attribute_tables(spark: SparkSession, directory: str, pattern: str = "camels_br_*.txt",
                           keep: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """Every attribute file (sorted by name) as its own DataFrame keyed by ``gauge_id`` (STRING,
-    trimmed). Headers (one line per file) come to the driver; files without ``gauge_id`` are
-    skipped; ``keep`` selects columns per table name (the part after the prefix)."""
-    raw = spark.read.text(f"{directory}/{pattern}").select("value", F.col("_metadata.file_name").alias("file_name"))
-    heads = (raw.filter(F.split(F.trim("value"), r"\s+")[0] == "gauge_id")
-                .groupBy("file_name").agg(F.first("value").alias("h")).collect())
-    prefix = pattern.split("*")[0]
+    trimmed). All files are read in one scan; their headers and which columns are numeric (every value parses) come to the
+    driver; files without ``gauge_id`` are skipped; ``keep`` selects columns per table name (the part after the prefix)."""
+    rows, columns, numeric = _attribute_rows(spark, directory, pattern)
     out = {}
-    for row in sorted(heads, key=lambda r: r["file_name"]):
-        name = row["file_name"][len(prefix):].rsplit(".", 1)[0]
-        cols = row["h"].split()
-        body = raw.filter(F.col("file_name") == row["file_name"])
-        t = _tokens("value")
-        sel = [F.trim(F.try_element_at(t, F.lit(1))).alias("gauge_id")]
-        for i, c in enumerate(cols[1:], start=2):
-            sel.append(F.try_element_at(t, F.lit(i)).alias(c))
-        tbl = body.filter(t[0] != "gauge_id").select(*sel)
-        # numeric columns: cast when every value of the column parses (decided on the data, in Spark)
-        checks = tbl.agg(*[F.bool_and(F.col(c).isNull() | nan_to_null(F.col(c).try_cast("double")).isNotNull()
-                                      | F.lower(F.col(c)).isin("nan", "na")).alias(c) for c in cols[1:]]).first()
-        tbl = tbl.select("gauge_id", *[(nan_to_null(F.col(c).try_cast("double")) if checks[c] else F.col(c)).alias(c)
-                                       for c in cols[1:]])
-        if keep and name in keep:
-            tbl = tbl.select("gauge_id", *keep[name])
-        out[name] = tbl
+    for name, cols in columns.items():
+        t = rows.filter(F.col("name") == name).select("gauge_id", *(_value(name, i, numeric, F.col("v")).alias(c) for i, c in enumerate(cols) if i))
+        out[name] = t.select("gauge_id", *keep[name]) if keep and name in keep else t
     return out
 
 
-def first_row_per_gauge(df: DataFrame, key: str = "gauge_id") -> DataFrame:
-    """J5 helper for attribute files: the first row of each gauge in file order."""
-    d = df.withColumn("_o", F.monotonically_increasing_id())
-    w = Window.partitionBy(key).orderBy("_o")
-    return d.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_o")
+def read_static_attributes(spark: SparkSession, directory: str, pattern: str = "camels_br_*.txt") -> DataFrame:
+    """S4 + J5 as one step: per station (``station_id``) the first row of each attribute file, in the file's order, as columns
+    ``static_<file>_<column>`` (null where a file lacks the station); numeric columns are DOUBLE, others text.
+
+    One scan of all files and one shuffle on the gauge: a gauge's first rows are the least by place in the file, so
+    the result is the same however the files are split.
+    """
+    rows, columns, numeric = _attribute_rows(spark, directory, pattern)
+    firsts = rows.groupBy("gauge_id", "name").agg(F.min_by("v", "_place").alias("v"))
+    firsts = firsts.groupBy(F.col("gauge_id").alias(KEY)).agg(*(F.max(F.when(F.col("name") == n, F.col("v"))).alias(f"_{i}") for i, n in enumerate(columns)))
+    held = [_value(n, at, numeric, F.col(f"_{i}")).alias(f"static_{n}_{c}") for i, (n, cols) in enumerate(columns.items()) for at, c in enumerate(cols) if at]
+    return firsts.select(KEY, *held)

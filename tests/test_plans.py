@@ -26,7 +26,7 @@ def test_monthly_and_static_joins_broadcast(spark):
 
 def test_top_n_is_take_ordered(spark):
     from hydroframe.operators import ranking as K
-    p = plan(K.top_n(Q.scored(spark, SF_SMALL), 15))
+    p = plan(K.top_candidates(Q.candidates(spark, SF_SMALL), 15))
     assert "TakeOrderedAndProject" in p
 
 
