@@ -1009,7 +1009,7 @@ FROM dd GROUP BY 1
 
 ORACLE["encoder_series_scaled"] = f"""
 WITH {ENC},
-ev AS (SELECT e.study, e.entry, CASE WHEN p.feature IS NULL THEN 0.0 ELSE p.score END AS v
+ev AS (SELECT e.study, e.entry, COALESCE(p.score, 0.0) AS v
        FROM ent e LEFT JOIN plr p ON p.event_id = e.event_id AND p.feature = 'k'),
 nn AS (SELECT study, COUNT(*) AS n FROM ev GROUP BY 1),
 bk AS (SELECT ev.study, CAST(floor(entry / CASE WHEN n > 200 THEN greatest(1, floor(n / 200)) ELSE 1 END) AS BIGINT) AS point,
@@ -1027,7 +1027,7 @@ top AS (SELECT variable, row_number() OVER (ORDER BY importance DESC, study, var
         ORDER BY importance DESC, study, variable LIMIT 4),
 al AS (SELECT variable, MIN(o) AS position FROM top GROUP BY 1 UNION ALL SELECT 'oni', 0 WHERE NOT EXISTS (SELECT 1 FROM top WHERE variable = 'oni')),
 nm AS (SELECT variable FROM al ORDER BY position LIMIT 4),
-j AS (SELECT ent.study, nm.variable, AVG(CASE WHEN p.feature IS NULL THEN 0.0 WHEN isnan(p.score) THEN NULL ELSE p.score END) AS importance
+j AS (SELECT ent.study, nm.variable, AVG(CASE WHEN isnan(p.score) THEN NULL ELSE COALESCE(p.score, 0.0) END) AS importance
       FROM ent CROSS JOIN nm LEFT JOIN plr p ON p.event_id = ent.event_id AND p.feature = nm.variable GROUP BY 1, 2),
 mx AS (SELECT variable, MAX(importance) AS m FROM j GROUP BY 1)
 SELECT j.variable, study, round(CASE WHEN m <= 1.0 THEN importance * 100.0 ELSE importance END, 6) + 0.0 AS bar_value
@@ -1092,3 +1092,27 @@ WHERE date >= start_ AND streamflow_m3s IS NOT NULL AND precipitation IS NOT NUL
   AND month_sin IS NOT NULL AND month_cos IS NOT NULL
 GROUP BY fin.station_id, period
 """
+
+ORACLE["target_round_trip"] = """
+WITH t AS (SELECT l_returnflag, l_extendedprice AS y, (ln(1 + greatest(l_extendedprice, 0)) - 9.5) / 0.75 AS z FROM lineitem)
+SELECT l_returnflag, COUNT(*) AS n, round(AVG(z), 6) + 0.0 AS mean_z, round(MAX(abs(greatest(exp(z * 0.75 + 9.5) - 1, 0.0) - y)), 3) + 0.0 AS largest_error,
+       round(MIN(greatest(exp((z - 20) * 0.75 + 9.5) - 1, 0.0)), 6) + 0.0 AS clipped FROM t GROUP BY 1
+"""
+
+ORACLE["calendar_helpers"] = """
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT date, CAST(date_trunc('month', date) AS DATE) AS month_start, last_day(date) AS month_end, CAST(date - INTERVAL 3 MONTH AS DATE) AS three_months_back,
+       CAST(date - INTERVAL 1 DAY AS DATE) AS day_before, CAST(date - CAST(date_trunc('month', date) AS DATE) + 1 AS INTEGER) AS days_of_month FROM d
+"""
+
+ORACLE["payload_fields"] = f"""
+WITH {PAYLOADS}
+SELECT event_id, printf('tft_%s_lb%d', CASE WHEN study LIKE '%passado%' THEN 'passado' ELSE 'recente' END, CAST(trunc(v) AS INTEGER) % 90) AS study_name,
+       round(COALESCE(k, -1.0), 6) + 0.0 AS k, -1.0::DOUBLE AS absent FROM pl
+"""
+
+ORACLE["best_sources"] = """
+WITH j AS (SELECT CAST(s_nationkey AS VARCHAR) AS station_id, year(l_shipdate) AS year, month(l_shipdate) AS month, day(l_shipdate) AS day, l_quantity, l_tax
+           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT station_id, make_date(year, month, day) AS date, SUM(l_quantity) AS precipitation, round(AVG(l_tax), 6) + 0.0 AS temperature FROM j GROUP BY station_id, year, month, day
+"""

@@ -707,3 +707,45 @@ def q_training_splits(spark, d):
     path = f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
     features = ("precipitation", "oni", "month_sin", "month_cos")
     return finish(P.split_metadata(P.write_training_splits(m, path, TEST_PERIODS, features=features, floor_date="1995-02-01")))
+
+
+from hydroframe.functions import scalar as S  # noqa: E402
+
+
+@register("target_round_trip")
+def q_target_round_trip(spark, d):
+    """F1 + F2: scaled log target and back; per flag the largest error, and what values far below the range come back as."""
+    t = B.table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"))
+    t = t.withColumn("z", (S.log1p_clipped("y") - 9.5) / 0.75)
+    back = lambda z: S.inverse_target(z, F.lit(9.5), F.lit(0.75))
+    t = t.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean_z"), F.max(F.abs(back(F.col("z")) - F.col("y"))).alias("largest_error"),
+                                      F.min(back(F.col("z") - 20)).alias("clipped"))
+    return finish(t.withColumn("largest_error", round_like_sql(F.col("largest_error"), 3)))
+
+
+@register("calendar_helpers")
+def q_calendar_helpers(spark, d):
+    """F4 + F5 on all order dates."""
+    t = B.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return t.select("date", S.month_start("date").alias("month_start"), S.month_end("date").alias("month_end"), S.months_back("date", 3).alias("three_months_back"),
+                    S.day_before("date").alias("day_before"), S.inclusive_days(S.month_start("date"), "date").alias("days_of_month"))
+
+
+@register("payload_fields")
+def q_payload_fields(spark, d):
+    """F8 + F13: study names built from parts, map fields with a default."""
+    p = B.importance_payloads(spark, d)
+    period = F.when(F.col("study").contains("passado"), "passado").otherwise("recente")
+    lookback = S.get_or_default("feature_importance", "value", 0.0).cast("int") % 90
+    return finish(p.select("event_id", S.study_name(F.lit("tft"), period, lookback).alias("study_name"), S.get_or_default("feature_importance", "k", -1.0).alias("k"),
+                           S.get_or_default("feature_importance", "absent", -1.0).alias("absent")))
+
+
+@register("best_sources")
+def q_best_sources(spark, d):
+    """P1 + P2: dates from year, month and day, and the preferred source column of each variable."""
+    li = B.table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_tax")
+    sup = B.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("station_id"))
+    day = [F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.dayofmonth("l_shipdate").alias("day")]
+    t = li.join(sup, li.l_suppkey == sup.s_suppkey).groupBy("station_id", *day).agg(F.sum("l_quantity").alias("p_mswep"), F.avg("l_tax").alias("tmean_era5land"))
+    return finish(P.build_date(P.choose_sources(t, {"precipitation": "p_mswep", "temperature": "tmean_era5land"}), drop_parts=True))
