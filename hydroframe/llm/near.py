@@ -3,12 +3,14 @@
 
 A parity sketch deals a set's shingles to cells by hash and keeps the XOR of each cell. Shingles in both sets cancel out,
 so the number of cells in which two sketches differ is at most the size of the sets' symmetric difference, and for
-two sets of a and b shingles with that similarity this is at most ``(a + b) / 7``. The sketch is used twice:
+two sets of a and b shingles with that similarity this is at most ``(a + b) / 7``. Sketches are used at three widths:
 
-* with wide cells, to find candidates: pigeonhole says that two texts with more than ``(a + b) / 7`` non-empty cells have one
-  alike. A text is filed under all its non-empty cells, per band of sizes (a text near a band's lower end is filed in the
-  one below, too), and texts meet in equal cells;
-* with one-bit cells, to rule candidates out: the Hamming distance must not be over the bound.
+* with wide cells, to find the sets that may have a partner: pigeonhole says that two such sets with more than ``(a + b) / 7`` non-empty
+  cells have all others alike. A set is filed under all its non-empty cells, per band of sizes (one near a band's lower end is
+  filed in the one below, too), and is a candidate if more of them than it can do without hold another set, too;
+* with the widest cells, of one shingle each, to pair the candidates: sorted by how many candidates have them, the rarest
+  cell that two linked sets have in common stands early in both (``_open``), or they could not have enough in common;
+* with one-bit cells, to rule pairs out: the Hamming distance must not be over the bound.
 
 What is left is verified shingle by shingle. Shingles and sets are known by 64-bit hashes.
 """
@@ -25,13 +27,10 @@ from pyspark.sql import functions as F
 from hydroframe.llm.common import small, text_of, written
 
 WORDS = 5
-#: A cell with more distinct sets than this is frequent. A text has more cells in common with a partner than it needs to
-#: meet it: as long as its frequent cells are no more than that, they can be left out; for other texts they are searched.
-FREQUENT = 8
-#: Rounds in which each cell's sets are held against the one that has most cells with others.
-HUB_ROUNDS = 1
-#: Verified pairs of one text that one task takes.
-PAIRS_A_TASK = 500
+#: Each cell's sets are held against one of them, round by round, as long as a round settles this share of the rows.
+SETTLED = 0.1
+#: Portions that the partners of one text are dealt to; the text goes with each portion that has some.
+SALTS = 4096
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -132,19 +131,29 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> node, key, room, filled, n: a row for each cell of each set that this task has not had before, with the number of
-    cells of its band that the set can do without, that it has, and the set's size."""
+    """text -> node, key, room: a row for each cell of each set that this task has not had before, with the number of
+    cells of its band that the set can do without."""
     seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.int32),) * 3)]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
             for text in batch.slice(at, 256).column(0):
                 found = shingles(text.as_py())
                 if len(found) and (node := _set_id(found)) not in seen:
                     seen.add(node)
                     for _, key, room in cells(found):
-                        out.append((np.full(len(key), node), key, *(np.full(len(key), x, np.int32) for x in (room, len(key), len(found)))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "key", "room", "filled", "n"])
+                        out.append((np.full(len(key), node), key, np.full(len(key), room, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "key", "room"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, n, keys: the set's shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, found)), pa.int64()), lists], ["node", "n", "keys"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +193,11 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     p = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     p = p.where("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
     p = written(p.mapInArrow(_near, "a bigint, b bigint"), "near")
-    size = p.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("salts"))
-    p = written(p.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b"), "salted")
+    p = p.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     member = p.select(F.col("a").alias("key"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"))
     member = member.unionByName(p.select(F.col("a").alias("key"), "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct())
-    member = member.join(sets.select("node", F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "node")
-    member = small(written(member, "members"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     # a text may be in the table more than once under one id: the hub's row or a link then comes twice, to no effect
-    m = d.join(member, F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("key", "salt", "role", "node", "text")
+    m = _texts_of(docs, sets, member).select("key", "salt", "role", "node", "text")
     m = m.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
     return written(m.mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
 
@@ -200,82 +205,107 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) of all nodes with links.
 
-    Each round, a node takes the least label around it, then that label's own label, so that long chains halve.
+    Each round, a node takes the least label around it and that of its own label, so that long chains halve; a round is one table.
     """
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
-        new = written(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "around").alias("label")), "labels")
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = written(new.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = labels.join(around, "node").join(jump, "label", "left").select("node", F.col("label").alias("old"), F.least("label", "around", "next").alias("label"))
+        new = written(new, "labels")
         if not new.where("label != old").take(1):
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
-def _meetings(docs: DataFrame) -> DataFrame:
-    """Cells with more than one set: ``key``, ``node``, ``room``, ``filled``, ``n``, and the cell's least set ``hub``; one shuffle of all cells."""
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Sets (``node``) of which in some band more cells hold other sets, too, than they can do without. One shuffle of all
+    cells; what comes back of it are the cells with more than one set, counted by set."""
     cell = Window.partitionBy("key")
-    k = docs.select(text_of().alias("text")).mapInArrow(_cells, "node bigint, key bigint, room int, filled int, n int")
-    k = k.withColumns({"hub": F.min("node").over(cell), "most": F.max("node").over(cell)})
-    return written(k.where("hub != most").drop("most").distinct(), "meetings")
+    k = docs.select(text_of().alias("text")).mapInArrow(_cells, "node bigint, key bigint, room int")
+    k = k.withColumns({"least": F.min("node").over(cell), "most": F.max("node").over(cell)}).where("least != most")
+    k = k.groupBy("node", F.shiftright("key", 48).alias("band")).agg(F.count_distinct("key").alias("cells"), F.max("room").alias("room"))
+    return written(k.where("cells > room").select("node").distinct(), "candidates")
+
+
+def _texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` (any columns, ``node`` among them) with a ``text`` of each node's set; a text that is in the table more
+    than once under one id comes as often."""
+    member = small(written(nodes.join(sets.select("node", F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "node"), "members"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    return d.join(member, F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*nodes.columns, "text")
+
+
+def _early(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The shingles of the candidate sets that may be the rarest one in common with a partner: ``key``, ``node``, ``n``, ``place``.
 
+    ``place`` counts a set's shingles from 1, those of the fewest candidate sets first. Two linked sets of a and b shingles have
+    at least ``3 (a + b) / 7`` in common, so of the one at most ``(4 a - 3 b) / 7`` stand before the rarest common one, a
+    quarter of the set at most, as b is at least three quarters of a.
+    """
+    d = _texts_of(docs, sets, nodes).select("node", "text").mapInArrow(_listed, "node bigint, n bigint, keys array<bigint>")
+    rows = written(d.dropDuplicates(["node"]), "listed").select("node", "n", F.explode("keys").alias("key"))
+    often = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = rows.join(often, "key")
+    by_node = Window.partitionBy("node")
+    before = F.col("n") - F.count("*").over(by_node)  # shingles that no other candidate has come first
+    rows = rows.withColumn("place", before + F.row_number().over(by_node.orderBy("size", "key")))
+    return written(rows.where("4 * (place - 1) <= n").select("key", "node", "n", "place"), "early")
+
+
+def _open(met: DataFrame) -> DataFrame:
+    """Of rows with ``label``, those that still may find a partner: the cell's smallest set is small enough for the row's
+    place, and the cell has sets of several components."""
+    least = met.groupBy("key").agg(F.min("n").alias("low"))
+    met = met.join(least, "key").where("3 * low <= 4 * n - 7 * (place - 1)").drop("low")
+    mixed = met.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key")
+    return met.join(mixed, "key")
+
+
+def _labelled(met: DataFrame, links: DataFrame) -> DataFrame:
+    met = met.drop("label").join(small(components(links)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return written(_open(met), "open")
 
-def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of cells that still have sets of several components, with ``label`` and the
-    cell's ``size``."""
-    met = met.drop("hub", "label", "size").join(small(components(links)), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    met = written(met, "labelled")
-    mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key", "size")
-    return written(met.join(mixed, "key"), "mixed")
+
+#: Whether rows a and b of one cell may be a linked pair of two components whose rarest common shingle this is.
+_MAY_LINK = "label_a != label_b AND 3 * n_b <= 4 * n_a - 7 * (place_a - 1) AND 3 * n_a <= 4 * n_b - 7 * (place_b - 1)"
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    of = lambda d, p: d.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "place")))
+    return of(left, "a").join(of(right, "b"), "key").where(_MAY_LINK).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def links(docs: DataFrame, file: DataFrame) -> DataFrame:
     """Links enough to connect all sets that any links connect.
 
-    First each cell's sets are held against its least one, then, in cells that still have sets of several components, against the one with
-    most cells with others: copies of a text are settled by their least or their middle one. Then all pairs across components are candidates
-    in cells of ``FREQUENT`` sets at most. A pair that meets in none of those has more frequent cells than either can do
-    without: among such sets alone, frequent cells are searched, too, for pairs with enough of them: two linked sets
-    have as many cells in common as either has, but for ``(a + b) / 7``.
+    In rounds, each cell's sets are held against one of them: the smallest first (if two sets of a cell are linked by
+    what the cell's sets all have in common, so are both with the smallest), then one picked by hash, another in each cell, so that a
+    large group of near copies grows together whatever its middle is. Cells left with one component, and rows that can have no
+    partner any more, go. When a round settles few rows, all pairs that their places allow are candidates.
     """
     has = file.where(F.col("sketch").isNotNull())
     sets = has.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n")).alias("d"), F.first("sketch").alias("sketch"))
     sets = written(sets.select("node", "d.*", "sketch"), "sets")
-    met = _meetings(docs)
-    star = met.where(F.col("hub") != F.col("node")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    found = _verified(docs, sets, star)
-    met = _mixed(met, found)
-    for _ in range(HUB_ROUNDS):
-        cells = met.groupBy("node").agg(F.count("*").alias("cells"))
-        top = met.join(cells, "node").groupBy("key").agg(F.max(F.struct("cells", "node", "label")).alias("top"))
-        star = met.join(top, "key").where("label != top.label").select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = written(found.unionByName(_verified(docs, sets, star)), "found")
-        met = _mixed(met, found)
-    rare, frequent = met.where(F.col("size") <= FREQUENT), met.where(F.col("size") > FREQUENT)
-    band = F.shiftright("key", 48).cast("int").alias("band")
-    poor = frequent.groupBy("node", band).agg(F.count("*").alias("cells"), F.max("room").alias("room")).where("cells > room")
-    poor = written(poor.select("node", "band", "cells"), "poor")
-    frequent = frequent.select("*", band).join(small(poor), ["node", "band"])
-    # partners have more than ``room`` cells in common, so one of the ``cells - room`` least frequent of each
-    place = F.row_number().over(Window.partitionBy("node", "band").orderBy("size", "key"))
-    frequent = frequent.withColumn("place", place).where("place <= cells - room")
-    of = lambda p: frequent.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "filled", "cells")))
-    enough = "least(cells_a, cells_b) >= greatest(filled_a, filled_b) - floor((n_a + n_b) / 7)"
-    sought = of("a").join(of("b"), "key").where(f"node_a < node_b AND label_a != label_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a AND {enough}")
-    sought = sought.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    pairs = _across(rare).unionByName(sought).distinct()
+    met = _early(docs, sets, _candidates(docs))
+    met = written(_open(met.withColumn("label", F.col("node"))), "open")
+    found, k, left = None, 0, met.count()
+    while k == 0 or left:
+        order = F.struct(F.xxhash64("key", "node", F.lit(k)), "node") if k else F.struct(-F.col("n"), -F.col("place"), "node")
+        hub = met.groupBy("key").agg(F.max_by(F.struct("node", "label", "n", "place"), order).alias("hub")).select("key", "hub.*")
+        new = _verified(docs, sets, _pairs(hub, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = new if found is None else found.unionByName(new)
+        met = _labelled(met, found)
+        k, before, left = k + 1, left, met.count()
+        if left > (1 - SETTLED) * before:
+            break
+    if not left:
+        return found
+    pairs = _pairs(met, met).where("a < b").distinct()
     return found.unionByName(_verified(docs, sets, pairs))
 
 
-def _across(met: DataFrame) -> DataFrame:
-    """Pairs of sets of one cell that are in different components and near in size."""
-    of = lambda p: met.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n")))
-    d = of("a").join(of("b"), "key").where("node_a < node_b AND label_a != label_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
-    return d.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, text hash ``h``, ``n_shingles``, ``label`` (null: no words), ``component_id`` (the
     least ``doc_id`` of all rows that links connect it with) and ``kept_h`` (with it, names the row that stands for all)."""
