@@ -197,5 +197,5 @@ def seasonal_attention(cells: DataFrame, horizon: str = "horizon", date_col: str
     (``season`` null there); nulls are ignored, samples without a date count over all seasons alone. One GROUPING SETS aggregate."""
     d = cells.withColumn("season", season_of(F.col(date_col)))
     g = d.groupingSets([[horizon, "season", "lag"], [horizon, "lag"]], horizon, "season", "lag").agg(
-        F.avg("value").alias("mean_attention"), F.count("value").alias("n_samples"), F.grouping("season").alias("all_seasons"))
-    return g.filter(F.col("season").isNotNull() | (F.col("all_seasons") == 1))
+        F.avg("value").alias("mean_attention"), F.count("value").alias("n_samples"), (F.grouping("season") == 1).alias("all_seasons"))
+    return g.filter(F.col("season").isNotNull() | F.col("all_seasons"))

@@ -1078,7 +1078,7 @@ ORACLE["seasonal_attention"] = f"""
 WITH c AS (SELECT CASE label % 3 WHEN 0 THEN 7 WHEN 1 THEN 15 ELSE 30 END AS horizon, DATE '1995-01-01' + CAST(vec_id % 2400 AS INTEGER) AS date,
                   unnest(range(len(embedding)))::INTEGER AS lag, unnest(embedding)::DOUBLE AS value FROM embeddings),
 s AS (SELECT *, CASE WHEN month(date) IN (12, 1, 2) THEN 'DJF' WHEN month(date) <= 5 THEN 'MAM' WHEN month(date) <= 8 THEN 'JJA' ELSE 'SON' END AS season FROM c)
-SELECT horizon, season, lag, round(AVG(value), 6) + 0.0 AS mean_attention, COUNT(value) AS n_samples, CAST(GROUPING(season) AS TINYINT) AS all_seasons
+SELECT horizon, season, lag, round(AVG(value), 6) + 0.0 AS mean_attention, COUNT(value) AS n_samples, GROUPING(season) = 1 AS all_seasons
 FROM s GROUP BY GROUPING SETS ((horizon, season, lag), (horizon, lag))
 """
 
