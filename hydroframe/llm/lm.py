@@ -1,17 +1,19 @@
 """LM scoring: a gated recurrent language model in numpy, with a class-factored softmax over its output.
 
-Words are counted over the whole corpus. The most frequent ones are the model's vocabulary; any other word is the token
-RARE times the word's share of all rare ones, so every text has a probability. Training grows with the corpus: all training
-documents are dealt to rounds and workers, each worker trains the model on its own by truncated backpropagation, and their
-weights are averaged, round by round; rounds and workers both grow with the square root of the tokens. Scoring carries the state from window to window through a whole document.
+Words are counted over the whole corpus. The vocabulary grows with it: the most frequent words, ``VOCABULARY`` times the square root of
+the number of distinct words, are outputs of their own, in classes whose number is the square root of that. All other words are outputs
+by their form (their ending and the sign after it): the model predicts the form from context, and within a form a word
+has its share of the form's tokens. So every word has context, and every text a probability. Training grows with the corpus: all training
+documents are dealt to rounds and workers, each worker trains the model on its own by truncated backpropagation, and weights and moments
+are averaged, round by round. Scoring carries the state from window to window through a whole document.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 from zlib import crc32
 
 import numpy as np
@@ -22,16 +24,21 @@ from pyspark.sql import functions as F
 
 from hydroframe.llm.common import scratch, text_of, unit_hash, written
 
-#: The model: words it knows, END and RARE among them; word classes; width of the state.
-VOCABULARY, CLASSES, HIDDEN = 1024, 32, 32
-END, RARE = 0, 1
+#: Known words by square root of the corpus' distinct words; width of the state.
+VOCABULARY, HIDDEN = 2.0, 16
+#: The end; after it come the forms of all other words, then the known words.
+END = 0
+#: Forms that are told apart when words are counted; the most frequent ones are outputs of their own, the others share some.
+#: Form outputs by square root of the known words.
+FORMS, FORM_OUTPUTS = 1024, 4.0
 #: The end's place among the words; no word has a space.
 END_WORD = b" "
-#: Rounds of averaging at least, and tokens that a worker takes a round.
-ROUNDS, WORKER_TOKENS = 2, 150_000
-STREAMS, WINDOW, RATE, CLIP = 64, 16, 0.004, 1.0
+#: Rounds of averaging at least, tokens that a worker takes a round, and how rounds grow with the number of such portions:
+#: a round is a job that waits for the one before, the workers of a round run side by side.
+ROUNDS, WORKER_TOKENS, ROUNDS_POWER = 2, 800_000, 0.4
+STREAMS, WINDOW, RATE, CLIP = 512, 16, 0.03, 1.0
 #: Characters of text in a bucket, whose words' counts are held at once, and tokens that are scored at once.
-BUCKET_CHARS, SCORE_TOKENS = 8_000_000, 1_000_000
+BUCKET_CHARS, SCORE_TOKENS = 8_000_000, 2_000_000
 #: Pieces in which the workers' weights are averaged.
 PIECES = 64
 SEED = 11
@@ -42,6 +49,15 @@ def words(text: str) -> list[bytes]:
     return [*text.encode(errors="surrogatepass").lower().split(), END_WORD]
 
 
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def form(word: bytes) -> int:
+    """A word's form: the last two bytes before its closing signs, and the first of these."""
+    core = word.rstrip(_SIGNS)
+    return crc32(core[-2:] + b" " + word[len(core) : len(core) + 1]) % FORMS
+
+
 # ---- the model --------------------------------------------------------------------------------------------------
 
 
@@ -146,8 +162,11 @@ class Model:
         g["x"][seen] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
         return float(loss) / len(y), grads / len(y), h
 
-    def train(self, ids: np.ndarray) -> float:
-        """One pass over a stream of documents (each ends with END), cut into parallel streams; the last loss a token."""
+    def train(self, ids: np.ndarray, moments: np.ndarray | None = None, steps: int = 0) -> float:
+        """One pass over a stream of documents (each ends with END), cut into parallel streams; the last loss a token.
+
+        ``moments``: first and second moments of the gradient (two rows), updated in place, after ``steps`` steps.
+        """
         width = min(STREAMS, max(1, len(ids) // (2 * WINDOW)))
         length = len(ids) // width
         if not length:
@@ -156,8 +175,8 @@ class Model:
         x = np.concatenate([np.full((1, width), END), y[:-1]])
         x[0, 1:] = y[-1, :-1]
         h, loss = np.zeros((width, HIDDEN), np.float32), math.nan
-        first, second = np.zeros_like(self.values), np.zeros_like(self.values)
-        for i, t in enumerate(range(0, length, WINDOW), 1):
+        first, second = np.zeros((2, len(self.values)), np.float32) if moments is None else moments
+        for i, t in enumerate(range(0, length, WINDOW), steps + 1):
             loss, grad, h = self.gradient(x[t : t + WINDOW], y[t : t + WINDOW], h)
             grad *= min(1.0, CLIP / (float(np.linalg.norm(grad)) + 1e-9))
             first *= 0.9
@@ -203,19 +222,21 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """END and RARE are classes of their own; the others, most frequent first, fill classes of one sum of square roots."""
-    out = np.array([0, 1] + [2] * (len(counts) - 2))[: len(counts)]
-    if len(counts) > 2:
-        root = np.cumsum(np.sqrt(np.maximum(counts[2:], 1)))
-        out[2:] = 2 + np.minimum(root / root[-1] * (CLASSES - 2), CLASSES - 3).astype(int)
-        out[2:] = 2 + np.unique(out[2:], return_inverse=True)[1]
+def classes_of(counts: np.ndarray, forms: int = 1) -> np.ndarray:
+    """END is a class of its own; forms and known words, each most frequent first, fill classes of one sum of square roots, as
+    many as the square root of their number."""
+    out = np.zeros(len(counts), np.int64)
+    for at in (slice(1, 1 + forms), slice(1 + forms, None)):
+        if len(own := counts[at]):
+            most = max(1, math.isqrt(len(own)))
+            root = np.cumsum(np.sqrt(np.maximum(own, 1)))
+            out[at] = out.max() + 1 + np.unique(np.minimum(root / root[-1] * most, most - 1).astype(int), return_inverse=True)[1]
     return out
 
 
-def initial(counts: np.ndarray) -> Model:
+def initial(counts: np.ndarray, forms: int = 1) -> Model:
     """Small random weights; the output starts as the words' frequencies."""
-    classes = classes_of(counts)
+    classes = classes_of(counts, forms)
     size = sum(math.prod(s) for s in layout(classes).values())
     model = Model(classes, np.random.default_rng(SEED).normal(0, 0.1, size))
     share = np.log(np.maximum(counts, 0.1))
@@ -260,9 +281,10 @@ def _counted(parts: int):
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Words by part -> the same rows with the counts of the whole corpus, and for each part a row without bucket: its
-    words that may be among the most frequent of all, after END_WORD with tokens and END_WORD with types."""
+    words that may be among the most frequent of all (words are dealt to parts by hash, so a part has about its share of all
+    distinct words), and by form the tokens (``b" t<form>"``) and the distinct words (``b" d<form>"``) in training documents."""
     for part, group in _rows(batches, "part"):
         rows, counts = [*group], Counter()
         for r in rows:
@@ -271,26 +293,45 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             found = r["words"].split(b"\n")
             yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "part": part} | _blob(found, [counts[w] for w in found])], _WORDS)
-        least = sorted(counts.values(), reverse=True)[: VOCABULARY][-1]
-        best = [w for w, n in counts.items() if n >= max(1, least)]
-        sums = [sum(counts.values()), sum(n > 0 for n in counts.values())]
-        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part} | _blob([b"", b"", *best], [*sums, *(counts[w] for w in best)])], _WORDS)
+        trained = {w: n for w, n in counts.items() if n}
+        most = 64 + math.ceil(2 * VOCABULARY * math.sqrt(parts * len(trained)))
+        top = sorted(trained, key=lambda w: (w != END_WORD, -trained[w]))[:most]
+        tokens, distinct = Counter(), Counter()
+        for w, n in trained.items():
+            f = form(w)
+            tokens[f] += n
+            distinct[f] += 1
+        sums = [*((b" t%d" % f, n) for f, n in tokens.items()), *((b" d%d" % f, n) for f, n in distinct.items())]
+        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part} | _blob([*top, *(w for w, _ in sums)], [*(trained[w] for w in top), *(n for _, n in sums)])], _WORDS)
 
 
 def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without bucket -> their words, and their sums as the words ``""`` (tokens) and null (types)."""
+    """Rows without bucket -> their words and sums."""
     for _, rows in _rows(batches, "part"):
         for r in rows:
             found, n = _read(r)
-            yield pa.RecordBatch.from_arrays([pa.array([b"", None, *found[2:]], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
 
-def _numbered(known: dict[bytes, int]):
+class Outputs:
+    """Words -> the model's outputs: the end, known words, and forms by ``of_form``."""
+
+    def __init__(self, known: dict[bytes, int], of_form: list[int]):
+        self.known, self.of_form = known, of_form
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        known, of_form = self.known.get, self.of_form
+        return np.array([i if (i := known(w)) is not None else of_form[form(w)] for w in found], np.int64)
+
+
+def _numbered(outputs: Outputs, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts -> their words' numbers, two or four bytes each."""
+        """Texts -> their words' outputs."""
         for b in batches:
-            ids = [np.array([known.get(w, RARE) for w in words(t.as_py())], _kind(len(known) + 1)).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("round"), b.column("worker"), b.column("u"), pa.array(ids, pa.binary())], ["round", "worker", "u", "ids"])
+            place: dict[bytes, int] = defaultdict(count().__next__)
+            texts = [list(map(place.__getitem__, words(t.as_py()))) for t in b.column("text")]
+            ids = outputs(list(place)).astype(kind)
+            yield pa.RecordBatch.from_arrays([b.column("round"), b.column("worker"), b.column("u"), pa.array([ids[t].tobytes() for t in texts], pa.binary())], ["round", "worker", "u", "ids"])
 
     return run
 
@@ -299,40 +340,60 @@ def _kind(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _trained(classes: np.ndarray, values: np.ndarray):
+def _trained(classes: np.ndarray, state: np.ndarray, steps: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A worker's documents -> the weights after them, in pieces."""
-        rows = [(r["u"], r["ids"]) for _, own in _rows(batches, "worker") for r in own]
+        """A worker's documents -> weights and moments after them, in pieces."""
+        rows = [(r["worker"], r["u"], r["ids"]) for _, own in _rows(batches, "worker") for r in own]
         if rows:
-            model = Model(classes, values.copy())
-            model.train(np.frombuffer(b"".join(ids for _, ids in sorted(rows)), _kind(len(classes))).astype(np.int64))
-            pieces = np.array_split(model.values, PIECES)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "weights": pa.array([x.tobytes() for x in pieces], pa.binary())})
+            own = state.copy()
+            model = Model(classes, own[0])
+            model.train(np.frombuffer(b"".join(ids for _, _, ids in sorted(rows)), _kind(len(classes))).astype(np.int64), own[1:], steps)
+            own[0] = model.values
+            pieces = np.array_split(own, PIECES, axis=1)
+            yield pa.RecordBatch.from_pydict({"worker": pa.array([rows[0][0]] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "weights": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
     return run
 
 
 def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean of the workers' pieces, in order of the workers, so that it is the same however they come."""
+    rows = rows.sort_values("worker")
     mean = np.mean([np.frombuffer(w, np.float32) for w in rows["weights"]], axis=0, dtype=np.float64)
     return pd.DataFrame({"piece": rows["piece"].iloc[:1], "weights": [mean.astype(np.float32).tobytes()]})
 
 
+class Language:
+    """What was gathered from the corpus: the model and what it calls words, and the sums that scoring needs.
+    ``form_tokens`` and ``form_types``: tokens and distinct words by form output, without known words."""
+
+    def __init__(self, model: Model, outputs: Outputs, tokens: int, types: int, form_tokens: np.ndarray, form_types: np.ndarray):
+        self.model, self.outputs, self.tokens, self.types, self.form_tokens, self.form_types = model, outputs, tokens, types, form_tokens, form_types
+
+    def coverage(self) -> float:
+        """Share of the training tokens that are outputs of their own."""
+        return 1 - float(self.form_tokens.sum()) / max(1, self.tokens)
+
+
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(classes: np.ndarray, values: np.ndarray, known: dict[bytes, int], tokens: int, types: int, rare: tuple[int, int]):
+def _scored(m: Language):
+    classes, values, outputs, tokens, types = m.model.classes, m.model.values, m.outputs, m.tokens, m.types
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By bucket, the words' counts and then the documents -> the documents' scores."""
         model = Model(classes, values)
+        in_form, all_forms = np.log10(m.form_tokens + 0.1 * (m.form_types + 1)), len(m.form_tokens)
         for _, rows in _rows(batches, "bucket"):
             place: dict[bytes, int] = {}
             counts, held, size = [], [], 0
 
             def scores(counts=counts, held=held, place=place) -> pa.RecordBatch:
                 c = np.concatenate(counts)
-                ids = np.array([known.get(w, RARE) for w in place])
+                ids = outputs(list(place))
                 base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
-                share = np.where(ids == RARE, np.log10((c + 0.1) / (rare[0] + 0.1 * (rare[1] + 1))), 0.0)
+                rare = (ids > END) & (ids <= all_forms)
+                share = np.where(rare, np.log10(c + 0.1) - in_form[np.where(rare, ids - 1, 0)], 0.0)
                 docs = [h[2] for h in held]
                 model_scores = model.score([ids[d] for d in docs]) / math.log(10)
                 out = [[h[0] for h in held], [h[1] for h in held], [len(d) for d in docs], [int((c[d] > 0).sum()) for d in docs], [float(base[d].sum()) for d in docs], [float(m + share[d].sum()) for m, d in zip(model_scores, docs, strict=True)]]
@@ -359,13 +420,6 @@ def _scored(classes: np.ndarray, values: np.ndarray, known: dict[bytes, int], to
 # ---- jobs -------------------------------------------------------------------------------------------------------
 
 
-class Language:
-    """What was gathered from the corpus: the model and the sums that scoring needs, and each bucket's counted words."""
-
-    def __init__(self, model: Model, known: dict[bytes, int], tokens: int, types: int, rare: tuple[int, int], counted: DataFrame):
-        self.model, self.known, self.tokens, self.types, self.rare, self.counted = model, known, tokens, types, rare, counted
-
-
 def _buckets(docs: DataFrame) -> tuple[DataFrame, int]:
     """Documents with ``held_out`` and a ``bucket`` by id and text; there are buckets for ``BUCKET_CHARS`` characters each."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -375,42 +429,69 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, int]:
     return d.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("bucket")), n
 
 
-def _dealt(docs: DataFrame, known: dict[bytes, int], rounds: int, workers: int) -> DataFrame:
+def _dealt(docs: DataFrame, outputs: Outputs, kind: str, rounds: int, workers: int, tasks: int) -> DataFrame:
     """The documents' words as numbers, each document in one round and with one worker; a folder a round, so that a round
-    reads its own documents alone."""
+    reads its own documents alone. ``tasks`` tasks write, each some workers of one round."""
     slot = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n)).cast("int")
     d = docs.select(slot(SEED, rounds).alias("round"), slot(SEED + 1, workers).alias("worker"), unit_hash(F.col("doc_id"), seed=SEED).alias("u"), "text")
-    d = d.mapInArrow(_numbered(known), "round int, worker int, u double, ids binary").repartition(rounds, "round")
+    d = d.mapInArrow(_numbered(outputs, kind), "round int, worker int, u double, ids binary")
+    d = d.repartition(tasks, "round", F.pmod("worker", F.lit(max(1, tasks // rounds))))
     path = scratch(docs.sparkSession, "train")
     d.write.partitionBy("round").parquet(path)
     return docs.sparkSession.read.schema(d.schema).parquet(path)
 
 
-def learn(docs: DataFrame, n: int) -> Language:
-    """Counts all words of all buckets, then fits the model to all training documents, each once."""
-    d = docs.repartition(n, "bucket").sortWithinPartitions("bucket").select("bucket", "held_out", "text")
-    counted = d.mapInArrow(_counted(max(8, n)), _WORDS_SQL).repartition(max(8, n), "part").sortWithinPartitions("part")
-    counted = written(counted.mapInArrow(_summed, _WORDS_SQL), "counted")
-    top = counted.where("bucket IS NULL").mapInArrow(_unfolded, "word binary, n bigint")
-    sums = {bytes(r["word"]) if r["word"] is not None else None: r["n"] for r in top.where(F.col("word").isNull() | (F.col("word") == F.lit(b""))).groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    tokens, types = sums.get(b"", 0), sums.get(None, 0)
-    best = top.where((F.col("word") != F.lit(b"")) & (F.col("word") != F.lit(END_WORD))).orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()
-    ends = top.where(F.col("word") == F.lit(END_WORD)).agg(F.sum("n")).first()[0] or 0
-    known = {bytes(r["word"]): i for i, r in enumerate(best, 2)} | {END_WORD: END}
-    counts = np.array([ends, 0, *(r["n"] for r in best)], np.float64)
-    rare = (tokens - int(counts.sum()), types - len(best) - (ends > 0))
-    counts[RARE] = rare[0]
-    model = initial(counts)
-    rounds = max(ROUNDS, math.ceil(math.sqrt(tokens / WORKER_TOKENS)))
+def _vocabulary(counted: DataFrame) -> tuple[Outputs, np.ndarray, int, int, np.ndarray, np.ndarray]:
+    """Outputs and their counts, tokens and distinct words of the training documents, and tokens and words by form output."""
+    top = counted.where("bucket IS NULL").mapInArrow(_unfolded, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = written(top, "top")
+    is_sum = F.substring("word", 1, 1) == F.lit(b" ")
+    form_tokens, form_types, ends = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64), 0
+    for r in top.where(is_sum).collect():  # two rows a form, and the end
+        name = bytes(r["word"])
+        if name == END_WORD:
+            ends = r["n"]
+        else:
+            (form_tokens if name[1:2] == b"t" else form_types)[int(name[2:])] = r["n"]
+    tokens, types = int(form_tokens.sum()), int(form_types.sum())
+    size = math.ceil(VOCABULARY * math.sqrt(types))
+    best = top.where(~is_sum).orderBy(F.desc("n"), "word").limit(size).collect()
+    for w, n in [*((bytes(r["word"]), r["n"]) for r in best), *([(END_WORD, ends)] if ends else [])]:
+        form_tokens[form(w)] -= n
+        form_types[form(w)] -= 1
+    forms = max(1, int(FORM_OUTPUTS * math.sqrt(size)))
+    own = max(1, forms * 3 // 4)  # the most frequent forms; the others are dealt to the rest by hash
+    order = np.argsort(-form_tokens, kind="stable")
+    of_form = np.zeros(FORMS, np.int64)
+    of_form[order[:own]] = np.arange(min(own, FORMS))
+    of_form[order[own:]] = own + order[own:] % (forms - own) if forms > own else 0
+    counts = np.zeros(1 + forms + len(best))
+    counts[END], counts[1 + forms :] = ends, [r["n"] for r in best]
+    by_output = [np.bincount(of_form, x, forms) for x in (form_tokens, form_types)]
+    counts[1 : 1 + forms] = by_output[0]
+    known = {bytes(r["word"]): i for i, r in enumerate(best, 1 + forms)} | {END_WORD: END}
+    return Outputs(known, (1 + of_form).tolist()), counts, tokens, types, *by_output
+
+
+def learn(docs: DataFrame, n: int) -> tuple[Language, DataFrame]:
+    """Counts all words of all buckets, then fits the model to all training documents, each once; also returns each
+    bucket's counted words."""
+    d, parts = docs.repartition(n, "bucket").sortWithinPartitions("bucket").select("bucket", "held_out", "text"), max(8, n)
+    counted = d.mapInArrow(_counted(parts), _WORDS_SQL).repartition(parts, "part").sortWithinPartitions("part")
+    counted = written(counted.mapInArrow(lambda b: _summed(b, parts), _WORDS_SQL), "counted")
+    outputs, counts, tokens, types, form_tokens, form_types = _vocabulary(counted)
+    model = initial(counts, len(form_tokens))
+    rounds = max(ROUNDS, math.ceil((tokens / WORKER_TOKENS) ** ROUNDS_POWER))
     workers = max(1, math.ceil(tokens / rounds / WORKER_TOKENS))
-    train = _dealt(docs.where(~F.col("held_out")), known, rounds, workers)
+    train = _dealt(docs.where(~F.col("held_out")), outputs, _kind(len(counts)), rounds, workers, max(n, rounds))
+    state, steps = np.stack([model.values, *np.zeros((2, len(model.values)), np.float32)]), 0
     for k in range(rounds):
-        done = train.where(F.col("round") == k).repartitionById(workers, "worker").mapInArrow(_trained(model.classes, model.values), "piece int, weights binary")
+        done = train.where(F.col("round") == k).repartitionById(workers, "worker").mapInArrow(_trained(model.classes, state, steps), "worker int, piece int, weights binary")
         mean = done.groupBy("piece").applyInPandas(_averaged, "piece int, weights binary").collect()
         if mean:
-            values = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["piece"])])
-            model = Model(model.classes, values)
-    return Language(model, known, tokens, types, rare, counted)
+            state = np.concatenate([np.frombuffer(r["weights"], np.float32).reshape(3, -1) for r in sorted(mean, key=lambda r: r["piece"])], axis=1)
+            steps += math.ceil(tokens / rounds / workers / STREAMS / WINDOW)
+    return Language(Model(model.classes, state[0]), outputs, tokens, types, form_tokens, form_types), counted
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -421,11 +502,10 @@ def scores(docs: DataFrame) -> DataFrame:
     and back. Null and empty texts are an end alone; repeated rows are scored each; an empty table gives an empty result.
     """
     d, n = _buckets(docs)
-    m = learn(d, n)
+    m, counted = learn(d, n)
     none = lambda kind: F.lit(None).cast(kind)
-    rows = m.counted.where("bucket IS NOT NULL").select("bucket", F.lit(0).alias("kind"), "words", "counts", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    rows = counted.where("bucket IS NOT NULL").select("bucket", F.lit(0).alias("kind"), "words", "counts", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
     rows = rows.unionByName(d.select("bucket", F.lit(1).alias("kind"), none("binary").alias("words"), none("binary").alias("counts"), "doc_id", "held_out", "text"))
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    task = _scored(m.model.classes, m.model.values, m.known, m.tokens, m.types, m.rare)
-    out = rows.mapInArrow(task, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = rows.mapInArrow(_scored(m), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")

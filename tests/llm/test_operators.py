@@ -258,17 +258,38 @@ def test_scores_of_nothing(odd):
 def test_all_training_documents_are_dealt_once(spark, corpus, monkeypatch):
     dealt, deal = [], lm._dealt
     monkeypatch.setattr(lm, "WORKER_TOKENS", 5_000)
-    monkeypatch.setattr(lm, "_dealt", lambda *a: dealt.append((deal(*a), a[1], a[2])) or dealt[-1][0])
+    monkeypatch.setattr(lm, "_dealt", lambda *a: dealt.append((deal(*a), a[1], a[3])) or dealt[-1][0])
     lm.learn(*lm._buckets(corpus))
-    (train, known, rounds), = dealt
+    (train, outputs, rounds), = dealt
     got = Counter(np.frombuffer(r["ids"], "<u2").tobytes() for r in train.collect())
-    want = Counter(np.array([known.get(w, lm.RARE) for w in lm.words(t or "")], "<u2").tobytes() for i, t in pairs(corpus) if crc32(("" if i is None else str(i)).encode()) % 10)
+    want = Counter(outputs(lm.words(t or "")).astype("<u2").tobytes() for i, t in pairs(corpus) if crc32(("" if i is None else str(i)).encode()) % 10)
     assert got == want
     tokens = sum(n * len(x) // 2 for x, n in want.items())
-    assert rounds == math.ceil(math.sqrt(tokens / 5_000)) > lm.ROUNDS
+    assert rounds == math.ceil((tokens / 5_000) ** lm.ROUNDS_POWER) > lm.ROUNDS
     assert {r["round"] for r in train.select("round").distinct().collect()} == set(range(rounds))
 
 
+def test_vocabulary_grows_and_forms_hold_all_other_words(spark, corpus):
+    rows = [(i, t) for i, t in pairs(corpus) if crc32(str(i).encode()) % 10]
+    c = Counter(w for _, t in rows for w in lm.words(t or ""))
+    seen = {}
+    for n in (1, 4):  # the corpus, and with three times as many words again
+        docs = spark.createDataFrame([(i, " ".join(f"{w}{k}" if k else w for w in (t or "").split())) for k in range(n) for i, t in rows], "doc_id long, text string")
+        m, _ = lm.learn(*lm._buckets(docs))
+        types = m.types
+        known = len(m.outputs.known) - 1
+        assert known == math.ceil(lm.VOCABULARY * math.sqrt(types)) and len(m.form_tokens) == int(lm.FORM_OUTPUTS * math.sqrt(known))
+        assert m.tokens == round(m.form_tokens.sum() + m.coverage() * m.tokens) and (m.form_types >= 0).all()
+        seen[n] = known
+    assert types > 3 * len(c) and seen[4] > 1.7 * seen[1]
+    assert lm.form(b"walking.") == lm.form(b"ing.") != lm.form(b"walking") != lm.form(b"walked")
+
+
+def test_scores_are_the_same_again(corpus):
+    score = lambda d: {r["doc_id"]: r["score"] for r in lm.scores(d).collect()}
+    assert score(corpus) == score(corpus)
+
+
 def test_held_out_rows_are_likelier_after_training(spark, monkeypatch):
     said = "the cat sat on a mat and then went off to see".split()
     rows = [(i, " ".join((said[i % 11 :] + said[: i % 11]) * 20)) for i in range(1000)]
@@ -355,6 +376,37 @@ def test_url_rules_are_mined(spark):
     assert got[3] == "block" and got[1] == "allow"
 
 
+def test_mined_rules_are_those_of_enumeration(spark):
+    from itertools import combinations
+
+    rng = random.Random(4)
+    made = [f"http://{rng.choice(['spam', 'ok', 'news'])}.example.com/{rng.choice(['buy', 'read'])}/{rng.choice('abc')}" for _ in range(600)]
+    bad = [("spam" in u and "buy" in u) or ("news" in u and "/a" in u and rng.random() < 0.9) or rng.random() < 0.03 for u in made]
+    d = spark.createDataFrame([(u, b) for u, b in zip(made, bad, strict=True)] + [(None, True), ("http://x", None)], "url string, bad boolean")
+    baskets = [(frozenset(r["t"]), r["bad"]) for r in d.where("bad IS NOT NULL").select(urls.tokens_of(d["url"]).alias("t"), "bad").collect()]
+    alike = {}  # rules are mined on one of the tokens that are in the same URLs; the others' follow from it
+    for t in {t for b, _ in baskets for t in b}:
+        alike.setdefault(frozenset(i for i, (b, _) in enumerate(baskets) if t in b), []).append(t)
+    first = {t: min(same) for same in alike.values() for t in same}
+    names = sorted(set(first.values()))
+    found = {}
+    for size in range(1, 6):
+        for c in combinations(names, size):
+            of = [b for has, b in baskets if set(c) <= has]
+            if sum(of) >= urls.MIN_URLS and sum(of) >= urls.MIN_CONFIDENCE * len(of):
+                found[frozenset(c)] = (sum(of) / len(of), sum(of))
+    least = {c: v for c, v in found.items() if not any(p < c and w[0] >= v[0] for p, w in found.items())}
+    got = {frozenset(first[t] for t in r["tokens"]): (r["confidence"], r["urls"]) for r in urls.mined_rules(d).collect()}
+    assert len(least) >= 2 and got.keys() == least.keys()
+    assert all(abs(got[c][0] - least[c][0]) < 1e-9 and got[c][1] == least[c][1] for c in least)
+
+
+def test_long_urls(spark):
+    p = spark.createDataFrame([(1, "http://a.net/" + "x/" * 50_000), (2, "http://" + "a" * 100_000)], "page_id long, url string")
+    got = {r["page_id"]: (len(r["host"]), len(r["path"]), r["rule"], r["verdict"]) for r in urls.judged(p, URL_RULES, p.selectExpr("url", "true AS bad")).collect()}
+    assert got == {1: (5, 100_001, "net/", "block"), 2: (100_000, 0, None, "allow")}
+
+
 def test_url_rules_need_as_many_urls_in_a_large_table(spark):
     bad = spark.range(60_000).selectExpr("CASE WHEN id < 100 THEN 'http://spam.example.com/x' ELSE concat('http://ok', id % 7, '.example.com/y') END AS url", "id < 100 AS bad")
     assert {("l=spam",), ("w=spam",), ("p=x",)} <= {tuple(r["tokens"]) for r in urls.mined_rules(bad).collect() if r["urls"] == 100 and r["confidence"] == 1}
@@ -388,3 +440,22 @@ def test_decontamination_of_long_items(spark, size):
     items = spark.createDataFrame([("long", " ".join(item)), ("other", "a b c")], "item_id string, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()}
     assert got == {1: (22, 20, 1), 2: (size, size, 1), 3: (3, 0, 0)}
+
+
+def test_near_components_of_shared_passages_and_scattered_copies(spark):
+    """Texts that consist mostly of one passage, in parts and as a whole, and copies scattered around a text that is not there."""
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other, rows = words(90), words(60), []
+    for k in range(45):
+        rows.append(words(rng.randrange(8, 45)) + passage + words(rng.randrange(6)))
+        rows.append(passage[: rng.randrange(60, 91)] + other[: rng.randrange(10, 61)])
+        copy = [*other * 2, *passage]
+        for at in rng.sample(range(len(copy)), rng.randrange(3, 14)):
+            copy[at] = f"x{k}"
+        rows.append(copy)
+    rows += [passage, other, passage + other]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(5)
+    want = fx.components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert 3 < len({c for _, _, c in want}) < len(rows) - 20
+    assert in_order(near.near_classes(docs).collect()) == in_order(want)
