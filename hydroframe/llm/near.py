@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hydroframe.llm.common import small, text_of, written
 
 WORDS = 5
-#: Each cell's sets are held against one of them, round by round, as long as a round settles this share of the rows.
+#: Each cell's sets are held against one of them, round by round, as long as a round settles this share of the rows or of the components.
 SETTLED = 0.1
 #: Portions that the partners of one text are dealt to; the text goes with each portion that has some.
 SALTS = 4096
@@ -268,6 +268,11 @@ def _labelled(met: DataFrame, links: DataFrame) -> DataFrame:
     return written(_open(met), "open")
 
 
+def _left(met: DataFrame) -> tuple[int, int]:
+    """Rows and components that are left."""
+    return tuple(met.agg(F.count("*"), F.count_distinct("label")).first())
+
+
 #: Whether rows a and b of one cell may be a linked pair of two components whose rarest common shingle this is.
 _MAY_LINK = "label_a != label_b AND 3 * n_b <= 4 * n_a - 7 * (place_a - 1) AND 3 * n_a <= 4 * n_b - 7 * (place_b - 1)"
 
@@ -281,24 +286,25 @@ def links(docs: DataFrame, file: DataFrame) -> DataFrame:
     """Links enough to connect all sets that any links connect.
 
     In rounds, each cell's sets are held against one of them: the smallest first (if two sets of a cell are linked by
-    what the cell's sets all have in common, so are both with the smallest), then one picked by hash, another in each cell, so that a
-    large group of near copies grows together whatever its middle is. Cells left with one component, and rows that can have no
-    partner any more, go. When a round settles few rows, all pairs that their places allow are candidates.
+    what the cell's sets all have in common, so are both with the smallest), then the one in its middle, with the fewest shingles that are
+    rarer than the cell's (all that are linked with most of a group of near copies are linked with that), then one picked by hash, another
+    in each cell, so that a large group grows together wherever its middle is. Cells left with one component, and rows that can have no
+    partner any more, go. When a round settles few rows and joins few components, all pairs that their places allow are candidates.
     """
     has = file.where(F.col("sketch").isNotNull())
     sets = has.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n")).alias("d"), F.first("sketch").alias("sketch"))
     sets = written(sets.select("node", "d.*", "sketch"), "sets")
     met = _early(docs, sets, _candidates(docs))
     met = written(_open(met.withColumn("label", F.col("node"))), "open")
-    found, k, left = None, 0, met.count()
+    found, k, (left, apart) = None, 0, _left(met)
     while k == 0 or left:
-        order = F.struct(F.xxhash64("key", "node", F.lit(k)), "node") if k else F.struct(-F.col("n"), -F.col("place"), "node")
+        order = [F.struct(-F.col("n"), -F.col("place"), "node"), F.struct(-F.col("place"), "n", "node"), F.struct(F.xxhash64("key", "node", F.lit(k)), "node")][min(k, 2)]
         hub = met.groupBy("key").agg(F.max_by(F.struct("node", "label", "n", "place"), order).alias("hub")).select("key", "hub.*")
         new = _verified(docs, sets, _pairs(hub, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = new if found is None else found.unionByName(new)
         met = _labelled(met, found)
-        k, before, left = k + 1, left, met.count()
-        if left > (1 - SETTLED) * before:
+        k, before, (left, apart) = k + 1, (left, apart), _left(met)
+        if left > (1 - SETTLED) * before[0] and apart > (1 - SETTLED) * before[1]:
             break
     if not left:
         return found

@@ -459,3 +459,27 @@ def test_near_components_of_shared_passages_and_scattered_copies(spark):
     want = fx.components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert 3 < len({c for _, _, c in want}) < len(rows) - 20
     assert in_order(near.near_classes(docs).collect()) == in_order(want)
+
+
+def test_near_components_of_a_group_of_copies_come_from_few_pairs(spark, monkeypatch):
+    """Copies of one text with some words changed, half of them too far from each other to be linked: most are linked with the text in
+    the middle, and no round pairs them all."""
+    rng, rows, made = random.Random(5), [], []
+    text = [f"{rng.randrange(10**6)}" for _ in range(150)]
+    for k in range(400):
+        copy = [*text]
+        for at in rng.sample(range(len(copy)), rng.randrange(1, 6)):
+            copy[at] = f"x{k}" if k % 3 else ""
+        rows.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*rows, text])], "doc_id long, text string")
+    before = near._pairs
+
+    def counted(left, right):
+        made.append((out := before(left, right)).count())
+        return out
+
+    monkeypatch.setattr(near, "_pairs", counted)
+    got = near.near_classes(docs).collect()
+    want = fx.components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert 1 < len({c for _, _, c in want}) and in_order(got) == in_order(want)
+    assert max(made) < 20 * len(rows), made
