@@ -11,14 +11,15 @@ are averaged, round by round. Scoring carries the state from window to window th
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count, groupby
+from itertools import groupby, pairwise
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,26 @@ PIECES = 64
 SEED = 11
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after the other, and how many each has: A-Z lower-cased, split at ASCII white space."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, lengths = found.flatten().cast(pa.binary()), pc.list_value_length(found).to_numpy()
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty words
+    if not real.all():
+        lengths = np.diff(np.cumsum(np.append(0, real))[np.cumsum(np.append(0, lengths))])
+        flat = flat.filter(pa.array(real))
+    return flat, lengths
+
+
 def words(text: str) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space, and the end."""
-    return [*text.encode(errors="surrogatepass").lower().split(), END_WORD]
+    """A text's words, and the end."""
+    return [*split(pa.array([text], pa.string()))[0].to_pylist(), END_WORD]
+
+
+def numbers(flat: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, in order, and each word's place among them."""
+    coded = flat.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -67,14 +85,17 @@ def layout(classes: np.ndarray) -> dict[str, tuple[int, ...]]:
 
 
 class Model:
-    """Parameters as one vector: ``x`` input table by word, ``u`` recurrence, ``c`` classes, ``w`` words in their class."""
+    """Parameters as one vector: ``x`` input table by word, ``u`` recurrence, ``c`` classes, ``w`` words in their class.
+
+    States and gates have a row a token and lie in memory column by column (Fortran order): so the gates are parts without gaps,
+    and sums and maxima over classes run along whole rows of tokens. Numpy is several times as fast that way.
+    """
 
     def __init__(self, classes: np.ndarray, values: np.ndarray):
         self.classes, self.values = classes, values.astype(np.float32)
-        self.members = [np.flatnonzero(classes == k) for k in range(int(classes.max()) + 1)]
-        self.place = np.zeros(len(classes), np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        ends = np.searchsorted(classes, np.arange(int(classes.max()) + 2))  # a class is a run of words
+        self.members = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        self.place = np.arange(len(classes)) - ends[classes]
         self.parts = self.split(self.values)
 
     def split(self, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -87,80 +108,98 @@ class Model:
     def steps(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step from state ``h`` on words ``x``: the gates and the new state."""
         n = HIDDEN
-        a, b = self.parts["x"][x], h @ self.parts["u"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + b[:, : 2 * n])))
-        z, r, m = zr[:, :n], zr[:, n:], b[:, 2 * n :]
-        c = np.tanh(a[:, 2 * n :] + r * m)
-        return z, r, m, c, c + z * (h - c)
+        a, b = np.asfortranarray(self.parts["x"].take(x, 0)), (self.parts["u"].T @ h.T).T
+        b[:, : 2 * n] += a[:, : 2 * n]
+        zr, m = b[:, : 2 * n], b[:, 2 * n :]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.divide(1, zr, out=zr)
+        z, r = zr[:, :n], zr[:, n:]
+        c = r * m
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return z, r, m, c, after
+
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]], np.ndarray]:
+        """Places of ``y`` in order of their classes, each class of several words that occurs (its places, its words), and by place
+        the word's number in its class."""
+        k = self.classes[y]
+        order = np.argsort(k.astype(np.uint16) if len(self.members) <= 1 << 16 else k, kind="stable")  # short numbers are sorted by radix
+        ends = np.cumsum(np.bincount(k, minlength=len(self.members))).tolist()
+        runs = [(slice(a, b), m) for a, b, m in zip([0, *ends], ends, self.members, strict=False) if b > a and m.stop - m.start > 1]
+        return order, runs, self.place[y[order]]
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of words ``y`` after states ``h``."""
-        c, w = self.parts["c"], self.parts["w"]
-        logits = h @ c[:-1] + c[-1]
-        k = self.classes[y]
-        out = logits[np.arange(len(y)), k] - _logsum(logits)
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(len(self.members) + 1))
-        for i, m in enumerate(self.members):
-            if len(m) > 1 and ends[i + 1] > ends[i]:
-                at = order[ends[i] : ends[i + 1]]
-                inner = h[at] @ w[m, :-1].T + w[m, -1]
-                out[at] += inner[np.arange(len(at)), self.place[y[at]]] - _logsum(inner)
+        rows = _with_ones(h)
+        logits = self.parts["c"].T @ rows
+        out = logits[self.classes[y], np.arange(len(y))]
+        out -= _logsum(logits)
+        order, runs, places = self.by_class(y)
+        rows, inner = np.ascontiguousarray(rows.T).take(order, 0), np.zeros_like(out)  # a class is a part without gaps
+        for at, own in runs:
+            logits = self.parts["w"][own] @ rows[at].T
+            inner[at] = logits[places[at], np.arange(logits.shape[1])]
+            inner[at] -= _logsum(logits)
+        out[order] += inner
         return out
 
     def gradient(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss a token, its gradient over one window (``xs``, ``ys``: steps by streams) from the carried state, and the state after it."""
         n, steps, hs = HIDDEN, [], []
-        for x in xs:
-            before = h * (x != END)[:, None]  # a document starts from nothing
+        goes = (xs != END).astype(h.dtype)[:, :, None]  # a document starts from nothing
+        for x, on in zip(xs, goes, strict=True):
+            before = h * on
             z, r, m, c, h = self.steps(x, before)
             steps.append((before, z, r, m, c))
-            hs.append(h)
-        flat, y = np.concatenate(hs), ys.ravel()
+            hs.append(h.T)
+        rows, y = _with_ones(np.concatenate(hs, axis=1).T), ys.ravel()
         grads = np.zeros_like(self.values)
         g, p = self.split(grads), self.parts
-        logits = flat @ p["c"][:-1] + p["c"][-1]
-        prob = np.exp(logits - _logsum(logits)[:, None])
-        k = self.classes[y]
-        loss = -np.log(prob[np.arange(len(y)), k]).sum()
-        prob[np.arange(len(y)), k] -= 1
-        g["c"][:-1], g["c"][-1] = flat.T @ prob, prob.sum(0)
-        dh = prob @ p["c"][:-1].T
-        order = np.argsort(k, kind="stable")
-        ends, by_class, places = np.searchsorted(k[order], np.arange(len(self.members) + 1)), flat[order], self.place[y[order]]
-        back = np.zeros_like(by_class)
-        for i, members in enumerate(self.members):
-            if len(members) > 1 and ends[i + 1] > ends[i]:
-                at, own = slice(ends[i], ends[i + 1]), slice(members[0], members[-1] + 1)  # a class is a run of words
-                w = p["w"][own]
-                q = by_class[at] @ w[:, :-1].T
-                q += w[:, -1]
-                q -= q.max(axis=1, keepdims=True)
-                np.exp(q, out=q)
-                q /= q.sum(axis=1, keepdims=True)
-                mine = (np.arange(len(q)), places[at])
-                loss -= np.log(q[mine]).sum()
-                q[mine] -= 1
-                g["w"][own, :-1], g["w"][own, -1] = q.T @ by_class[at], q.sum(0)
-                back[at] = q @ w[:, :-1]
-        dh[order] += back
-        dh, later, da = dh.reshape(len(xs), -1, n), 0, np.zeros((*xs.shape, 3 * n), h.dtype)
+        prob = p["c"].T @ rows
+        mine = (self.classes[y], np.arange(len(y)))
+        loss = -np.log(_softmax(prob)[mine]).sum()
+        prob[mine] -= 1
+        g["c"][:] = rows @ prob.T
+        dh = p["c"][:-1] @ prob
+        order, runs, places = self.by_class(y)
+        rows = np.ascontiguousarray(rows.T).take(order, 0)  # a class is a part without gaps
+        back = np.zeros((len(y), n), h.dtype)
+        for at, own in runs:
+            w, seen = p["w"][own], rows[at]
+            q = w @ seen.T
+            mine = (places[at], np.arange(q.shape[1]))
+            loss -= np.log(_softmax(q)[mine]).sum()
+            q[mine] -= 1
+            g["w"][own] = q @ seen
+            back[at] = q.T @ w[:, :-1]
+        places = np.empty_like(order)
+        places[order] = np.arange(len(order))
+        dh += np.asfortranarray(back.take(places, 0)).T
+        dh, later = np.ascontiguousarray(dh.reshape(n, *xs.shape).transpose(1, 0, 2)), 0
+        da = np.empty((len(xs), 3 * n, xs.shape[1]), h.dtype)
         for t in range(len(xs) - 1, -1, -1):
             before, z, r, m, c = steps[t]
-            d = dh[t] + later
+            d, gates = dh[t].T + later, da[t].T
             rest = d * (1 - z)
             dc = rest * (1 - c * c)
-            da[t, :, :n] = rest * (before - c) * z
-            da[t, :, n : 2 * n] = dc * m * r * (1 - r)
-            da[t, :, 2 * n :] = dc
-            db = da[t].copy()
+            gates[:, :n] = rest * (before - c) * z
+            gates[:, n : 2 * n] = dc * m * r * (1 - r)
+            gates[:, 2 * n :] = dc
+            db = gates.copy("K")
             db[:, 2 * n :] *= r
             g["u"] += before.T @ db
-            later = (d * z + db @ p["u"].T) * (xs[t] != END)[:, None]
-        order = np.argsort(xs.ravel(), kind="stable")
-        seen, first = np.unique(xs.ravel()[order], return_index=True)
-        g["x"][seen] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
-        return float(loss) / len(y), grads / len(y), h
+            later = (p["u"] @ db.T).T
+            later += d * z
+            later *= goes[t]
+        x = xs.ravel()
+        g["x"][:] = np.array([np.bincount(x, gate, len(self.classes)) for gate in da.transpose(1, 0, 2).reshape(3 * n, -1)]).T
+        grads /= len(y)
+        return float(loss) / len(y), grads, h
 
     def train(self, ids: np.ndarray, moments: np.ndarray | None = None, steps: int = 0) -> float:
         """One pass over a stream of documents (each ends with END), cut into parallel streams; the last loss a token.
@@ -174,7 +213,7 @@ class Model:
         y = ids[: width * length].reshape(width, length).T
         x = np.concatenate([np.full((1, width), END), y[:-1]])
         x[0, 1:] = y[-1, :-1]
-        h, loss = np.zeros((width, HIDDEN), np.float32), math.nan
+        h, loss = np.zeros((width, HIDDEN), np.float32, "F"), math.nan
         first, second = np.zeros((2, len(self.values)), np.float32) if moments is None else moments
         for i, t in enumerate(range(0, length, WINDOW), steps + 1):
             loss, grad, h = self.gradient(x[t : t + WINDOW], y[t : t + WINDOW], h)
@@ -198,7 +237,7 @@ class Model:
         lengths = np.array([len(docs[i]) for i in order])
         flat = np.concatenate([docs[i] for i in order])
         starts = np.cumsum(lengths) - lengths
-        total, h, x = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), END)
+        total, h, x = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32, "F"), np.full(len(docs), END)
         kept: list[tuple[np.ndarray, np.ndarray, int]] = []
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # documents longer than t
         for t, k in enumerate(active):
@@ -206,7 +245,7 @@ class Model:
             x = flat[starts[:k] + t]
             kept.append((h, x, k))
             if len(kept) == 256 or k * len(kept) >= 1 << 14 or t + 1 == len(active):
-                p = self.log_probability(np.concatenate([a for a, _, _ in kept]), np.concatenate([b for _, b, _ in kept]))
+                p = self.log_probability(np.concatenate([a.T for a, _, _ in kept], axis=1).T, np.concatenate([b for _, b, _ in kept]))
                 at = 0
                 for _, _, n in kept:
                     total[:n] += p[at : at + n]
@@ -217,9 +256,27 @@ class Model:
         return out
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """States as columns, with a row of ones below that takes the biases."""
+    out = np.ones((h.shape[1] + 1, len(h)), h.dtype)
+    out[:-1] = h.T
+    return out
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Logarithm of the columns' sums of exponentials; ``x`` is overwritten."""
+    top = x.max(axis=0)
+    x -= top
+    np.exp(x, out=x)
+    return top + np.log(x.sum(axis=0))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Each column's probabilities, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= 1 / x.sum(axis=0)
+    return x
 
 
 def classes_of(counts: np.ndarray, forms: int = 1) -> np.ndarray:
@@ -257,22 +314,45 @@ def _rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, It
     return groupby((row for b in batches for i in range(0, b.num_rows, 64) for row in b.slice(i, 64).to_pylist()), lambda r: r[key])
 
 
+def _pieces(b: pa.RecordBatch, keys: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of a batch with one key and about ``BUCKET_CHARS`` characters of text at most (one text may be longer)."""
+    chars = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64) // BUCKET_CHARS
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (chars[1:] != chars[:-1])) + 1
+    for i, j in pairwise([0, *cuts.tolist(), len(keys)]):
+        if j > i:
+            yield int(keys[i]), b.slice(i, j - i)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of rows with one key, in pieces."""
+    for k, own in groupby((x for b in batches for x in _pieces(b, b.column(key).to_numpy())), itemgetter(0)):
+        yield k, map(itemgetter(1), own)
+
+
 def _blob(found: list[bytes], counts: list[int]) -> dict[str, bytes]:
     return {"words": b"\n".join(found), "counts": np.array(counts, "<i8").tobytes()}
 
 
-def _read(row: dict) -> tuple[list[bytes], np.ndarray]:
-    return row["words"].split(b"\n"), np.frombuffer(row["counts"], "<i8")
+def _words(blob: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([blob], pa.binary()), "\n").flatten()
+
+
+def _read(row: dict) -> tuple[pa.Array, np.ndarray]:
+    return _words(row["words"]), np.frombuffer(row["counts"], "<i8")
 
 
 def _counted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by bucket -> the bucket's distinct words with their counts in training documents, by part."""
-        for bucket, rows in _rows(batches, "bucket"):
-            counts: Counter[bytes] = Counter()
-            for r in rows:
-                found = words(r["text"])
-                counts.update(dict.fromkeys(found, 0) if r["held_out"] else found)
+        for bucket, pieces in _runs(batches, "bucket"):
+            counts: dict[bytes, int] = {END_WORD: 0}
+            for b in pieces:
+                flat, lengths = split(b.column("text"))
+                trained = ~b.column("held_out").to_numpy(zero_copy_only=False)
+                counts[END_WORD] += int(trained.sum())
+                found, places = numbers(flat)
+                for w, n in zip(found, np.bincount(places[np.repeat(trained, lengths)], minlength=len(found)).tolist(), strict=True):
+                    counts[w] = counts.get(w, 0) + n
             dealt: dict[int, list[bytes]] = {}
             for w in counts:
                 dealt.setdefault(crc32(w) % parts, []).append(w)
@@ -286,23 +366,26 @@ def _summed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     words that may be among the most frequent of all (words are dealt to parts by hash, so a part has about its share of all
     distinct words), and by form the tokens (``b" t<form>"``) and the distinct words (``b" d<form>"``) in training documents."""
     for part, group in _rows(batches, "part"):
-        rows, counts = [*group], Counter()
-        for r in rows:
-            for w, n in zip(*_read(r), strict=True):
-                counts[w] += int(n)
-        for r in rows:
-            found = r["words"].split(b"\n")
-            yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "part": part} | _blob(found, [counts[w] for w in found])], _WORDS)
-        trained = {w: n for w, n in counts.items() if n}
+        rows = [*group]
+        read = [_read(r) for r in rows]
+        found, places = numbers(pa.concat_arrays([x for x, _ in read]))
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, places, np.concatenate([n for _, n in read]))
+        at = 0
+        for r, (x, _) in zip(rows, read, strict=True):
+            own = total[places[at : at + len(x)]]
+            at += len(x)
+            yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "part": part, "words": r["words"], "counts": own.astype("<i8").tobytes()}], _WORDS)
+        trained = np.flatnonzero(total)
         most = 64 + math.ceil(2 * VOCABULARY * math.sqrt(parts * len(trained)))
-        top = sorted(trained, key=lambda w: (w != END_WORD, -trained[w]))[:most]
-        tokens, distinct = Counter(), Counter()
-        for w, n in trained.items():
-            f = form(w)
-            tokens[f] += n
-            distinct[f] += 1
-        sums = [*((b" t%d" % f, n) for f, n in tokens.items()), *((b" d%d" % f, n) for f, n in distinct.items())]
-        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part} | _blob([*top, *(w for w, _ in sums)], [*(trained[w] for w in top), *(n for _, n in sums)])], _WORDS)
+        order = np.lexsort((np.arange(len(trained)), -total[trained], [found[i] != END_WORD for i in trained.tolist()]))
+        top = trained[order[:most]].tolist()
+        forms = np.array([form(found[i]) for i in trained.tolist()], np.int64)
+        tokens, distinct = np.zeros((2, FORMS), np.int64)
+        np.add.at(tokens, forms, total[trained])
+        np.add.at(distinct, forms, 1)
+        sums = [(b" %s%d" % (name, f), int(by[f])) for name, by in ((b"t", tokens), (b"d", distinct)) for f in np.flatnonzero(by).tolist()]
+        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part} | _blob([*(found[i] for i in top), *(w for w, _ in sums)], [*total[top].tolist(), *(n for _, n in sums)])], _WORDS)
 
 
 def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +393,7 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _rows(batches, "part"):
         for r in rows:
             found, n = _read(r)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([found, pa.array(n, pa.int64())], ["word", "n"])
 
 
 class Outputs:
@@ -327,11 +410,14 @@ class Outputs:
 def _numbered(outputs: Outputs, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts -> their words' outputs."""
-        for b in batches:
-            place: dict[bytes, int] = defaultdict(count().__next__)
-            texts = [list(map(place.__getitem__, words(t.as_py()))) for t in b.column("text")]
-            ids = outputs(list(place)).astype(kind)
-            yield pa.RecordBatch.from_arrays([b.column("round"), b.column("worker"), b.column("u"), pa.array([ids[t].tobytes() for t in texts], pa.binary())], ["round", "worker", "u", "ids"])
+        for whole in batches:
+            for _, b in _pieces(whole, np.zeros(whole.num_rows, np.int8)):
+                flat, lengths = split(b.column("text"))
+                found, places = numbers(flat)
+                ends = np.cumsum(lengths)
+                ids = np.insert(outputs(found).astype(kind)[places], ends, END)
+                texts = [x.tobytes() for x in np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1])]
+                yield pa.RecordBatch.from_arrays([b.column("round"), b.column("worker"), b.column("u"), pa.array(texts, pa.binary())], ["round", "worker", "u", "ids"])
 
     return run
 
@@ -384,33 +470,43 @@ def _scored(m: Language):
         """By bucket, the words' counts and then the documents -> the documents' scores."""
         model = Model(classes, values)
         in_form, all_forms = np.log10(m.form_tokens + 0.1 * (m.form_types + 1)), len(m.form_tokens)
-        for _, rows in _rows(batches, "bucket"):
-            place: dict[bytes, int] = {}
-            counts, held, size = [], [], 0
-
-            def scores(counts=counts, held=held, place=place) -> pa.RecordBatch:
-                c = np.concatenate(counts)
-                ids = outputs(list(place))
-                base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
-                rare = (ids > END) & (ids <= all_forms)
-                share = np.where(rare, np.log10(c + 0.1) - in_form[np.where(rare, ids - 1, 0)], 0.0)
-                docs = [h[2] for h in held]
-                model_scores = model.score([ids[d] for d in docs]) / math.log(10)
-                out = [[h[0] for h in held], [h[1] for h in held], [len(d) for d in docs], [int((c[d] > 0).sum()) for d in docs], [float(base[d].sum()) for d in docs], [float(m + share[d].sum()) for m, d in zip(model_scores, docs, strict=True)]]
+        for _, pieces in _runs(batches, "bucket"):
+            found, counts, held, size = [], [], [], 0
+
+            def scores(held=held) -> pa.RecordBatch:
+                ids, held_out, n_known, base_score, outside, docs = zip(*held, strict=True)
+                model_scores = model.score(docs) / math.log(10)
+                out = [ids, held_out, [len(d) for d in docs], n_known, base_score, [float(s + x) for s, x in zip(model_scores, outside, strict=True)]]
                 return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _SCORES, strict=True)], schema=_SCORES)
 
-            for r in rows:
-                if r["words"] is not None:
-                    found, n = _read(r)
-                    place.update(zip(found, range(len(place), len(place) + len(found)), strict=True))
+            for b in pieces:
+                counted = b.column("words").is_valid()
+                for r in b.filter(counted).select(["words", "counts"]).to_pylist():
+                    x, n = _read(r)
+                    found.append(x)
                     counts.append(n)
+                b = b.filter(pc.invert(counted))
+                if not b.num_rows:
                     continue
-                held.append((r["doc_id"], r["held_out"], np.array([place[w] for w in words(r["text"])])))
-                size += len(held[-1][2])
-                if size >= SCORE_TOKENS:
-                    yield scores()
-                    held.clear()
-                    size = 0
+                if counts:  # all words of the bucket have come
+                    known, c, counts = pa.concat_arrays(found), np.concatenate(counts), []
+                    ids = outputs(known.to_pylist())
+                    base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
+                    rare = (ids > END) & (ids <= all_forms)
+                    share = np.where(rare, np.log10(c + 0.1) - in_form[np.where(rare, ids - 1, 0)], 0.0)
+                    end = int(np.flatnonzero(ids == END)[0])
+                flat, lengths = split(b.column("text"))
+                ends = np.cumsum(lengths)
+                places = np.insert(pc.index_in(flat, known).to_numpy(), ends, end)
+                cuts = (ends + np.arange(1, len(ends) + 1))[:-1]
+                by_text = [np.split(x[places], cuts) for x in (c > 0, base, share, ids)]
+                for i, h, known_, base_, share_, doc in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), *by_text, strict=True):
+                    held.append((i, h, int(known_.sum()), float(base_.sum()), share_.sum(), doc))
+                    size += len(doc)
+                    if size >= SCORE_TOKENS:
+                        yield scores()
+                        held.clear()
+                        size = 0
             if held:
                 yield scores()
 
