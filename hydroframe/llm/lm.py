@@ -61,19 +61,52 @@ def words(text: str) -> list[bytes]:
     return [*split(pa.array([text], pa.string()))[0].to_pylist(), END_WORD]
 
 
-def numbers(flat: pa.Array) -> tuple[list[bytes], np.ndarray]:
+def numbers(flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words, in order, and each word's place among them."""
     coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
-_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+def _letters(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, end to end, and where each word starts, with the last one's end."""
+    _, at, data = found.buffers()
+    at = np.frombuffer(at, np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def part_of(found: pa.Array, parts: int) -> np.ndarray:
+    """A part for each word, by a hash of its bytes."""
+    data, at = _letters(found)
+    sizes = np.diff(at)
+    powers = np.multiply.accumulate(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(at[:-1], sizes)], at[:-1])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+_IS_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def forms_of(found: pa.Array) -> np.ndarray:
+    """The words' forms: the last two bytes before a word's closing signs, and the first of these."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    data, at = _letters(found)
+    last = np.maximum.reduceat(np.where(_IS_SIGN[data], -1, np.arange(len(data))), at[:-1])  # of the core; -1: signs alone
+    last = np.where(last < at[:-1], at[:-1] - 1, last)
+    three = np.zeros(len(found), np.int64)
+    for i in (-1, 0, 1):  # each byte and one, 0 where there is none
+        own = last + i
+        there = (own >= at[:-1]) & (own < at[1:])
+        three = 257 * three + np.where(there, data[np.where(there, own, 0)].astype(np.int64) + 1, 0)
+    seen, places = np.unique(three, return_inverse=True)
+    byte = lambda n: bytes([n - 1]) if n else b""
+    return np.array([crc32(byte(x // 257**2) + byte(x // 257 % 257) + b" " + byte(x % 257)) % FORMS for x in seen.tolist()], np.int64)[places]
 
 
 def form(word: bytes) -> int:
-    """A word's form: the last two bytes before its closing signs, and the first of these."""
-    core = word.rstrip(_SIGNS)
-    return crc32(core[-2:] + b" " + word[len(core) : len(core) + 1]) % FORMS
+    return int(forms_of(pa.array([word], pa.binary()))[0])
 
 
 # ---- the model --------------------------------------------------------------------------------------------------
@@ -268,14 +301,19 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=0)
     x -= top
     np.exp(x, out=x)
-    return top + np.log(x.sum(axis=0))
+    return top + np.log(_sums(x))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns."""
+    return np.ones(len(x), x.dtype) @ x
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Each column's probabilities, in place."""
     x -= x.max(axis=0)
     np.exp(x, out=x)
-    x *= 1 / x.sum(axis=0)
+    x *= 1 / _sums(x)
     return x
 
 
@@ -329,10 +367,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, It
         yield k, map(itemgetter(1), own)
 
 
-def _blob(found: list[bytes], counts: list[int]) -> dict[str, bytes]:
-    return {"words": b"\n".join(found), "counts": np.array(counts, "<i8").tobytes()}
-
-
 def _words(blob: bytes) -> pa.Array:
     return pc.split_pattern(pa.array([blob], pa.binary()), "\n").flatten()
 
@@ -345,22 +379,37 @@ def _counted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by bucket -> the bucket's distinct words with their counts in training documents, by part."""
         for bucket, pieces in _runs(batches, "bucket"):
-            counts: dict[bytes, int] = {END_WORD: 0}
+            found, total = pa.array([END_WORD], pa.binary()), np.zeros(1, np.int64)
             for b in pieces:
                 flat, lengths = split(b.column("text"))
                 trained = ~b.column("held_out").to_numpy(zero_copy_only=False)
-                counts[END_WORD] += int(trained.sum())
-                found, places = numbers(flat)
-                for w, n in zip(found, np.bincount(places[np.repeat(trained, lengths)], minlength=len(found)).tolist(), strict=True):
-                    counts[w] = counts.get(w, 0) + n
-            dealt: dict[int, list[bytes]] = {}
-            for w in counts:
-                dealt.setdefault(crc32(w) % parts, []).append(w)
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "part": p} | _blob(d, [counts[w] for w in d]) for p, d in dealt.items()], _WORDS)
+                own, places = numbers(flat)
+                n = np.bincount(places[np.repeat(trained, lengths)], minlength=len(own))
+                total[0] += trained.sum()
+                if len(found) > 1:
+                    found, total, _ = _merged([(found, total), (own, n)])
+                else:  # the end is no word of a text
+                    found, total = pa.concat_arrays([found, own]), np.concatenate([total, n])
+            part = part_of(found, parts)
+            order = np.argsort(part, kind="stable")
+            sizes = np.bincount(part, minlength=parts)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), found.take(pa.array(order)))
+            blobs, total = pc.binary_join(lists, b"\n").to_pylist(), total[order].astype("<i8")
+            own = np.flatnonzero(sizes).tolist()
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "part": p, "words": blobs[p], "counts": total[ends[p] - sizes[p] : ends[p]].tobytes()} for p in own], _WORDS)
 
     return run
 
 
+def _merged(read: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words with the sums of their counts, and the places of all words among these."""
+    found, places = numbers(pa.concat_arrays([x for x, _ in read]))
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, places, np.concatenate([n for _, n in read]))
+    return found, total, places
+
+
 def _summed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Words by part -> the same rows with the counts of the whole corpus, and for each part a row without bucket: its
     words that may be among the most frequent of all (words are dealt to parts by hash, so a part has about its share of all
@@ -368,24 +417,25 @@ def _summed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for part, group in _rows(batches, "part"):
         rows = [*group]
         read = [_read(r) for r in rows]
-        found, places = numbers(pa.concat_arrays([x for x, _ in read]))
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, places, np.concatenate([n for _, n in read]))
+        found, total, places = _merged(read)
         at = 0
         for r, (x, _) in zip(rows, read, strict=True):
             own = total[places[at : at + len(x)]]
             at += len(x)
             yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "part": part, "words": r["words"], "counts": own.astype("<i8").tobytes()}], _WORDS)
-        trained = np.flatnonzero(total)
-        most = 64 + math.ceil(2 * VOCABULARY * math.sqrt(parts * len(trained)))
-        order = np.lexsort((np.arange(len(trained)), -total[trained], [found[i] != END_WORD for i in trained.tolist()]))
-        top = trained[order[:most]].tolist()
-        forms = np.array([form(found[i]) for i in trained.tolist()], np.int64)
-        tokens, distinct = np.zeros((2, FORMS), np.int64)
-        np.add.at(tokens, forms, total[trained])
+        found, total = found.filter(pa.array(total > 0)), total[total > 0]
+        most = 64 + math.ceil(2 * VOCABULARY * math.sqrt(parts * len(found)))
+        no_end = pc.not_equal(found, pa.scalar(END_WORD, pa.binary())).to_numpy(zero_copy_only=False)
+        top = np.lexsort((-total, no_end))[:most]
+        forms, (tokens, distinct) = forms_of(found), np.zeros((2, FORMS), np.int64)
+        np.add.at(tokens, forms, total)
         np.add.at(distinct, forms, 1)
-        sums = [(b" %s%d" % (name, f), int(by[f])) for name, by in ((b"t", tokens), (b"d", distinct)) for f in np.flatnonzero(by).tolist()]
-        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part} | _blob([*(found[i] for i in top), *(w for w, _ in sums)], [*total[top].tolist(), *(n for _, n in sums)])], _WORDS)
+        sums = [(b" %s%d" % (name, f), by[f]) for name, by in ((b"t", tokens), (b"d", distinct)) for f in np.flatnonzero(by).tolist()]
+        if not len(found):
+            continue
+        blob = b"\n".join([*found.take(pa.array(top)).to_pylist(), *(w for w, _ in sums)])
+        counts = np.array([*total[top], *(n for _, n in sums)], "<i8").tobytes()
+        yield pa.RecordBatch.from_pylist([{"bucket": None, "part": part, "words": blob, "counts": counts}], _WORDS)
 
 
 def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,11 +450,13 @@ class Outputs:
     """Words -> the model's outputs: the end, known words, and forms by ``of_form``."""
 
     def __init__(self, known: dict[bytes, int], of_form: list[int]):
-        self.known, self.of_form = known, of_form
+        self.known, self.of_form = known, np.array(of_form, np.int64)
+        self.names, self.ids = pa.array([*known], pa.binary()), np.array([*known.values()], np.int64)
 
-    def __call__(self, found: list[bytes]) -> np.ndarray:
-        known, of_form = self.known.get, self.of_form
-        return np.array([i if (i := known(w)) is not None else of_form[form(w)] for w in found], np.int64)
+    def __call__(self, found: pa.Array | list[bytes]) -> np.ndarray:
+        found = found if isinstance(found, pa.Array) else pa.array(found, pa.binary())
+        place = pc.fill_null(pc.index_in(found, self.names), -1).to_numpy()
+        return np.where(place < 0, self.of_form[forms_of(found)], self.ids[place])
 
 
 def _numbered(outputs: Outputs, kind: str):
@@ -490,14 +542,15 @@ def _scored(m: Language):
                     continue
                 if counts:  # all words of the bucket have come
                     known, c, counts = pa.concat_arrays(found), np.concatenate(counts), []
-                    ids = outputs(known.to_pylist())
+                    ids = outputs(known)
                     base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
                     rare = (ids > END) & (ids <= all_forms)
                     share = np.where(rare, np.log10(c + 0.1) - in_form[np.where(rare, ids - 1, 0)], 0.0)
                     end = int(np.flatnonzero(ids == END)[0])
                 flat, lengths = split(b.column("text"))
                 ends = np.cumsum(lengths)
-                places = np.insert(pc.index_in(flat, known).to_numpy(), ends, end)
+                places = numbers(pa.concat_arrays([known, flat]))[1][len(known) :]  # all are known
+                places = np.insert(places, ends, end)
                 cuts = (ends + np.arange(1, len(ends) + 1))[:-1]
                 by_text = [np.split(x[places], cuts) for x in (c > 0, base, share, ids)]
                 for i, h, known_, base_, share_, doc in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), *by_text, strict=True):
