@@ -7,6 +7,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hydroframe.llm import chat, decontamination, lm, mixing, near, pii, quality, secrets, tokens, urls
@@ -326,6 +327,54 @@ def test_model_gradient_and_learning():
     assert abs(one - 1) < 1e-5
 
 
+def test_words_are_split_counted_and_scored_in_arrays(monkeypatch):
+    rng, some = random.Random(4), "aAbBzZéÉßİ's19 \n\t\x0b\x0c\r\x1c\x85\u00a0.,!#\U0001F600漢\0"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", " ", "\n\ta ", "!!", "a" * 500]
+    want = [t.encode().lower().split() for t in texts]
+    flat, lengths = lm.split(pa.array(texts))
+    assert flat.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == [len(ws) for ws in want]
+    found, places = lm.numbers(flat)
+    assert found.take(pa.array(places)) == flat and len(set(found.to_pylist())) == len(found)
+    assert lm.forms_of(found.slice(3)).tolist() == [lm.form(w) for w in found.to_pylist()[3:]]
+    assert lm.form(b"!!") == lm.form(b"!") != lm.form(b"a!") and lm.form(b"a") == crc32(b"a ") % lm.FORMS and lm.form(b"cab.,") == crc32(b"ab .") % lm.FORMS
+    assert (lm.part_of(found, 7)[5:] == lm.part_of(found.slice(5), 7)).all() and set(lm.part_of(found, 7)) == set(range(7))
+
+    held = [i % 3 == 0 for i in range(len(texts))]
+    docs = pa.RecordBatch.from_pydict({"bucket": [0] * 200 + [1] * (len(texts) - 200), "held_out": held, "text": texts})
+    scored = []
+    for chars in (lm.BUCKET_CHARS, 300):  # a bucket in one piece, and in many
+        monkeypatch.setattr(lm, "BUCKET_CHARS", chars)
+        rows = [r for b in lm._counted(5)(iter([docs])) for r in b.to_pylist()]
+        for bucket, own in ((0, range(200)), (1, range(200, len(texts)))):
+            got = {w: n for r in rows if r["bucket"] == bucket for w, n in zip(r["words"].split(b"\n"), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)}
+            c = Counter(w for i in own if not held[i] for w in [*want[i], lm.END_WORD])
+            assert got == {w: c[w] for i in own for w in [*want[i], lm.END_WORD]}
+        outputs = lm.Outputs({lm.END_WORD: 0, b"a": 3, b"b": 4}, [1 + f % 2 for f in range(lm.FORMS)])
+        m = lm.Language(lm.initial(np.array([5, 9, 8, 4, 3.0]), 2), outputs, 900, 300, np.array([500, 400]), np.array([150, 140]))
+        side = {"doc_id": pa.array([None] * len(rows), pa.int64()), "held_out": pa.array([None] * len(rows), pa.bool_()), "text": pa.array([None] * len(rows), pa.string())}
+        first = pa.RecordBatch.from_pydict({"bucket": [r["bucket"] for r in rows], "words": pa.array([r["words"] for r in rows], pa.binary()), "counts": pa.array([r["counts"] for r in rows], pa.binary()), **side})
+        then = pa.RecordBatch.from_pydict({"bucket": docs["bucket"], "words": pa.array([None] * len(texts), pa.binary()), "counts": pa.array([None] * len(texts), pa.binary()), "doc_id": list(range(len(texts))), "held_out": held, "text": texts})
+        both = pa.Table.from_batches([first, then]).sort_by([("bucket", "ascending"), ("words", "ascending")]).to_batches()  # null comes last
+        scored.append([r for b in lm._scored(m)(iter(both)) for r in b.to_pylist()])
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in scored[-1]) == [(i, len(ws) + 1) for i, ws in enumerate(want)]
+        one = next(r for r in scored[-1] if r["doc_id"] == len(texts) - 3)  # "\n\ta "
+        assert abs(one["score"] - m.model.score([np.array([3, 0])])[0] / math.log(10)) < 1e-4
+    assert scored[0] == scored[1]
+
+
+def test_states_lie_column_by_column():
+    m, h = lm.initial(np.array([5, 20, 10, 8, 6.0])), np.zeros((7, lm.HIDDEN), np.float32, "F")
+    z, r, candidate, c, after = m.steps(np.arange(7) % 5, h)
+    assert all(x.flags.f_contiguous for x in (z, r, candidate, c, after))  # rows of a few numbers each cost several times as much
+
+
+def test_scores_without_training_documents(spark):
+    rows = [(i, t) for i, t in zip([i for i in range(300) if crc32(str(i).encode()) % 10 == 0], ["a b", None, "c."], strict=False)]
+    got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) for r in got) == [(1, 0, 0, True), (2, 0, 0, True), (3, 0, 0, True)]
+    assert all(math.isfinite(r["score"]) for r in got)
+
+
 def test_score_is_the_sum_over_the_whole_document():
     m, rng = lm.initial(np.array([5, 20, 10, 8, 6.0])), np.random.default_rng(2)
     docs = [np.append(rng.integers(1, 5, n), 0) for n in (3, 1, 700, 7, 7)]
